@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, substring
+from . import bpe, decontaminate, jaccard, substring
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,9 +31,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats_digest(substring.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
