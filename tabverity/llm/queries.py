@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, substring
+from . import bpe, decontaminate, jaccard, language, substring
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.train(docs.where(language.fold("doc_id", 4) != 2))
+    held_out = (language.fold("doc_id", 4) == 2).alias("held_out")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "spans")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,6 +45,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
