@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, substring
+from . import bpe, decontaminate, jaccard, language, quality, substring
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "spans")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(language.fold("doc_id", 5) != 0))
+    held_out = (language.fold("doc_id", 5) == 0).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +53,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
