@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, quality, substring
+from . import bpe, decontaminate, jaccard, language, quality, substring, tokenfiles
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.ids_digest(tokenfiles.read_ids(tokenfiles.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path())))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_digest(found)
@@ -54,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op4_quality_classifier": op4_quality_classifier,
-        "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
+        "op5_bpe": op5_bpe, "op6_token_output": op6_token_output, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
