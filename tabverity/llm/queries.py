@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, lines, quality, substring, tokenfiles
+from . import bpe, decontaminate, jaccard, language, lines, pii, quality, substring, tokenfiles
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats_digest(substring.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_bpe": op5_bpe, "op6_token_output": op6_token_output, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
+        "op9_pii": op9_pii,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
