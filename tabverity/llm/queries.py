@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, lines, pii, quality, substring, tokenfiles
+from . import bpe, decontaminate, jaccard, language, lines, neighbours, pii, quality, substring, tokenfiles
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(language.fold("doc_id", 5) != 0))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_line_dedup": op2_line_dedup,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_bpe": op5_bpe, "op6_token_output": op6_token_output, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
