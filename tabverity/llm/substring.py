@@ -7,7 +7,7 @@ a smaller id. Comparing all windows would shuffle every window of the corpus; an
   onto cover places. So two equal windows share an equal anchor, a window of ``width - 6`` words at a cover place of
   both texts, whatever their offsets.
 * Pass 1 hashes anchors at cover places only (3 of 7) and finds, by range of hashes, those that occur twice.
-* They are marked in a bitmap of bounded size. Marks shared by chance only add candidates.
+* They are marked in a Bloom filter of bounded size. Marks shared by chance only add candidates.
 * Pass 2 extends: windows around a marked anchor are candidates; of each distinct candidate the smallest id is kept.
 * Pass 3 tells that document which windows it owns. A document's candidates that it does not own are removed.
 
@@ -30,8 +30,10 @@ from .common import id_and_text, materialize, shuffle_partitions, text_batches
 
 WIDTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
-#: Most bits of the bitmap of repeated anchors (128 MB); beyond, more windows are sent and the result is the same.
+#: Most bits of the filter of repeated anchors (128 MB); beyond, more windows are sent and the result is the same.
 MOST_BITS = 1 << 30
+#: Bits for a repeated anchor, and marks that each makes.
+BITS_EACH, MARKS = 16, 3
 #: Stands for a null id, which is never the smaller one.
 NO_ID = np.iinfo(np.int64).max
 
@@ -77,24 +79,33 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(values)], pa.int64()), "low": pa.array([values.tobytes()], pa.binary())})
 
 
+def _mark_places(low: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for k in range(MARKS):
+        yield (K.mix64(low.astype(np.uint64) + np.uint64(k << 32)) % np.uint64(bits)).astype(np.int64)
+
+
 def _marks(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, low in zip(batch.column("bucket").to_pylist(), batch.column("low").to_pylist()):
-            place = (np.frombuffer(low, dtype=np.uint32).astype(np.uint64) * np.uint64(bits)) >> np.uint64(32)
             marked = np.zeros(bits, dtype=bool)
-            marked[place.astype(np.int64)] = True
+            for place in _mark_places(np.frombuffer(low, dtype=np.uint32), bits):
+                marked[place] = True
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(marked).tobytes()], pa.binary())})
 
 
 class Marked:
-    """Bitmap of repeated anchors; ``bits`` for each bucket."""
+    """Filter of repeated anchors; ``bits`` for each bucket."""
 
     def __init__(self, packed: np.ndarray, bits: int, buckets: int) -> None:
-        self.packed, self.bits, self.buckets = packed, np.uint64(bits), buckets
+        self.packed, self.bits, self.buckets = packed, bits, buckets
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = bucket_of(hashes, self.buckets) * self.bits + (((hashes & np.uint64(0xFFFFFFFF)) * self.bits) >> np.uint64(32))
-        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        base = bucket_of(hashes, self.buckets).astype(np.int64) * self.bits
+        found = np.ones(len(hashes), dtype=bool)
+        for place in _mark_places(hashes.astype(np.uint32), self.bits):
+            at = base + place
+            found &= (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return found
 
 
 def candidates(words: K.Words, hashes: np.ndarray, marked: Marked, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +141,16 @@ def _send_windows(batches: Iterable[pa.RecordBatch], buckets: int, width: int, s
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "h": binary_slices(h, a), "h2": binary_slices(h2, a), "docs": binary_slices(doc[owners], b), "counts": binary_slices(counts, b)})
 
 
-def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_owner(owner: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in the order of their owners, the owners, and where each one's windows start."""
+    order = np.argsort(owner, kind="stable")
+    owner, windows = owner[order], windows[order]
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+    return windows, owner[at], np.append(at, len(owner))
+
+
+def _owners(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Bundles of windows for ranges of owners."""
     have: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
         for bucket, h, h2, docs, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "h2", "docs", "counts"))):
@@ -142,10 +162,25 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, h2, doc = h[order], h2[order], doc[order]
         first = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
         h, doc = h[first], doc[first]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        yield pa.RecordBatch.from_pydict({"owner": pa.array(doc[at], pa.int64()), "windows": binary_slices(h, np.append(at, len(h)))})
+        group = bucket_of(K.mix64(doc.astype(np.uint64)), buckets).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        h, doc, cuts = h[order], doc[order], np.searchsorted(group[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        for k in full.tolist():
+            windows, owner, at = _by_owner(doc[cuts[k] : cuts[k + 1]], h[cuts[k] : cuts[k + 1]])
+            yield pa.RecordBatch.from_pydict({"group": pa.array([k], pa.int32()), "owners": pa.array([owner.tobytes()], pa.binary()), "counts": pa.array([np.diff(at).astype(np.uint32).tobytes()], pa.binary()), "windows": pa.array([windows.tobytes()], pa.binary())})
+
+
+def _gather_owned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each owner with all its windows, from the bundles of one group after another."""
+    have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for group, owners, counts, windows in zip(*(batch.column(c).to_pylist() for c in ("group", "owners", "counts", "windows"))):
+            have.setdefault(group, []).append((np.repeat(np.frombuffer(owners, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32)), np.frombuffer(windows, dtype=np.uint64)))
+    for parts in have.values():
+        windows, owner, at = _by_owner(*(np.concatenate(x) for x in zip(*parts)))
+        for k in range(0, len(owner), 5000):
+            yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[k : k + 5000], pa.int64()), "owned": binary_slices(windows, at[k : k + 5001])})
 
 
 def _kept(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
@@ -157,7 +192,7 @@ def _kept(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.
         removed: list[np.ndarray] = []
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[k], cuts[k + 1]
-            own = np.frombuffer(b"".join(owned[k] or []), dtype=np.uint64)
+            own = np.frombuffer(owned[k] or b"", dtype=np.uint64)
             removed.append(at[a:b][~np.isin(h[a:b], own)])
         edge = np.zeros(words.n + width + 1, dtype=np.int32)
         if removed:
@@ -192,14 +227,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = source.select("text").mapInArrow(lambda it: _send_anchors(it, buckets, width), "bucket int, low binary")
     repeated = materialize(sent.repartition(buckets, "bucket").mapInArrow(_repeated_anchors, "bucket int, n long, low binary"), "anchors")
     n = repeated.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(1 << 10, 1 << (8 * n // buckets).bit_length()), MOST_BITS // buckets) // 8 * 8
+    bits = min(max(1 << 10, 1 << (BITS_EACH * n // buckets).bit_length()), MOST_BITS // buckets) // 8 * 8
     packed = np.zeros(buckets * bits // 8, dtype=np.uint8)
     for row in repeated.mapInArrow(lambda it: _marks(it, bits), "bucket int, bits binary").toLocalIterator():
         packed[row["bucket"] * bits // 8 : (row["bucket"] + 1) * bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     shared = spark.sparkContext.broadcast((packed, bits, buckets))
     windows = source.mapInArrow(lambda it: _send_windows(it, buckets, width, shared), "bucket int, h binary, h2 binary, docs binary, counts binary")
-    owners = windows.repartition(buckets, "bucket").mapInArrow(_owners, "owner long, windows binary")
-    owned = owners.groupBy("owner").agg(F.collect_list("windows").alias("owned"))  # at most a document's own windows
+    bundles = windows.repartition(buckets, "bucket").mapInArrow(lambda it: _owners(it, buckets), "group int, owners binary, counts binary, windows binary")
+    owned = bundles.repartition(buckets, "group").mapInArrow(_gather_owned, "owner long, owned binary")  # a row for each owner
     joined = source.join(owned, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner"), "left").select("doc_id", "text", "owned")
     return joined.mapInArrow(lambda it: _kept(it, width, shared), "doc_id long, kept binary, n_words long, n_removed long").select("doc_id", F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed")
 
