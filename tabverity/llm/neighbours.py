@@ -184,9 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return rows.mapInArrow(pack, "vec_id long, vector binary").dropDuplicates(["vec_id", "vector"])
 
     rows = materialize(packed(vectors).withColumn("h", F.xxhash64("vector")), "vectors")
-    # A node for each distinct vector, named by its smallest id; the id of a vector is unique to it or disambiguated below.
-    classes = rows.groupBy("h", "vector").agg(F.min("vec_id").alias("node"))
-    nodes = materialize(classes.dropDuplicates(["node"]).select("node", "vector", "h"), "nodes")
+    # A node for each distinct vector, named by its hash.
+    nodes = materialize(rows.select("h", "vector").distinct().select(F.col("h").alias("node"), "vector", "h").dropDuplicates(["node"]), "nodes")
     graph = build_graph(nodes.select("node", "vector"))
     asked = packed(queries).withColumn("h", F.xxhash64("vector")).select(F.col("vec_id").alias("query"), F.col("vector").alias("q_vector"), "h").dropDuplicates(["query"])
     asked = materialize(asked, "queries")
