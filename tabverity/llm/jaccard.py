@@ -3,9 +3,10 @@
 Documents link when their sets of 5-word shingles have a Jaccard similarity of at least 0.75. The join is exact.
 
 1. Documents of equal sets form a class; the class is joined once, by the fingerprint of its set.
-2. Every set is put in one order, frequent shingles last, and a class is filed under the first quarter of its set:
-   two sets that link have a shingle in common there. How frequent shingles are is counted over all documents in a
-   fixed number of counters; any order gives the same links, this one keeps the groups of a shingle small.
+2. Every set is put in one order, frequent shingles last, and a class is filed under the first 31 % of its set: two
+   sets that link have several shingles in common there, a sixteenth of the smaller set. A class that shares fewer
+   with all others together, such as one that only quotes a passage, is done. How frequent shingles are is counted
+   over all documents in a fixed number of counters; any order gives the same links, this one keeps groups small.
 3. Within a shingle's group, candidates are first only a star and a chain. Their links, verified on whole sets,
    already connect nearly all copies, without listing all pairs of a group of copies.
 4. Groups whose classes are not yet in one component are searched by signature trees: a leaf holds classes of like
@@ -25,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import kernels as K
 from .common import id_and_text, materialize, shuffle_partitions, text_batches
 from .components import connected_components
-from .substring import binary_slices
+from .substring import binary_slices, bucket_of
 
 NGRAM = 5
 #: Similarity in hundredths, as the rule is in whole numbers: 100 * overlap >= 75 * union.
@@ -40,8 +40,8 @@ PERCENT = 75
 COUNTERS, SLICES = 1 << 20, 16
 #: 64-bit words of a class's token bitmap.
 BITMAP_WORDS = 16
-#: Classes in a leaf, and nodes under a node, of a signature tree.
-FANOUT = 16
+#: Nodes under a node of a signature tree. A group of at most LEAF classes is one leaf.
+FANOUT, LEAF = 16, 64
 #: Most bits of the bitmap that tells which sets are wanted (128 MB); beyond, more sets are sent than needed.
 MOST_BITS = 1 << 30
 
@@ -74,13 +74,18 @@ def fingerprints(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mixed, np.uint64(0)).astype(np.int64)
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Smallest overlap with which sets of sizes a and b link: 100 * o >= percent * (a + b - o)."""
-    return -((-percent * (a + b)) // (100 + percent))
+#: A set is filed under one shingle in so many more than the shortest prefix.
+EXTRA = 16
+
+
+def least_shared(n):
+    """Filed shingles that two linked sets have in common at least; n: size of the smaller set (number, array or column)."""
+    return n // EXTRA + 1 if not isinstance(n, Column) else F.floor(n / EXTRA) + 1
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    return n - -((-percent * n) // 100) + 1
+    """Linked sets x, y of overlap o share at least k shingles among the first n_x - o + k and n_y - o + k in order."""
+    return n - -((-percent * n) // 100) + least_shared(n)
 
 
 def _profile(batches: Iterable[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
@@ -138,10 +143,10 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         alone[once] = n[once] > 0
         token, text, place = in_order(found, cuts, frequent.value)
         kept = (place < prefix_length(n, percent)[text]) & alone[text]
-        token, text, place = token[kept], text[kept], place[kept]
-        bucket = (((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        token, text = token[kept], text[kept]
+        bucket = bucket_of(token, buckets).astype(np.int64)
         order = np.lexsort((text, bucket))
-        token, text, place, bucket = token[order], text[order], place[order], bucket[order]
+        token, text, bucket = token[order].astype(np.uint32), text[order], bucket[order]
         at = np.searchsorted(bucket, np.arange(buckets + 1))
         owners = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1]))[: len(text)])
         counts = np.diff(np.append(owners, len(text))).astype(np.uint32)
@@ -149,7 +154,7 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         a = np.append(at[full], at[-1])
         b = np.searchsorted(bucket[owners], np.append(full, buckets))
         yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(full, pa.int32()), "tokens": binary_slices(token, a), "places": binary_slices(place.astype(np.uint32), a),
+            "bucket": pa.array(full, pa.int32()), "tokens": binary_slices(token, a),
             "classes": binary_slices(classes[text[owners]], b), "sizes": binary_slices(n[text[owners]].astype(np.uint32), b), "counts": binary_slices(counts, b),
         })
 
@@ -158,22 +163,29 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of shingles under which several classes are filed."""
     have: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
-        for bucket, tokens, places, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "places", "classes", "sizes", "counts"))):
+        for bucket, tokens, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "classes", "sizes", "counts"))):
             c = np.frombuffer(counts, dtype=np.uint32)
-            have.setdefault(bucket, []).append((np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(places, dtype=np.uint32), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
-    for parts in have.values():
-        token, place, cls, n = (np.concatenate(x) for x in zip(*parts))
+            have.setdefault(bucket, []).append((np.frombuffer(tokens, dtype=np.uint32), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
+    for bucket, parts in have.items():
+        token, cls, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((cls, n, token))
-        token, place, cls, n = token[order], place[order], cls[order], n[order]
+        token, cls, n = token[order], cls[order], n[order]
         new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-        token, place, cls, n = token[new], place[new], cls[new], n[new]
+        token, cls, n = token[new], cls[new], n[new]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(starts, len(token)))
         several = np.repeat(sizes > 1, sizes)
-        token, place, cls, n = token[several], place[several], cls[several], n[several]
+        token, cls, n = token[several].astype(np.int64) + (bucket << 32), cls[several], n[several]
         for k in range(0, len(token), 1 << 18):
             s = slice(k, k + (1 << 18))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token[s].astype(np.int64), pa.int64()), "place": pa.array(place[s], pa.int32()), "class": pa.array(cls[s], pa.int64()), "n": pa.array(n[s], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token[s], pa.int64()), "class": pa.array(cls[s], pa.int64()), "n": pa.array(n[s], pa.int64())})
+
+
+def _sharing_enough(groups: DataFrame, percent: int) -> DataFrame:
+    """Rows of the classes that share as many filed shingles as a link takes."""
+    smaller = F.ceil(F.col("n") * percent / 100)
+    live = groups.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= least_shared(smaller)).select("class")
+    return groups.join(live, "class", "left_semi")
 
 
 def may_link(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -181,13 +193,15 @@ def may_link(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def _first_candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """A star around each group's smallest class and a chain along its sizes, as distinct pairs (a, b), a < b."""
-    w = Window.partitionBy("token")
-    star = groups.groupBy("token").agg(F.min(F.struct("class", "n")).alias("hub"))
-    rows = groups.join(star, "token").select("class", "n", F.col("hub.class").alias("other"), F.col("hub.n").alias("m"))
-    chain = groups.select("class", "n", F.lag("class").over(w.orderBy("n", "class")).alias("other"), F.lag("n").over(w.orderBy("n", "class")).alias("m")).where("other is not null")
-    pairs = rows.unionByName(chain).where((F.col("class") != F.col("other")) & may_link(F.col("n"), F.col("m"), percent))
-    return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    """A star around each group's smallest set and a chain along its sizes, as distinct pairs (a, b), a < b."""
+    w = Window.partitionBy("token").orderBy("n", "class")
+    before = lambda f: F.struct(f("class").over(w).alias("class"), f("n").over(w).alias("n"))
+    both = groups.select("class", "n", F.array(before(F.first), before(F.lag)).alias("others"))
+    pairs = both.select("class", "n", F.explode("others").alias("o")).select("class", "n", F.col("o.class").alias("other"), F.col("o.n").alias("m"))
+    pairs = pairs.where(F.col("other").isNotNull() & (F.col("class") != F.col("other")) & may_link(F.col("n"), F.col("m"), percent))
+    # Most pairs that link meet in many groups; those of few are left to the traversal.
+    met = pairs.groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("n", "m")).alias("n"))
+    return met.where(F.col("times") > F.col("n") / (4 * EXTRA)).select("a", "b")
 
 
 def _wanted_bits(spark: SparkSession, docs: DataFrame):
@@ -274,8 +288,21 @@ def _common(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseAND(F.col(b)[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(F.col(a)[0].bitwiseAND(F.col(b)[0])))
 
 
-def tree_candidates(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Dual traversal of each token's signature tree: pairs (a, b) of classes that may link and lie in two components.
+def _met_enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet under as many tokens as a link takes; ``pairs`` has a row (p, q, n) for each meeting."""
+    met = pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("times"), F.min("n").alias("n"))
+    return met.where(F.col("times") >= least_shared(F.col("n"))).select("a", "b")
+
+
+def leaf_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Meetings (p, q, n) of classes of two components in groups that are one leaf."""
+    x, y = groups.alias("x"), groups.alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, apart & may_link(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.class").alias("p"), F.col("y.class").alias("q"), F.least("x.n", "y.n").alias("n"))
+
+
+def tree_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Dual traversal of each token's signature tree: meetings (p, q, n) of classes that may link, of two components.
 
     ``groups`` has rows (token, class, component, n, bitmap). A class of size n with p bits set shares at most
     n - p + common bits with another; a node keeps its largest n - p - (needed share of n) as slack. Linking needs
@@ -287,7 +314,7 @@ def tree_candidates(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = Window.partitionBy("token").orderBy("n", "class")
     bits = sum((F.bit_count(F.col("bitmap")[k]) for k in words), F.lit(0))
     leaf = groups.withColumn("node", (F.row_number().over(order) - 1).cast("long")).withColumns({"low": F.col("n"), "high": F.col("n"), "slack": F.col("n") * (1 - q) - bits, "c_low": F.col("component"), "c_high": F.col("component")})
-    levels = [materialize(leaf.select("token", "node", "class", "low", "high", "slack", "c_low", "c_high", "bitmap"), "leaves")]
+    levels = [materialize(leaf.select("token", "node", "class", "n", "low", "high", "slack", "c_low", "c_high", "bitmap"), "leaves")]
     while not levels[-1].where(F.col("node") >= FANOUT).isEmpty():
         up = levels[-1].groupBy("token", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
@@ -308,9 +335,25 @@ def tree_candidates(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
         below = level.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("long"))
         left = pairs.alias("p").join(below.alias("x"), (F.col("p.token") == F.col("x.token")) & (F.col("p.i") == F.col("x.parent"))).select(F.col("p.j").alias("other"), "x.*")
         pairs = left.alias("x").join(below.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.parent")) & (F.col("x.node") <= F.col("y.node")) & survives()).select(F.col("x.token").alias("token"), F.col("x.node").alias("i"), F.col("y.node").alias("j"))
-    leaves = levels[0].select("token", "node", "class")
-    named = pairs.where("i < j").join(leaves.select("token", F.col("node").alias("i"), F.col("class").alias("p")), ["token", "i"]).join(leaves.select("token", F.col("node").alias("j"), F.col("class").alias("q")), ["token", "j"])
-    return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    leaves = levels[0].select("token", "node", "class", "n")
+    named = pairs.where("i < j").join(leaves.select("token", F.col("node").alias("i"), F.col("class").alias("p"), F.col("n").alias("n_p")), ["token", "i"]).join(leaves.select("token", F.col("node").alias("j"), F.col("class").alias("q"), F.col("n").alias("n_q")), ["token", "j"])
+    return named.select("p", "q", F.least("n_p", "n_q").alias("n"))
+
+
+def _open_candidates(source: DataFrame, groups: DataFrame, label: DataFrame, heads: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of two components that may still link."""
+    labelled = groups.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    token = Window.partitionBy("token")
+    apart = labelled.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low < high").drop("low", "high")
+    rest = _sharing_enough(materialize(apart, "open"), percent).withColumn("size", F.count("*").over(token))
+    rest = materialize(rest, "open")
+    found = leaf_pairs(rest.where(F.col("size") <= LEAF), percent)
+    large = rest.where(F.col("size") > LEAF)
+    if not large.isEmpty():
+        ids = large.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("doc_id"))
+        bitmap = materialize(_sets_of(source, ids, ngram).mapInArrow(_bitmaps, "doc_id long, bitmap array<long>").join(ids, "doc_id").select("class", "bitmap"), "bitmaps")
+        found = found.unionByName(tree_pairs(large.join(bitmap, "class").select("token", "class", "component", "n", "bitmap"), percent))
+    return _met_enough(found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -328,26 +371,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profile.where("slice is null").select("doc_id", "n", "class")
     members = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n").alias("size")), "classes")
 
-    filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, places binary, classes binary, sizes binary, counts binary")
-    groups = materialize(filed.repartition(buckets, "bucket").mapInArrow(_groups, "token long, place int, class long, n long"), "groups")
+    filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, classes binary, sizes binary, counts binary")
+    groups = materialize(filed.repartition(buckets, "bucket").mapInArrow(_groups, "token long, class long, n long"), "groups")
+    groups = materialize(_sharing_enough(groups, percent), "groups")
     heads = members.where("head is not null")
     links = materialize(_verify(source, _first_candidates(groups, percent), heads, ngram, percent), "links")
     label = connected_components(links)
 
-    labelled = groups.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rest = materialize(labelled.join(open_, "token", "left_semi"), "open")
-    if not rest.isEmpty():
-        ids = rest.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("doc_id"))
-        bitmap = materialize(_sets_of(source, ids, ngram).mapInArrow(_bitmaps, "doc_id long, bitmap array<long>").join(ids, "doc_id").select("class", "bitmap"), "bitmaps")
-        more = materialize(tree_candidates(rest.join(bitmap, "class").select("token", "class", "component", "n", "bitmap"), percent), "candidates")
-        if not more.isEmpty():
-            links = links.unionByName(_verify(source, more, heads, ngram, percent))
-            label = connected_components(materialize(links, "links"))
+    more = materialize(_open_candidates(source, groups, label, heads, ngram, percent), "candidates")
+    if not more.isEmpty():
+        links = links.unionByName(_verify(source, more, heads, ngram, percent))
+        label = connected_components(materialize(links, "links"))
     named = members.join(label, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of_class = named.join(smallest, "component").select("class", "component_id")
     return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType())])

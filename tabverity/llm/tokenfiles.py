@@ -17,22 +17,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .bpe import ids_encoder
 from .common import id_and_text, materialize, text_batches
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: Ids after which a chunk ends, at a document's end.
 CHUNK_IDS = 1 << 20
 #: Lanes that are coded in step at most.
-LANES = 2048
+LANES = 4096
 #: Scale of order-0 frequencies, and of the first symbol's, as powers of two.
 SCALE, FIRST_SCALE = 18, 12
+WIDTH_BITS = SCALE + 1
+WIDTH_MASK = (1 << WIDTH_BITS) - 1
 #: Slots of the order-1 and order-2 tables of a lane, as a power of two.
-SLOT_BITS = 11
+SLOT_BITS = 10
 END_ID = 2
 #: Counts of the first symbol start here, grow by STEP and are halved, every so many ids, when they exceed LIMIT.
 START, STEP, LIMIT, HALVE_EVERY = (6, 6, 20), 24, 1600, 16
@@ -74,25 +75,24 @@ class Coder:
 
 
 class RangeEncoder(Coder):
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, longest: int) -> None:
         super().__init__(lanes)
-        self.lanes: list[np.ndarray] = []
-        self.words: list[np.ndarray] = []
+        # an id takes 30 bits at most, and a cut range another word
+        self.row = longest * 3 + 8
+        self.words = np.zeros(lanes * self.row, dtype="<u2")
+        self.at = np.arange(lanes, dtype=np.int64) * self.row
 
     def word(self, lane: np.ndarray, low: np.ndarray) -> None:
-        self.lanes.append(lane.astype(np.int32))
-        self.words.append((low >> TOP).astype(np.uint16))
+        at = self.at[lane]
+        self.words[at] = low >> TOP
+        self.at[lane] = at + 1
 
     def finish(self) -> list[bytes]:
         n = len(self.low)
         for _ in range(-(-STATE // WORD)):
             self.word(np.arange(n), self.low)
             self.low = (self.low << WORD) & MASK
-        lane, words = np.concatenate(self.lanes), np.concatenate(self.words)
-        order = np.argsort(lane, kind="stable")
-        cuts = np.searchsorted(lane[order], np.arange(n + 1))
-        words = words[order]
-        return [words[cuts[k] : cuts[k + 1]].astype("<u2").tobytes() for k in range(n)]
+        return [self.words[k * self.row : end].tobytes() for k, end in enumerate(self.at.tolist())]
 
 
 class RangeDecoder(Coder):
@@ -126,7 +126,8 @@ class Model:
         self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
         self.rows = np.arange(lanes, dtype=np.int64) * 9
         self.after1, self.after2 = np.zeros(lanes << SLOT_BITS, dtype=np.uint16), np.zeros(lanes << SLOT_BITS, dtype=np.uint16)
-        self.counts = np.tile(np.array([START], dtype=np.int32), (lanes * 9, 1)).ravel()
+        self.counts = np.tile(np.array([START], dtype=np.int32), (lanes * 9, 1))
+        self.flat = self.counts.ravel()
         self.context, self.prev, self.prev2 = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
         self.steps = 0
 
@@ -137,18 +138,18 @@ class Model:
         p2, p1 = self.after2[self.slot2].astype(np.int64), self.after1[self.slot1].astype(np.int64)
         have2, differ = p2 > 0, (p1 > 0) & (p1 != p2)
         # context: which predictions there are (order 2, order 1 apart from it, both), and how the last ones did
-        self.row = (self.rows[:a] + (have2.astype(np.int64) + differ) * 3 + self.context[:a]) * 3
-        c0, c1, c2 = self.counts[self.row] * have2, self.counts[self.row + 1] * differ, self.counts[self.row + 2]
+        self.row = self.rows[:a] + (have2.astype(np.int64) + differ) * 3 + self.context[:a]
+        c0, c1, c2 = np.ascontiguousarray(self.counts.take(self.row, axis=0).T)
+        c0, c1 = c0 * have2, c1 * differ
         scale = (1 << FIRST_SCALE) / (c0 + c1 + c2)
         return p2, p1, (c0 * scale).astype(np.int64), (c1 * scale).astype(np.int64)
 
     def learn(self, a: int, symbol: np.ndarray, outcome: np.ndarray) -> None:
-        self.counts[self.row + outcome] += STEP
+        self.flat[self.row * 3 + outcome] += STEP
         self.steps += 1
         if self.steps % HALVE_EVERY == 0:
-            table = self.counts.reshape(-1, 3)
-            full = table.sum(axis=1) > LIMIT
-            table[full] = (table[full] >> 1) + 1
+            full = np.flatnonzero(self.counts @ np.ones(3, dtype=np.int32) > LIMIT)
+            self.counts[full] = (self.counts[full] >> 1) + 1
         self.after1[self.slot1] = symbol
         self.after2[self.slot2] = symbol
         self.context[:a] = outcome
@@ -180,14 +181,17 @@ def _lanes(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray,
 
 
 def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
-    """Bytes of each chunk of ids (unsigned, below 2**16 distinct values)."""
+    """Bytes of each chunk of ids (a vocabulary's: small enough to count by; below 2**16 distinct values)."""
     tables, symbols = [], []
     for ids in chunks:
-        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        if len(values) >= 1 << 15:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        if len(values) >= 1 << 16:
             raise ValueError("a chunk has too many distinct ids; make CHUNK_IDS smaller")
-        tables.append((values.astype("<u4"), counts))
-        symbols.append(inverse.astype(np.int64) + 1)
+        place = np.zeros(len(counts), dtype=np.int64)
+        place[values] = np.arange(1, len(values) + 1)
+        tables.append((values.astype("<u4"), counts[values]))
+        symbols.append(place[ids])
     frequencies = [Frequencies(c) for _, c in tables]
     chunk, offset, length = _lanes([(None, len(c)) for c in chunks])
     order = np.argsort(-length, kind="stable")
@@ -207,23 +211,23 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _stack(frequencies: list[Frequencies], used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of the used chunks, one after the other, and where each starts."""
+def _stack(frequencies: list[Frequencies], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each used chunk's table starts, and the tables, one after the other, of start and width in one number."""
     base = np.zeros(len(frequencies), dtype=np.int64)
     base[used] = np.concatenate([[0], np.cumsum([len(frequencies[u].width) for u in used])[:-1]])
-    return base, np.concatenate([frequencies[u].start for u in used]), np.concatenate([frequencies[u].width for u in used])
+    return base, np.concatenate([frequencies[u].start << WIDTH_BITS | frequencies[u].width for u in used])
 
 
 def _encode_lanes(symbols: list[np.ndarray], frequencies: list[Frequencies], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
-    base, start, width = _stack(frequencies, np.unique(chunk))
+    base, table = _stack(frequencies, np.unique(chunk))
     base = base[chunk]
     grid = np.zeros((lanes, longest), dtype=np.int64)
     for k in range(lanes):
         grid[k, : length[k]] = symbols[chunk[k]][offset[k] : offset[k] + length[k]]
     grid = np.ascontiguousarray(grid.T)
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
-    coder, model = RangeEncoder(lanes), Model(lanes)
+    coder, model = RangeEncoder(lanes, longest), Model(lanes)
     for t in range(longest):
         a = int(alive[t])
         symbol = grid[t, :a]
@@ -232,8 +236,8 @@ def _encode_lanes(symbols: list[np.ndarray], frequencies: list[Frequencies], chu
         literal = ~by2 & (symbol != p1)
         outcome = literal + (~by2).astype(np.int64)
         coder.narrow(a, np.where(by2, 0, np.where(literal, f0 + f1, f0)), np.where(by2, f0, np.where(literal, (1 << FIRST_SCALE) - f0 - f1, f1)), FIRST_SCALE)
-        at = base[:a] + symbol
-        coder.narrow(a, start[at] * literal, np.where(literal, width[at], 1 << SCALE), SCALE)
+        own = np.where(literal, table[base[:a] + symbol], 1 << SCALE)
+        coder.narrow(a, own >> WIDTH_BITS, own & WIDTH_MASK, SCALE)
         coder.settle(a)
         model.learn(a, symbol, outcome)
     return coder.finish()
@@ -273,7 +277,7 @@ def decode_chunks(data: list[bytes]) -> list[np.ndarray]:
 def _decode_lanes(payloads: list[bytes], frequencies: list[Frequencies], chunk: np.ndarray, length: np.ndarray) -> np.ndarray:
     lanes, longest = len(chunk), int(length[0])
     used = np.unique(chunk)
-    base, start, width = _stack(frequencies, used)
+    base, table = _stack(frequencies, used)
     slots = np.concatenate([np.repeat(np.arange(len(frequencies[u].width)), frequencies[u].width) for u in used]).astype(np.uint16)
     slot_base = np.searchsorted(used, chunk) << SCALE
     base = base[chunk]
@@ -289,8 +293,8 @@ def _decode_lanes(payloads: list[bytes], frequencies: list[Frequencies], chunk:
         coder.narrow(a, np.where(by2, 0, np.where(literal, f0 + f1, f0)), np.where(by2, f0, np.where(literal, (1 << FIRST_SCALE) - f0 - f1, f1)), FIRST_SCALE)
         coded = slots[slot_base[:a] + coder.find(a, SCALE)]
         symbol = np.where(by2, p2, np.where(literal, coded, p1))
-        at = base[:a] + symbol
-        coder.narrow(a, start[at] * literal, np.where(literal, width[at], 1 << SCALE), SCALE)
+        own = np.where(literal, table[base[:a] + symbol], 1 << SCALE)
+        coder.narrow(a, own >> WIDTH_BITS, own & WIDTH_MASK, SCALE)
         coder.settle(a)
         model.learn(a, symbol, outcome)
         grid[t, :a] = symbol
@@ -306,7 +310,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     Null and empty texts have the end id alone. A null id comes first; rows that share an id are ordered by text.
     ``part`` ascends with the ids, ``part_start`` counts the ids of the part's chunks before.
     """
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
