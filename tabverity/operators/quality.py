@@ -54,7 +54,7 @@ def _tv(values: DataFrame, by: list[str], cells: list[str]) -> DataFrame:
 
 
 def column_shapes(real: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    parts = [ks_complement(real, synthetic, numeric)] * bool(numeric) + [tv_complement(real, synthetic, categorical)] * bool(categorical)
+    parts = ([ks_complement(real, synthetic, numeric)] if numeric else []) + ([tv_complement(real, synthetic, categorical)] if categorical else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -98,7 +98,7 @@ def contingency_similarity(real: DataFrame, synthetic: DataFrame, pairs: list[tu
 
 def pair_trends(real: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     mixed = [p for p in combinations([*numeric, *categorical], 2) if not (p[0] in numeric and p[1] in numeric)]
-    parts = [correlation_similarity(real, synthetic, numeric)] * (len(numeric) > 1) + [contingency_similarity(real, synthetic, mixed, numeric)] * bool(mixed)
+    parts = ([correlation_similarity(real, synthetic, numeric)] if len(numeric) > 1 else []) + ([contingency_similarity(real, synthetic, mixed, numeric)] if mixed else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
