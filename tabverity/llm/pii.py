@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base matches of four kinds (email, ip, card, phone) are the seeds. A mention is a token with a digit or an at sign, and
-the numbers that follow it. Seeds among the mentions induce lexical patterns: the two words before a mention and the
-shape of its letters and digits. Patterns and instances make a graph; in every round a pattern's score is the mean score
+Base matches of four kinds (email, ip, card, phone) are the seeds. A mention is a token with an at sign, or one with a
+digit and the numbers that follow it. Seeds among the mentions induce lexical patterns: the two words of the text before
+a mention and the shape of its letters and digits. Patterns and instances make a graph; in every round a pattern's score is the mean score
 of the mentions it extracts, and an instance's the best score of its patterns. Mentions of high-scored patterns with
 enough distinct seeds are added as spans.
 """
@@ -28,10 +28,11 @@ PATTERNS = {
 }
 #: What a text must hold for a kind's expression to be worth running.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A mention: a token with a digit or an at sign, and the tokens of digits and brackets that follow it.
-MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9().+-]*+[0-9]\S*+)*+"
-#: Characters before a mention that its context is taken from.
-CONTEXT_CHARS = 64
+#: A mention: a token with a digit, and the tokens of digits and brackets that follow it up to a comma or the like, or a
+#: token with an at sign. The class before the digit of a following token holds none, as it gives nothing back.
+MENTION = r"(?<!\S)(?:[^\s0-9@]*+[0-9][^\s@]*+(?!\S)(?:(?<![,;:!?])\x20[().+-]*+[0-9][^\s@\p{L}]*+(?!\S))*+|[^\s@]*+@\S*+)"
+#: Characters before a mention that its context is taken from, and of each of the two words there.
+CONTEXT_CHARS, WORD_CHARS = 64, 24
 ROUNDS = 3
 #: A pattern is trusted from this score, and with this many distinct seed instances, on.
 LEAST_SCORE, LEAST_SEEDS = 0.8, 3
@@ -42,8 +43,15 @@ def _pieces(kind: str, pattern: str, text: Column, context: bool = False) -> Col
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     fields = lambda m, i: [F.lit(kind).alias("kind"), i.alias("idx"), F.length(m["g"]).alias("gap"), m["m"].alias("body")]
-    left = lambda m: [F.right(m["g"], F.lit(CONTEXT_CHARS)).alias("left")] if context else []
-    return F.transform(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda m, i: F.struct(*fields(m, i), *left(m)))
+    if not context:
+        return F.transform(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda m, i: F.struct(*fields(m, i)))
+    # Two matches have two words at least, so that the text before a match is wanted from there on only.
+    last = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+    ahead = lambda a, n: F.slice(F.concat(F.array_repeat(F.lit(""), n), a), F.lit(1), F.size(found))
+    ends = F.zip_with(gaps, found, lambda g, m: last(F.concat(last(g), last(m))))
+    before = F.zip_with(F.zip_with(ahead(ends, 2), ahead(ends, 1), lambda a, b: F.concat(a, b)), gaps, lambda b, g: last(F.concat(b, last(g))))
+    both = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), before, lambda p, b: F.struct(p["g"].alias("g"), p["m"].alias("m"), b.alias("left")))
+    return F.transform(both, lambda m, i: F.struct(*fields(m, i), m["left"].alias("left")))
 
 
 def _when_hinted(kind: str, text: Column, pieces: Column) -> Column:
@@ -85,11 +93,18 @@ def base_spans(source: DataFrame) -> DataFrame:
     return _placed(rows).where(is_valid(F.col("kind"), F.col("body"))).select("doc_id", "row", "kind", "start", "end", "body")
 
 
+def _context(left: Column) -> Column:
+    """The last two words of the text before a mention, by their ends; numbers and addresses count as one word each."""
+    words = F.slice(F.reverse(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")), 1, 2)
+    plain = F.transform(words, lambda w: F.when(w.contains("@"), "@").otherwise(F.right(F.regexp_replace(w, "[0-9]+", "0"), F.lit(WORD_CHARS))))
+    return F.array_join(F.reverse(plain), " ")
+
+
 def mentions(source: DataFrame) -> DataFrame:
     """Rows (doc_id, row, start, end, body, context, shape, seed) of all mentions; ``seed`` is the kind of a base match in it."""
     text = F.col("text")
     rows = source.where(text.rlike("[0-9@]")).select("doc_id", "row", F.inline(_pieces("mention", MENTION, text, context=True))).dropDuplicates(["doc_id", "row", "idx"])
-    context = F.lower(F.regexp_extract("left", r"(?:^|\s)(\S{1,24}\s+\S{1,24})\s*$", 1))
+    context = _context(F.col("left"))
     shape = F.regexp_replace(F.regexp_replace(F.lower("body"), r"\p{L}+", "a"), "[0-9]+", "0")
     seed = F.coalesce(*(F.when(F.exists(F.regexp_extract_all("body", F.lit(PATTERNS[k]), F.lit(0)), partial(is_valid, F.lit(k))), k) for k in KINDS))
     return _placed(rows).select("doc_id", "row", "start", "end", "body", context.alias("context"), F.left(shape, F.lit(48)).alias("shape"), seed.alias("seed"))

@@ -176,6 +176,37 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert found[51]["spans"] == []
 
 
+def test_patterns_hold_numbers_written_with_spaces(spark):
+    spaced = lambda n: " ".join(n[k : k + 4] for k in range(0, len(n), 4))
+    cards = [spaced(c) for c in ("4539148803436467", "5555555555554444", "4111111111111111", "378282246310005", "6011111111111117")]
+    rows = [(k, f"please charge card number {c} for this order") for k, c in enumerate(cards)] + [(10, "please charge card number 4539 1488 0343 6468 for this order")]
+    rows += [(20 + k, f"on day {k} you may call +1 (803) 555-535{k}, or write") for k in range(5)] + [(30, "you may call 1 (803) 555-5359, 12 times")]
+    # The words before a mention may be mentions themselves, long, or a single one at the start.
+    rows += [(40 + k, f"unit b{k} at +1 (212) 555-010{k} daily") for k in range(5)] + [(50, "unit b7 at 1 (212) 555-0109 daily")]
+    rows += [(60 + k, f"{'x' * 30} serial{'y' * 30} {c}") for k, c in enumerate(cards)] + [(70, f"{'x' * 30} serial{'y' * 30} 4539 1488 0343 6469")]
+    rows += [(80 + k, f"Iban: {c}") for k, c in enumerate(cards)] + [(90, "Iban: 4539 1488 0343 6461")]
+    rows += [(100, "a@b.co 4111 1111 1111 1111, 5555 5555 5555 4444 7 c@d.co")]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {r["doc_id"]: r for r in pii.mentions(source.withColumn("row", F.lit(1))).where("doc_id in (0, 20, 40)").collect() if r["seed"]}
+    assert [(seen[k]["body"], seen[k]["context"], seen[k]["seed"]) for k in (0, 20, 40)] == [("4539 1488 0343 6467", "card number", "card"), ("+1 (803) 555-5350,", "may call", "phone"), ("+1 (212) 555-0100", "b0 at", "phone")]
+    bodies = [r["body"] for r in pii.mentions(source.where("doc_id = 100").withColumn("row", F.lit(1))).orderBy("start").collect()]
+    assert bodies == ["a@b.co", "4111 1111 1111 1111,", "5555 5555 5555 4444 7", "c@d.co"]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(source).collect()}
+    assert found[10] == [("card", 26, 45)]
+    assert found[70] == [("card", 68, 87)]
+    assert found[90] == [("card", 6, 25)]
+    # An unseen phone without its plus sign has another shape than the seeds.
+    assert found[30] == [] and found[50] == []
+
+
+def test_patterns_discover_spaced_phones(spark):
+    rows = [(k, f"for help dial +1 (803) 555-535{k} at noon") for k in range(5)] + [(10, "for help dial +1 (80) 35-3 at noon"), (11, "we were born +1 (80) 35-3 at noon")]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[10]["base"] == []
+    assert [(s["kind"], s["start"], s["end"]) for s in found[10]["spans"]] == [("phone", 14, 26)]
+    assert found[11]["spans"] == []
+
+
 def test_neighbours(spark):
     vectors = [(k, [float(k), 1.0]) for k in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [3.0, 1.0]), (104, [3.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "d": F.lit(2), "query": F.lit(3)})
