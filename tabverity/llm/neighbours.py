@@ -3,7 +3,9 @@
 Equal vectors are one node of the graph with many members, so that copies don't crowd out other neighbours. The first
 graph joins each node to its nearest in a few random partitions of bounded size. Each round of NN-descent then is two
 Spark joins: every node gathers the vectors of a bounded number of its neighbours, both ways round; all pairs among
-them are compared there, and each node keeps its nearest. Queries start at an entry node and, for all queries at once,
+them are compared there, and each node keeps its nearest; rounds end when few edges change. Nodes that have too few
+neighbours then (alone in their parts, or in small closed groups) are searched like queries and linked both ways round.
+Queries start at the nearest of a fixed number of entry nodes, and at their own node, and, for all queries at once,
 expand their nearest unexpanded nodes along the graph until nothing nearer turns up.
 """
 
@@ -24,13 +26,16 @@ from .common import materialize
 DEGREE = 32
 #: Nearest neighbours, and nodes that have it as a neighbour, that a node gathers in a round.
 GATHER = 18
-ROUNDS = 4
+#: Rounds at most, and the share of changed edges under which they end.
+ROUNDS, FEW_CHANGES = 12, 0.02
 #: First partitions, and the most nodes in one part of them.
 PARTITIONS, PART_NODES = 6, 128
 #: Rows kept while a query is searched, nodes it expands in a round, and rounds at most.
 BEAM, EXPAND, SEARCH_ROUNDS = 128, 12, 16
-#: Nodes among which a query that is no node itself finds its entry.
-ENTRIES = 256
+#: Nodes among which every query finds entries, and how many of them it starts from (k + 1 at least).
+ENTRIES, STARTS = 2048, 16
+#: Nearest neighbours of a searched node that link back to it.
+LINKS_BACK = 4
 SEED = 17
 
 
@@ -65,8 +70,10 @@ def _nearest_within(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
 
 
 def _keep_nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each node; ``fresh`` tells the edges that no earlier graph had."""
     w = Window.partitionBy("node").orderBy("d", "other")
-    return edges.dropDuplicates(["node", "other"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    once = edges.groupBy("node", "other").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 EDGE = "node long, other long, d double"
@@ -92,7 +99,7 @@ def _first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     def near(group: pd.DataFrame) -> pd.DataFrame:
         return _nearest_within(group["node"].to_numpy(), _matrix(group["vector"]), DEGREE)
 
-    return _keep_nearest(pieces.select("tree", "part", "piece", "node", "vector").groupBy("tree", "part", "piece").applyInPandas(near, EDGE), DEGREE)
+    return _keep_nearest(pieces.select("tree", "part", "piece", "node", "vector").groupBy("tree", "part", "piece").applyInPandas(near, EDGE).withColumn("fresh", F.lit(True)), DEGREE)
 
 
 def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     met = forward.unionByName(backward).unionByName(own).distinct().join(known, "member")
     # At most 2 * GATHER + 1 members meet at a node.
     groups = met.groupBy("at").agg(F.collect_list(F.struct("member", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "vector")).alias("met"))
-    return _keep_nearest(graph.select("node", "other", "d").unionByName(groups.select("met").mapInArrow(_compare, EDGE)), DEGREE)
+    return _keep_nearest(graph.select("node", "other", "d", F.lit(False).alias("fresh")).unionByName(groups.select("met").mapInArrow(_compare, EDGE).withColumn("fresh", F.lit(True))), DEGREE)
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +138,10 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (node, other, d, rank): the DEGREE nearest found of each node, squared distances; ``nodes`` has node, vector."""
+    """Rows (node, other, d, rank): the DEGREE nearest found of each node, squared distances; ``nodes`` has node, vector.
+
+    Every node has DEGREE edges, or one to each other node; LINKS_BACK edges to the nodes that needed a search come on top.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
@@ -139,7 +149,46 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = materialize(_first_graph(nodes, n, dim), "graph")
     for _ in range(rounds):
         graph = materialize(_descend(graph, nodes), "graph")
-    return graph
+        if (graph.agg(F.avg(F.col("fresh").cast("int"))).first()[0] or 0) < FEW_CHANGES:
+            break
+    return _link_lost(graph.select("node", "other", "d", "rank"), nodes, n)
+
+
+def _link_lost(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Edges for the nodes that have under DEGREE: their nearest found by a search, and links back from some of them."""
+    want = min(DEGREE, n - 1)
+    full = graph.groupBy("node").agg(F.count("*").alias("edges")).where(F.col("edges") >= want)
+    lost = materialize(nodes.join(full, "node", "left_anti").select(F.col("node").alias("query"), F.col("vector").alias("q_vector")), "lost-nodes")
+    if want < 1 or lost.isEmpty():
+        return graph
+    # The entries they start from are DEGREE others at least.
+    found = _search(lost, _entries(lost, nodes, want + 1), nodes, graph, want).where(F.col("query") != F.col("node"))
+    found = found.select(F.col("query").alias("node"), F.col("node").alias("other"), (F.col("d") * F.col("d")).alias("d"))
+    own = graph.join(lost.select(F.col("query").alias("node")), "node", "left_semi").select("node", "other", "d")
+    new = _keep_nearest(found.unionByName(own).withColumn("fresh", F.lit(True)), DEGREE).select("node", "other", "d", "rank")
+    new = materialize(new, "lost-edges")
+    back = new.where(F.col("rank") <= LINKS_BACK).select(F.col("other").alias("node"), F.col("node").alias("other"), "d", "rank")
+    kept = graph.join(lost.select(F.col("query").alias("node")), "node", "left_anti")
+    return materialize(kept.unionByName(new).unionByName(back).dropDuplicates(["node", "other"]), "graph")
+
+
+def _entries(queries: DataFrame, nodes: DataFrame, starts: int) -> DataFrame:
+    """Rows (query, node): the nearest of a fixed number of nodes for each query; ``queries`` has query, q_vector."""
+    picked = nodes.orderBy(F.xxhash64("node"), "node").limit(max(ENTRIES, starts)).collect()  # a fixed number
+    if not picked:
+        return nodes.select(F.col("node").alias("query"), "node")
+    ids, y = np.array([r["node"] for r in picked], dtype=np.int64), _matrix(bytes(r["vector"]) for r in picked)
+    starts, norms = min(starts, len(ids)), (y * y).sum(axis=1)
+
+    def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                d = norms[None, :] - 2 * _matrix(v.as_py() for v in part.column("q_vector")) @ y.T
+                near = np.argpartition(d, starts - 1, axis=1)[:, :starts]
+                yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(part.column("query").to_numpy(), starts), pa.int64()), "node": pa.array(ids[near].ravel(), pa.int64())})
+
+    return queries.select("query", "q_vector").mapInArrow(start, "query long, node long")
 
 
 def _distances(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +239,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     asked = packed(queries).withColumn("h", F.xxhash64("vector")).select(F.col("vec_id").alias("query"), F.col("vector").alias("q_vector"), "h").dropDuplicates(["query"])
     asked = materialize(asked, "queries")
     same = asked.join(nodes.select("node", "vector", F.col("h").alias("n_h")), (F.col("h") == F.col("n_h")) & (F.col("q_vector") == F.col("vector"))).select("query", "node")
-    entry = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)  # entry points, a fixed number
-    lost = asked.join(same, "query", "left_anti").join(F.broadcast(entry)).select("query", "node", "q_vector", "vector").mapInArrow(_distances, "query long, node long, d double")
-    lost = lost.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))).where("r <= 4").select("query", "node")
-    found = _search(asked, same.unionByName(lost), nodes.select("node", "vector"), graph, k)
+    plain = nodes.select("node", "vector")
+    starts = _entries(asked, plain, max(STARTS, k + 1)).unionByName(same).distinct()
+    found = _search(asked, starts, plain, graph, k)
     return _expand(found, rows, nodes, k)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_vector_alone_in_all_partitions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8)) * 0.001
+    x[:, 0] += 1
+    x[399] = [-1] + [0] * 7  # opposite to all others: alone on its side of every plane
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(399, x[399].tolist()), (1000, [-0.9] + [0.0] * 7)], df.schema)
+    got: dict[int, list] = {}
+    for r in neighbours.nearest(df, asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    d = ((x[:399] - x[399]) ** 2).sum(axis=1)
+    assert got[399] == np.argsort(d, kind="stable")[:10].tolist()
+    assert got[1000][0] == 399 and len(got[1000]) == 10
+    packed = df.select(F.col("vec_id"), F.col("embedding").alias("vector")).mapInArrow(neighbours.pack, "vec_id long, vector binary").select(F.col("vec_id").alias("node"), "vector")
+    graph = neighbours.build_graph(packed)
+    assert {r["count"] for r in graph.where("rank <= 32").groupBy("node").count().collect()} >= {32} and graph.where("node = 399").count() == 32
+    assert graph.where("other = 399").count() > 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline_stages(spark, docs, empty):
     import corpus_pipeline
