@@ -106,13 +106,27 @@ def singling_out_univariate(original: DataFrame, synthetic: DataFrame, columns:
     return every.select("column", "kind", "value", "matches", (F.col("matches") == 1).alias("success"))
 
 
+def singling_out_levels(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column, value, matches, success): equality with the levels, as text, that one synthetic row has."""
+    parts = []
+    for c in columns:
+        value = F.col(c).cast("string").alias("value")
+        once = synthetic.where(F.col(c).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).where("n = 1").select("value")
+        there = original.groupBy(value).agg(F.count("*").alias("m"))
+        parts.append(once.join(there, "value", "left").select(F.lit(c).alias("column"), "value", F.coalesce("m", F.lit(0)).alias("matches")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.withColumn("success", F.col("matches") == 1)
+
+
 def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(attacks, successes): every given synthetic row makes one predicate of all columns.
 
     Numbers from the synthetic median on ask for at least their value, others for at most; categories for equality.
     Rows meet on the categories and the successes are counted after the comparison.
     """
-    medians = synthetic.agg(*(F.median(F.col(c).cast("double")).alias(f"_m_{c}") for c in numeric))
+    medians = synthetic.agg(F.lit(0).alias("_m"), *(F.median(F.col(c).cast("double")).alias(f"_m_{c}") for c in numeric))
     s = synthetic.crossJoin(F.broadcast(medians)).alias("s")  # one row
     r = original.alias("r")
     on = F.lit(True)

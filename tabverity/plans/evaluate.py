@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attacks, distance, divergence, likelihood, models, privacy, quality, report
+from ..operators import attacks, distance, divergence, encode, likelihood, models, privacy, quality, report
 from ..sources.tables import TableSet, kinds
 
 log = logging.getLogger(__name__)
@@ -32,6 +32,42 @@ def _columns(tables: TableSet) -> tuple[list[str], list[str]]:
     return [c for c, k in found.items() if k == "numerical"], [c for c, k in found.items() if k in ("categorical", "boolean")]
 
 
+def _encoded(frames: list[DataFrame], columns: list[str]) -> list[DataFrame]:
+    """Columns replaced by codes of their values in order, the same in all tables; null has the code after the last."""
+    for c in columns:
+        frames = [df.withColumn(c, F.col(c).cast("string")) for df in frames]
+        codes = encode.label_codes(reduce(DataFrame.unionByName, [df.select(c) for df in frames]), c, c)
+        frames = [encode.encode_labels(df, c, codes) for df in frames]
+    return frames
+
+
+def _target(tables: TableSet, synthetic: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str], list[str]]:
+    """Real, control and synthetic rows with a target of numbers, and the numeric and categorical features."""
+    target = tables.roles.target
+    if target is None or tables.control is None:
+        raise ValueError("a target column and a control table are needed")
+    numeric, categorical = _columns(tables)
+    frames = [tables.real, tables.control, synthetic]
+    frames = frames if target in numeric else _encoded(frames, [target])
+    return (*frames, [c for c in numeric if c != target], [c for c in categorical if c != target])
+
+
+@family("Utility")
+def utility(tables: TableSet, synthetic: DataFrame) -> DataFrame:
+    """Trained on synthetic rows, tested on the control table; the target has the values 0 and 1 or two levels."""
+    _, control, synthetic, numeric, categorical = _target(tables, synthetic)
+    found = models.utility(models.train_classifier(synthetic, tables.roles.target, numeric, categorical), control, tables.roles.target, numeric, categorical)
+    return report.melt(found.select(*(F.col(c).cast("double").alias(c) for c in found.columns)), [], found.columns)
+
+
+@family("Membership Inference Attack")
+def membership(tables: TableSet, synthetic: DataFrame) -> DataFrame:
+    """Members are the real rows, others the control table's."""
+    real, control, synthetic, numeric, categorical = _target(tables, synthetic)
+    found = models.shadow_attack(real, control, synthetic, tables.roles.target, numeric, categorical, tables.roles.id)
+    return report.melt(found.select(*(F.col(c).cast("double").alias(c) for c in found.columns)), [], found.columns)
+
+
 @family("Basic Quality")
 def basic_quality(tables: TableSet, synthetic: DataFrame) -> DataFrame:
     numeric, categorical = _columns(tables)
@@ -69,13 +105,18 @@ def against_inference(tables: TableSet, synthetic: DataFrame) -> DataFrame:
     named = {"CategoricalCAP": privacy.cap, "CategoricalZeroCAP": privacy.zero_cap, "CategoricalGeneralizedCAP": privacy.generalized_cap}
     rows = [f(tables.real, synthetic, keys, sensitive).select(F.lit(n).alias("metric"), F.col("score").alias("value")) for n, f in named.items()]
     named = {"CategoricalNB": privacy.naive_bayes, "CategoricalKNN": privacy.categorical_knn, "CategoricalRF": models.forest_guess}
-    rows += [f(tables.real, synthetic, keys, sensitive[0]).select(F.lit(n).alias("metric"), F.col("score").alias("value")) for n, f in named.items()]
+    # These guess one column: the mean over the sensitive ones.
+    each = lambda f: reduce(DataFrame.unionByName, [f(tables.real, synthetic, keys, s).select("score") for s in sensitive])
+    rows += [each(f).agg(F.avg("score").alias("value")).select(F.lit(n).alias("metric"), "value") for n, f in named.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
 @family("Distance")
 def closest_records(tables: TableSet, synthetic: DataFrame) -> DataFrame:
-    rows = distance.distance_metrics(tables.real, synthetic, tables.roles.id, _columns(tables)[0]).persist()
+    found = kinds(tables.real, tables.roles.id)
+    columns = [c for c, k in found.items() if k != "id"]
+    real, synthetic = _encoded([tables.real, synthetic], [c for c in columns if found[c] != "numerical"])
+    rows = distance.distance_metrics(real, synthetic, tables.roles.id, columns).persist()
     score = distance.distance_score(rows).select(F.lit("Score").alias("metric"), F.col("score").alias("value"))
     cells = report.melt(rows.withColumns({c: F.col(c).cast("double") for c in ("zero_cells", "removed_rows")}), ["pair"], ["mean", "p05", "nndr_p05", "zero_cells", "removed_rows"])
     return cells.select(F.concat_ws(" ", "metric", "pair").alias("metric"), "value").unionByName(score)
@@ -104,8 +145,14 @@ def inference(tables: TableSet, synthetic: DataFrame) -> DataFrame:
 
 @family("Singling Out")
 def singling_out(tables: TableSet, synthetic: DataFrame) -> DataFrame:
-    run = lambda df: attacks.singling_out_univariate(df, synthetic, _columns(tables)[0]).agg(F.count("*").alias("attacks"), F.count_if("success").alias("successes"))
-    return _risk(tables, run)
+    numeric, categorical = _columns(tables)
+
+    def univariate(df: DataFrame) -> DataFrame:
+        parts = [f(df, synthetic, c).select("success") for f, c in ((attacks.singling_out_univariate, numeric), (attacks.singling_out_levels, categorical)) if c]
+        return reduce(DataFrame.unionByName, parts).agg(F.count("*").alias("attacks"), F.count_if("success").alias("successes"))
+
+    together = _risk(tables, lambda df: attacks.singling_out_multivariate(df, synthetic, tables.roles.id, numeric, categorical))
+    return _risk(tables, univariate).unionByName(together.withColumn("metric", F.concat(F.lit("multivariate_"), "metric")))
 
 
 def _risk(tables: TableSet, run: Callable[[DataFrame], DataFrame]) -> DataFrame:

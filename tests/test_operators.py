@@ -194,3 +194,25 @@ def test_evaluate_and_skip_what_is_stored(spark):
     assert values["Basic Quality", "Overall Quality"] == 1.0
     assert values["Basic Quality", "New Row Synthesis"] == 0.0
     assert evaluate.evaluate(sets, ["Basic Quality"], stored=found).count() == 0
+
+
+def test_distance_and_attacks_see_categories(spark):
+    real = frame(spark, [(k, 1.0, f"s{k % 5}", "pq"[k % 2]) for k in range(10)], "id long, x double, s string, t string")
+    other = frame(spark, [(k, 1.0, f"z{k % 5}", "r") for k in range(10)], "id long, x double, s string, t string")
+    for columns in (real.columns, ["id", "s", "t"]):
+        sets = tables.TableSet(real.select(*columns), {"other": other.select(*columns)}, roles=tables.Roles(id="id"))
+        values = {r["metric"]: r["value"] for r in evaluate.evaluate(sets, ["Distance", "Singling Out"]).collect()}
+        assert values["removed_rows RS"] == 0 and values["mean RS"] > 0
+        assert {"main_rate", "multivariate_main_rate"} <= set(values)
+    unique = frame(spark, [(1, "a"), (2, "b"), (3, "b")], "id long, s string")
+    assert [(r["value"], r["success"]) for r in attacks.singling_out_levels(unique, unique, ["s"]).collect()] == [("a", True)]
+
+
+def test_every_family_is_registered(spark):
+    assert set(evaluate.REGISTRY) == set(report.FAMILIES)
+    rows = lambda a: [(k, float(k % 7), "xy"[k % 2], "no" if k % 7 < 3 else "yes") for k in range(a, a + 60)]
+    real, control = (frame(spark, rows(a), "id long, x double, s string, t string") for a in (0, 60))
+    sets = tables.TableSet(real, {"identity": real}, control, tables.Roles(id="id", target="t"))
+    values = {(r["metric_type"], r["metric"]): r["value"] for r in evaluate.evaluate(sets, ["Utility", "Membership Inference Attack"]).collect()}
+    assert values["Utility", "accuracy"] == 1.0
+    assert 0 <= values["Membership Inference Attack", "accuracy"] <= 1
