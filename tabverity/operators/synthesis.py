@@ -41,11 +41,24 @@ class Identity:
         return self.df.limit(rows)
 
 
+def null_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Share of null or NaN rows of each column."""
+    missing = lambda c: F.col(c).cast("double").isNull() | F.isnan(F.col(c).cast("double"))
+    found = df.agg(F.lit(0), *(F.avg(missing(c).cast("int")).alias(c) for c in columns)).first()
+    return {c: found[c] or 0.0 for c in columns}
+
+
+def with_nulls(values: np.ndarray, rate: float, stream: list[int]) -> np.ndarray:
+    """Values of which the share ``rate`` is NaN (null in the result), drawn from a stream of its own."""
+    return np.where(np.random.default_rng(stream).random(len(values)) < rate, np.nan, values)
+
+
 class GaussianCopula:
     """Marginals as exact quantile grids and level shares, dependence as the correlation of normal scores.
 
-    Numeric columns are numbers; all others are levels, ordered by name, that share 0..1 by frequency. Fitting
-    aggregates the whole table; sampling draws correlated normals in Spark tasks, each from its own seeded stream.
+    Numeric columns are numbers; all others are levels, ordered by name, that share 0..1 by frequency; null is the last
+    level. Fitting aggregates the whole table: nulls of numeric columns count as the median in the correlation, and as
+    many are drawn as the column has. Sampling draws correlated normals in Spark tasks, each from its own seeded stream.
     """
 
     name = "gaussian_copula"
@@ -57,14 +70,15 @@ class GaussianCopula:
         self.spark = df.sparkSession
         points = [k / GRID for k in range(GRID + 1)]
         grids = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(c) for c in self.numeric)).first()
-        self.grids = {c: np.asarray(grids[c], dtype=float) for c in self.numeric}
+        self.grids = {c: np.zeros(GRID + 1) if grids[c] is None else np.asarray(grids[c], dtype=float) for c in self.numeric}
+        self.null_rates = null_rates(df, self.numeric)
         self.levels = {}
         for c in self.categorical:
-            rows = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(c).collect()  # one row a level
+            rows = df.groupBy(c).count().orderBy(F.col(c).asc_nulls_last()).collect()  # one row a level
             n = np.array([r["count"] for r in rows], dtype=float)
             self.levels[c] = ([r[0] for r in rows], np.concatenate([[0], np.cumsum(n) / n.sum()]))
         scores = self._scores(df)
-        vectors = VectorAssembler(inputCols=[*self.numeric, *self.categorical], outputCol="v", handleInvalid="skip").transform(scores)
+        vectors = VectorAssembler(inputCols=[*self.numeric, *self.categorical], outputCol="v").transform(scores)
         r = np.nan_to_num(Correlation.corr(vectors, "v").head()[0].toArray())
         np.fill_diagonal(r, 1.0)
         values, axes = np.linalg.eigh(r)
@@ -80,20 +94,22 @@ class GaussianCopula:
                 out = {}
                 for c in numeric:
                     x = batch[c].to_numpy(dtype=float)
+                    x = np.where(np.isnan(x), grids[c][GRID // 2], x)
                     u = (np.searchsorted(grids[c], x, side="left") + np.searchsorted(grids[c], x, side="right")) / 2 / (GRID + 1)
-                    out[c] = np.where(np.isnan(x), np.nan, inv(np.clip(u, 1e-3, 1 - 1e-3)))
+                    out[c] = inv(np.clip(u, 1e-3, 1 - 1e-3))
                 for c in categorical:
                     names, edges = levels[c]
-                    at = pd.Categorical(batch[c], categories=names).codes
+                    at = pd.Categorical(batch[c], categories=[x for x in names if x is not None]).codes
+                    at = np.where(at < 0, len(names) - 1, at)  # null is the last level
                     u = edges[at] + rng.random(len(at)) * (edges[np.minimum(at + 1, len(names))] - edges[at])
-                    out[c] = np.where(at < 0, np.nan, inv(np.clip(u, 1e-3, 1 - 1e-3)))
+                    out[c] = inv(np.clip(u, 1e-3, 1 - 1e-3))
                 yield pd.DataFrame(out)
 
         return df.select(*numeric, *categorical).mapInPandas(score, ", ".join(f"`{c}` double" for c in [*numeric, *categorical]))
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
         grids, levels, numeric, categorical, seed, factor = self.grids, self.levels, self.numeric, self.categorical, self.seed, self.factor
-        cdf = np.vectorize(NormalDist().cdf)
+        cdf, rates = np.vectorize(NormalDist().cdf), self.null_rates
 
         def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -101,7 +117,7 @@ class GaussianCopula:
                 u = cdf(rng.standard_normal((len(batch), factor.shape[1])) @ factor.T)
                 out = {"row_id": batch["id"].to_numpy()}
                 for k, c in enumerate(numeric):
-                    out[c] = np.interp(u[:, k] * GRID, np.arange(GRID + 1), grids[c])
+                    out[c] = with_nulls(np.interp(u[:, k] * GRID, np.arange(GRID + 1), grids[c]), rates[c], [seed, int(batch["id"].iloc[0]), k])
                 for k, c in enumerate(categorical):
                     names, edges = levels[c]
                     out[c] = [names[i] for i in np.clip(np.searchsorted(edges, u[:, len(numeric) + k], side="right") - 1, 0, len(names) - 1)]
@@ -136,13 +152,14 @@ class ForestDensity:
     """Adversarial random forest: a forest that tells real rows from rows of shuffled columns gives leaves, leaves give densities.
 
     Every column is shuffled by drawing it, independently, from the leaf of a random row; rounds end when the forest's
-    hold-out accuracy is a coin's. Sampling draws leaves by coverage, numbers from normals cut to the leaf's range, and
+    hold-out accuracy is a coin's, or after ``rounds``; ``depth`` bounds the trees. Nulls of numeric columns are imputed by
+    the median and drawn again by the column's share of them; null levels are the level "missed". Sampling draws leaves by coverage, numbers from normals cut to the leaf's range, and
     levels by the leaf's shares.
     """
 
     name = "forest_density"
 
-    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 10, depth: int = 5, rounds: int = 2, seed: int = 42) -> None:
+    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 30, depth: int = 5, rounds: int = 10, seed: int = 42) -> None:
         self.numeric, self.categorical, self.trees, self.depth, self.rounds, self.seed = numeric, categorical, trees, depth, rounds, seed
 
     def fit(self, df: DataFrame) -> None:
@@ -153,7 +170,10 @@ class ForestDensity:
 
         self.spark = df.sparkSession
         columns = [*self.numeric, *self.categorical]
-        real = df.select(*(F.col(c).cast("double").alias(c) for c in self.numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("missed")).alias(c) for c in self.categorical)).na.drop().withColumn("_row", F.monotonically_increasing_id()).persist()
+        self.null_rates = null_rates(df, self.numeric)
+        number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        medians = df.agg(F.lit(0), *(F.median(number(c)).alias(c) for c in self.numeric)).first()
+        real = df.select(*(F.coalesce(number(c), F.lit(float(medians[c] or 0))).alias(c) for c in self.numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("missed")).alias(c) for c in self.categorical)).withColumn("_row", F.monotonically_increasing_id()).persist()
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in self.categorical]
         stages.append(VectorAssembler(inputCols=[*self.numeric, *(f"{c}_index" for c in self.categorical)], outputCol="features"))
         prepared = Pipeline(stages=stages).fit(real)
@@ -191,6 +211,7 @@ class ForestDensity:
         stats = {} if self.stats is None else {(r.tree, r.leaf, r.variable): r for r in self.stats.toPandas().itertuples()}
         levels = {c: {key: (g["value"].to_numpy(), g["prob"].to_numpy()) for key, g in p.toPandas().groupby(["tree", "leaf"])} for c, p in self.probabilities.items()}
         trees, leaf_ids, numeric, categorical, seed = leaves["tree"].to_numpy(), leaves["leaf"].to_numpy(), self.numeric, self.categorical, self.seed
+        rates = self.null_rates
 
         def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             unit = NormalDist()
@@ -211,6 +232,8 @@ class ForestDensity:
                     for c in categorical:
                         names, p = levels[c][key]
                         out[c].append(names[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum())), len(names) - 1)])
+                for k, c in enumerate(numeric):
+                    out[c] = with_nulls(np.array(out[c], dtype=float), rates[c], [seed, int(batch["id"].iloc[0]), k])
                 yield pd.DataFrame(out)
 
         schema = "row_id long, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in categorical])

@@ -216,3 +216,18 @@ def test_every_family_is_registered(spark):
     values = {(r["metric_type"], r["metric"]): r["value"] for r in evaluate.evaluate(sets, ["Utility", "Membership Inference Attack"]).collect()}
     assert values["Utility", "accuracy"] == 1.0
     assert 0 <= values["Membership Inference Attack", "accuracy"] <= 1
+
+
+def test_synthesis_keeps_rows_with_nulls(spark):
+    rows = [(float(k % 10), 5.0 if k % 20 == 0 else None, None, None if k % 4 == 0 else "ab"[k % 2]) for k in range(400)]
+    df = frame(spark, rows, "x double, y double, z double, s string")
+    numeric = ["x", "y", "z"]
+    assert synthesis.null_rates(df, numeric) == {"x": 0.0, "y": 0.95, "z": 1.0}
+    for model in (synthesis.GaussianCopula(numeric, ["s"]), synthesis.ForestDensity(numeric, ["s"], trees=3, rounds=1)):
+        model.fit(df)
+        got = model.generate(400).toPandas()
+        assert got["x"].nunique() > 5 and not got["x"].isna().any() and got["z"].isna().all()
+        assert 0.9 < got["y"].isna().mean() < 1
+        missing = got["s"].isna() | (got["s"] == "missed")
+        assert 0.15 < missing.mean() < 0.35
+    assert (synthesis.ForestDensity(numeric, []).trees, synthesis.ForestDensity(numeric, []).rounds) == (30, 10)
