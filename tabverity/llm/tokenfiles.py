@@ -2,12 +2,13 @@
 
 A file is a Parquet table, so that Spark's commit protocol makes it whole or absent on any store and readers split it
 anywhere. A row is a chunk: the ids of some whole documents, in blocks of BLOCK_IDS ids. Every block is coded from a
-fresh state, has its own checksum and can be read alone.
+fresh state, has its own checksum and can be read with no other block, but with its chunk's table of ids and counts.
 
 Each id is predicted three ways: order 2 (what followed the last two ids before), order 1 (what followed the last id)
 and order 0 (how frequent ids are in the chunk). A first symbol, coded with counts that adapt by how the two
 predictions relate, mixes them: it says whether order 2 holds, else order 1, else neither; then the id itself follows
-by its order-0 frequency. The blocks of many chunks are coded in step as lanes of numpy arrays.
+by its order-0 frequency, which is fixed for the chunk. Only the first symbol's counts adapt; the probabilities of the
+orders are not mixed. The blocks of many chunks are coded in step as lanes of numpy arrays.
 """
 
 from __future__ import annotations
