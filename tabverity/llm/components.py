@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``links`` (columns a, b); a component is its smallest node.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so labels also jump
@@ -16,7 +16,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("component").alias("least"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("root"))
         moved = labels.join(near, F.col("node") == F.col("at"), "left").select("node", "component", F.least("component", "least").alias("step"))
@@ -25,4 +25,3 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("component"))
         if moved.where("next <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,11 +8,14 @@ Documents link when their sets of 5-word shingles have a Jaccard similarity of a
    with all others together, such as one that only quotes a passage, is done. How frequent shingles are is counted
    over all documents in a fixed number of counters; any order gives the same links, this one keeps groups small.
 3. Within a shingle's group, candidates are first only a star and a chain. Their links, verified on whole sets,
-   already connect nearly all copies, without listing all pairs of a group of copies.
-4. Groups whose classes are not yet in one component are searched by signature trees: a leaf holds classes of like
-   size, a node the OR of their token bitmaps and their range of sizes. Pairs of nodes are traversed level by level
-   (a Spark join for each); a pair is pruned when its bitmaps and sizes leave too small an overlap, or when both
-   lie in one component. What is left is verified on whole sets.
+   already connect most copies, without listing all pairs of a group of copies.
+4. All groups that hold classes of two components are searched by signature trees: a leaf is a class, a node above has
+   the OR of its children's token bitmaps, their range of sizes and their range of components. A group of one shingle
+   is a tree (a very large one is cut into blocks, the trees' upper nodes, which meet in pairs). Tasks traverse a tree
+   against itself, or two blocks, for many groups at once as arrays: a pair of nodes is left when both lie in one
+   component, when their sizes can't link, or when their bitmaps bound the overlap below what a link takes. Large
+   groups are traversed for the likeliest partners of each class first, whose links leave fewer components. Then pairs
+   of classes that meet under as many shingles as a link takes are verified on whole sets.
 
 A component is the smallest id that links reach.
 """
@@ -40,8 +43,12 @@ PERCENT = 75
 COUNTERS, SLICES = 1 << 20, 16
 #: 64-bit words of a class's token bitmap.
 BITMAP_WORDS = 16
-#: Nodes under a node of a signature tree. A group of at most LEAF classes is one leaf.
-FANOUT, LEAF = 16, 64
+#: Children of a node of a signature tree, and the most classes of a block.
+FANOUT, BLOCK = 16, 4096
+#: Rows of groups that a task searches at once, and pairs of nodes that it compares at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 15, 1 << 19
+#: Entries in a range of shingles on average, and the most that a task holds before it passes them on.
+RANGE_ENTRIES, HELD_ENTRIES = 1 << 20, 1 << 22
 #: Most bits of the bitmap that tells which sets are wanted (128 MB); beyond, more sets are sent than needed.
 MOST_BITS = 1 << 30
 
@@ -88,19 +95,28 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -((-percent * n) // 100) + least_shared(n)
 
 
+def bitmaps(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Token bitmap of each set, a row of BITMAP_WORDS words; ``found`` are sorted hashes, cut into sets by ``cuts``."""
+    bits = 64 * BITMAP_WORDS
+    marked = np.zeros((len(cuts) - 1, bits), dtype=bool)
+    marked[np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), (found % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(marked, axis=1).view(np.uint64)
+
+
 def _profile(batches: Iterable[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
-    """Size and fingerprint of each set; at the end of a task, its counts of shingles."""
+    """Size, fingerprint and bitmap of each set; at the end of a task, its counts of shingles."""
     counters = np.zeros(COUNTERS, dtype=np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bitmap", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
     for (ids,), texts in text_batches(batches, ["doc_id"]):
         found, cuts = shingle_sets(texts, ngram)
         counters += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         n, none = np.diff(cuts), pa.nulls(len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fingerprints(found, cuts), pa.int64(), mask=n == 0), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        bits = binary_slices(bitmaps(found, cuts).ravel(), np.arange(len(ids) + 1) * BITMAP_WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fingerprints(found, cuts), pa.int64(), mask=n == 0), bits, none.cast(pa.int32()), pa.nulls(len(ids), pa.binary())], schema=schema)
     if counters.any():
         parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counters, SLICES)]
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _sum_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +162,7 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         token, text = token[kept], text[kept]
         bucket = bucket_of(token, buckets).astype(np.int64)
         order = np.lexsort((text, bucket))
-        token, text, bucket = token[order].astype(np.uint32), text[order], bucket[order]
+        token, text, bucket = token[order], text[order], bucket[order]
         at = np.searchsorted(bucket, np.arange(buckets + 1))
         owners = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1]))[: len(text)])
         counts = np.diff(np.append(owners, len(text))).astype(np.uint32)
@@ -159,26 +175,38 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         })
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of shingles under which several classes are filed."""
-    have: dict[int, list[tuple[np.ndarray, ...]]] = {}
+def _several(parts: list[tuple[np.ndarray, ...]], every: bool) -> pa.RecordBatch:
+    """Entries once each, of shingles under which several classes are filed, or of all."""
+    token, cls, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((cls, token))
+    token, cls, n = token[order], cls[order], n[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
+    token, cls, n = token[new], cls[new], n[new]
+    if not every:
+        sizes = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
+        kept = np.repeat(sizes > 1, sizes)
+        token, cls, n = token[kept], cls[kept], n[kept]
+    return pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64), pa.int64()), "class": pa.array(cls, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
+
+
+def _groups(batches: Iterable[pa.RecordBatch], held_entries: int = HELD_ENTRIES) -> Iterator[pa.RecordBatch]:
+    """Entries (token, class, n) of shingles under which several classes are filed; batches are sorted by bucket.
+
+    One range of shingles is held at a time. One that holds a very frequent shingle is passed on in pieces, with
+    entries that stand alone or come twice; these only weaken later bounds on how much classes share.
+    """
+    now, parts, held, cut = None, [], 0, False
     for batch in batches:
         for bucket, tokens, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "classes", "sizes", "counts"))):
-            c = np.frombuffer(counts, dtype=np.uint32)
-            have.setdefault(bucket, []).append((np.frombuffer(tokens, dtype=np.uint32), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
-    for bucket, parts in have.items():
-        token, cls, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((cls, n, token))
-        token, cls, n = token[order], cls[order], n[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-        token, cls, n = token[new], cls[new], n[new]
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        sizes = np.diff(np.append(starts, len(token)))
-        several = np.repeat(sizes > 1, sizes)
-        token, cls, n = token[several].astype(np.int64) + (bucket << 32), cls[several], n[several]
-        for k in range(0, len(token), 1 << 18):
-            s = slice(k, k + (1 << 18))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token[s], pa.int64()), "class": pa.array(cls[s], pa.int64()), "n": pa.array(n[s], pa.int64())})
+            if parts and (bucket != now or held > held_entries):
+                cut = bucket == now or cut
+                yield _several(parts, cut)
+                parts, held, cut = [], 0, cut and bucket == now
+            now, c = bucket, np.frombuffer(counts, dtype=np.uint32)
+            parts.append((np.frombuffer(tokens, dtype=np.uint64), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
+            held += len(parts[-1][0])
+    if parts:
+        yield _several(parts, cut)
 
 
 def _sharing_enough(groups: DataFrame, percent: int) -> DataFrame:
@@ -204,9 +232,9 @@ def _first_candidates(groups: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("times") > F.col("n") / (4 * EXTRA)).select("a", "b")
 
 
-def _wanted_bits(spark: SparkSession, docs: DataFrame):
-    """Bitmap of the given ids, of bounded size, as a broadcast; ids share bits, so it only leaves out the surely unwanted."""
-    n = docs.count()
+def _wanted_bits(spark: SparkSession, classes: DataFrame):
+    """Bitmap of the given classes, of bounded size, as a broadcast; classes share bits, so it only leaves out the surely unwanted."""
+    n = classes.count()
     bits = min(max(1 << 16, 1 << (16 * n).bit_length()), MOST_BITS)
     parts = max(8, min(64, bits >> 20))
     per = bits // parts // 8 * 8
@@ -214,7 +242,7 @@ def _wanted_bits(spark: SparkSession, docs: DataFrame):
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for batch in batches:
-            h = K.mix64(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64))
+            h = K.mix64(batch.column("class").to_numpy().view(np.uint64))
             part = (h % np.uint64(parts)).astype(np.int64)
             at = ((h >> np.uint64(8)) % np.uint64(per)).astype(np.int64)
             for k in np.unique(part).tolist():
@@ -223,42 +251,55 @@ def _wanted_bits(spark: SparkSession, docs: DataFrame):
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
 
     packed = np.zeros((parts, per // 8), dtype=np.uint8)
-    by_part = docs.select("doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(8))).repartition(8, "p").select("doc_id")
-    for row in by_part.mapInArrow(mark, "part int, bits binary").toLocalIterator():
+    for row in classes.select("class").repartition(8).mapInArrow(mark, "part int, bits binary").toLocalIterator():
         packed[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
     return spark.sparkContext.broadcast(packed)
 
 
-def _wanted(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    h = K.mix64(ids.astype(np.int64).astype(np.uint64))
+def _wanted(classes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    h = K.mix64(classes.view(np.uint64))
     at = (h >> np.uint64(8)) % np.uint64(packed.shape[1] * 8)
     return (packed[(h % np.uint64(len(packed))).astype(np.int64), (at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _sets_of(source: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
-    """Rows (doc_id, set, bitmap) of the wanted documents: sorted hashes, and the token bitmap."""
-    wanted = _wanted_bits(source.sparkSession, ids)
+def _sets_of(source: DataFrame, classes: DataFrame, ngram: int) -> DataFrame:
+    """Rows (class, set) of the wanted classes: sorted hashes."""
+    wanted = _wanted_bits(source.sparkSession, classes)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids_,), texts in text_batches(batches, ["doc_id"]):
-            known = np.array([i is not None for i in ids_])
-            keep = known & _wanted(np.array([i or 0 for i in ids_], dtype=np.int64), wanted.value)
-            if not keep.any():
-                continue
-            found, cuts = shingle_sets([t for t, k in zip(texts, keep) if k], ngram)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, k in zip(ids_, keep) if k], pa.int64()), "set": binary_slices(found, cuts)})
+        for _, texts in text_batches(batches, []):
+            found, cuts = shingle_sets(texts, ngram)
+            cls = fingerprints(found, cuts)
+            once = np.zeros(len(cls), dtype=bool)
+            once[np.unique(cls, return_index=True)[1]] = True
+            kept = np.flatnonzero(once & (np.diff(cuts) > 0) & _wanted(cls, wanted.value))
+            n = np.diff(cuts)[kept]
+            yield pa.RecordBatch.from_pydict({"class": pa.array(cls[kept], pa.int64()), "set": binary_slices(found[K.ragged(cuts[kept], n)], np.concatenate([[0], np.cumsum(n)]))})
 
-    sets = source.mapInArrow(build, "doc_id long, set binary")
-    return sets.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = source.select("text").mapInArrow(build, "class long, set binary")
+    return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def _verify(source: DataFrame, pairs: DataFrame, members: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Pairs of classes (a, b) that link, by comparing whole sets."""
-    head = members.select("class", "head")
-    named = pairs.join(head.select(F.col("class").alias("a"), F.col("head").alias("doc_a")), "a").join(head.select(F.col("class").alias("b"), F.col("head").alias("doc_b")), "b")
-    named = materialize(named, "pairs")
-    ids = named.select(F.col("doc_a").alias("doc_id")).unionByName(named.select(F.col("doc_b").alias("doc_id"))).distinct()
-    sets = materialize(_sets_of(source, ids, ngram), "sets")
+def _within_bounds(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose bitmaps leave room for a link."""
+    q = percent / (100 + percent)
+    of = lambda side: classes.select(F.col("class").alias(side), F.col("size").alias(f"n_{side}"), F.col("bitmap").alias(f"bits_{side}"))
+
+    def bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_bit_rows(batch.column(f"bits_{side}")) for side in "ab")
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            slack = np.minimum(n - np.bitwise_count(x).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+            kept = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack >= q * (n + m) - 1e-9
+            yield batch.filter(pa.array(kept)).select(["a", "b"])
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
+
+
+def _verify(source: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Pairs of classes (a, b) that link, by comparing whole sets; ``pairs`` is a stored table."""
+    classes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = materialize(_sets_of(source, materialize(classes, "wanted"), ngram), "sets")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,121 +310,201 @@ def _verify(source: DataFrame, pairs: DataFrame, members: DataFrame, ngram: int,
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    joined = named.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("set").alias("set_a")), "doc_a").join(sets.select(F.col("doc_id").alias("doc_b"), F.col("set").alias("set_b")), "doc_b")
+    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for s in batch.column("set"):
-            marked = np.zeros(64 * BITMAP_WORDS, dtype=bool)
-            marked[(np.frombuffer(s.as_py(), dtype=np.uint64) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
-            rows.append(np.packbits(marked).view(np.int64).tolist())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bitmap": pa.array(rows, pa.list_(pa.int64()))})
-
-
-def _common(a: str, b: str) -> Column:
-    """Bits that two nodes share."""
-    return sum((F.bit_count(F.col(a)[k].bitwiseAND(F.col(b)[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(F.col(a)[0].bitwiseAND(F.col(b)[0])))
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
 
 
-def _met_enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet under as many tokens as a link takes; ``pairs`` has a row (p, q, n) for each meeting."""
-    met = pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("times"), F.min("n").alias("n"))
-    return met.where(F.col("times") >= least_shared(F.col("n"))).select("a", "b")
+class Tree:
+    """Signature trees of many groups, level by level; ``levels[0]`` has the classes, the last one the roots.
 
+    ``sizes`` are the classes of each group, one group after the other. A class of size n with p bits set shares at most
+    n - p + common bits with another, and a link takes an overlap of q * (n_a + n_b), q = percent / (100 + percent). So
+    a node's slack, the largest n - p - q * n below it, bounds what it can have beyond the bits in common.
+    """
 
-def leaf_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Meetings (p, q, n) of classes of two components in groups that are one leaf."""
-    x, y = groups.alias("x"), groups.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, apart & may_link(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.class").alias("p"), F.col("y.class").alias("q"), F.least("x.n", "y.n").alias("n"))
+    def __init__(self, sizes: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> None:
+        self.percent, self.q = percent, percent / (100 + percent)
+        slack = n * (1 - self.q) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = [{"low": n, "high": n, "c_low": component, "c_high": component, "slack": slack, "bits": bits}]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            above = -(-sizes // FANOUT)
+            first = np.repeat(np.cumsum(sizes) - sizes, above) + FANOUT * K.ragged(np.zeros_like(above), above)
+            self.children.append((first, np.diff(np.append(first, sizes.sum()))))
+            low = self.levels[-1]
+            unite = {"low": np.minimum, "high": np.maximum, "c_low": np.minimum, "c_high": np.maximum, "slack": np.maximum, "bits": np.bitwise_or}
+            self.levels.append({k: f.reduceat(low[k], first, axis=0) for k, f in unite.items()})
+            sizes = above
+            if (sizes == 1).all():
+                return
+
+    def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes can hold a link between two components."""
+        x = self.levels[level]
+        apart = np.minimum(x["c_low"][a], x["c_low"][b]) < np.maximum(x["c_high"][a], x["c_high"][b])
+        kept = np.flatnonzero(apart & (100 * x["high"][a] >= self.percent * x["low"][b]) & (100 * x["high"][b] >= self.percent * x["low"][a]))
+        a, b = a[kept], b[kept]
+        common = np.bitwise_count(x["bits"][a] & x["bits"][b]).sum(axis=1, dtype=np.int64)
+        return kept[(common + x["slack"][a] >= self.q * x["low"][b] - 1e-9) & (common + x["slack"][b] >= self.q * x["low"][a] - 1e-9)]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of classes that may link below the pairs of roots (a, b), by traversing both trees at once."""
+        todo = [(len(self.levels) - 1, a, b)]
+        while todo:
+            level, a, b = todo.pop()
+            if not level:
+                yield a, b
+                continue
+            first, count = self.children[level - 1]
+            each = count[a] * count[b]
+            ends = np.cumsum(each)
+            if len(a) > 1 and ends[-1] > PAIRS_AT_ONCE:
+                half = min(max(1, int(np.searchsorted(ends, ends[-1] // 2))), len(a) - 1)
+                todo += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                continue
+            k = K.ragged(np.zeros_like(each), each)
+            below = np.repeat(count[b], each)
+            x, y = np.repeat(first[a], each) + k // below, np.repeat(first[b], each) + k % below
+            kept = ~np.repeat(a == b, each) | (x < y) | ((x == y) & (level > 1))
+            x, y = x[kept], y[kept]
+            kept = self.may_link(level - 1, x, y)
+            if len(kept):
+                todo.append((level - 1, x[kept], y[kept]))
+
+
+def _nearest(bits: np.ndarray, n: np.ndarray, cls: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (x, y), for each x and each y the one of most common bits for its sizes and the one of the smallest class."""
+    share = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) / (n[x] + n[y])
+    kept = np.zeros(len(x), dtype=bool)
+    for own, other in ((x, y), (y, x)):
+        for order in (np.lexsort((-share, own)), np.lexsort((cls[other], own))):
+            kept[order[np.append(True, own[order][1:] != own[order][:-1])[: len(order)]]] = True
+    return x[kept], y[kept]
+
+
+def _traverse(batches: Iterable[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Meetings (a, b, n, times) of classes that may link; batches are sorted by (token, i, j, side)."""
+    for table in _whole_groups(batches):
+        token, i, j, side = (table.column(c).to_numpy() for c in ("token", "i", "j", "side"))
+        new = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        group, tree = np.cumsum(new) - 1, np.append(True, new[1:] | (side[1:] != side[:-1]))
+        at = np.flatnonzero(tree)
+        cls, n, bits = table.column("class").to_numpy(), table.column("n").to_numpy(), _bit_rows(table.column("bitmap"))
+        trees = Tree(np.diff(np.append(at, len(token))), table.column("component").to_numpy(), n, bits, percent)
+        # A tree meets itself, but for two blocks, which meet each other.
+        own = group[at]
+        second = np.append(False, own[1:] == own[:-1])
+        alone = ~second & ~np.append(second[1:], False) & (i[at] == j[at])
+        left = np.flatnonzero(np.append(second[1:], False))
+        a, b = np.concatenate([np.flatnonzero(alone), left]), np.concatenate([np.flatnonzero(alone), left + 1])
+        for x, y in trees.pairs(a, b):
+            apart = cls[x] != cls[y]
+            x, y = _nearest(bits, n, cls, x[apart], y[apart]) if nearest else (x[apart], y[apart])
+            p, q, m = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), np.minimum(n[x], n[y])
+            order = np.lexsort((q, p))
+            p, q, m = p[order], q[order], m[order]
+            once = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))[: len(p)])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(p[once]), "b": pa.array(q[once]), "n": pa.array(m[once]), "times": pa.array(np.diff(np.append(once, len(p))))})
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut between groups, of about ROWS_AT_ONCE rows."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < ROWS_AT_ONCE:
+            continue
+        table = joined()
+        keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+        same = np.logical_and.reduce([k == k[-1] for k in keys])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held = [table.slice(cut)]
+        if cut:
+            yield table.slice(0, cut)
+    if held:
+        yield joined()
+
+
+def tree_pairs(groups: DataFrame, percent: int = PERCENT, block: int | None = None, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of classes of two components that may link, by dual traversal of each token's signature tree.
+
+    ``groups`` has rows (token, class, component, n, bitmap). A token with more than ``block`` classes has its tree cut
+    into blocks by ranges of components and sizes; all pairs of blocks that may link by component and size meet.
+    With ``nearest``, only the likeliest partners of each class in a group are returned.
+    """
+    block = block or BLOCK
+    sizes = groups.groupBy("token").agg(F.count("*").alias("size"))
+    usual = groups.join(sizes.where(F.col("size") <= block), "token", "left_semi").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    large = groups.join(sizes.where(F.col("size") > block), "token")
+    if not large.isEmpty():
+        w = Window.partitionBy("token").orderBy("component", "n", "class")
+        large = materialize(large.withColumn("block", ((F.row_number().over(w) - 1) / block).cast("int")).drop("size"), "blocks")
+        nodes = large.groupBy("token", "block").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.min("n").alias("low"), F.max("n").alias("high"))
+        x, y = nodes.alias("x"), nodes.alias("y")
+        apart = F.least("x.c_low", "y.c_low") < F.greatest("x.c_high", "y.c_high")
+        fit = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")) & apart & fit).select(F.col("x.token").alias("token"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+        met = met.select("token", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+        usual = usual.unionByName(large.join(met, ["token", "block"]).drop("block"))
+    dealt = usual.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "component", "n")
+    met = dealt.mapInArrow(lambda it: _traverse(it, percent, nearest), "a long, b long, n long, times long")
+    if nearest:
+        return met.select("a", "b").distinct()
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("n").alias("n"))
+    return met.where(F.col("times") >= least_shared(F.col("n"))).select("a", "b")
 
-def tree_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Dual traversal of each token's signature tree: meetings (p, q, n) of classes that may link, of two components.
 
-    ``groups`` has rows (token, class, component, n, bitmap). A class of size n with p bits set shares at most
-    n - p + common bits with another; a node keeps its largest n - p - (needed share of n) as slack. Linking needs
-    o >= q * (n_a + n_b) with q = percent / (100 + percent), so a pair of nodes is kept only if
-    common + slack of one >= q * smallest size of the other, both ways round, and if the size ranges can link.
-    """
-    q = percent / (100 + percent)
-    words = range(BITMAP_WORDS)
-    order = Window.partitionBy("token").orderBy("n", "class")
-    bits = sum((F.bit_count(F.col("bitmap")[k]) for k in words), F.lit(0))
-    leaf = groups.withColumn("node", (F.row_number().over(order) - 1).cast("long")).withColumns({"low": F.col("n"), "high": F.col("n"), "slack": F.col("n") * (1 - q) - bits, "c_low": F.col("component"), "c_high": F.col("component")})
-    levels = [materialize(leaf.select("token", "node", "class", "n", "low", "high", "slack", "c_low", "c_high", "bitmap"), "leaves")]
-    while not levels[-1].where(F.col("node") >= FANOUT).isEmpty():
-        up = levels[-1].groupBy("token", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
-            F.array(*(F.bit_or(F.col("bitmap")[k]) for k in words)).alias("bitmap"),
-        )
-        levels.append(materialize(up, "nodes"))
-    x, y = levels[-1].alias("x"), levels[-1].alias("y")
-
-    def survives() -> Column:
-        common = _common("x.bitmap", "y.bitmap")
-        sizes = (F.lit(100) * F.col("x.high") >= F.lit(percent) * F.col("y.low")) & (F.lit(100) * F.col("y.high") >= F.lit(percent) * F.col("x.low"))
-        apart = (F.least("x.c_low", "y.c_low") < F.greatest("x.c_high", "y.c_high"))
-        return sizes & apart & (common + F.col("x.slack") >= F.lit(q) * F.col("y.low") - 1e-9) & (common + F.col("y.slack") >= F.lit(q) * F.col("x.low") - 1e-9)
-
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") <= F.col("y.node")) & survives()).select(F.col("x.token").alias("token"), F.col("x.node").alias("i"), F.col("y.node").alias("j"))
-    for level in reversed(levels[:-1]):
-        pairs = materialize(pairs, "node-pairs")
-        below = level.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("long"))
-        left = pairs.alias("p").join(below.alias("x"), (F.col("p.token") == F.col("x.token")) & (F.col("p.i") == F.col("x.parent"))).select(F.col("p.j").alias("other"), "x.*")
-        pairs = left.alias("x").join(below.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.parent")) & (F.col("x.node") <= F.col("y.node")) & survives()).select(F.col("x.token").alias("token"), F.col("x.node").alias("i"), F.col("y.node").alias("j"))
-    leaves = levels[0].select("token", "node", "class", "n")
-    named = pairs.where("i < j").join(leaves.select("token", F.col("node").alias("i"), F.col("class").alias("p"), F.col("n").alias("n_p")), ["token", "i"]).join(leaves.select("token", F.col("node").alias("j"), F.col("class").alias("q"), F.col("n").alias("n_q")), ["token", "j"])
-    return named.select("p", "q", F.least("n_p", "n_q").alias("n"))
-
-
-def _open_candidates(source: DataFrame, groups: DataFrame, label: DataFrame, heads: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of two components that may still link."""
+def _open_candidates(groups: DataFrame, label: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of two components that may still link; ``nearest``: the likeliest of large groups."""
     labelled = groups.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    token = Window.partitionBy("token")
-    apart = labelled.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low < high").drop("low", "high")
-    rest = _sharing_enough(materialize(apart, "open"), percent).withColumn("size", F.count("*").over(token))
-    rest = materialize(rest, "open")
-    found = leaf_pairs(rest.where(F.col("size") <= LEAF), percent)
-    large = rest.where(F.col("size") > LEAF)
-    if not large.isEmpty():
-        ids = large.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("doc_id"))
-        bitmap = materialize(_sets_of(source, ids, ngram).mapInArrow(_bitmaps, "doc_id long, bitmap array<long>").join(ids, "doc_id").select("class", "bitmap"), "bitmaps")
-        found = found.unionByName(tree_pairs(large.join(bitmap, "class").select("token", "class", "component", "n", "bitmap"), percent))
-    return _met_enough(found)
+    labelled = materialize(labelled, "labelled")
+    tokens = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    if nearest:
+        tokens = tokens.where(F.col("size") > FANOUT // 2)
+    rest = _sharing_enough(materialize(labelled.join(tokens.select("token"), "token", "left_semi"), "open"), percent) if not nearest else labelled.join(tokens.select("token"), "token", "left_semi")
+    return tree_pairs(rest.join(classes.select("class", "bitmap"), "class").select("token", "class", "component", "n", "bitmap"), percent, nearest=nearest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``.
 
     Null and empty texts, and texts without words, have no shingles and are their own component. Rows with equal
-    sets link, repeated ids too. A null id can't be looked up: a set found under null ids only links with equal sets
-    only, and its component is null. Only the id and text columns are read.
+    sets link, repeated ids too; rows that share an id link by their own texts. A row with a null id links like any
+    other; its component is the smallest id reached, or null if there is none. Only the id and text columns are read.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     source = id_and_text(docs, id_col, text_col)
-    profile = materialize(source.mapInArrow(lambda it: _profile(it, ngram), "doc_id long, n long, class long, slice int, counts binary"), "profile")
+    profile = materialize(source.mapInArrow(lambda it: _profile(it, ngram), "doc_id long, n long, class long, bitmap binary, slice int, counts binary"), "profile")
     frequent = spark.sparkContext.broadcast(_frequent(profile))
-    rows = profile.where("slice is null").select("doc_id", "n", "class")
-    members = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n").alias("size")), "classes")
+    rows = profile.where("slice is null")
+    entries = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-entries // RANGE_ENTRIES))
+    classes = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n").alias("size"), F.first("bitmap").alias("bitmap")), "classes")
 
     filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, classes binary, sizes binary, counts binary")
-    groups = materialize(filed.repartition(buckets, "bucket").mapInArrow(_groups, "token long, class long, n long"), "groups")
+    groups = materialize(filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, class long, n long"), "groups")
     groups = materialize(_sharing_enough(groups, percent), "groups")
-    heads = members.where("head is not null")
-    links = materialize(_verify(source, _first_candidates(groups, percent), heads, ngram, percent), "links")
+    first = materialize(_within_bounds(_first_candidates(groups, percent), classes, percent), "first-pairs")
+    links = materialize(_verify(source, first, ngram, percent), "links")
     label = connected_components(links)
 
-    more = materialize(_open_candidates(source, groups, label, heads, ngram, percent), "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(_verify(source, more, heads, ngram, percent))
-        label = connected_components(materialize(links, "links"))
-    named = members.join(label, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
+    # A group of many near copies has many links; its likeliest ones leave few components, and so few pairs, to the rest.
+    for nearest in (True, False):
+        more = materialize(_open_candidates(groups, label, classes, percent, nearest), "candidates")
+        if not more.isEmpty():
+            links = materialize(links.unionByName(_verify(source, more, ngram, percent)), "links")
+            label = connected_components(links)
+    named = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "head", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of_class = named.join(smallest, "component").select("class", "component_id")
     return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-

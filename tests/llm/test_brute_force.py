@@ -38,9 +38,12 @@ def test_windows(spark, texts):
 
 
 @needs_data
-@pytest.mark.parametrize("leaf", [64, 2])
-def test_links(spark, monkeypatch, texts, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
+@pytest.mark.parametrize("block", [4096, 3])
+def test_links(spark, monkeypatch, texts, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    traversed = []
+    whole = jaccard.tree_pairs
+    monkeypatch.setattr(jaccard, "tree_pairs", lambda groups, *a, **k: traversed.append(groups.count()) or whole(groups, *a, **k))
     rng = random.Random(3)
     more = dict(texts)
     for k in range(60):  # near copies on both sides of the threshold
@@ -72,6 +75,31 @@ def test_links(spark, monkeypatch, texts, leaf):
     df = spark.createDataFrame(list(more.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert all(n > 0 for n in traversed) and len(traversed) == 2
+
+
+@pytest.mark.parametrize("block", [4096, 7, 1])
+def test_signature_trees_lose_no_link(spark, block):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(30, 60)], rng.integers(0, 1 << 63, rng.integers(1, 25), dtype=np.uint64)])) for _ in range(150)]
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits = jaccard.bitmaps(np.concatenate(sets), cuts)
+    component = [int(c) for c in rng.integers(0, 40, 150)]
+    rows = [(t, k, component[k], len(sets[k]), bits[k].tobytes()) for t in range(90) for k in range(150) if k % 3 != t % 3]
+    groups = spark.createDataFrame(rows, "token long, class long, component long, n long, bitmap binary")
+    got = {(r["a"], r["b"]) for r in jaccard.tree_pairs(groups, block=block).collect()}
+    met = lambda a, b: sum(a % 3 != t % 3 and b % 3 != t % 3 for t in range(90))
+    linked = set()
+    for a in range(150):
+        for b in range(a + 1, 150):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if component[a] != component[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and met(a, b) > min(len(sets[a]), len(sets[b])) // 16:
+                linked.add((a, b))
+    assert linked and linked <= got
+    assert len(got) < 150 * 149 / 4
+    near = {(r["a"], r["b"]) for r in jaccard.tree_pairs(groups, block=block, nearest=True).collect()}
+    assert near <= got and near
 
 
 @needs_data
