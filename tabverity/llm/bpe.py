@@ -1,10 +1,11 @@
 """BPE encoding and decoding, with long texts encoded by tree concatenation.
 
-White space never lies inside a token, so a text is encoded by its runs between ASCII white space, and each distinct
-run only once per task while it stays in a bounded memory. A long text is cut into halves until the parts are short;
-Spark encodes the parts in parallel. Where a cut lies inside a run, windows around the joint are encoded again, each
-twice as wide, until the window's tokens agree with the left part's at its left and with the right part's at its
-right: from an equal token on, both sides continue alike, so the concatenation is the encoding of the whole.
+White space never lies inside a token, so a text is encoded by its pieces (what the vocabulary's splitting leaves), and
+each distinct piece only once while it stays in a bounded memory. A long text is cut into halves until the parts are
+short; Spark encodes the parts in parallel. Where a cut lies inside a run without white space, windows around the joint
+are encoded again, each twice as wide, until the window's tokens agree with the left part's at its left and with the
+right part's at its right: from an equal token on, both sides continue alike, so the concatenation is the encoding of
+the whole.
 
 The vocabulary file is a parameter (``Tokenizer.from_file``); it is read by every task from the path given, which
 has to be readable on the executors.
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import id_and_text, row_key, text_batches
 
 #: Characters of a text beyond which it is cut into halves.
-PART_CHARS = 1 << 16
+PART_CHARS = 1 << 13
 #: Characters beside a joint in the first window; doubled until both sides agree.
 WINDOW = 32
-#: Distinct runs that a task remembers.
-MEMORY = 800_000
+#: Distinct pieces, and other runs, that a Python worker remembers (about 40 MB).
+MEMORY = 160_000
 #: Tokens: ids, and where each starts and ends in the text.
 Tokens = tuple[list[int], list[int], list[int]]
 
@@ -55,10 +56,10 @@ def _byte_letters() -> list[str]:
 
 
 BYTE_LETTERS = _byte_letters()
-#: Runs of these characters are split by _PIECES as by the vocabulary's own expression: all are composed, have simple
+#: Texts of these characters are split by _PIECES as by the vocabulary's own expression: all are composed, have simple
 #: lower case, and are letters beyond ASCII. "<|" may begin a special token.
-_PLAIN = re.compile(r"(?!.*<\|)[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u017F]+|[0-9]|[^a-z0-9\u00DF-\u017F]+")
+_PLAIN = re.compile(r"[\t-\r -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]*")
+_PIECES = re.compile(r"[a-z\u00DF-\u017F]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-z0-9\u00DF-\u017F]+")
 #: Normaliser and splitting (fixed values of the public vocabulary file) for which the above holds.
 _PLAIN_SETUP = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -67,70 +68,75 @@ _PLAIN_SETUP = {
 }
 
 
-class RunEncoder:
-    """Encodes runs without ASCII white space; ``value`` turns ids into what is remembered of a run.
+class Pieces(dict):
+    """Values of pieces of lower-case text, learned by the vocabulary's merges; forgets all when it is full."""
 
-    Memory is bounded: of two generations of runs, the older is forgotten when the younger is full. Where the
-    vocabulary's splitting is known, plain runs go to its merges directly; all others go through the library's whole
-    encoder. Both give the same ids.
+    def __init__(self, model, value: Callable[[list[int]], object], memory: int) -> None:
+        super().__init__()
+        self.model, self.value, self.memory = model, value, memory
+
+    def __missing__(self, piece: str) -> object:
+        if len(self) >= self.memory:
+            self.clear()
+        letters = piece if piece.isascii() else "".join([BYTE_LETTERS[b] for b in piece.encode()])
+        found = self[piece] = self.value([t.id for t in self.model.tokenize(letters)])
+        return found
+
+
+class TextEncoder:
+    """Encodes texts as values of their pieces, in order; ``value`` turns a piece's ids into what is remembered.
+
+    Where the vocabulary's splitting is known, plain texts, and plain runs of others, go to its merges piece by piece;
+    all other runs go through the library's whole encoder. Both give the same ids. Memory is bounded.
     """
 
     def __init__(self, tokenizer, value: Callable[[list[int]], object], memory: int = MEMORY) -> None:
         self.tokenizer, self.value, self.memory = tokenizer, value, memory
-        self.known: dict[bytes, object] = {}
-        self.older: dict[bytes, object] = {}
-        self.pieces: dict[str, list[int]] = {}
         setup = json.loads(tokenizer.to_str())
         self.plain = {k: setup[k] for k in _PLAIN_SETUP} == _PLAIN_SETUP and all("<|" in t["content"] for t in setup["added_tokens"])
-        self.model = tokenizer.model
-
-    def __call__(self, runs: list[bytes]) -> list:
-        known = self.known
-        new = set(runs).difference(known)
-        if new:
-            if len(known) + len(new) > self.memory // 2:
-                self.older, self.known = known, {}
-                known, new = self.known, set(runs)
-            self._learn(new)
-        return [known[r] for r in runs]
-
-    def _learn(self, new: set[bytes]) -> None:
-        odd = []
-        for run in new:
-            if (old := self.older.get(run)) is not None:
-                self.known[run] = old
-            elif self.plain and _PLAIN.fullmatch(text := run.decode("utf-8", "replace")):
-                self.known[run] = self.value([i for p in _PIECES.findall(text.lower()) for i in self._piece(p)])
-            else:
-                odd.append(run)
-        for k in range(0, len(odd), 10_000):
-            part = odd[k : k + 10_000]
-            for run, e in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
-                self.known[run] = self.value(e.ids)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.memory // 2:
-                self.pieces.clear()
-            letters = piece if piece.isascii() else "".join([BYTE_LETTERS[b] for b in piece.encode()])
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(letters)]
-        return ids
-
-
-_SHARED: dict[tuple[str, str], RunEncoder] = {}
-
-
-def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[list[int]], object]]) -> RunEncoder:
-    """The encoder that all tasks of one Python worker share, so that what it remembers outlives a task."""
+        self.pieces = Pieces(tokenizer.model, value, memory)
+        self.odd: dict[str, object] = {}
+
+    def __call__(self, text: bytes) -> list:
+        whole = text.decode("utf-8", "replace")
+        if self._is_plain(whole):
+            return self._plain(whole)
+        runs = [r.decode("utf-8", "replace") for r in text.split()]
+        odd = {r for r in runs if r not in self.odd and not self._is_plain(r)}
+        if odd:
+            if len(self.odd) + len(odd) > self.memory // 8:
+                self.odd = {}
+                odd = {r for r in runs if not self._is_plain(r)}
+            learn = [*odd]
+            for k in range(0, len(learn), 10_000):
+                part = learn[k : k + 10_000]
+                for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    self.odd[run] = self.value(e.ids)
+        out: list = []
+        for r in runs:
+            out += [self.odd[r]] if r in self.odd else self._plain(r)
+        return out
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def _plain(self, text: str) -> list:
+        return [*map(self.pieces.__getitem__, _PIECES.findall(text.lower()))]
+
+
+_SHARED: dict[tuple[str, str], TextEncoder] = {}
+
+
+def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[list[int]], object]]) -> TextEncoder:
+    """The encoder that the tasks of one Python worker share, one at a time; what it remembers is bounded."""
     if (path, kind) not in _SHARED:
+        tokenizer = next((e.tokenizer for (p, _), e in _SHARED.items() if p == path), None) or load_tokenizer(path)
         _SHARED.clear()
-        tokenizer = load_tokenizer(path)
-        _SHARED[path, kind] = RunEncoder(tokenizer, value(tokenizer))
+        _SHARED[path, kind] = TextEncoder(tokenizer, value(tokenizer))
     return _SHARED[path, kind]
 
 
-def ids_encoder(path: str) -> RunEncoder:
+def ids_encoder(path: str) -> TextEncoder:
     """Remembers ids as little-endian unsigned 32-bit integers."""
     return shared_encoder(path, "ids", lambda _: lambda ids: np.asarray(ids, dtype="<u4").tobytes())
 
@@ -215,19 +221,20 @@ def cut_points(length: int, part_chars: int) -> list[int]:
     return sorted(cuts)
 
 
-def _parts(batches: Iterable[pd.DataFrame], part_chars: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc, key, text in zip(batch["doc_id"], batch["row_key"], batch["text"]):
+def _parts(batches: Iterable[pa.RecordBatch], part_chars: int) -> Iterator[pa.RecordBatch]:
+    for (docs, keys), texts in text_batches(batches, ["doc_id", "row_key"]):
+        for doc, key, raw in zip(docs, keys, texts):
+            text = raw.decode()
             cuts = [0, *cut_points(len(text), part_chars), len(text)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                yield pd.DataFrame({"doc_id": pd.array([doc], "Int64"), "row_key": [key], "part": [k], "text": [text[a:b]]})
+            n = len(cuts) - 1
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * n, pa.int64()), "row_key": pa.array([key] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "text": pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.string())})
 
 
-def encode_part(part: str, runs: RunEncoder, encode: Callable[[str], Tokens]) -> dict:
+def encode_part(part: str, runs: TextEncoder, encode: Callable[[str], Tokens]) -> dict:
     """Ids of the closed middle of a part (little-endian unsigned 32-bit), and the tokens of its open runs."""
     head, middle, tail = split_edges(part)
     h, t = encode(head), encode(tail)
-    return {"ids": b"".join(runs(middle.encode().split())), "closed": bool(middle), "head": head, "head_ids": h[0], "head_starts": h[1], "head_ends": h[2], "tail": tail, "tail_ids": t[0], "tail_starts": t[1], "tail_ends": t[2]}
+    return {"ids": b"".join(runs(middle.encode())), "closed": bool(middle), "head": head, "head_ids": h[0], "head_starts": h[1], "head_ends": h[2], "tail": tail, "tail_ids": t[0], "tail_starts": t[1], "tail_ends": t[2]}
 
 
 def merge_parts(a: dict, b: dict, encode: Callable[[str], Tokens]) -> dict:
@@ -259,29 +266,30 @@ def finish(part: dict) -> bytes:
 
 
 PART_SCHEMA = "doc_id long, row_key long, part int, ids binary, closed boolean, head string, head_ids array<int>, head_starts array<int>, head_ends array<int>, tail string, tail_ids array<int>, tail_starts array<int>, tail_ends array<int>"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+PART_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in PART_SCHEMA.split(", "))])
 
 
 def encode_long(docs: DataFrame, tokenizer_path: str, part_chars: int = PART_CHARS) -> DataFrame:
     """Rows (doc_id, row_key, ids) of texts that are cut into parts: parts are encoded in parallel, joints merged by document."""
-    cut = docs.mapInPandas(lambda it: _parts(it, part_chars), "doc_id long, row_key long, part int, text string")
+    cut = docs.select("doc_id", "row_key", "text").mapInArrow(lambda it: _parts(it, part_chars), "doc_id long, row_key long, part int, text string")
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = ids_encoder(tokenizer_path)
-        tokenizer = runs.tokenizer
-        for batch in batches:
-            for doc, key, part, text in batch.itertuples(index=False):
-                got = encode_part(text, runs, lambda s: encode_tokens(tokenizer, s))
-                yield pd.DataFrame([{"doc_id": doc, "row_key": key, "part": part} | got]).astype({"doc_id": "Int64"})
+        for keys, texts in text_batches(batches, ["doc_id", "row_key", "part"]):
+            rows = [encode_part(text.decode(), runs, lambda s: encode_tokens(runs.tokenizer, s)) for text in texts]
+            yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "row_key", "part"), keys)) | {c: [r[c] for r in rows] for c in rows[0]}, schema=PART_ARROW)
 
-    def merge(_key, group: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = load_tokenizer(tokenizer_path)
+    def merge(_key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        tokenizer = ids_encoder(tokenizer_path).tokenizer
         level = [r for _, r in sorted(group.drop_duplicates("part").set_index("part").to_dict("index").items())]
         while len(level) > 1:
             level = [merge_parts(*level[k : k + 2], lambda s: encode_tokens(tokenizer, s)) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         copies = int((group["part"] == 0).sum())
-        return pd.DataFrame({"doc_id": pd.array([group["doc_id"].iloc[0]] * copies, "Int64"), "row_key": [group["row_key"].iloc[0]] * copies, "ids": [finish(level[0])] * copies})
+        doc, key = group["doc_id"].astype("Int64").iloc[0], group["row_key"].iloc[0]
+        return pd.DataFrame({"doc_id": pd.array([doc] * copies, "Int64"), "row_key": [key] * copies, "ids": [finish(level[0])] * copies})
 
-    parts = cut.repartition("doc_id", "row_key", "part").mapInPandas(encode, PART_SCHEMA)
+    parts = cut.repartition("doc_id", "row_key", "part").mapInArrow(encode, PART_SCHEMA)
     return parts.groupBy("doc_id", "row_key").applyInPandas(merge, "doc_id long, row_key long, ids binary")
 
 
@@ -297,20 +305,20 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = ids_encoder(tokenizer_path)
         for (ids,), texts in text_batches(batches, ["doc_id"]):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([b"".join(runs(t.split())) for t in texts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([b"".join(runs(t)) for t in texts], pa.binary())})
 
     short = source.where(~is_long).select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
     return short.unionByName(encode_long(source.where(is_long), tokenizer_path, part_chars).drop("row_key"))
 
 
 class Digest:
-    """Of a run: how many ids, the ids in decimal, and the decoded text, for a tokenizer without a decoder."""
+    """Of a piece: how many ids, the ids in decimal, and the decoded text, for a tokenizer without a decoder."""
 
     def __init__(self, tokenizer) -> None:
         self.tokens = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
         self.decimals = [str(i) for i in range(len(self.tokens))]
 
-    def by_run(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+    def by_piece(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         return len(ids), " ".join([self.decimals[i] for i in ids]).encode(), " ".join([self.tokens[i] for i in ids]).encode()
 
 
@@ -330,11 +338,11 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         return hashlib.sha256(x).hexdigest()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared_encoder(tokenizer_path, "digest", lambda tokenizer: Digest(tokenizer).by_run)
+        runs = shared_encoder(tokenizer_path, "digest", lambda tokenizer: Digest(tokenizer).by_piece)
         for (ids,), texts in text_batches(batches, ["doc_id"]):
             counts, digests, decoded = [], [], []
             for text in texts:
-                got = [g for g in runs(text.split()) if g[0]]
+                got = [g for g in runs(text) if g[0]]
                 counts.append(sum([g[0] for g in got]))
                 digests.append(sha(b" ".join([g[1] for g in got])))
                 decoded.append(sha(b" ".join([g[2] for g in got])))
@@ -343,17 +351,17 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     def encode_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared_encoder(tokenizer_path, "list", lambda _: lambda ids: ids)
         for (ids,), texts in text_batches(batches, ["doc_id"]):
-            all_ids = [[i for run in runs(t.split()) for i in run] for t in texts]
+            all_ids = [[i for piece in runs(t) for i in piece] for t in texts]
             yield rows(ids, [*map(len, all_ids)], [sha(" ".join(map(str, i)).encode()) for i in all_ids], [sha(runs.tokenizer.decode(i, skip_special_tokens=False).encode()) for i in all_ids])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path)
+        tokenizer = ids_encoder(tokenizer_path).tokenizer
         for batch in batches:
             all_ids = [np.frombuffer(i.as_py(), dtype="<u4").tolist() for i in batch.column("ids")]
             yield rows(batch.column("doc_id").to_pylist(), [*map(len, all_ids)], [sha(" ".join(map(str, i)).encode()) for i in all_ids], [sha(tokenizer.decode(i, skip_special_tokens=False).encode()) for i in all_ids])
 
-    # Without a decoder, decode() writes tokens one by one with a space between them, and so can be done by runs.
-    by_run = load_tokenizer(tokenizer_path).decoder is None
-    short = source.where(~is_long).select("doc_id", "text").mapInArrow(encode if by_run else encode_whole, schema)
+    # Without a decoder, decode() writes tokens one by one with a space between them, and so can be done by pieces.
+    by_piece = load_tokenizer(tokenizer_path).decoder is None
+    short = source.where(~is_long).select("doc_id", "text").mapInArrow(encode if by_piece else encode_whole, schema)
     long = encode_long(source.where(is_long), tokenizer_path, part_chars)
     return short.unionByName(long.select("doc_id", "ids").mapInArrow(decode, schema))

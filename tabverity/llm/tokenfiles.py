@@ -320,7 +320,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         held, before, number = 0, 0, 0
         for (ids, parts), texts in text_batches(batches, ["doc_id", "part"]):
             for i, part, text in zip(ids, parts, texts):
-                coded = b"".join(runs(text.split())) + end
+                coded = b"".join(runs(text)) + end
                 docs_.append((i, coded))
                 held += len(coded) // 4
                 if held >= CHUNK_IDS:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -151,11 +152,30 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+@needs_data
+def test_token_queries_match_the_library(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizer = bpe.load_tokenizer(tokenizers.path("word_bpe_49k.json"))
+    sf = SF.replace("0.001", "0.01")
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    assert sum(len(t or "") > bpe.PART_CHARS for _, t in docs) > 3  # texts that are encoded by the tree
+    ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in docs}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {i: (len(x), sha(" ".join(map(str, x))), sha(tokenizer.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op5_bpe(spark, sf).collect()} == want
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op6_token_output(spark, sf).collect()}
+    start = 0
+    for i, _ in docs:
+        raw = np.array([*ids[i], 2], dtype="<u4")
+        assert got[i] == (start, len(raw), zlib.crc32(raw.tobytes()))
+        start += len(raw)
+
+
 def test_trees_of_halves():
     tokenizers = pytest.importorskip("public_tokenizers")
     tokenizer = bpe.load_tokenizer(tokenizers.path("word_bpe_49k.json"))
     encode = lambda s: bpe.encode_tokens(tokenizer, s)
-    runs = bpe.RunEncoder(tokenizer, lambda ids: np.asarray(ids, dtype="<u4").tobytes())
+    runs = bpe.TextEncoder(tokenizer, lambda ids: np.asarray(ids, dtype="<u4").tobytes())
     rng = random.Random(5)
     alphabets = ["abcdefghijklmnopqrstuvwxyz", "ab'sd've'llre", "éèüñßABC123", "!!??''s's  \n\t#$", "é 漢字かな<|endoftext|>İΣσς"]
     for k in range(200):
