@@ -10,12 +10,13 @@ Documents link when their sets of 5-word shingles have a Jaccard similarity of a
 3. Within a shingle's group, candidates are first only a star and a chain. Their links, verified on whole sets,
    already connect most copies, without listing all pairs of a group of copies.
 4. All groups that hold classes of two components are searched by signature trees: a leaf is a class, a node above has
-   the OR of its children's token bitmaps, their range of sizes and their range of components. A group of one shingle
-   is a tree (a very large one is cut into blocks, the trees' upper nodes, which meet in pairs). Tasks traverse a tree
-   against itself, or two blocks, for many groups at once as arrays: a pair of nodes is left when both lie in one
-   component, when their sizes can't link, or when their bitmaps bound the overlap below what a link takes. Large
-   groups are traversed for the likeliest partners of each class first, whose links leave fewer components. Then pairs
-   of classes that meet under as many shingles as a link takes are verified on whole sets.
+   the OR of its children's token bitmaps, their range of sizes and their range of components. A bitmap's second half
+   tells where two tokens fell on one place of the first. A group of one shingle is a tree (a very large one is cut into
+   blocks, the trees' upper nodes, which meet in pairs). Tasks traverse a tree against itself, or two blocks, for many
+   groups at once as arrays: a pair of nodes is left when both lie in one component, when their sizes can't link, or
+   when their bitmaps bound the overlap below what a link takes. Large groups are traversed for the likeliest partners
+   of each class first, whose links leave fewer components. Then pairs of classes that meet often enough, under shingles
+   that are early enough in both sets, are verified on whole sets.
 
 A component is the smallest id that links reach.
 """
@@ -41,8 +42,8 @@ NGRAM = 5
 PERCENT = 75
 #: Counters of shingle frequency, and how many rows carry them.
 COUNTERS, SLICES = 1 << 20, 16
-#: 64-bit words of a class's token bitmap.
-BITMAP_WORDS = 16
+#: 64-bit words of a class's token bitmap: half for places that have a token, half for those that have two.
+BITMAP_WORDS = 32
 #: Children of a node of a signature tree, and the most classes of a block.
 FANOUT, BLOCK = 16, 4096
 #: Rows of groups that a task searches at once, and pairs of nodes that it compares at once.
@@ -81,13 +82,18 @@ def fingerprints(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mixed, np.uint64(0)).astype(np.int64)
 
 
-#: A set is filed under one shingle in so many more than the shortest prefix.
-EXTRA = 16
+#: A set is filed under one shingle in so many more than the shortest prefix; traversals use one in so many more.
+EXTRA, FEW_EXTRA = 16, 64
 
 
-def least_shared(n):
+def least_shared(n, extra: int = EXTRA):
     """Filed shingles that two linked sets have in common at least; n: size of the smaller set (number, array or column)."""
-    return n // EXTRA + 1 if not isinstance(n, Column) else F.floor(n / EXTRA) + 1
+    return n // extra + 1 if not isinstance(n, Column) else F.floor(n / extra) + 1
+
+
+def least_overlap(total, percent: int):
+    """Shingles that two linked sets have in common at least; total: of their sizes."""
+    return -((-percent * total) // (100 + percent)) if not isinstance(total, Column) else F.ceil(percent * total / (100 + percent))
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -96,11 +102,18 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def bitmaps(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Token bitmap of each set, a row of BITMAP_WORDS words; ``found`` are sorted hashes, cut into sets by ``cuts``."""
-    bits = 64 * BITMAP_WORDS
-    marked = np.zeros((len(cuts) - 1, bits), dtype=bool)
-    marked[np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), (found % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(marked, axis=1).view(np.uint64)
+    """Token bitmap of each set, a row of BITMAP_WORDS words; ``found`` are hashes, cut into sets by ``cuts``.
+
+    Two sets share at most as many tokens as bits, and those beyond two at one place.
+    """
+    places, rows = 32 * BITMAP_WORDS, []
+    at = (found % np.uint64(places)).astype(np.int64)
+    for k in range(0, len(cuts) - 1, 1024):
+        c = cuts[k : k + 1025]
+        text = np.repeat(np.arange(len(c) - 1), np.diff(c))
+        counts = np.bincount(text * places + at[c[0] : c[-1]], minlength=(len(c) - 1) * places).reshape(-1, places)
+        rows.append(np.packbits(np.concatenate([counts > 0, counts > 1], axis=1), axis=1).view(np.uint64))
+    return np.concatenate(rows) if rows else np.zeros((0, BITMAP_WORDS), dtype=np.uint64)
 
 
 def _profile(batches: Iterable[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
@@ -159,10 +172,10 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         alone[once] = n[once] > 0
         token, text, place = in_order(found, cuts, frequent.value)
         kept = (place < prefix_length(n, percent)[text]) & alone[text]
-        token, text = token[kept], text[kept]
+        token, text, place = token[kept], text[kept], np.minimum(place[kept], 0xFFFF)  # a smaller place loses nothing
         bucket = bucket_of(token, buckets).astype(np.int64)
         order = np.lexsort((text, bucket))
-        token, text, bucket = token[order], text[order], bucket[order]
+        token, text, bucket, place = token[order], text[order], bucket[order], place[order].astype(np.uint16)
         at = np.searchsorted(bucket, np.arange(buckets + 1))
         owners = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1]))[: len(text)])
         counts = np.diff(np.append(owners, len(text))).astype(np.uint32)
@@ -170,40 +183,40 @@ def _file(batches: Iterable[pa.RecordBatch], buckets: int, ngram: int, percent:
         a = np.append(at[full], at[-1])
         b = np.searchsorted(bucket[owners], np.append(full, buckets))
         yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(full, pa.int32()), "tokens": binary_slices(token, a),
+            "bucket": pa.array(full, pa.int32()), "tokens": binary_slices(token, a), "places": binary_slices(place, a),
             "classes": binary_slices(classes[text[owners]], b), "sizes": binary_slices(n[text[owners]].astype(np.uint32), b), "counts": binary_slices(counts, b),
         })
 
 
 def _several(parts: list[tuple[np.ndarray, ...]], every: bool) -> pa.RecordBatch:
     """Entries once each, of shingles under which several classes are filed, or of all."""
-    token, cls, n = (np.concatenate(x) for x in zip(*parts))
+    token, place, cls, n = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((cls, token))
-    token, cls, n = token[order], cls[order], n[order]
+    token, place, cls, n = token[order], place[order], cls[order], n[order]
     new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-    token, cls, n = token[new], cls[new], n[new]
+    token, place, cls, n = token[new], place[new], cls[new], n[new]
     if not every:
         sizes = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
         kept = np.repeat(sizes > 1, sizes)
-        token, cls, n = token[kept], cls[kept], n[kept]
-    return pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64), pa.int64()), "class": pa.array(cls, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
+        token, place, cls, n = token[kept], place[kept], cls[kept], n[kept]
+    return pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64)), "class": pa.array(cls), "n": pa.array(n.astype(np.int64)), "place": pa.array(place.astype(np.int32))})
 
 
 def _groups(batches: Iterable[pa.RecordBatch], held_entries: int = HELD_ENTRIES) -> Iterator[pa.RecordBatch]:
-    """Entries (token, class, n) of shingles under which several classes are filed; batches are sorted by bucket.
+    """Entries (token, class, n, place) of shingles under which several classes are filed; batches are sorted by bucket.
 
     One range of shingles is held at a time. One that holds a very frequent shingle is passed on in pieces, with
     entries that stand alone or come twice; these only weaken later bounds on how much classes share.
     """
     now, parts, held, cut = None, [], 0, False
     for batch in batches:
-        for bucket, tokens, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "classes", "sizes", "counts"))):
+        for bucket, tokens, places, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "places", "classes", "sizes", "counts"))):
             if parts and (bucket != now or held > held_entries):
                 cut = bucket == now or cut
                 yield _several(parts, cut)
                 parts, held, cut = [], 0, cut and bucket == now
             now, c = bucket, np.frombuffer(counts, dtype=np.uint32)
-            parts.append((np.frombuffer(tokens, dtype=np.uint64), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
+            parts.append((np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(places, dtype=np.uint16), np.repeat(np.frombuffer(classes, dtype=np.int64), c), np.repeat(np.frombuffer(sizes, dtype=np.uint32), c)))
             held += len(parts[-1][0])
     if parts:
         yield _several(parts, cut)
@@ -377,7 +390,13 @@ class Tree:
 
 
 def _nearest(bits: np.ndarray, n: np.ndarray, cls: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (x, y), for each x and each y the one of most common bits for its sizes and the one of the smallest class."""
+    """Of pairs (x, y), for each x and each y the one of most common bits for its sizes and the one of the smallest class.
+
+    Pairs of sets for which bitmaps are too full to tell are left out.
+    """
+    full = n > 24 * BITMAP_WORDS
+    kept = np.flatnonzero(~full[x] & ~full[y])
+    x, y = x[kept], y[kept]
     share = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) / (n[x] + n[y])
     kept = np.zeros(len(x), dtype=bool)
     for own, other in ((x, y), (y, x)):
@@ -393,7 +412,7 @@ def _traverse(batches: Iterable[pa.RecordBatch], percent: int, nearest: bool) ->
         new = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
         group, tree = np.cumsum(new) - 1, np.append(True, new[1:] | (side[1:] != side[:-1]))
         at = np.flatnonzero(tree)
-        cls, n, bits = table.column("class").to_numpy(), table.column("n").to_numpy(), _bit_rows(table.column("bitmap"))
+        cls, n, place, bits = table.column("class").to_numpy(), table.column("n").to_numpy(), table.column("place").to_numpy(), _bit_rows(table.column("bitmap"))
         trees = Tree(np.diff(np.append(at, len(token))), table.column("component").to_numpy(), n, bits, percent)
         # A tree meets itself, but for two blocks, which meet each other.
         own = group[at]
@@ -402,8 +421,9 @@ def _traverse(batches: Iterable[pa.RecordBatch], percent: int, nearest: bool) ->
         left = np.flatnonzero(np.append(second[1:], False))
         a, b = np.concatenate([np.flatnonzero(alone), left]), np.concatenate([np.flatnonzero(alone), left + 1])
         for x, y in trees.pairs(a, b):
-            apart = cls[x] != cls[y]
-            x, y = _nearest(bits, n, cls, x[apart], y[apart]) if nearest else (x[apart], y[apart])
+            beyond = least_shared(np.minimum(n[x], n[y]), FEW_EXTRA) - least_overlap(n[x] + n[y], percent)
+            early = (cls[x] != cls[y]) & (place[x] < n[x] + beyond) & (place[y] < n[y] + beyond)
+            x, y = _nearest(bits, n, cls, x[early], y[early]) if nearest else (x[early], y[early])
             p, q, m = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), np.minimum(n[x], n[y])
             order = np.lexsort((q, p))
             p, q, m = p[order], q[order], m[order]
@@ -438,7 +458,7 @@ def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def tree_pairs(groups: DataFrame, percent: int = PERCENT, block: int | None = None, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of classes of two components that may link, by dual traversal of each token's signature tree.
 
-    ``groups`` has rows (token, class, component, n, bitmap). A token with more than ``block`` classes has its tree cut
+    ``groups`` has rows (token, class, component, n, place, bitmap). A token with more than ``block`` classes has its tree cut
     into blocks by ranges of components and sizes; all pairs of blocks that may link by component and size meet.
     With ``nearest``, only the likeliest partners of each class in a group are returned.
     """
@@ -461,18 +481,23 @@ def tree_pairs(groups: DataFrame, percent: int = PERCENT, block: int | None = No
     if nearest:
         return met.select("a", "b").distinct()
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("n").alias("n"))
-    return met.where(F.col("times") >= least_shared(F.col("n"))).select("a", "b")
+    return met.where(F.col("times") >= least_shared(F.col("n"), FEW_EXTRA)).select("a", "b")
 
 
-def _open_candidates(groups: DataFrame, label: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _open_groups(groups: DataFrame) -> DataFrame:
+    """Rows of tokens under which two components meet, with the token's smallest set (``least``) and rows (``size``)."""
+    tokens = groups.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count("*").alias("size")).where("low < high")
+    return materialize(groups.join(tokens.select("token", "least", "size"), "token"), "open")
+
+
+def _candidates(open_: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of classes of two components that may still link; ``nearest``: the likeliest of large groups."""
-    labelled = groups.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    labelled = materialize(labelled, "labelled")
-    tokens = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    if nearest:
-        tokens = tokens.where(F.col("size") > FANOUT // 2)
-    rest = _sharing_enough(materialize(labelled.join(tokens.select("token"), "token", "left_semi"), "open"), percent) if not nearest else labelled.join(tokens.select("token"), "token", "left_semi")
-    return tree_pairs(rest.join(classes.select("class", "bitmap"), "class").select("token", "class", "component", "n", "bitmap"), percent, nearest=nearest)
+    rest = open_.where(F.col("size") > FANOUT // 2) if nearest else _sharing_enough(open_, percent)
+    # A row is of use if a set of the group is small enough for a link whose shingles begin at its place.
+    n = F.col("n")
+    partner = F.greatest("least", F.ceil(n * percent / 100))
+    rest = rest.where(F.col("place") < n + least_shared(n, FEW_EXTRA) - least_overlap(n + partner, percent))
+    return tree_pairs(rest.join(classes.select("class", "bitmap"), "class").select("token", "class", "component", "n", "place", "bitmap"), percent, nearest=nearest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -491,19 +516,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(shuffle_partitions(spark), -(-entries // RANGE_ENTRIES))
     classes = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n").alias("size"), F.first("bitmap").alias("bitmap")), "classes")
 
-    filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, classes binary, sizes binary, counts binary")
-    groups = materialize(filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, class long, n long"), "groups")
+    filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, places binary, classes binary, sizes binary, counts binary")
+    groups = materialize(filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, class long, n long, place int"), "groups")
     groups = materialize(_sharing_enough(groups, percent), "groups")
     first = materialize(_within_bounds(_first_candidates(groups, percent), classes, percent), "first-pairs")
     links = materialize(_verify(source, first, ngram, percent), "links")
     label = connected_components(links)
 
+    labelled = groups.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = _open_groups(materialize(labelled, "labelled"))
     # A group of many near copies has many links; its likeliest ones leave few components, and so few pairs, to the rest.
     for nearest in (True, False):
-        more = materialize(_open_candidates(groups, label, classes, percent, nearest), "candidates")
-        if not more.isEmpty():
-            links = materialize(links.unionByName(_verify(source, more, ngram, percent)), "links")
-            label = connected_components(links)
+        more = materialize(_candidates(open_, classes, percent, nearest), "candidates")
+        if more.isEmpty():
+            continue
+        links = materialize(links.unionByName(_verify(source, more, ngram, percent)), "links")
+        label = connected_components(links)
+        if nearest:  # a component is named by its smallest class
+            moved = open_.drop("least", "size").join(label.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+            open_ = _open_groups(moved.withColumn("component", F.coalesce("now", "component")).drop("now"))
     named = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "head", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of_class = named.join(smallest, "component").select("class", "component_id")

@@ -87,15 +87,15 @@ def test_signature_trees_lose_no_link(spark, block):
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     bits = jaccard.bitmaps(np.concatenate(sets), cuts)
     component = [int(c) for c in rng.integers(0, 40, 150)]
-    rows = [(t, k, component[k], len(sets[k]), bits[k].tobytes()) for t in range(90) for k in range(150) if k % 3 != t % 3]
-    groups = spark.createDataFrame(rows, "token long, class long, component long, n long, bitmap binary")
+    rows = [(t, k, component[k], len(sets[k]), 0, bits[k].tobytes()) for t in range(90) for k in range(150) if k % 3 != t % 3]
+    groups = spark.createDataFrame(rows, "token long, class long, component long, n long, place int, bitmap binary")
     got = {(r["a"], r["b"]) for r in jaccard.tree_pairs(groups, block=block).collect()}
     met = lambda a, b: sum(a % 3 != t % 3 and b % 3 != t % 3 for t in range(90))
     linked = set()
     for a in range(150):
         for b in range(a + 1, 150):
             both = len(np.intersect1d(sets[a], sets[b]))
-            if component[a] != component[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and met(a, b) > min(len(sets[a]), len(sets[b])) // 16:
+            if component[a] != component[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and met(a, b) > min(len(sets[a]), len(sets[b])) // 64:
                 linked.add((a, b))
     assert linked and linked <= got
     assert len(got) < 150 * 149 / 4
