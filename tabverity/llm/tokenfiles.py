@@ -2,13 +2,14 @@
 
 A file is a Parquet table, so that Spark's commit protocol makes it whole or absent on any store and readers split it
 anywhere. A row is a chunk: the ids of some whole documents, in blocks of BLOCK_IDS ids. Every block is coded from a
-fresh state, has its own checksum and can be read with no other block, but with its chunk's table of ids and counts.
-
-Each id is predicted three ways: order 2 (what followed the last two ids before), order 1 (what followed the last id)
-and order 0 (how frequent ids are in the chunk). A first symbol, coded with counts that adapt by how the two
-predictions relate, mixes them: it says whether order 2 holds, else order 1, else neither; then the id itself follows
-by its order-0 frequency, which is fixed for the chunk. Only the first symbol's counts adapt; the probabilities of the
-orders are not mixed. The blocks of many chunks are coded in step as lanes of numpy arrays.
+fresh state, has its own checksum and can be read with no other block of the chunk; what it needs beside its own bytes
+is the chunk's table of ids, which has a checksum too.
+
+Three predictions of the next id are mixed into one distribution, from which the range coder codes it in one step:
+order 2 and order 1 (what followed the last two ids, and the last one, before in the block) and order 0. Order 0 counts
+classes of ids, neighbours in the table, as the block goes; within a class it has the table's shares. The weights of
+the three adapt to how they did in the same situation: which predictions there are, and which held last. The blocks of
+many chunks are coded in step as lanes of numpy arrays.
 """
 
 from __future__ import annotations
@@ -28,20 +29,22 @@ BLOCK_IDS = 2048
 #: Ids after which a chunk ends, at a document's end.
 CHUNK_IDS = 1 << 20
 #: Lanes that are coded in step at most.
-LANES = 4096
-#: Scale of order-0 frequencies, and of the first symbol's, as powers of two.
-SCALE, FIRST_SCALE = 18, 12
-WIDTH_BITS = SCALE + 1
-WIDTH_MASK = (1 << WIDTH_BITS) - 1
+LANES = 2048
+#: Classes of ids of order 0, as a power of two, and the scale of the shares within one.
+CLASS_BITS, SHARE_BITS = 4, 14
+CLASSES = 1 << CLASS_BITS
+#: Counts of a class at a block's start, what an id adds, and ids between two updates of the counts.
+CLASS_START, CLASS_STEP, CLASS_EVERY = 32, 24, 32
+#: Scale of the weights; their precision while they adapt, their rate, and where those of order 2 and order 1 start.
+WEIGHT_BITS, FINE_BITS, RATE = 8, 16, 5
+WEIGHT_START = (0.4, 0.3)
 #: Slots of the order-1 and order-2 tables of a lane, as a power of two.
-SLOT_BITS = 10
+SLOT_BITS = 9
 END_ID = 2
-#: Counts of the first symbol start here, grow by STEP and are halved, every so many ids, when they exceed LIMIT.
-START, STEP, LIMIT, HALVE_EVERY = (6, 6, 20), 24, 1600, 16
 
-#: The coder's state has 60 bits and puts out the top 16 of them when they are settled. Two symbols take 30 bits of the
-#: range at most, so a range of 2**SMALL is enough; below, it is cut at the next place where the top bits are settled.
-STATE, WORD, SMALL = 60, 16, 32
+#: The coder's state has 60 bits and puts out the top 16 of them when they are settled. An id's distribution has 2**37
+#: parts at most; a range below 2**TOP is cut at the next place where the top bits are settled.
+STATE, WORD = 60, 16
 TOP = STATE - WORD
 MASK = (1 << STATE) - 1
 LOW = (1 << TOP) - 1
@@ -54,22 +57,21 @@ class Coder:
         self.low = np.zeros(lanes, dtype=np.int64)
         self.range = np.full(lanes, MASK, dtype=np.int64)
 
-    def narrow(self, a: int, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        step = self.range[:a] >> bits
-        self.low[:a] += step * start
+    def narrow(self, a: int, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """The next id has the parts ``start .. start + width`` of those of size ``step`` that the range is cut into."""
+        low = self.low[:a]
+        low += step * start
         np.multiply(step, width, out=self.range[:a])
-
-    def settle(self, a: int) -> None:
-        low, rng = self.low[:a], self.range[:a]
-        lane = np.flatnonzero((((low ^ (low + rng)) >> TOP) == 0) | (rng < 1 << SMALL))
+        rng = self.range[:a]
+        lane = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
         while len(lane):
-            low, rng = self.low[lane], self.range[lane]
-            rng = np.where(((low ^ (low + rng)) >> TOP) == 0, rng, (1 << TOP) - (low & LOW))
+            low, rng = self.low.take(lane), self.range.take(lane)
+            rng = np.where((low ^ (low + rng)) < 1 << TOP, rng, (1 << TOP) - (low & LOW))
             self.word(lane, low)
             low = (low << WORD) & MASK
             rng = np.minimum(rng << WORD, MASK - low)
             self.low[lane], self.range[lane] = low, rng
-            lane = lane[(((low ^ (low + rng)) >> TOP) == 0) | (rng < 1 << SMALL)]
+            lane = lane[((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP)]
 
     def word(self, lane: np.ndarray, low: np.ndarray) -> None:
         raise NotImplementedError
@@ -78,8 +80,8 @@ class Coder:
 class RangeEncoder(Coder):
     def __init__(self, lanes: int, longest: int) -> None:
         super().__init__(lanes)
-        # an id takes 30 bits at most, and a cut range another word
-        self.row = longest * 3 + 8
+        # an id takes 37 bits at most, and a cut range another word
+        self.row = longest * 4 + 8
         self.words = np.zeros(lanes * self.row, dtype="<u2")
         self.at = np.arange(lanes, dtype=np.int64) * self.row
 
@@ -108,71 +110,118 @@ class RangeDecoder(Coder):
         self.code |= self.words[self.at + 3].astype(np.int64) >> (WORD - STATE % WORD)
         self.at += 3
 
-    def find(self, a: int, bits: int) -> np.ndarray:
-        return np.minimum((self.code[:a] - self.low[:a]) // (self.range[:a] >> bits), (1 << bits) - 1)
-
     def word(self, lane: np.ndarray, low: np.ndarray) -> None:
         # the state ends inside a word: the rest of word `at` and the start of the next
-        at = self.at[lane]
+        at = np.minimum(self.at[lane], len(self.words) - 2)  # a damaged block may ask for more words than there are
         rest = STATE % WORD
         new = ((self.words[at].astype(np.int64) << rest) & 0xFFFF) | (self.words[at + 1].astype(np.int64) >> (WORD - rest))
         self.code[lane] = ((self.code[lane] << WORD) & MASK) | new
         self.at[lane] = at + 1
 
 
-class Model:
-    """Adaptive state of all lanes: predictions of order 1 and 2, and counts of the first symbol by context."""
+class Table:
+    """A chunk's ids in classes: symbol k + 1 stands for the k-th id; shares within a class sum to 2**SHARE_BITS.
 
-    def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+    ``packed`` has the class, the start of the share and the share of each symbol in one number, ``slots`` the symbol at
+    each place of each class.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = len(counts)
+        mass = np.cumsum(counts) - counts
+        # classes of equal mass, and of not too many ids
+        by_mass, by_number = mass * (CLASSES // 2) // max(counts.sum(), 1), np.arange(n) * (CLASSES // 2) // max(n, 1)
+        cls = by_mass + by_number
+        self.packed = np.zeros(n + 1, dtype=np.int64)
+        if not n:
+            self.slots = np.zeros(CLASSES << SHARE_BITS, dtype=np.uint16)
+            return
+        edges = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        members, total = np.diff(np.append(edges, n)), np.add.reduceat(counts, edges)
+        if members.max() > 1 << SHARE_BITS:
+            raise ValueError("a chunk has too many distinct ids; make CHUNK_IDS smaller")
+        share = 1 + counts * np.repeat((1 << SHARE_BITS) - members, members) // np.repeat(total, members)
+        share[edges] += (1 << SHARE_BITS) - np.add.reduceat(share, edges)
+        ends = np.cumsum(share)
+        self.packed[1:] = cls << (2 * SHARE_BITS + 1) | (ends - share) % (1 << SHARE_BITS) << (SHARE_BITS + 1) | share
+        self.slots = np.zeros((CLASSES, 1 << SHARE_BITS), dtype=np.uint16)
+        self.slots[cls[edges]] = np.repeat(np.arange(1, n + 1), share).reshape(len(edges), -1)
+        self.slots = self.slots.ravel()
+
+
+class Model:
+    """Adaptive state of all lanes: predictions of order 1 and 2, counts of order 0's classes, and weights by situation."""
+
+    def __init__(self, lanes: int, tables: list[Table], chunk: np.ndarray) -> None:
+        self.used = np.unique(chunk)
+        at = np.cumsum([0] + [len(tables[u].packed) for u in self.used])[:-1]
+        self.base = at[np.searchsorted(self.used, chunk)]
+        self.packed = np.concatenate([tables[u].packed for u in self.used])
+        self.slot_base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
         self.rows = np.arange(lanes, dtype=np.int64) * 9
+        self.class_base = np.arange(lanes, dtype=np.int64) << CLASS_BITS
         self.after1, self.after2 = np.zeros(lanes << SLOT_BITS, dtype=np.uint16), np.zeros(lanes << SLOT_BITS, dtype=np.uint16)
-        self.counts = np.tile(np.array([START], dtype=np.int32), (lanes * 9, 1))
-        self.flat = self.counts.ravel()
+        self.fine2, self.fine1 = (np.full(lanes * 9, int(w * (1 << FINE_BITS)), dtype=np.int64) for w in WEIGHT_START)
         self.context, self.prev, self.prev2 = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
-        self.steps = 0
-
-    def predict(self, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first a lanes: order-2 and order-1 symbols (0 is none), and the two's frequencies."""
-        self.slot1 = self.base[:a] + ((self.prev[:a] * 2654435761 >> 12) & ((1 << SLOT_BITS) - 1))
-        self.slot2 = self.base[:a] + (((self.prev2[:a] * 40503 + self.prev[:a]) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
-        p2, p1 = self.after2[self.slot2].astype(np.int64), self.after1[self.slot1].astype(np.int64)
-        have2, differ = p2 > 0, (p1 > 0) & (p1 != p2)
-        # context: which predictions there are (order 2, order 1 apart from it, both), and how the last ones did
-        self.row = self.rows[:a] + (have2.astype(np.int64) + differ) * 3 + self.context[:a]
-        c0, c1, c2 = np.ascontiguousarray(self.counts.take(self.row, axis=0).T)
-        c0, c1 = c0 * have2, c1 * differ
-        scale = (1 << FIRST_SCALE) / (c0 + c1 + c2)
-        return p2, p1, (c0 * scale).astype(np.int64), (c1 * scale).astype(np.int64)
-
-    def learn(self, a: int, symbol: np.ndarray, outcome: np.ndarray) -> None:
-        self.flat[self.row * 3 + outcome] += STEP
-        self.steps += 1
-        if self.steps % HALVE_EVERY == 0:
-            full = np.flatnonzero(self.counts @ np.ones(3, dtype=np.int32) > LIMIT)
-            self.counts[full] = (self.counts[full] >> 1) + 1
+        self.counts = np.full((lanes, CLASSES), CLASS_START, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self._sum_up()
+
+    def _sum_up(self) -> None:
+        """``sums`` has the counts of all classes before, and ``both`` that and the class's own in one number."""
+        ends = np.cumsum(self.counts, axis=1)
+        self.total = int(ends[0, -1])
+        self.sums = (ends - self.counts).ravel()
+        self.both = self.sums << 20 | self.counts.ravel()
+
+    def predict(self, a: int) -> None:
+        """Symbols of order 2 and 1 (0 is none) and the weights of the first a lanes."""
+        prev = self.prev[:a]
+        self.slot1 = self.slot_base[:a] + ((prev * 2654435761 >> 12) & ((1 << SLOT_BITS) - 1))
+        self.slot2 = self.slot_base[:a] + (((self.prev2[:a] * 40503 + prev) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
+        self.p2, p1 = self.after2.take(self.slot2).astype(np.int64), self.after1.take(self.slot1).astype(np.int64)
+        have2, have1 = self.p2 > 0, (p1 > 0) & (p1 != self.p2)
+        self.p1 = p1 * have1
+        self.row = self.rows[:a] + (have2 * 3 + have1 * 3) + self.context[:a]
+        self.f2, self.f1 = self.fine2.take(self.row), self.fine1.take(self.row)
+        w2, w1 = (self.f2 >> (FINE_BITS - WEIGHT_BITS)) * have2, (self.f1 >> (FINE_BITS - WEIGHT_BITS)) * have1
+        self.w0 = np.maximum((1 << WEIGHT_BITS) - w2 - w1, 1)
+        w2 = np.minimum(w2, (1 << WEIGHT_BITS) - 1 - w1)
+        self.mass2, self.mass1 = w2 * (self.total << SHARE_BITS), w1 * (self.total << SHARE_BITS)
+
+    def order0(self, a: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of symbols in order 0, by its weight, and their classes."""
+        packed = self.packed.take(self.base[:a] + symbol)
+        cls = packed >> (2 * SHARE_BITS + 1)
+        both = self.both.take(self.class_base[:a] + cls)
+        return *self.parts(both >> 20, both & 0xFFFFF, packed), cls
+
+    def parts(self, low: np.ndarray, count: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.w0 * count
+        return self.w0 * (low << SHARE_BITS) + count * ((packed >> (SHARE_BITS + 1)) & ((1 << SHARE_BITS) - 1)), count * (packed & ((2 << SHARE_BITS) - 1))
+
+    def step(self, rng: np.ndarray) -> np.ndarray:
+        return (rng >> (SHARE_BITS + WEIGHT_BITS)) // self.total
+
+    def learn(self, a: int, symbol: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, cls: np.ndarray) -> None:
+        self.fine2[self.row] = self.f2 + (((hit2 * ((1 << FINE_BITS) - 1)) - self.f2) >> RATE)
+        self.fine1[self.row] = self.f1 + (((hit1 * ((1 << FINE_BITS) - 1)) - self.f1) >> RATE)
         self.after1[self.slot1] = symbol
         self.after2[self.slot2] = symbol
-        self.context[:a] = outcome
+        self.context[:a] = hit2 * 2 + hit1
         self.prev2[:a] = self.prev[:a]
         self.prev[:a] = symbol
+        self.waiting.append(self.class_base[:a] + cls)
+        if len(self.waiting) == CLASS_EVERY:
+            self.counts += CLASS_STEP * np.bincount(np.concatenate(self.waiting), minlength=self.counts.size).reshape(self.counts.shape)
+            self.waiting = []
+            self._sum_up()
 
 
-class Frequencies:
-    """Order-0 frequencies of a chunk's ids, summing to 2**SCALE; symbol k + 1 stands for the chunk's k-th id."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        share = np.maximum(1, np.floor(counts * ((1 << SCALE) - len(counts)) / max(counts.sum(), 1))).astype(np.int64)
-        if len(share):
-            share[np.argmax(share)] += (1 << SCALE) - share.sum()
-        self.width = np.concatenate([[0], share])
-        self.start = np.concatenate([[0, 0], np.cumsum(share)[:-1]])
-
-
-def _lanes(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks as lanes of blocks, longest first: the chunk of each, its offset and its length."""
+def _lanes(parts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of so many ids as lanes of blocks: the chunk of each, its offset and its length."""
     chunk, offset, length = [], [], []
-    for k, (_, n) in enumerate(parts):
+    for k, n in enumerate(parts):
         at = np.arange(0, n, BLOCK_IDS)
         chunk.append(np.full(len(at), k))
         offset.append(at)
@@ -193,13 +242,13 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
         place[values] = np.arange(1, len(values) + 1)
         tables.append((values.astype("<u4"), counts[values]))
         symbols.append(place[ids])
-    frequencies = [Frequencies(c) for _, c in tables]
-    chunk, offset, length = _lanes([(None, len(c)) for c in chunks])
+    shares = [Table(c) for _, c in tables]
+    chunk, offset, length = _lanes([len(c) for c in chunks])
     order = np.argsort(-length, kind="stable")
     payloads: list[bytes] = [b""] * len(chunk)
     for k in range(0, len(order), LANES):
         group = order[k : k + LANES]
-        for i, payload in zip(group.tolist(), _encode_lanes(symbols, frequencies, chunk[group], offset[group], length[group])):
+        for i, payload in zip(group.tolist(), _encode_lanes(symbols, shares, chunk[group], offset[group], length[group])):
             payloads[i] = payload
     out = []
     for c, ids in enumerate(chunks):
@@ -208,96 +257,104 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
         raw = ids.astype("<u4")
         checks = np.array([zlib.crc32(raw[offset[i] : offset[i] + length[i]].tobytes()) for i in own], dtype="<u4")
         sizes = np.array([len(payloads[i]) for i in own], dtype="<u4")
-        out.append(np.array([len(ids), len(values), len(own)], dtype="<u4").tobytes() + values.tobytes() + counts.astype("<u4").tobytes() + sizes.tobytes() + checks.tobytes() + b"".join(payloads[i] for i in own))
+        head = np.array([len(ids), len(values), len(own)], dtype="<u4").tobytes() + values.tobytes() + counts.astype("<u4").tobytes() + sizes.tobytes() + checks.tobytes()
+        out.append(zlib.crc32(head).to_bytes(4, "little") + head + b"".join(payloads[i] for i in own))
     return out
 
 
-def _stack(frequencies: list[Frequencies], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each used chunk's table starts, and the tables, one after the other, of start and width in one number."""
-    base = np.zeros(len(frequencies), dtype=np.int64)
-    base[used] = np.concatenate([[0], np.cumsum([len(frequencies[u].width) for u in used])[:-1]])
-    return base, np.concatenate([frequencies[u].start << WIDTH_BITS | frequencies[u].width for u in used])
-
-
-def _encode_lanes(symbols: list[np.ndarray], frequencies: list[Frequencies], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
+def _encode_lanes(symbols: list[np.ndarray], tables: list[Table], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
-    base, table = _stack(frequencies, np.unique(chunk))
-    base = base[chunk]
     grid = np.zeros((lanes, longest), dtype=np.int64)
     for k in range(lanes):
         grid[k, : length[k]] = symbols[chunk[k]][offset[k] : offset[k] + length[k]]
     grid = np.ascontiguousarray(grid.T)
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
-    coder, model = RangeEncoder(lanes, longest), Model(lanes)
+    coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, chunk)
     for t in range(longest):
         a = int(alive[t])
         symbol = grid[t, :a]
-        p2, p1, f0, f1 = model.predict(a)
-        by2 = symbol == p2
-        literal = ~by2 & (symbol != p1)
-        outcome = literal + (~by2).astype(np.int64)
-        coder.narrow(a, np.where(by2, 0, np.where(literal, f0 + f1, f0)), np.where(by2, f0, np.where(literal, (1 << FIRST_SCALE) - f0 - f1, f1)), FIRST_SCALE)
-        own = np.where(literal, table[base[:a] + symbol], 1 << SCALE)
-        coder.narrow(a, own >> WIDTH_BITS, own & WIDTH_MASK, SCALE)
-        coder.settle(a)
-        model.learn(a, symbol, outcome)
+        model.predict(a)
+        start, width, cls = model.order0(a, symbol)
+        hit2, hit1 = symbol == model.p2, symbol == model.p1
+        start += model.mass2 * (symbol > model.p2) + model.mass1 * (symbol > model.p1)
+        coder.narrow(a, model.step(coder.range[:a]), start, width + model.mass2 * hit2 + model.mass1 * hit1)
+        model.learn(a, symbol, hit2, hit1, cls)
     return coder.finish()
 
 
+class DamagedFile(ValueError):
+    """Bytes of a chunk that can't be what was written."""
+
+
 def decode_chunks(data: list[bytes]) -> list[np.ndarray]:
-    """Ids of each chunk; every block's checksum is compared."""
-    values, frequencies, sizes, checks, starts, counts = [], [], [], [], [], []
+    """Ids of each chunk; the checksums of its table and of every block are compared."""
+    values, tables, checks, counts, payloads = [], [], [], [], []
     for d in data:
-        n, v, b = np.frombuffer(d, dtype="<u4", count=3).tolist()
-        head = np.frombuffer(d, dtype="<u4", count=3 + 2 * v + 2 * b)[3:]
-        values.append(head[:v])
-        frequencies.append(Frequencies(head[v : 2 * v].astype(np.int64)))
-        sizes.append(head[2 * v : 2 * v + b].astype(np.int64))
-        checks.append(head[2 * v + b :])
-        starts.append(4 * (3 + 2 * v + 2 * b))
-        counts.append(n)
-    chunk, offset, length = _lanes([(None, n) for n in counts])
-    payloads = []
-    for c, d in enumerate(data):
-        cuts = starts[c] + np.concatenate([[0], np.cumsum(sizes[c])]).astype(np.int64)
+        if len(d) < 16:
+            raise DamagedFile("a chunk is cut off")
+        check, n, v, b = np.frombuffer(d, dtype="<u4", count=4).tolist()
+        head, ends = d[4 : 16 + 8 * (v + b)], 16 + 8 * (v + b)
+        if zlib.crc32(head) != check or b != -(-n // BLOCK_IDS):
+            raise DamagedFile("the table of a chunk is damaged")
+        numbers = np.frombuffer(head, dtype="<u4")[3:]
+        values.append(numbers[:v])
+        tables.append(Table(numbers[v : 2 * v].astype(np.int64)))
+        cuts = ends + np.concatenate([[0], np.cumsum(numbers[2 * v : 2 * v + b], dtype=np.int64)])
+        if cuts[-1] != len(d):
+            raise DamagedFile("a chunk is cut off")
         payloads += [d[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        checks.append(numbers[2 * v + b :])
+        counts.append(n)
+    chunk, offset, length = _lanes(counts)
     out = [np.zeros(n, dtype=np.uint32) for n in counts]
     order = np.argsort(-length, kind="stable")
     for k in range(0, len(order), LANES):
         group = order[k : k + LANES]
-        grid = _decode_lanes([payloads[i] for i in group], frequencies, chunk[group], length[group])
+        grid = _decode_lanes([payloads[i] for i in group], tables, chunk[group], length[group])
         for j, i in enumerate(group.tolist()):
             out[chunk[i]][offset[i] : offset[i] + length[i]] = values[chunk[i]][grid[: length[i], j] - 1]
     for c in range(len(data)):
         for b, i in enumerate(np.flatnonzero(chunk == c)):
             if zlib.crc32(out[c][offset[i] : offset[i] + length[i]].astype("<u4").tobytes()) != checks[c][b]:
-                raise ValueError(f"block {b} of a chunk is damaged")
+                raise DamagedFile(f"block {b} of a chunk is damaged")
     return out
 
 
-def _decode_lanes(payloads: list[bytes], frequencies: list[Frequencies], chunk: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _decode_lanes(payloads: list[bytes], tables: list[Table], chunk: np.ndarray, length: np.ndarray) -> np.ndarray:
     lanes, longest = len(chunk), int(length[0])
-    used = np.unique(chunk)
-    base, table = _stack(frequencies, used)
-    slots = np.concatenate([np.repeat(np.arange(len(frequencies[u].width)), frequencies[u].width) for u in used]).astype(np.uint16)
-    slot_base = np.searchsorted(used, chunk) << SCALE
-    base = base[chunk]
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
-    coder, model = RangeDecoder(payloads), Model(lanes)
+    coder, model = RangeDecoder(payloads), Model(lanes, tables, chunk)
+    slots = np.concatenate([tables[u].slots for u in model.used])
+    slot_base = np.searchsorted(model.used, chunk) << (CLASS_BITS + SHARE_BITS)
     grid = np.zeros((longest, lanes), dtype=np.int64)
     for t in range(longest):
         a = int(alive[t])
-        p2, p1, f0, f1 = model.predict(a)
-        at = coder.find(a, FIRST_SCALE)
-        by2, literal = at < f0, at >= f0 + f1
-        outcome = literal + (~by2).astype(np.int64)
-        coder.narrow(a, np.where(by2, 0, np.where(literal, f0 + f1, f0)), np.where(by2, f0, np.where(literal, (1 << FIRST_SCALE) - f0 - f1, f1)), FIRST_SCALE)
-        coded = slots[slot_base[:a] + coder.find(a, SCALE)]
-        symbol = np.where(by2, p2, np.where(literal, coded, p1))
-        own = np.where(literal, table[base[:a] + symbol], 1 << SCALE)
-        coder.narrow(a, own >> WIDTH_BITS, own & WIDTH_MASK, SCALE)
-        coder.settle(a)
-        model.learn(a, symbol, outcome)
+        model.predict(a)
+        p2, p1 = model.p2, model.p1
+        step = model.step(coder.range[:a])
+        value = np.clip((coder.code[:a] - coder.low[:a]) // step, 0, (model.total << (SHARE_BITS + WEIGHT_BITS)) - 1)
+        # Where the two predicted symbols end; what lies beyond them is order 0, shifted by their masses.
+        (s2, n2, c2), (s1, n1, c1) = model.order0(a, p2), model.order0(a, p1)
+        s2 += model.mass1 * (p2 > p1)
+        s1 += model.mass2 * (p1 > p2)
+        n2 += model.mass2
+        n1 += model.mass1
+        beyond2, beyond1 = value >= s2 + n2, value >= s1 + n1
+        hit2, hit1 = (p2 > 0) & (value >= s2) & ~beyond2, (p1 > 0) & (value >= s1) & ~beyond1
+        before = model.mass2 * beyond2 + model.mass1 * beyond1
+        rest = (value - before) // model.w0
+        part, at = rest >> SHARE_BITS, model.class_base[:a].copy()
+        for k in range(CLASS_BITS - 1, -1, -1):
+            at += (model.sums.take(at + (1 << k)) <= part) << k
+        low, count = model.sums.take(at), model.both.take(at) & 0xFFFFF
+        share = np.minimum((rest - (low << SHARE_BITS)) // count, (1 << SHARE_BITS) - 1)
+        cls = at - model.class_base[:a]
+        plain = slots.take(slot_base[:a] + (cls << SHARE_BITS) + share).astype(np.int64)
+        start, width = model.parts(low, count, model.packed.take(model.base[:a] + plain))
+        pick = lambda x2, x1, x: np.where(hit2, x2, np.where(hit1, x1, x))
+        symbol, cls = pick(p2, p1, plain), pick(c2, c1, cls)
+        coder.narrow(a, step, pick(s2, s1, start + before), pick(n2, n1, width))
+        model.learn(a, symbol, hit2, hit1, cls)
         grid[t, :a] = symbol
     return grid
 
