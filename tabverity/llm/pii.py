@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base matches of four kinds (email, ip, card, phone) are the seeds. A mention is a token with an at sign, or one with a
-digit and the numbers that follow it. Seeds among the mentions induce lexical patterns: the two words of the text before
-a mention and the shape of its letters and digits. Patterns and instances make a graph; in every round a pattern's score is the mean score
-of the mentions it extracts, and an instance's the best score of its patterns. Mentions of high-scored patterns with
-enough distinct seeds are added as spans.
+Base matches of four kinds (email, ip, card, phone) are the seeds. Candidates are tokens with a digit or an at sign and
+sequences of up to four of them. A candidate has several lexical patterns: its shape digit by digit, with a mark where a
+card's check digit holds; and its shape by runs with one, two or three words before it, or one word on either side.
+Patterns and candidates' texts (instances) make a graph. In every round a pattern's score is the mean score of what it
+extracts, seen with the share of seeds among all candidates of the shape, and an instance's the best score of its
+patterns, a little less as it isn't a seed. Candidates of patterns with a high score and enough distinct seeds are added
+as spans, and those whose text is a seed elsewhere. So found are identifiers that the base expressions lose, such as a
+card or phone number that runs into the next number, and those that only their context tells.
 """
 
 from __future__ import annotations
@@ -28,30 +31,39 @@ PATTERNS = {
 }
 #: What a text must hold for a kind's expression to be worth running.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A mention: a token with a digit, and the tokens of digits and brackets that follow it up to a comma or the like, or a
-#: token with an at sign. The class before the digit of a following token holds none, as it gives nothing back.
-MENTION = r"(?<!\S)(?:[^\s0-9@]*+[0-9][^\s@]*+(?!\S)(?:(?<![,;:!?])\x20[().+-]*+[0-9][^\s@\p{L}]*+(?!\S))*+|[^\s@]*+@\S*+)"
-#: Characters before a mention that its context is taken from, and of each of the two words there.
+#: A token with a digit or an at sign.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Tokens of a candidate at most.
+MOST_TOKENS = 4
+#: Characters around a token that its context is taken from, and of each word there.
 CONTEXT_CHARS, WORD_CHARS = 64, 24
 ROUNDS = 3
 #: A pattern is trusted from this score, and with this many distinct seed instances, on.
 LEAST_SCORE, LEAST_SEEDS = 0.8, 3
+#: Weight of the shape's own share of seeds in a pattern's score, in candidates; what an instance keeps of a pattern's score.
+PRIOR, DAMPING = 1.0, 0.9
 
 
 def _pieces(kind: str, pattern: str, text: Column, context: bool = False) -> Column:
-    """Matches of a text in order: (kind, idx, gap: characters before it since the last one, body[, left])."""
+    """Matches of a text in order: (kind, idx, gap: characters before it since the last one, body[, joins, left, right]).
+
+    ``joins`` tells whether one space alone lies between it and the match before.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     fields = lambda m, i: [F.lit(kind).alias("kind"), i.alias("idx"), F.length(m["g"]).alias("gap"), m["m"].alias("body")]
     if not context:
         return F.transform(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda m, i: F.struct(*fields(m, i)))
-    # Two matches have two words at least, so that the text before a match is wanted from there on only.
+    # The text before a match, from its last words on, over the gaps and matches before it.
     last = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
     ahead = lambda a, n: F.slice(F.concat(F.array_repeat(F.lit(""), n), a), F.lit(1), F.size(found))
     ends = F.zip_with(gaps, found, lambda g, m: last(F.concat(last(g), last(m))))
     before = F.zip_with(F.zip_with(ahead(ends, 2), ahead(ends, 1), lambda a, b: F.concat(a, b)), gaps, lambda b, g: last(F.concat(b, last(g))))
-    both = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), before, lambda p, b: F.struct(p["g"].alias("g"), p["m"].alias("m"), b.alias("left")))
-    return F.transform(both, lambda m, i: F.struct(*fields(m, i), m["left"].alias("left")))
+    after = F.transform(F.slice(F.split(text, pattern, -1), F.lit(2), F.size(found)), lambda g: F.left(g, F.lit(CONTEXT_CHARS)))
+    matched = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    around = F.zip_with(before, after, lambda b, r: F.struct(b.alias("left"), r.alias("right")))
+    both = F.zip_with(matched, around, lambda p, c: F.struct(p["g"].alias("g"), p["m"].alias("m"), c["left"].alias("left"), c["right"].alias("right")))
+    return F.transform(both, lambda m, i: F.struct(*fields(m, i), (m["g"] == " ").alias("joins"), m["left"].alias("left"), m["right"].alias("right")))
 
 
 def _when_hinted(kind: str, text: Column, pieces: Column) -> Column:
@@ -93,61 +105,130 @@ def base_spans(source: DataFrame) -> DataFrame:
     return _placed(rows).where(is_valid(F.col("kind"), F.col("body"))).select("doc_id", "row", "kind", "start", "end", "body")
 
 
-def _context(left: Column) -> Column:
-    """The last two words of the text before a mention, by their ends; numbers and addresses count as one word each."""
-    words = F.slice(F.reverse(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")), 1, 2)
-    plain = F.transform(words, lambda w: F.when(w.contains("@"), "@").otherwise(F.right(F.regexp_replace(w, "[0-9]+", "0"), F.lit(WORD_CHARS))))
-    return F.array_join(F.reverse(plain), " ")
+def _plain_word(word: Column) -> Column:
+    """A word of a context; numbers and addresses count as one word each."""
+    return F.when(word.contains("@"), "@").otherwise(F.right(F.regexp_replace(F.lower(word), "[0-9]+", "0"), F.lit(WORD_CHARS)))
+
 
+def _words(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), _plain_word)
 
-def mentions(source: DataFrame) -> DataFrame:
-    """Rows (doc_id, row, start, end, body, context, shape, seed) of all mentions; ``seed`` is the kind of a base match in it."""
+
+def candidates(source: DataFrame) -> DataFrame:
+    """Rows (doc_id, row, start, end, body, left, right) of all candidates; left: the words before, nearest first."""
     text = F.col("text")
-    rows = source.where(text.rlike("[0-9@]")).select("doc_id", "row", F.inline(_pieces("mention", MENTION, text, context=True))).dropDuplicates(["doc_id", "row", "idx"])
-    context = _context(F.col("left"))
-    shape = F.regexp_replace(F.regexp_replace(F.lower("body"), r"\p{L}+", "a"), "[0-9]+", "0")
-    seed = F.coalesce(*(F.when(F.exists(F.regexp_extract_all("body", F.lit(PATTERNS[k]), F.lit(0)), partial(is_valid, F.lit(k))), k) for k in KINDS))
-    return _placed(rows).select("doc_id", "row", "start", "end", "body", context.alias("context"), F.left(shape, F.lit(48)).alias("shape"), seed.alias("seed"))
+    rows = source.where(text.rlike("[0-9@]")).select("doc_id", "row", F.inline(_pieces("token", TOKEN, text, context=True))).dropDuplicates(["doc_id", "row", "idx"])
+    w = Window.partitionBy("doc_id", "row").orderBy("idx")
+    following = [F.struct(F.lead("body", k).over(w).alias("body"), F.lead("joins", k).over(w).alias("joins"), F.lead("right", k).over(w).alias("right")).alias(f"t{k}") for k in range(1, MOST_TOKENS)]
+    placed = _placed(rows).select("*", *following)
+    body, open_, made = F.col("body"), F.lit(True), []
+    for k in range(MOST_TOKENS):
+        if k:
+            # A token that ends in a comma or the like ends the candidate.
+            open_ = open_ & F.coalesce(F.col(f"t{k}.joins"), F.lit(False)) & ~body.rlike("[,;:!?]$")
+            body = F.concat(body, F.lit(" "), F.col(f"t{k}.body"))
+        made.append(F.when(open_, F.struct(body.alias("raw"), (F.col(f"t{k}.right") if k else F.col("right")).alias("right"))))
+    long = placed.select("doc_id", "row", "start", F.col("left").alias("before"), F.inline(F.array_compact(F.array(*made))))
+    # Signs around it don't belong to it, nor does a bracket without its other half.
+    lead = F.length(F.regexp_extract("raw", r"^[^\p{L}\p{N}+(]*+(?:\((?=[^)]*+$))?", 0))
+    core = F.expr("substring(raw, lead + 1)")
+    core = F.regexp_extract(core, r"^(?s:.*[\p{L}\p{N})])", 0)
+    core = F.when(core.contains("("), core).otherwise(F.regexp_replace(core, r"\)+$", ""))
+    out = long.withColumn("lead", lead).withColumn("body", core).withColumn("start", F.col("start") + F.col("lead")).where("body <> ''")
+    left = F.slice(F.reverse(_words(F.col("before"))), 1, 3)
+    return out.select("doc_id", "row", "start", (F.col("start") + F.length("body")).alias("end"), "body", left.alias("left"), F.coalesce(F.get(_words(F.col("right")), F.lit(0)), F.lit("")).alias("right"))
+
+
+def _patterns() -> Column:
+    """The patterns of a candidate, as text."""
+    letters = F.regexp_replace(F.lower("body"), r"\p{L}+", "a")
+    fine, coarse = F.left(F.regexp_replace(letters, "[0-9]", "0"), F.lit(64)), F.left(F.regexp_replace(letters, "[0-9]+", "0"), F.lit(48))
+    checked = F.when(F.length(digits(F.col("body"))).between(13, 19) & ~F.lower("body").rlike(r"\p{L}|@") & is_valid(F.lit("card"), F.col("body")), "checked ").otherwise("")
+    word = lambda k: F.get("left", F.lit(k))
+    parts = [F.concat(F.lit("digits "), checked, fine)]
+    parts += [F.when(F.size("left") >= k, F.concat_ws("\x01", F.lit(f"left{k}"), *map(word, range(k)), coarse)) for k in (1, 2, 3)]
+    parts.append(F.when((F.size("left") >= 1) & (F.col("right") != ""), F.concat_ws("\x01", F.lit("both"), word(0), F.col("right"), coarse)))
+    return F.array_compact(F.array(*parts)), coarse
+
+
+def with_seeds(found: DataFrame, base: DataFrame) -> DataFrame:
+    """Candidates with the kind of the base match that they are (``seed``); those that only overlap one are left out."""
+    # A document's own matches: bounded by its text.
+    own = base.groupBy(F.col("doc_id").alias("b_id"), F.col("row").alias("b_row")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("own"))
+    joined = found.join(own, found["doc_id"].eqNullSafe(own["b_id"]) & (found["row"] == own["b_row"]), "left")
+    same = F.filter("own", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
+    overlaps = F.coalesce(F.exists("own", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])), F.lit(False))
+    patterns, shape = _patterns()
+    marked = joined.withColumn("seed", F.get(same, F.lit(0))["kind"]).where(F.col("seed").isNotNull() | ~overlaps)
+    return marked.select("doc_id", "row", "start", "end", "body", "seed", shape.alias("shape"), patterns.alias("patterns"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """Trusted patterns: rows (kind, context, shape, score), at most one kind for a context and shape."""
+    """Trusted patterns: rows (pattern, kind, score), one kind for a pattern."""
     # The graph: how often each pattern extracts each instance. Mentions of one text repeated count in full.
-    edges = materialize(found.where("context <> ''").groupBy("context", "shape", "body", "seed").agg(F.count("*").alias("n")), "mention-graph")
-    seeds = edges.where("seed is not null")
-    score = seeds.groupBy("body").agg(F.min("seed").alias("kind")).withColumn("instance_score", F.lit(1.0))
-    patterns = None
+    edges = found.select(F.explode("patterns").alias("pattern"), "shape", "body", "seed").groupBy("pattern", "shape", "body", "seed").agg(F.count("*").alias("n"))
+    kinds = found.groupBy("shape").agg(F.count("*").alias("of_shape"), *(F.sum(F.when(F.col("seed") == k, 1).otherwise(0)).alias(k) for k in KINDS))
+    share = kinds.where("+".join(KINDS) + " > 0").select("shape", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), (F.col(k) / F.col("of_shape")).alias("share")) for k in KINDS)))).where("share > 0")
+    edges = materialize(edges, "mention-graph")
+    able = edges.where("seed is not null").groupBy("pattern").agg(F.count_distinct("body").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern")
+    edges, share = materialize(edges.join(able, "pattern", "left_semi"), "mention-graph"), materialize(share, "shapes")
+    seeds = edges.where("seed is not null").groupBy("body").agg(F.min("seed").alias("kind"))
+    score, patterns = None, None
     for _ in range(rounds):
-        scored = edges.join(score, "body", "left")
-        total = scored.groupBy("context", "shape").agg(F.sum("n").alias("all"))
-        by_kind = scored.where("kind is not null").groupBy("context", "shape", "kind").agg(F.sum(F.col("n") * F.col("instance_score")).alias("mass"), F.count_distinct(F.when(F.col("seed").isNotNull(), F.col("body"))).alias("seeds"))
-        patterns = by_kind.join(total, ["context", "shape"]).withColumn("score", F.col("mass") / F.col("all")).where((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
-        patterns = materialize(patterns.groupBy("context", "shape").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "patterns")
-        reached = edges.where("seed is null").join(patterns, ["context", "shape"]).groupBy("body").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("instance_score"))
-        score = materialize(seeds.groupBy("body").agg(F.min("seed").alias("kind")).withColumn("instance_score", F.lit(1.0)).unionByName(reached.join(seeds.select("body").distinct(), "body", "left_anti")), "instances")
+        own = F.col("seed").alias("kind"), F.lit(1.0).alias("instance_score")
+        scored = edges.where("seed is not null").select("pattern", "shape", "body", "n", "seed", *own)
+        if score is not None:
+            scored = scored.unionByName(edges.where("seed is null").join(score, "body").select("pattern", "shape", "body", "n", "seed", "kind", "instance_score"))
+        total = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
+        by_kind = scored.groupBy("pattern", "shape", "kind").agg(F.sum(F.col("n") * F.col("instance_score")).alias("mass"), F.count_distinct(F.when(F.col("seed").isNotNull(), F.col("body"))).alias("seeds"))
+        by_kind = by_kind.join(share, ["shape", "kind"]).join(total, "pattern").withColumn("score", (F.col("mass") + PRIOR * F.col("share")) / (F.col("all") + PRIOR))
+        by_kind = by_kind.where((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
+        patterns = materialize(by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "patterns")
+        reached = edges.where("seed is null").join(patterns, "pattern").groupBy("body").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), (F.max("score") * DAMPING).alias("instance_score"))
+        # An instance that is a seed elsewhere keeps its kind and full score.
+        known = seeds.withColumn("instance_score", F.lit(1.0))
+        score = materialize(known.unionByName(reached.join(seeds.select("body"), "body", "left_anti")), "instances")
     return patterns
 
 
+def _apart(spans: Column) -> Column:
+    """Of spans in order of preference, those that overlap none before."""
+    none = F.array().cast("array<struct<score:double,length:bigint,start:bigint,end:bigint,kind:string>>")
+    return F.aggregate(spans, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def discover(found: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Rows (doc_id, row, kind, start, end) of the candidates that trusted patterns or known instances add."""
+    unseen = found.where("seed is null")
+    by_pattern = unseen.select("doc_id", "row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
+    seeds = found.where("seed is not null").groupBy("body").agg(F.min("seed").alias("kind"))
+    by_body = unseen.select("doc_id", "row", "start", "end", "body").join(seeds, "body").withColumn("score", F.lit(1.0))
+    both = by_pattern.select("doc_id", "row", "start", "end", "kind", "score").unionByName(by_body.select("doc_id", "row", "start", "end", "kind", "score"))
+    best = both.groupBy("doc_id", "row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
+    # The best ones of a document that don't overlap: longer ones first, then by score.
+    span = F.struct("score", (F.col("end") - F.col("start")).alias("length"), "start", "end", "kind")
+    before = lambda a, b: F.when(a["length"] != b["length"], F.signum(b["length"] - a["length"])).when(a["score"] != b["score"], F.signum(b["score"] - a["score"])).otherwise(F.signum(a["start"] - b["start"])).cast("int")
+    by_doc = best.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(span), before).alias("spans"))
+    return by_doc.select("doc_id", "row", F.inline(_apart(F.col("spans")))).select("doc_id", "row", "kind", "start", "end")
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, base, spans), one per row of ``docs``: arrays of (kind, start, end), characters, end exclusive.
 
-    ``base`` holds the base matches, ``spans`` those and the mentions that bootstrapping added, by kind as in KINDS and
-    then by start. Null and empty texts have none. Only the id and text columns are read; rows that share an id and the
+    ``base`` holds the base matches, ``spans`` those and the candidates that bootstrapping added, which overlap no other
+    span, by kind as in KINDS and then by start. Null and empty texts have none. Only the id and text columns are read; rows that share an id and the
     text have the same spans.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     base = materialize(base_spans(source), "base-spans")
-    found = materialize(mentions(source), "mentions")
-    trusted = bootstrap(found)
-    unseen = found.where("seed is null").join(trusted, ["context", "shape"]).select("doc_id", "row", "kind", "start", "end")
+    found = materialize(with_seeds(candidates(source), base), "candidates")
+    unseen = discover(found, bootstrap(found))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(order.alias("order"), "start", "end", "kind")
     every = base.select("doc_id", "row", span.alias("span"), F.lit(True).alias("is_base")).unionByName(unseen.select("doc_id", "row", span.alias("span"), F.lit(False).alias("is_base")))
     # A document's own matches: bounded by its text.
     by_doc = every.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.sort_array(F.collect_list(F.when(F.col("is_base"), F.col("span")))).alias("base"), F.sort_array(F.collect_list(F.when(~F.col("is_base"), F.col("span")))).alias("more"))
-    # Added spans don't overlap base spans.
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    by_doc = by_doc.select("of_id", "of_row", "base", F.sort_array(F.concat("base", free)).alias("spans"))
+    by_doc = by_doc.select("of_id", "of_row", "base", F.sort_array(F.concat("base", "more")).alias("spans"))
     keys = source.select("doc_id", "row")
     none = F.array().cast("array<struct<order:bigint,start:bigint,end:bigint,kind:string>>")
     joined = keys.join(by_doc, keys["doc_id"].eqNullSafe(by_doc["of_id"]) & (keys["row"] == by_doc["of_row"]), "left")
