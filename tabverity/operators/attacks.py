@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
+from . import models, split
+from .profile import exact_quantiles
 
 #: 0.975 quantile of the normal distribution.
 Z = 1.959964
 BLOCK_ROWS = 4096
-#: Predicates that are counted in one scan.
-BATCH = 200
+#: Rows of a block that are compared with another block at once.
+CHUNK_ROWS = 256
 
 
 def gower_neighbours(left: DataFrame, right: DataFrame, id_col: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
@@ -38,13 +40,28 @@ def gower_neighbours(left: DataFrame, right: DataFrame, id_col: str, numeric: li
         ids = np.array([r["id"] for r in other])
         x, y = np.array([list(v) for v in a["x"]], dtype=float).reshape(len(a), len(numeric)), np.array([list(r["x"]) for r in other], dtype=float).reshape(len(other), len(numeric))
         c, e = np.array([list(v) for v in a["c"]], dtype=object).reshape(len(a), len(categorical)), np.array([list(r["c"]) for r in other], dtype=object).reshape(len(other), len(categorical))
+        # Categories as numbers of this pair of blocks; null is like nothing.
+        levels = {v: n for n, v in enumerate({v for v in np.concatenate([c.ravel(), e.ravel()]) if v is not None})}
+        number = lambda m, none: np.array([levels.get(v, none) for v in m.ravel()], dtype=np.int64).reshape(m.shape)
+        c, e = number(c, -1), number(e, -2)
+        by_id = np.argsort(ids, kind="stable")
+        ids, y, e = ids[by_id], y[by_id], e[by_id]
         near = []
-        for i in range(len(a)):
-            gaps = np.abs(x[i] - y) / width
-            d = (np.where(np.isnan(gaps), 1.0, gaps).sum(axis=1) + (e != c[i]).sum(axis=1) + np.array([v is None for v in c[i]], dtype=bool).sum()) / columns
-            d = np.round(d, 12)
-            order = np.lexsort((ids, d))[:k]
-            near.append([{"d": float(d[j]), "id": int(ids[j])} for j in order])
+        for i in range(0, len(a), CHUNK_ROWS):
+            d = np.zeros((len(x[i : i + CHUNK_ROWS]), len(ids)))
+            for f in range(len(numeric)):
+                gaps = np.abs(x[i : i + CHUNK_ROWS, f, None] - y[None, :, f]) / width[f]
+                d += np.where(np.isnan(gaps), 1.0, gaps)
+            for f in range(len(categorical)):
+                d += c[i : i + CHUNK_ROWS, f, None] != e[None, :, f]
+            d = np.round(d / columns, 12)
+            n = min(k, len(ids))
+            # All that are as near as the n-th, in order of distance and then of id.
+            least = np.partition(d, n - 1, axis=1)[:, n - 1]
+            for row, most in zip(d, least):
+                at = np.flatnonzero(row <= most)
+                at = at[np.argsort(row[at], kind="stable")[:n]]
+                near.append([{"d": float(row[j]), "id": int(ids[j])} for j in at])
         return pd.DataFrame({"id": a["id"].to_numpy(), "near": near})
 
     found = asked.groupBy("part", "block").cogroup(packed.groupBy("part", "block")).applyInPandas(compare, "id long, near array<struct<d: double, id: bigint>>")
@@ -76,15 +93,6 @@ def inference_by_group(original: DataFrame, synthetic: DataFrame, id_col: str, n
     return joined.groupBy(F.col("truth").alias("group")).agg(F.count("*").alias("attacks"), F.count_if(F.col("guess") == F.col("truth")).alias("successes"))
 
 
-def count_predicates(df: DataFrame, predicates: list[Column]) -> list[int]:
-    """Rows that satisfy each predicate, a batch of predicates for each scan."""
-    out: list[int] = []
-    for k in range(0, len(predicates), BATCH):
-        row = df.agg(*(F.count_if(p).alias(f"p{i}") for i, p in enumerate(predicates[k : k + BATCH]))).first()
-        out += list(row)
-    return out
-
-
 def singling_out_univariate(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, kind, value, matches, success): predicates on values that one synthetic row has, and on the extremes.
 
@@ -120,24 +128,87 @@ def singling_out_levels(original: DataFrame, synthetic: DataFrame, columns: list
     return every.withColumn("success", F.col("matches") == 1)
 
 
-def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """(attacks, successes): every given synthetic row makes one predicate of all columns.
+def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str], n_attacks: int | None = None, n_cols: int | None = None) -> DataFrame:
+    """(attacks, successes): every given synthetic row makes one predicate of all columns, or of the first ``n_cols``.
+
+    ``n_attacks`` rows make predicates, in hash order, or all.
 
     Numbers from the synthetic median on ask for at least their value, others for at most; categories for equality.
     Rows meet on the categories and the successes are counted after the comparison.
     """
-    medians = synthetic.agg(F.lit(0).alias("_m"), *(F.median(F.col(c).cast("double")).alias(f"_m_{c}") for c in numeric))
-    s = synthetic.crossJoin(F.broadcast(medians)).alias("s")  # one row
-    r = original.alias("r")
+    if n_cols is not None:
+        numeric, categorical = numeric[: max(n_cols - len(categorical), 0)], categorical[:n_cols]
+    medians = {c: q[0] if q else None for c, q in exact_quantiles(synthetic, numeric, [0.5]).items()} if numeric else {}
+    s, r = sample_attacks(synthetic, id_col, n_attacks).alias("s"), original.alias("r")
     on = F.lit(True)
     for c in categorical:
         on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
     for c in numeric:
-        on = on & F.when(F.col(f"s.{c}") >= F.col(f"_m_{c}"), F.col(f"r.{c}") >= F.col(f"s.{c}")).otherwise(F.col(f"r.{c}") <= F.col(f"s.{c}"))
+        on = on & F.when(F.col(f"s.{c}") >= F.lit(medians[c]), F.col(f"r.{c}") >= F.col(f"s.{c}")).otherwise(F.col(f"r.{c}") <= F.col(f"s.{c}"))
     matches = s.join(r, on, "left").groupBy(F.col(f"s.{id_col}").alias("attack")).agg(F.count(F.col(f"r.{id_col}")).alias("n"))
     return matches.agg(F.count("*").alias("attacks"), F.count_if(F.col("n") == 1).alias("successes"))
 
 
+def sample_attacks(df: DataFrame, id_col: str, n: int | None, seed: int = 42) -> DataFrame:
+    """The rows that are attacked: ``n`` of them in hash order, or all."""
+    if n is None:
+        return df
+    return split.take_first(df.withColumn("_all", F.lit(0)), F.lit(n), id_col, seed, ["_all"]).where("taken").drop("taken", "_all")
+
+
+def _random_rows(df: DataFrame, id_col: str, synthetic: DataFrame, column: str, seed: int) -> DataFrame:
+    """Rows (id, guess): a synthetic row's value for each row, chosen by the hash of the row's id."""
+    rows = max(synthetic.count(), 1)
+    numbered = split.dense_index(synthetic.select(F.col(id_col), F.col(column).alias("guess")), id_col, "_at", seed).select("_at", "guess")
+    place = F.conv(F.substring(split.hash_order(id_col, seed), 1, 12), 16, 10).cast("long") % rows
+    return df.select(F.col(id_col).cast("long").alias("id"), place.alias("_at")).join(numbered, "_at").select("id", "guess")
+
+
+def inference_baseline(original: DataFrame, synthetic: DataFrame, id_col: str, secret: str, regression: bool = False, tolerance: float = 0.05, seed: int = 42) -> DataFrame:
+    """(attacks, successes) of guessing the secret of a random synthetic row: what needs no knowledge of the victim."""
+    asked = original.where(F.col(secret).isNotNull())
+    truth = asked.select(F.col(id_col).cast("long").alias("id"), F.col(secret).alias("truth"))
+    joined = _random_rows(asked, id_col, synthetic, secret, seed).join(truth, "id")
+    hit = F.abs(F.col("guess") - F.col("truth")) <= tolerance * F.abs(F.col("truth")) if regression else F.col("guess") == F.col("truth")
+    return joined.agg(F.count("*").alias("attacks"), F.count_if(hit).alias("successes"))
+
+
+def inference_all(original: DataFrame, synthetic: DataFrame, control: DataFrame | None, id_col: str, numeric: list[str], categorical: list[str], n_attacks: int | None = None) -> DataFrame:
+    """Rows (secret, attacks, successes, baseline_attacks, baseline_successes, control_attacks, control_successes): every column but the id is the secret once."""
+    out = None
+    for secret in [*numeric, *categorical]:
+        aux = [c for c in numeric if c != secret], [c for c in categorical if c != secret]
+        asked = sample_attacks(original.where(F.col(secret).isNotNull()), id_col, n_attacks)
+        one = inference(asked, synthetic, id_col, *aux, secret, secret in numeric)
+        base = inference_baseline(asked, synthetic, id_col, secret, secret in numeric).select(F.col("attacks").alias("baseline_attacks"), F.col("successes").alias("baseline_successes"))
+        others = sample_attacks(control.where(F.col(secret).isNotNull()), id_col, n_attacks) if control is not None else None
+        held = inference(others, synthetic, id_col, *aux, secret, secret in numeric).select(F.col("attacks").alias("control_attacks"), F.col("successes").alias("control_successes")) if others is not None else original.sparkSession.range(1).select(F.lit(0).cast("long").alias("control_attacks"), F.lit(0).cast("long").alias("control_successes"))
+        row = one.crossJoin(base).crossJoin(held).select(F.lit(secret).alias("secret"), "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def inference_by_model(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str], secret: str) -> DataFrame:
+    """(attacks, successes): the guess of a forest that was grown on synthetic rows, for a secret of levels."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+
+    index = StringIndexer(inputCol=secret, outputCol="label", handleInvalid="keep")
+    rows = lambda df: models.prepared(df.where(F.col(secret).isNotNull()), numeric, [*categorical, secret])
+    model = Pipeline(stages=[index, *models.features(numeric, categorical), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=models.SEED)]).fit(rows(synthetic))
+    return model.transform(rows(original)).agg(F.count("*").alias("attacks"), F.count_if(F.col("prediction") == F.col("label")).alias("successes"))
+
+
+def linkability_baseline(original: DataFrame, synthetic: DataFrame, id_col: str, k: int) -> DataFrame:
+    """(attacks, successes) expected when both sets of neighbours are random: 1 - C(n - k, k) / C(n, k) of the rows."""
+    n, rows = synthetic.count(), original.count()
+    miss = 1.0
+    for i in range(k):
+        miss *= max(n - k - i, 0) / max(n - i, 1)
+    return original.sparkSession.range(1).select(F.lit(rows).cast("long").alias("attacks"), F.lit(round(rows * (1 - miss))).cast("long").alias("successes"))
+
+
 def success_rate(successes: Column, attacks: Column) -> tuple[Column, Column]:
     """Wilson rate and its error."""
     s, n = successes.cast("double"), attacks.cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .profile import exact_quantiles
 
 #: Rows in a block of the right side.
 BLOCK_ROWS = 4096
@@ -46,7 +47,8 @@ def row_distances(left: DataFrame, right: DataFrame, id_col: str, columns: list[
             d = np.sqrt(((x[k : k + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2))
             if same_table:
                 d = np.where(x_ids[k : k + 256, None] == y_ids[None, :], np.nan, d)
-            two = np.sort(np.where(np.isnan(d), np.inf, d), axis=1)
+            two = np.where(np.isnan(d), np.inf, d)
+            two = np.sort(np.partition(two, 1, axis=1)[:, :2], axis=1) if two.shape[1] > 1 else two
             second = two[:, 1] if two.shape[1] > 1 else np.full(len(d), np.inf)
             out.append(pd.DataFrame({"id": x_ids[k : k + 256], "nearest": two[:, 0], "second": second, "farthest": np.where(np.isnan(d), -np.inf, d).max(axis=1), "zeros": (d <= ZERO).sum(axis=1)}))
         return pd.concat(out)
@@ -62,10 +64,15 @@ def summary(rows: DataFrame) -> DataFrame:
     """(mean, p05, nndr_p05, mean_max, zero_cells, removed_rows): rows with any zero distance are left out of the statistics."""
     kept = F.col("zeros") == 0
     finite = lambda c: F.when(kept & (F.abs(c) < float("inf")), F.col(c))
-    return rows.agg(
-        F.avg(finite("nearest")).alias("mean"), F.percentile(finite("nearest"), F.lit(0.05)).alias("p05"), F.percentile(ratio(finite("nearest"), finite("second")), F.lit(0.05)).alias("nndr_p05"),
-        F.avg(finite("farthest")).alias("mean_max"), F.sum("zeros").alias("zero_cells"), F.count_if(~kept).alias("removed_rows"),
+    found = rows.select("zeros", finite("nearest").alias("nearest"), finite("farthest").alias("farthest"), ratio(finite("nearest"), finite("second")).alias("nndr")).persist()
+    low = {c: q[0] if q else None for c, q in exact_quantiles(found, ["nearest", "nndr"], [0.05]).items()}
+    done = found.agg(
+        F.avg("nearest").alias("mean"), F.lit(low["nearest"]).cast("double").alias("p05"), F.lit(low["nndr"]).cast("double").alias("nndr_p05"),
+        F.avg("farthest").alias("mean_max"), F.sum("zeros").alias("zero_cells"), F.count_if(~kept).alias("removed_rows"),
     )
+    one = rows.sparkSession.createDataFrame(done.collect(), done.schema)  # one row
+    found.unpersist()
+    return one
 
 
 def distance_metrics(real: DataFrame, synthetic: DataFrame, id_col: str, columns: list[str], how: str = "minmax") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio, word, word_length
+from .profile import exact_quantiles
 
 
 def label_codes(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -90,8 +91,7 @@ def standard_scale(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_scale(df: DataFrame, column: str, quantiles: int = 10) -> DataFrame:
     """Place between exact quantiles, linear in between: 0 at the minimum, 1 at the maximum."""
-    points = F.array(*(F.lit(k / quantiles) for k in range(quantiles + 1)))
-    joined = _with_stats(df, column, F.percentile(column, points).alias("_q"))
-    step = lambda k: F.when(F.col(column) >= F.col("_q")[k + 1], 1.0).when(F.col(column) <= F.col("_q")[k], 0.0).otherwise(ratio(F.col(column) - F.col("_q")[k], F.col("_q")[k + 1] - F.col("_q")[k]))
-    scaled = sum((step(k) for k in range(quantiles)), F.lit(0.0)) / quantiles
-    return joined.withColumn(column, scaled).select(*df.columns)
+    points = exact_quantiles(df, [column], [k / quantiles for k in range(quantiles + 1)])[column] or [0.0] * (quantiles + 1)
+    x = F.col(column)
+    step = lambda k: F.when(x >= points[k + 1], 1.0).when(x <= points[k], 0.0).otherwise(ratio(x - points[k], F.lit(points[k + 1] - points[k])))
+    return df.withColumn(column, F.when(x.isNotNull(), sum((step(k) for k in range(quantiles)), F.lit(0.0)) / quantiles)).select(*df.columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +19,85 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df.agg(*(F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns)), columns, "null_rate")
 
 
+#: Parts that an interval between two bounds is counted by, and the accuracy of the sketch that gives the bounds.
+PARTS, ACCURACY = 1024, 10_000
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of numeric columns, linear between two ranks, without all values of a column in one task.
+
+    A sketch gives bounds on both sides of each quantile. Rows are counted between bounds, then by parts of the few
+    intervals that hold a wanted rank, and only the values of single parts are collected. Null and NaN don't count; a
+    column without values has no quantiles (an empty list).
+    """
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    eps = 2 / ACCURACY
+    asked = sorted({min(max(s + e, 0.0), 1.0) for s in shares for e in (-eps, eps)})
+    row = df.agg(F.lit(0), *(F.struct(F.count(number(c)).alias("n"), F.min(number(c)).alias("lo"), F.max(number(c)).alias("hi"), F.percentile_approx(number(c), asked, ACCURACY).alias("q")).alias(c) for c in columns)).first()
+    full = [c for c in columns if row[c]["n"]]
+    cuts = {c: sorted({row[c]["lo"], row[c]["hi"], *row[c]["q"]}) for c in full}
+    wanted = {c: sorted({k for s in shares for k in (int(s * (row[c]["n"] - 1)), min(int(s * (row[c]["n"] - 1)) + 1, row[c]["n"] - 1))}) for c in full}
+    if not full:
+        return {c: [] for c in columns}
+    long = df.select(*(number(c).alias(c) for c in full)).unpivot([], full, "column", "x").where("x is not null")
+    grid = F.create_map(*(x for c in full for x in (F.lit(c), F.array(*map(F.lit, cuts[c])))))[F.col("column")]
+    placed = long.withColumn("grid", grid).withColumn("at", F.size(F.filter("grid", lambda cut: cut <= F.col("x"))))
+    held = _ranks(placed.groupBy("column", "at").agg(F.count("*").alias("n")), wanted, 1)
+    # Parts of the intervals that hold a wanted rank; a bound that is a value itself has part 0 alone.
+    low, high = F.get("grid", F.col("at") - 1), F.coalesce(F.get("grid", F.col("at")), F.get("grid", F.col("at") - 1))
+    inside = placed.where(F.array_contains(F.lit([f"{c}:{k[0]}" for c, k in held]), F.concat_ws(":", "column", "at")))
+    parts = inside.withColumn("part", F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - low, (high - low) / PARTS)), F.lit(0)), F.lit(PARTS - 1)).cast("int"))
+    held = _ranks(parts.groupBy("column", "at", "part").agg(F.count("*").alias("n")), {}, 2, held)
+    values = parts.where(F.array_contains(F.lit([f"{c}:{k[0]}:{k[1]}" for c, k in held]), F.concat_ws(":", "column", "at", "part")))
+    held = _ranks(values.groupBy("column", "at", "part", "x").agg(F.count("*").alias("n")), {}, 3, held)
+    at_rank = {(c, r): k[-1] for (c, k), ranks in held.items() for r in ranks}
+
+    def between(c: str, s: float) -> float:
+        place = s * (row[c]["n"] - 1)
+        k = int(place)
+        a, b = at_rank[c, k], at_rank[c, min(k + 1, row[c]["n"] - 1)]
+        return a + (place - k) * (b - a)
+
+    return {c: [between(c, s) for s in shares] if c in cuts else [] for c in columns}
+
+
+def _ranks(counts: DataFrame, wanted: dict[str, list[int]], depth: int, held: dict | None = None) -> dict[tuple[str, tuple], dict[int, int]]:
+    """Which groups hold the wanted ranks: {(column, key): {rank: rank within the group}}; keys are ``depth`` long."""
+    ask: dict[tuple[str, tuple], dict[int, int]] = held if held is not None else {(c, ()): {r: r for r in ranks} for c, ranks in wanted.items()}
+    keys = [c for c in counts.columns if c not in ("column", "n")]
+    rows: dict[tuple[str, tuple], list[tuple]] = {}
+    for r in counts.collect():  # a row for each interval, part or value of a part
+        key = tuple(r[k] for k in keys)
+        rows.setdefault((r["column"], key[: depth - 1]), []).append((key, r["n"]))
+    out: dict[tuple[str, tuple], dict[int, int]] = {}
+    for group, ranks in ask.items():
+        ordered = sorted(rows[group])
+        ends = [*accumulate(n for _, n in ordered)]
+        for rank, local in ranks.items():
+            i = bisect_left(ends, local + 1)
+            out.setdefault((group[0], ordered[i][0]), {})[rank] = local - (ends[i] - ordered[i][1])
+    return out
+
+
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, low, high, median) of numeric columns."""
-    stats = df.agg(*(F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.median(c).alias("median")).alias(c) for c in columns))
+    medians = exact_quantiles(df, columns, [0.5])
+    middle = lambda c: F.lit(medians[c][0] if medians[c] else None).cast("double")
+    stats = df.agg(*(F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), middle(c).alias("median")).alias(c) for c in columns))
     return _long(stats, columns, "s").select("column", "s.low", "s.high", "s.median")
 
 
 def fill_values(df: DataFrame, numeric: list[str], other: list[str]) -> dict[str, object]:
     """Median of numeric columns, mode (ties: the smallest) of the others."""
-    row = df.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in numeric), *(F.mode(c, True).alias(c) for c in other)).first()
-    return row.asDict()
+    medians = exact_quantiles(df, numeric, [0.5]) if numeric else {}
+    return {c: q[0] if q else None for c, q in medians.items()} | {c: _mode(df, c) for c in other}
+
+
+def _mode(df: DataFrame, column: str) -> object:
+    """The most frequent value; counted by value before the largest count is taken."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    top = counts.agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias("mode")).first()
+    return top["mode"]
 
 
 def fill(df: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import format_value, ratio
 
 #: Families of metrics in the order in which they are shown.
 FAMILIES = [
@@ -23,6 +23,19 @@ def pivot_results(results: DataFrame, models: list[str]) -> DataFrame:
     return results.groupBy("metric_type", "metric").pivot("model_name", models).agg(F.avg("value"))
 
 
+def typed_pivot(results: DataFrame, models: list[str]) -> DataFrame:
+    """Metrics with texts among their values beside numeric ones: a row for each metric, a column of text for each model.
+
+    ``results`` has rows (metric_type, metric, model_name, value) with values as text. Several numbers of a cell are
+    averaged, of several texts the smallest is taken; a metric with any text is one of texts.
+    """
+    number = F.col("value").try_cast("double")
+    texts = results.groupBy("metric_type", "metric").agg(F.bool_or(F.col("value").isNotNull() & number.isNull()).alias("is_text"))
+    cells = results.groupBy("metric_type", "metric", "model_name").agg(F.avg(number).alias("mean"), F.min("value").alias("text"))
+    shown = cells.join(texts, ["metric_type", "metric"]).withColumn("shown", F.when(F.col("is_text"), F.col("text")).otherwise(format_value(F.col("mean"))))
+    return shown.groupBy("metric_type", "metric").pivot("model_name", models).agg(F.min("shown"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same keys."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)

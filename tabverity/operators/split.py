@@ -55,5 +55,34 @@ def ratio_adjust(df: DataFrame, label: str, quotas: dict[object, int], id_col: s
     return kept.unionByName(top_up)
 
 
+def half_split(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """A column ``is_first``: half of the rows, rounded down, in hash order."""
+    halved = take_first(df.withColumn("_all", F.lit(0)), F.floor(F.col("group_rows") / 2), id_col, seed, ["_all"])
+    return halved.withColumnRenamed("taken", "is_first").drop("_all")
+
+
+def dense_index(df: DataFrame, id_col: str, name: str = "index", seed: int = 42) -> DataFrame:
+    """A column that numbers the rows from 0, in hash order: a shuffled order, counted by parts of the hash."""
+    keyed = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_part", F.substring("_h", 1, 3))
+    parts = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = parts.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # 4096 rows at most
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", id_col))
+    numbered = keyed.withColumn("_r", rank).join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    return numbered.withColumn(name, F.col("_before") + F.col("_r") - 1).select(*df.columns, name)
+
+
+def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a column: each task keeps its own first ones before they meet."""
+    return df.orderBy(order).limit(n)
+
+
+def resample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn with replacement: rows (draw, columns...). A draw is repeatable by its number and the seed."""
+    rows = df.count()
+    place = F.conv(F.substring(F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("long") % F.lit(max(rows, 1))
+    draws = df.sparkSession.range(n if rows else 0).withColumnRenamed("id", "draw").withColumn("_at", place)
+    return draws.join(dense_index(df, id_col, "_index", seed), F.col("_at") == F.col("_index")).drop("_at", "_index")
+
+
 def random_ids(df: DataFrame, name: str, seed: int = 42) -> DataFrame:
     return df.withColumn(name, F.concat(F.lit("ID-"), (F.lit(10000000) + F.floor(F.rand(seed) * 89999999)).cast("long").cast("string")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .profile import exact_quantiles
 
 #: Points of each marginal distribution that the copula keeps.
 GRID = 200
@@ -68,9 +69,8 @@ class GaussianCopula:
 
     def fit(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
-        points = [k / GRID for k in range(GRID + 1)]
-        grids = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(c) for c in self.numeric)).first()
-        self.grids = {c: np.zeros(GRID + 1) if grids[c] is None else np.asarray(grids[c], dtype=float) for c in self.numeric}
+        grids = exact_quantiles(df, self.numeric, [k / GRID for k in range(GRID + 1)]) if self.numeric else {}
+        self.grids = {c: np.asarray(grids[c], dtype=float) if grids[c] else np.zeros(GRID + 1) for c in self.numeric}
         self.null_rates = null_rates(df, self.numeric)
         self.levels = {}
         for c in self.categorical:
@@ -172,7 +172,7 @@ class ForestDensity:
         columns = [*self.numeric, *self.categorical]
         self.null_rates = null_rates(df, self.numeric)
         number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        medians = df.agg(F.lit(0), *(F.median(number(c)).alias(c) for c in self.numeric)).first()
+        medians = {c: q[0] if q else None for c, q in exact_quantiles(df, self.numeric, [0.5]).items()} if self.numeric else {}
         real = df.select(*(F.coalesce(number(c), F.lit(float(medians[c] or 0))).alias(c) for c in self.numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("missed")).alias(c) for c in self.categorical)).withColumn("_row", F.monotonically_increasing_id()).persist()
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in self.categorical]
         stages.append(VectorAssembler(inputCols=[*self.numeric, *(f"{c}_index" for c in self.categorical)], outputCol="features"))

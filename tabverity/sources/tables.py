@@ -106,12 +106,24 @@ def require_complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster sets."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = set_dir.get()
+    return root.rstrip("/")
+
+
 def save_mapping(mapping: DataFrame, path: str) -> None:
     """A value-to-code table (column, value, code), with its types, as JSON lines."""
-    mapping.write.mode("overwrite").json(path)
-    Path(f"{path}.schema.json").write_text(json.dumps(mapping.schema.jsonValue()))
+    mapping.write.mode("overwrite").json(f"{path}/rows")
+    schema = mapping.sparkSession.createDataFrame([(json.dumps(mapping.schema.jsonValue()),)], "schema string")
+    schema.coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType.fromJson(json.loads(Path(f"{path}.schema.json").read_text()))
-    return spark.read.schema(schema).json(path)
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first()[0]))
+    return spark.read.schema(schema).json(f"{path}/rows")
