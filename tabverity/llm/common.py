@@ -12,14 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once; a longer text makes a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
+#: Rows of texts that Spark hands to Python at once at most, so that a batch has a few megabytes.
+ARROW_ROWS = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder in the cluster's shared storage: ``spark.checkpoint.dir``, or a local one when it is unset (tests)."""
+    """Folder in the cluster's shared storage: ``spark.checkpoint.dir``. Without one, a local master (tests) has a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = jvm_dir.get() if jvm_dir.isDefined() else f"file://{tempfile.gettempdir()}/tabverity-{os.getpid()}"
     return root.rstrip("/")
 
@@ -32,6 +36,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; from here on the session hands fewer rows to Python at once (their number changes no result)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
