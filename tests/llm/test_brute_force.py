@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tabverity.llm import bpe, jaccard, language, neighbours, queries, substring, tokenfiles
@@ -152,6 +153,22 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["gaussian", "clusters"])
+def test_recall_of_many_vectors(spark, shape):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((20_000, 64)) if shape == "gaussian" else rng.standard_normal((200, 64))[rng.integers(0, 200, 20_000)] + 0.2 * rng.standard_normal((20_000, 64))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [v.tolist() for v in x]}))
+    got: dict[int, set] = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert hits / 2000 >= 0.9
+
+
 @needs_data
 def test_token_queries_match_the_library(spark):
     tokenizers = pytest.importorskip("public_tokenizers")

@@ -238,6 +238,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_odd_rows(spark):
+    """Vectors of another length take no part; a repeated id is one candidate and one query."""
+    rows = [(k, [float(k), 1.0]) for k in range(20)] + [(50, [1.0, 2.0, 3.0]), (51, [1.0]), (2, [11.0, 1.0]), (2, [11.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, df.where("vec_id in (10, 50)"), k=4).orderBy("query_id", "rank").collect()]
+    assert got == [(10, 2, 1.0), (10, 9, 1.0), (10, 11, 1.0), (10, 8, 2.0)]
+    twice = neighbours.nearest(df, df.where("vec_id = 2"), k=3).collect()
+    assert len(twice) == 3 and 2 not in {r["vec_id"] for r in twice}
+
+
 def test_neighbours_of_a_vector_alone_in_all_partitions(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 8)) * 0.001
@@ -252,8 +262,9 @@ def test_neighbours_of_a_vector_alone_in_all_partitions(spark):
     assert got[399] == np.argsort(d, kind="stable")[:10].tolist()
     assert got[1000][0] == 399 and len(got[1000]) == 10
     packed = df.select(F.col("vec_id"), F.col("embedding").alias("vector")).mapInArrow(neighbours.pack, "vec_id long, vector binary").select(F.col("vec_id").alias("node"), "vector")
-    graph = neighbours.build_graph(packed)
-    assert {r["count"] for r in graph.where("rank <= 32").groupBy("node").count().collect()} >= {32} and graph.where("node = 399").count() == 32
+    graph = neighbours.build_graph(neighbours.single(packed, "vector"))
+    full = neighbours.DEGREE
+    assert {r["count"] for r in graph.where(f"rank <= {full}").groupBy("node").count().collect()} >= {full} and graph.where("node = 399").count() == full
     assert graph.where("other = 399").count() > 0
 
 
