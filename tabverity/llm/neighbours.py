@@ -4,7 +4,8 @@ Equal vectors are one node of the graph with many members, so that copies don't
 graph joins each node to its nearest in a few random partitions, whose parts have a bounded size. Each round of NN-descent then is two
 Spark joins: every node gathers the vectors of a bounded number of its neighbours, both ways round; all pairs among
 them are compared there, and each node keeps its nearest; rounds end when few edges change. Nodes that have too few
-neighbours then (alone in their parts, or in small closed groups) are searched like queries and linked both ways round.
+neighbours then (alone in their parts, or in small closed groups) are searched like queries and linked both ways round,
+and nodes that nobody has as a neighbour are linked to by their nearest.
 Queries start at the nearest of a fixed number of entry nodes, and at their own node, and, for all queries at once,
 expand their nearest unexpanded nodes along the graph until nothing nearer turns up. The graph and the search use single
 precision; what a search found is measured again, and ranked, in double precision.
@@ -100,12 +101,14 @@ EDGE = "node long, other long, d double"
 def _first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     """Neighbours within random partitions: sides of random hyperplanes, split further until parts are small."""
     depth = max(0, round(np.log2(max(n, 1) / PART_NODES)))
+    # Few parts hold more of a node's neighbours each, and one part all of them.
+    trees, degree = (PARTITIONS, max(PART_DEGREE, DEGREE >> depth)) if depth else (1, DEGREE)
     planes = np.random.default_rng(SEED).standard_normal((PARTITIONS, max(depth, 1), dim), dtype=np.float32)
 
     def sides(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(v.as_py() for v in batch.column("vector"))
-            for t in range(PARTITIONS):
+            for t in range(trees):
                 bits = (x @ planes[t].T > 0)[:, :depth] if depth else np.zeros((len(x), 0), dtype=bool)
                 part = (bits * (1 << np.arange(depth, dtype=np.int64))).sum(axis=1)
                 yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "vector": batch.column("vector"), "tree": pa.array(np.full(len(x), t), pa.int32()), "part": pa.array(part, pa.int64())})
@@ -115,7 +118,7 @@ def _first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     pieces = sided.join(sizes, ["tree", "part"]).withColumn("piece", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / PART_NODES)))
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
-        return _nearest_within(group["node"].to_numpy(), _matrix(group["vector"]), PART_DEGREE)
+        return _nearest_within(group["node"].to_numpy(), _matrix(group["vector"]), degree)
 
     return _keep_nearest(pieces.select("tree", "part", "piece", "node", "vector").groupBy("tree", "part", "piece").applyInPandas(near, EDGE).withColumn("fresh", F.lit(True)), DEGREE)
 
@@ -166,7 +169,14 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         graph = materialize(_descend(graph, nodes), "graph")
         if (graph.agg(F.avg(F.col("fresh").cast("int"))).first()[0] or 0) < FEW_CHANGES:
             break
-    return _link_lost(graph.select("node", "other", "d", "rank"), nodes, n)
+    return _link_back(_link_lost(graph.select("node", "other", "d", "rank"), nodes, n))
+
+
+def _link_back(graph: DataFrame) -> DataFrame:
+    """With edges to the nodes that no edge leads to, from their nearest neighbours, so that searches reach them."""
+    reached = graph.select(F.col("other").alias("node")).distinct()
+    back = graph.where(F.col("rank") <= LINKS_BACK).join(reached, "node", "left_anti").select(F.col("other").alias("node"), F.col("node").alias("other"), "d", "rank")
+    return materialize(graph.unionByName(back), "graph")
 
 
 def _link_lost(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
