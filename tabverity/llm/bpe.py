@@ -31,8 +31,8 @@ from .common import id_and_text, row_key, text_batches
 PART_CHARS = 1 << 13
 #: Characters beside a joint in the first window; doubled until both sides agree.
 WINDOW = 32
-#: Distinct pieces, and other runs, that a Python worker remembers (about 40 MB).
-MEMORY = 160_000
+#: Distinct pieces, and other runs, that a Python worker remembers (about 25 MB).
+MEMORY = 80_000
 #: Tokens: ids, and where each starts and ends in the text.
 Tokens = tuple[list[int], list[int], list[int]]
 

@@ -47,9 +47,9 @@ BITMAP_WORDS = 32
 #: Children of a node of a signature tree, and the most classes of a block.
 FANOUT, BLOCK = 16, 4096
 #: Rows of groups that a task searches at once, and pairs of nodes that it compares at once.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 15, 1 << 19
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 14, 1 << 16
 #: Entries in a range of shingles on average, and the most that a task holds before it passes them on.
-RANGE_ENTRIES, HELD_ENTRIES = 1 << 20, 1 << 22
+RANGE_ENTRIES, HELD_ENTRIES = 1 << 20, 1 << 21
 #: Most bits of the bitmap that tells which sets are wanted (128 MB); beyond, more sets are sent than needed.
 MOST_BITS = 1 << 30
 
