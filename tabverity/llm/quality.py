@@ -26,6 +26,8 @@ SAMPLE_ROWS = 20_000
 TREES, DEPTH, SEED = 24, 3, 7
 #: Strength of the lasso.
 LASSO = 0.001
+#: Steps of the lasso at most, and the relative change of its loss at which it ends.
+MOST_STEPS, TOLERANCE = 100, 1e-5
 
 STATISTICS = [
     "chars", "words", "word_length", "upper", "digit", "punct", "exclaim", "bar", "sign", "signed_words", "caps_words",
@@ -174,9 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, sample_rows / max(n, 1))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen["doc_id"], "left_semi")  # about sample_rows ids
-    table = materialize(with_statistics(picked, id_col, text_col).join(F.broadcast(chosen), "doc_id"), "labelled")
+    # The sample is bounded: in two parts, each of the many small jobs of a fit has two tasks.
+    table = materialize(with_statistics(picked, id_col, text_col).join(F.broadcast(chosen), "doc_id").repartition(2, "doc_id"), "labelled").persist()
     kinds = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
     if len(kinds) < 2:
+        table.unpersist()
         p = (sum(k * v for k, v in kinds.items()) + 0.5) / (sum(kinds.values()) + 1)
         return RuleModel(float(np.log(p / (1 - p))), [])
     vectors = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(table)
@@ -184,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rules = list(dict.fromkeys(r for tree in forest.trees for r in tree_rules(tree.toDebugString)))
     ruled = table.select("label", *(holds(r).cast("double").alias(f"rule{k}") for k, r in enumerate(rules)))
     vectors = VectorAssembler(inputCols=[f"rule{k}" for k in range(len(rules))], outputCol="features").transform(ruled)
-    lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=LASSO, maxIter=200, standardization=False).fit(vectors)
+    lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=LASSO, maxIter=MOST_STEPS, tol=TOLERANCE, standardization=False).fit(vectors)
+    table.unpersist()
     kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if abs(w) > 1e-6]
     return RuleModel(float(lasso.intercept), kept)
 
