@@ -12,11 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A chunk ends, on average, after this many lines.
 MEAN_LINES = 4
 #: Multiplier and modulus of the rolling hash.
 BASE, MODULUS = 31, (1 << 31) - 1
 LEAST_LINES = 2
+#: A chunk is very frequent if it makes more than one in so many of all repeated chunks.
+HOT = 1000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -70,8 +74,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = source.select("_id", "_row", F.inline(F.filter(chunked(F.col("_text")), is_removable))).select("_id", "_row", F.col("no"), "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
     # Texts are reduced within each task before the shuffle. Chunks of equal hashes and other bytes are left alone.
     repeated = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.min(F.struct("_id", "no")).alias("first"))
-    repeated = repeated.where("n > 1 and low = high").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
-    again = chunks.drop("body").join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.struct("_id", "no").eqNullSafe(F.col("first")))
+    repeated = materialize(repeated.where("n > 1 and low = high").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "n"), "repeated-chunks")
+    # Chunks that make a thousandth of all repeated ones each are a thousand at most: they don't meet their rows by key.
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    hot, rest = repeated.where(F.col("n") * HOT > total), repeated.where(F.col("n") * HOT <= total)
+    same, later = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), ~F.struct("_id", "no").eqNullSafe(F.col("first"))
+    places = chunks.drop("body")
+    known = places.join(F.broadcast(hot), same, "left")
+    again = known.where(F.col("r1").isNotNull() & later).select("_id", "_row", "no").unionByName(known.where("r1 is null").select(*places.columns).join(rest, same).where(later).select("_id", "_row", "no"))
     # A document's own chunks: bounded by its text.
     gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("no").alias("_gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["g_id"]) & (F.xxhash64(docs[text_col]) == gone["g_row"]), "left")
