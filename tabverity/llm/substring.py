@@ -32,6 +32,8 @@ WIDTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
 #: Most bits of the filter of repeated anchors (128 MB); beyond, more windows are sent and the result is the same.
 MOST_BITS = 1 << 30
+#: Characters of text whose windows make a range of hashes on average: what a task holds at once doesn't grow with the corpus.
+BUCKET_CHARS = 1 << 26
 #: Bits for a repeated anchor, and marks that each makes.
 BITS_EACH, MARKS = 16, 3
 #: Stands for a null id, which is never the smaller one.
@@ -68,12 +70,23 @@ def _send_anchors(batches: Iterable[pa.RecordBatch], buckets: int, width: int) -
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "low": binary_slices(found.astype(np.uint32), np.append(cuts[full], cuts[-1]))})
 
 
-def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    have: dict[int, list[np.ndarray]] = {}
+def _by_key(batches: Iterable[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of one key after the other, of batches that are sorted by it: a task holds one key's rows."""
+    now, rows = None, []
     for batch in batches:
-        for bucket, low in zip(batch.column("bucket").to_pylist(), batch.column("low").to_pylist()):
-            have.setdefault(bucket, []).append(np.frombuffer(low, dtype=np.uint32))
-    for bucket, parts in have.items():
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *columns))):
+            if rows and k != now:
+                yield now, rows
+                rows = []
+            now = k
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, rows in _by_key(batches, "bucket", ["low"]):
+        parts = [np.frombuffer(low, dtype=np.uint32) for (low,) in rows]
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
         values = values[counts > 1]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(values)], pa.int64()), "low": pa.array([values.tobytes()], pa.binary())})
@@ -151,12 +164,8 @@ def _by_owner(owner: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _owners(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Bundles of windows for ranges of owners."""
-    have: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    for batch in batches:
-        for bucket, h, h2, docs, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "h2", "docs", "counts"))):
-            doc = np.repeat(np.frombuffer(docs, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32))
-            have.setdefault(bucket, []).append((np.frombuffer(h, dtype=np.uint64), np.frombuffer(h2, dtype=np.uint32), doc))
-    for parts in have.values():
+    for _, rows in _by_key(batches, "bucket", ["h", "h2", "docs", "counts"]):
+        parts = [(np.frombuffer(h, dtype=np.uint64), np.frombuffer(h2, dtype=np.uint32), np.repeat(np.frombuffer(docs, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32))) for h, h2, docs, counts in rows]
         h, h2, doc = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((doc, h2, h))
         h, h2, doc = h[order], h2[order], doc[order]
@@ -173,11 +182,8 @@ def _owners(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
 def _gather_owned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each owner with all its windows, from the bundles of one group after another."""
-    have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for group, owners, counts, windows in zip(*(batch.column(c).to_pylist() for c in ("group", "owners", "counts", "windows"))):
-            have.setdefault(group, []).append((np.repeat(np.frombuffer(owners, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32)), np.frombuffer(windows, dtype=np.uint64)))
-    for parts in have.values():
+    for _, rows in _by_key(batches, "group", ["owners", "counts", "windows"]):
+        parts = [(np.repeat(np.frombuffer(owners, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32)), np.frombuffer(windows, dtype=np.uint64)) for owners, counts, windows in rows]
         windows, owner, at = _by_owner(*(np.concatenate(x) for x in zip(*parts)))
         for k in range(0, len(owner), 5000):
             yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[k : k + 5000], pa.int64()), "owned": binary_slices(windows, at[k : k + 5001])})
@@ -222,10 +228,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     if width < PERIOD:
         raise ValueError(f"width is at least {PERIOD}")
-    buckets = shuffle_partitions(spark)
     source = id_and_text(docs, id_col, text_col)
+    characters = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-characters // BUCKET_CHARS))
     sent = source.select("text").mapInArrow(lambda it: _send_anchors(it, buckets, width), "bucket int, low binary")
-    repeated = materialize(sent.repartition(buckets, "bucket").mapInArrow(_repeated_anchors, "bucket int, n long, low binary"), "anchors")
+    repeated = materialize(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_anchors, "bucket int, n long, low binary"), "anchors")
     n = repeated.agg(F.sum("n")).first()[0] or 0
     bits = min(max(1 << 10, 1 << (BITS_EACH * n // buckets).bit_length()), MOST_BITS // buckets) // 8 * 8
     packed = np.zeros(buckets * bits // 8, dtype=np.uint8)
@@ -233,8 +240,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         packed[row["bucket"] * bits // 8 : (row["bucket"] + 1) * bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     shared = spark.sparkContext.broadcast((packed, bits, buckets))
     windows = source.mapInArrow(lambda it: _send_windows(it, buckets, width, shared), "bucket int, h binary, h2 binary, docs binary, counts binary")
-    bundles = windows.repartition(buckets, "bucket").mapInArrow(lambda it: _owners(it, buckets), "group int, owners binary, counts binary, windows binary")
-    owned = bundles.repartition(buckets, "group").mapInArrow(_gather_owned, "owner long, owned binary")  # a row for each owner
+    bundles = windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _owners(it, buckets), "group int, owners binary, counts binary, windows binary")
+    owned = bundles.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(_gather_owned, "owner long, owned binary")  # a row for each owner
     joined = source.join(owned, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner"), "left").select("doc_id", "text", "owned")
     return joined.mapInArrow(lambda it: _kept(it, width, shared), "doc_id long, kept binary, n_words long, n_removed long").select("doc_id", F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed")
 
