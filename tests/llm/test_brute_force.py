@@ -9,11 +9,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from tabverity.llm import bpe, jaccard, language, neighbours, queries, substring, tokenfiles
+import corpus_pipeline
+from tabverity.llm import bpe, jaccard, language, lines, neighbours, quality, queries, substring, tokenfiles
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -39,25 +41,8 @@ def test_windows(spark, texts):
         assert got[i]["kept_sha256"] == substring.sha256([x for k, x in enumerate(w) if k not in gone])
 
 
-@needs_data
-@pytest.mark.parametrize("block", [4096, 3])
-def test_links(spark, monkeypatch, texts, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    traversed = []
-    whole = jaccard.tree_pairs
-    monkeypatch.setattr(jaccard, "tree_pairs", lambda groups, *a, **k: traversed.append(groups.count()) or whole(groups, *a, **k))
-    rng = random.Random(3)
-    more = dict(texts)
-    for k in range(60):  # near copies on both sides of the threshold
-        words = rng.choice(list(texts.values())).split()[:200]
-        for _ in range(rng.randint(0, max(1, len(words) // 25))):
-            if words:
-                words[rng.randrange(len(words))] = f"w{rng.random()}"
-        more[100_000 + k] = " ".join(words)
-    sets = {}
-    for i, t in more.items():
-        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+def linked(sets: dict) -> dict:
+    """Smallest id that links reach, by comparing all sets that share a shingle."""
     parent = {i: i for i in sets}
 
     def root(x):
@@ -74,9 +59,34 @@ def test_links(spark, monkeypatch, texts, block):
             if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}
+
+
+def shingles(text: str) -> set:
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+@needs_data
+@pytest.mark.parametrize("block", [4096, 3])
+def test_links(spark, monkeypatch, texts, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    traversed = []
+    whole = jaccard.tree_pairs
+    monkeypatch.setattr(jaccard, "tree_pairs", lambda groups, *a, **k: traversed.append(groups.count()) or whole(groups, *a, **k))
+    rng = random.Random(3)
+    more = dict(texts)
+    for k in range(60):  # near copies on both sides of the threshold
+        words = rng.choice(list(texts.values())).split()[:200]
+        for _ in range(rng.randint(0, max(1, len(words) // 25))):
+            if words:
+                words[rng.randrange(len(words))] = f"w{rng.random()}"
+        more[100_000 + k] = " ".join(words)
+    sets = {i: shingles(t) for i, t in more.items()}
+    roots = linked(sets)
     df = spark.createDataFrame(list(more.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == {i: (len(s), roots[i]) for i, s in sets.items()}
     assert all(n > 0 for n in traversed) and len(traversed) == 2
 
 
@@ -104,8 +114,7 @@ def test_signature_trees_lose_no_link(spark, block):
     assert near <= got and near
 
 
-@needs_data
-def test_benchmark_windows(spark, texts):
+def benchmark_patterns(spark) -> dict:
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     patterns: dict[tuple, set] = {}
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
@@ -113,6 +122,71 @@ def test_benchmark_windows(spark, texts):
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             patterns.setdefault(tuple(w[k : k + n]), set()).add(str(r["item_id"]))
+    return patterns
+
+
+@needs_data
+def test_pipeline(spark):
+    """All stages in a row: language by the operator, the rest by SQL, brute force and the library."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizer = bpe.load_tokenizer(tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.identify_language(spark, docs, SF).select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("kept", kept)
+    cut = dict(con.sql(f"SELECT doc_id, text FROM ({lines.dedup_sql('kept')})").fetchall())
+    roots = linked({i: shingles(t) for i, t in sorted(cut.items())})
+    patterns = benchmark_patterns(spark)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def clean(text: str) -> bool:
+        w = word.findall(text.translate(LOWER))
+        return not any(tuple(w[k : k + n]) in patterns for n in {len(p) for p in patterns} for k in range(len(w) - n + 1))
+
+    left = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in cut.items() if roots[i] == i and clean(t)}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {i: (len(x), sha(" ".join(map(str, x)))) for i, x in left.items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert 0 < len(want) < len(kept) and got == want
+
+
+@needs_data
+def test_base_spans_and_digests(spark, texts):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def valid(kind: str, m: str) -> bool:
+        digits = [int(c) for c in m if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            doubled = [d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    rows = {r["doc_id"]: r for r in queries.op9_pii(spark, SF).collect()}
+    for i, t in texts.items():
+        found = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert [rows[i][f"n_{k}"] for k in kinds] == [sum(f[0] == k for f in found) for k in kinds]
+        assert rows[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) - {""} <= set(rows[i]["spans"].split(","))
+
+
+@needs_data
+def test_scores_are_those_of_the_rules(spark, texts):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    values = quality.statistics([t.encode() for t in texts.values()])
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for i, row in zip(texts, values):
+        v = dict(zip(quality.STATISTICS, row))
+        total = model.intercept + sum(w for bounds, w in model.rules if all((v[n] <= t) if upper else (v[n] > t) for n, upper, t in bounds))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+@needs_data
+def test_benchmark_windows(spark, texts):
+    word, patterns = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), benchmark_patterns(spark)
     got = {r["doc_id"]: r for r in queries.op7_decontamination(spark, SF).collect()}
     for i, t in texts.items():
         w = word.findall(t.translate(LOWER))
