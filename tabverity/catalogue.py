@@ -334,7 +334,9 @@ def chi_square_stat(spark, sf_dir):
     return divergence.chi_square(*halves(spark, sf_dir, "orders"), ORDER_CATS)
 
 
-@query()
+# 3 and 5 levels: with 2 and 4 degrees of freedom the tail has a closed form
+@query("SELECT \"column\", round(exp(-x / 2) * CASE WHEN freedom = 2 THEN 1 ELSE 1 + x / 2 END, 6) AS p_value FROM (" + union([f"""SELECT '{c}' AS "column", sum((q - p) * (q - p) / p) AS x, count(*) - 1 AS freedom FROM (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM (
+SELECT {c}, count(*) FILTER (o_orderkey % 2 = 0) AS p, count(*) FILTER (o_orderkey % 2 = 1) AS q FROM orders GROUP BY 1)) WHERE p > 0""" for c in ORDER_CATS]) + ")")
 def chi_square_p(spark, sf_dir):
     return divergence.chi_square_p(*halves(spark, sf_dir, "orders"), ORDER_CATS)
 
@@ -558,9 +560,9 @@ def format_value_(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", format_value(F.col("s_suppkey") / F.lit(4.0)).alias("text"))
 
 
-@query("SELECT '(' || '0.25' || ', ' || '0.5' || ')' AS interval")
+@query("SELECT s_suppkey, '(' || CAST(s_suppkey / 8 AS VARCHAR) || ', ' || CAST(s_suppkey / 4 AS VARCHAR) || ')' AS interval FROM supplier")
 def format_interval_(spark, sf_dir):
-    return spark.range(1).select(format_interval(F.lit(0.25), F.lit(0.5)).alias("interval"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", format_interval(F.col("s_suppkey") / F.lit(8.0), F.col("s_suppkey") / F.lit(4.0)).alias("interval"))
 
 
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS value FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
@@ -569,9 +571,16 @@ def results_upsert(spark, sf_dir):
     return report.upsert(df.where("key % 2 = 0"), df.where("key % 3 = 0").withColumn("value", F.col("value") + 1), ["key"])
 
 
-@query("SELECT metric_type, CAST(place AS BIGINT) AS place FROM (VALUES " + ", ".join(f"('{f}', {k})" for k, f in enumerate(report.FAMILIES, 1)) + f", ('Other', {len(report.FAMILIES) + 1})) AS t(metric_type, place)")
+FAMILY_LIST = "[" + ", ".join(f"'{f}'" for f in report.FAMILIES) + "]"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 < {len(report.FAMILIES)} THEN {FAMILY_LIST}[CAST(o_orderkey % 13 + 1 AS INT)] ELSE o_orderpriority END AS metric_type FROM orders)
+SELECT metric_type, CAST(CASE WHEN list_contains({FAMILY_LIST}, metric_type) THEN list_position({FAMILY_LIST}, metric_type) ELSE {len(report.FAMILIES) + 1} END AS BIGINT) AS place, count(*) AS n FROM r GROUP BY ALL""")
 def metric_order(spark, sf_dir):
-    return report.in_order(spark.createDataFrame([(f,) for f in [*report.FAMILIES, "Other"]], "metric_type string")).withColumn("place", F.col("place").cast("long"))
+    """Result rows of all families, and of others, by their place."""
+    family = F.get(F.array(*map(F.lit, report.FAMILIES)), (F.col("o_orderkey") % 13).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.coalesce(family, "o_orderpriority").alias("metric_type"))
+    return report.in_order(rows).groupBy("metric_type", F.col("place").cast("long").alias("place")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, p_retailprice, p_size FROM part t WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size >= t.p_size AND o.p_retailprice <= t.p_retailprice AND (o.p_size > t.p_size OR o.p_retailprice < t.p_retailprice))")

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import AUX, CUST, LINE_NUMS, halves, query, table, union, with_nulls
-from .operators import attacks, prepare, profile, report, split
+from .catalogue import AUX, CUST, LINE_NUMS, ORDER_CATS, halves, query, table, union, with_nulls
+from .operators import attacks, prepare, profile, report, split, synthesis
 from .plans import runs, search
 from .sources.tables import Roles, TableSet, shared_dir
 
@@ -299,3 +299,36 @@ def genetic_search(spark, sf_dir):
     tables, path = _parts(spark, sf_dir), f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
     space = search.Space({"part": Part}, {"part": {"most": [5, 20, 50]}})
     return search.genetic_search(TableSet(tables.real, {}, None, tables.roles), space, {"Basic Quality": ["Column Shapes"]}, path, n_trials=5)
+
+
+# synthesis
+
+QUOTAS = "SELECT o_orderstatus, CAST(round(count(*) / (SELECT count(*) FROM orders) * 300) AS BIGINT) AS n FROM orders GROUP BY 1"
+
+
+def _quotas(spark: SparkSession, sf_dir: str) -> dict[object, int]:
+    return {r["class"]: r["num_rows"] for r in profile.class_quota(table(spark, sf_dir, "orders"), "o_orderstatus", 300).collect()}  # one row a class
+
+
+@query(QUOTAS)
+def copula_by_quota(spark, sf_dir):
+    """300 synthetic rows in the classes' shares."""
+    model = synthesis.GaussianCopula(["o_totalprice"], ORDER_CATS, target="o_orderstatus")
+    model.fit(table(spark, sf_dir, "orders"))
+    return model.generate(300, _quotas(spark, sf_dir)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query(QUOTAS)
+def forest_by_quota(spark, sf_dir):
+    model = synthesis.ForestDensity(["o_totalprice"], ORDER_CATS, trees=5, rounds=1, target="o_orderstatus")
+    model.fit(table(spark, sf_dir, "orders"))
+    return model.generate(300, _quotas(spark, sf_dir)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT true AS within, true AS large, true AS sums_to_one")
+def forest_leaves(spark, sf_dir):
+    """Leaves after pruning: observed values lie within their bounds, none has under 20 rows, coverages sum to 1."""
+    model = synthesis.ForestDensity(["o_totalprice"], ORDER_CATS, trees=5, rounds=1, min_node_size=20)
+    model.fit(table(spark, sf_dir, "orders"))
+    stats = model.stats.agg(F.bool_and((F.col("low") <= F.col("mean") + 1e-6) & (F.col("mean") <= F.col("high") + 1e-6)).alias("within"))
+    return stats.crossJoin(model.coverage.agg((F.min("n") >= 20).alias("large"), (F.abs(F.sum("coverage") - 1) < 1e-9).alias("sums_to_one")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 from typing import Protocol
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from . import split
 from .profile import exact_quantiles
 
 #: Points of each marginal distribution that the copula keeps.
@@ -39,6 +41,9 @@ class Identity:
         self.df = df
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
+        """The first rows; conditions aren't known here."""
+        if conditions:
+            raise ValueError("this synthesizer has no target that conditions could be on")
         return self.df.limit(rows)
 
 
@@ -54,6 +59,28 @@ def with_nulls(values: np.ndarray, rate: float, stream: list[int]) -> np.ndarray
     return np.where(np.random.default_rng(stream).random(len(values)) < rate, np.nan, values)
 
 
+#: Rounds of draws after which quotas that are still short are an error.
+QUOTA_ROUNDS = 20
+
+
+def by_quota(draw, target: str, quotas: dict[object, int]) -> DataFrame:
+    """As many rows of each class as asked for, of draws ``draw(first, rows)``: more are drawn until all quotas are full.
+
+    A class that draws hardly ever give is an error after QUOTA_ROUNDS rounds, each twice as large as the one before.
+    """
+    wanted, rows = sum(quotas.values()), max(2 * sum(quotas.values()), 100)
+    for _ in range(QUOTA_ROUNDS):
+        made = draw(0, rows)
+        have = {r[0]: r[1] for r in made.groupBy(target).agg(F.count("*")).collect()}  # one row a class
+        if all(have.get(c, 0) >= n for c, n in quotas.items()):
+            quota = F.lit(0)
+            for c, n in quotas.items():
+                quota = F.when(F.col(target) == c, n).otherwise(quota)
+            return split.take_first(made, quota, "row_id", 0, [target]).where("taken").drop("taken")
+        rows *= 2
+    raise ValueError(f"{wanted} rows by {target} can't be drawn: {quotas} asked for, {have} of {rows // 2} rows")
+
+
 class GaussianCopula:
     """Marginals as exact quantile grids and level shares, dependence as the correlation of normal scores.
 
@@ -64,8 +91,8 @@ class GaussianCopula:
 
     name = "gaussian_copula"
 
-    def __init__(self, numeric: list[str], categorical: list[str], seed: int = 42) -> None:
-        self.numeric, self.categorical, self.seed = numeric, categorical, seed
+    def __init__(self, numeric: list[str], categorical: list[str], seed: int = 42, target: str | None = None) -> None:
+        self.numeric, self.categorical, self.seed, self.target = numeric, categorical, seed, target
 
     def fit(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
@@ -108,6 +135,10 @@ class GaussianCopula:
         return df.select(*numeric, *categorical).mapInPandas(score, ", ".join(f"`{c}` double" for c in [*numeric, *categorical]))
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
+        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say."""
+        return by_quota(self._draw, _target(self), conditions) if conditions else self._draw(0, rows)
+
+    def _draw(self, first: int, rows: int) -> DataFrame:
         grids, levels, numeric, categorical, seed, factor = self.grids, self.levels, self.numeric, self.categorical, self.seed, self.factor
         cdf, rates = np.vectorize(NormalDist().cdf), self.null_rates
 
@@ -124,7 +155,64 @@ class GaussianCopula:
                 yield pd.DataFrame(out)
 
         schema = "row_id long, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in categorical])
-        return self.spark.range(rows).mapInPandas(draw, schema)
+        return self.spark.range(first, first + rows).mapInPandas(draw, schema)
+
+
+def _target(model) -> str:
+    if model.target is None:
+        raise ValueError("conditions need a target column")
+    return model.target
+
+
+#: A line of a tree as Spark prints it: indent, and a split by threshold or by a set of levels, or a leaf.
+_LINE = re.compile(r"(\s*)(?:(?:If|Else) \(feature (\d+) (<=|>|in|not in) ([^)]*)\)|(Predict): .*)")
+
+
+def leaf_paths(description: str) -> list[list[tuple[int, str, object]]]:
+    """The splits above each leaf of a tree, from the root on, leaves in Spark's order; ``description`` is its toDebugString."""
+    paths, path = [], []
+    for line in description.splitlines():
+        if not (m := _LINE.match(line)):
+            continue
+        path = [p for p in path if p[0] < len(m[1])]
+        if m[5]:
+            paths.append([p[1] for p in path])
+        else:
+            value = float(m[4]) if m[3] in ("<=", ">") else frozenset(float(x) for x in m[4].strip("{}").split(",") if x)
+            path.append((len(m[1]), (int(m[2]), m[3], value)))
+    return paths
+
+
+def leaf_bounds(path: list[tuple[int, str, object]], n_features: int) -> list[tuple[float, float]]:
+    """Lower and upper bound of each feature in a leaf; infinite where no split bounds it."""
+    bounds = [[-np.inf, np.inf] for _ in range(n_features)]
+    for feature, sign, value in path:
+        if sign == "<=":
+            bounds[feature][1] = min(bounds[feature][1], value)
+        elif sign == ">":
+            bounds[feature][0] = max(bounds[feature][0], value)
+    return [tuple(b) for b in bounds]
+
+
+def prune(paths: list[list[tuple]], counts: dict[int, int], least: int) -> dict[int, int]:
+    """For each leaf the leaf that stands for it: leaves with under ``least`` rows are merged up to their parent.
+
+    All leaves below a parent that was made a leaf are the first of them.
+    """
+    group = {k: tuple(p) for k, p in enumerate(paths)}  # the node, by its path, that a leaf belongs to
+    while True:
+        rows: dict[tuple, int] = {}
+        for k, node in group.items():
+            rows[node] = rows.get(node, 0) + counts.get(k, 0)
+        small = [node for node, n in rows.items() if n < least and node]
+        if not small:
+            break
+        parent = max(small, key=len)[:-1]  # the deepest first
+        group = {k: parent if node[: len(parent)] == parent else node for k, node in group.items()}
+    first: dict[tuple, int] = {}
+    for k in sorted(group):
+        first.setdefault(group[k], k)
+    return {k: first[node] for k, node in group.items()}
 
 
 def leaf_numbers(df: DataFrame, tree: str, leaf: str) -> DataFrame:
@@ -148,19 +236,29 @@ def level_probability(df: DataFrame, leaf: list[str], column: str, smoothing: fl
     return grid.join(counts, [*leaf, "value"], "left").select(*leaf, "value", ratio(F.coalesce("n", F.lit(0)) + smoothing, F.col("all") + smoothing * F.col("levels")).alias("prob"))
 
 
+def bounded(stats: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Statistics of leaves with the bounds that splits give in place of the observed range, where they are finite."""
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    joined = stats.join(bounds, ["tree", "leaf", "variable"], "left")
+    return joined.withColumns({"low": F.coalesce(finite("bound_low"), "low"), "high": F.coalesce(finite("bound_high"), "high")}).drop("bound_low", "bound_high")
+
+
 class ForestDensity:
     """Adversarial random forest: a forest that tells real rows from rows of shuffled columns gives leaves, leaves give densities.
 
     Every column is shuffled by drawing it, independently, from the leaf of a random row; rounds end when the forest's
     hold-out accuracy is a coin's, or after ``rounds``; ``depth`` bounds the trees. Nulls of numeric columns are imputed by
-    the median and drawn again by the column's share of them; null levels are the level "missed". Sampling draws leaves by coverage, numbers from normals cut to the leaf's range, and
-    levels by the leaf's shares.
+    the median and drawn again by the column's share of them; null levels are the level "missed". Leaves with under
+    ``min_node_size`` real rows are merged into their parent. Sampling draws leaves by coverage, numbers from normals cut
+    to the leaf's bounds (its observed range where no split bounds it), and levels by the leaf's shares, smoothed by
+    ``alpha``.
     """
 
     name = "forest_density"
 
-    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 30, depth: int = 5, rounds: int = 10, seed: int = 42) -> None:
+    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 30, depth: int = 5, rounds: int = 10, seed: int = 42, target: str | None = None, min_node_size: int = 5, alpha: float = 0.0) -> None:
         self.numeric, self.categorical, self.trees, self.depth, self.rounds, self.seed = numeric, categorical, trees, depth, rounds, seed
+        self.target, self.min_node_size, self.alpha = target, min_node_size, alpha
 
     def fit(self, df: DataFrame) -> None:
         from pyspark.ml import Pipeline
@@ -188,11 +286,27 @@ class ForestDensity:
             by = "leaf"
             if accuracy <= 0.5:
                 break
-        rows = leafed.select(*columns, F.posexplode("leaf").alias("tree", "leaf"))
+        rows = leafed.select(*columns, F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+        paths = [leaf_paths(t.toDebugString) for t in forest.trees]
+        counts: dict[int, dict[int, int]] = {}
+        for r in rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():  # a row for each leaf of a bounded forest
+            counts.setdefault(r["tree"], {})[r["leaf"]] = r["n"]
+        merged = {t: prune(p, counts.get(t, {}), self.min_node_size) for t, p in enumerate(paths)}
+        self.merged = self.spark.createDataFrame([(t, k, g) for t, m in merged.items() for k, g in m.items()], "tree int, leaf int, stands int")
+        # A merged leaf's bounds are those of all leaves in it.
+        limits: dict[tuple, tuple[float, float]] = {}
+        for t, p in enumerate(paths):
+            for k, path in enumerate(p):
+                for c, (low, high) in zip(self.numeric, leaf_bounds(path, len(columns))):
+                    key = (t, merged[t][k], c)
+                    have = limits.get(key, (np.inf, -np.inf))
+                    limits[key] = (min(have[0], low), max(have[1], high))
+        self.bounds = self.spark.createDataFrame([(*k, float(a), float(b)) for k, (a, b) in limits.items()], "tree int, leaf int, variable string, bound_low double, bound_high double")
+        rows = rows.join(F.broadcast(self.merged), ["tree", "leaf"]).withColumn("leaf", F.col("stands")).drop("stands")  # a bounded forest
         total = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
         self.coverage = total.withColumn("coverage", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a leaf
-        self.stats = leaf_stats(rows, ["tree", "leaf"], self.numeric) if self.numeric else None
-        self.probabilities = {c: level_probability(rows, ["tree", "leaf"], c) for c in self.categorical}
+        self.stats = bounded(leaf_stats(rows, ["tree", "leaf"], self.numeric), self.bounds) if self.numeric else None
+        self.probabilities = {c: level_probability(rows, ["tree", "leaf"], c, self.alpha) for c in self.categorical}
 
     def _shuffled(self, rows: DataFrame, columns: list[str], by: str | None, k: int) -> DataFrame:
         """Each column in an order of its own, within the leaf of a random tree if there is one."""
@@ -206,6 +320,10 @@ class ForestDensity:
         return out
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
+        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say."""
+        return by_quota(self._draw, _target(self), conditions) if conditions else self._draw(0, rows)
+
+    def _draw(self, first: int, rows: int) -> DataFrame:
         leaves = self.coverage.orderBy("tree", "leaf").toPandas()  # one row a leaf of a bounded forest
         edges = np.cumsum(leaves["coverage"].to_numpy())
         stats = {} if self.stats is None else {(r.tree, r.leaf, r.variable): r for r in self.stats.toPandas().itertuples()}
@@ -237,7 +355,7 @@ class ForestDensity:
                 yield pd.DataFrame(out)
 
         schema = "row_id long, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in categorical])
-        return self.spark.range(rows).mapInPandas(draw, schema)
+        return self.spark.range(first, first + rows).mapInPandas(draw, schema)
 
 
 def synthesizers(spark: SparkSession, numeric: list[str], categorical: list[str]) -> dict[str, Synthesizer]:

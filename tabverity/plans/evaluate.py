@@ -167,7 +167,8 @@ def _risk(tables: TableSet, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
 def evaluate(tables: TableSet, families: list[str] | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Rows (metric_type, metric, model_name, value) of all families and models that ``stored`` doesn't have yet.
 
-    A family that fails for a model is logged and left out; unknown families are skipped with a warning.
+    A family that fails for a model is logged and has one row without a value; unknown families are skipped with a
+    warning. ``runs.run_synthetic`` does the same with a store, so that a lost driver loses no finished family.
     """
     spark = tables.real.sparkSession
     have = {(r["metric_type"], r["model_name"]) for r in stored.select("metric_type", "model_name").distinct().collect()} if stored is not None else set()
@@ -184,6 +185,7 @@ def evaluate(tables: TableSet, families: list[str] | None = None, stored: DataFr
                 rows.append(spark.createDataFrame(one.collect(), one.schema))  # one row a metric
             except Exception:
                 log.exception("family %s failed for %s", name, model)
+                rows.append(spark.createDataFrame([(name, name, model, None)], "metric_type string, metric string, model_name string, value double"))
     if not rows:
         return spark.createDataFrame([], "metric_type string, metric string, model_name string, value double")
     return reduce(DataFrame.unionByName, rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabverity.functions import scalars
 from tabverity.operators import attacks, distance, divergence, encode, likelihood, privacy, profile, quality, report, split, synthesis
-from tabverity.plans import evaluate
+from tabverity.plans import evaluate, runs, search
 from tabverity.sources import tables
 
 
@@ -231,3 +231,79 @@ def test_synthesis_keeps_rows_with_nulls(spark):
         missing = got["s"].isna() | (got["s"] == "missed")
         assert 0.15 < missing.mean() < 0.35
     assert (synthesis.ForestDensity(numeric, []).trees, synthesis.ForestDensity(numeric, []).rounds) == (30, 10)
+
+
+TREE = """DecisionTreeClassificationModel: depth=2, numNodes=5
+  If (feature 0 <= 1.5)
+   If (feature 1 in {0.0,2.0})
+    Predict: 0.0
+   Else (feature 1 not in {0.0,2.0})
+    Predict: 1.0
+  Else (feature 0 > 1.5)
+   If (feature 0 <= 4.0)
+    Predict: 0.0
+   Else (feature 0 > 4.0)
+    Predict: 1.0
+"""
+
+
+def test_leaves_of_a_printed_tree():
+    paths = synthesis.leaf_paths(TREE)
+    assert [len(p) for p in paths] == [2, 2, 2, 2]
+    assert paths[0][1] == (1, "in", frozenset({0.0, 2.0})) and paths[1][1][1] == "not in"
+    inf = float("inf")
+    assert [synthesis.leaf_bounds(p, 2)[0] for p in paths] == [(-inf, 1.5), (-inf, 1.5), (1.5, 4.0), (4.0, inf)]
+    assert synthesis.prune(paths, {0: 9, 1: 9, 2: 9, 3: 2}, 5) == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert synthesis.prune(paths, {0: 1, 1: 1, 2: 9, 3: 9}, 5) == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert synthesis.prune(paths, {0: 9, 1: 9, 2: 9, 3: 9}, 5) == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_quotas_that_can_not_be_drawn(spark, monkeypatch):
+    monkeypatch.setattr(synthesis, "QUOTA_ROUNDS", 2)
+    draw = lambda first, rows: spark.range(first, first + rows).selectExpr("id row_id", "if(id % 10 = 0, 'rare', 'usual') c")
+    assert {r["c"]: r["count"] for r in synthesis.by_quota(draw, "c", {"rare": 7, "usual": 20}).groupBy("c").count().collect()} == {"rare": 7, "usual": 20}
+    with pytest.raises(ValueError, match="can't be drawn"):
+        synthesis.by_quota(draw, "c", {"absent": 1})
+    with pytest.raises(ValueError, match="target"):
+        synthesis.GaussianCopula(["x"], []).generate(5, {"a": 1})
+
+
+def test_searches_by_fronts():
+    assert search.fronts([[1, 1], [2, 2], [2, 1], [0, 3]]) == [2, 0, 1, 0]
+    assert search.crowding([[0.0], [1.0], [3.0]])[1] == 1.0
+    space = search.Space({"a": dict, "b": dict}, {"a": {"x": [1, 2], "y": [3]}})
+    assert space.every() == [{"model": "a", "x": 1, "y": 3}, {"model": "a", "x": 2, "y": 3}, {"model": "b"}]
+    assert search.trial_folder("p", 3, {"model": "a", "x": 1, "y": 3}) == "p/trials/trial-3_a_x-1_y-3"
+
+
+def test_modes_and_roles(spark):
+    assert runs.parse_mode("Only Original") == "onlyoriginal" and runs.parse_mode(None) == "runall"
+    with pytest.raises(ValueError, match="none of"):
+        runs.parse_mode("some")
+    bare = tables.TableSet(frame(spark, [(1,)], "k long"))
+    assert runs.missing_roles(bare, ["Linkability", "Basic Quality"]) == {"Linkability": ["id", "aux"]}
+    with pytest.raises(ValueError, match="Inference needs id, secret"):
+        runs.validate(bare, ["Inference"])
+
+
+def test_a_run_resumes_and_updates(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setitem(evaluate.REGISTRY, "Counted", lambda t, s: calls.append(1) or s.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), "value"))
+    monkeypatch.setitem(evaluate.REGISTRY, "Broken", lambda t, s: (_ for _ in ()).throw(ValueError("no such column")))
+    real = frame(spark, [(k, "a" if k % 2 else "b") for k in range(10)], "k long, c string")
+    one = tables.TableSet(real, {"m": real.limit(4)}, None, tables.Roles(id="k"))
+    store = runs.Store(spark, str(tmp_path / "store"))
+    first = {r["metric_type"]: (r["value"], r["status"]) for r in runs.run_synthetic(one, store, ["Counted", "Broken"]).collect()}
+    assert first == {"Counted": (4.0, "ok"), "Broken": (None, "failed: no such column")}
+    runs.run_synthetic(one, store, ["Counted", "Broken"])
+    assert len(calls) == 1
+    more = tables.TableSet(real, {"m": real.limit(6)}, None, one.roles)
+    assert {r["metric_type"]: r["value"] for r in runs.update(more, store, "Counted").collect()} == {"Counted": 6.0, "Broken": None}
+    original = runs.run_original(one, store, ["Counted"]).where("model_name = 'Original'").collect()
+    assert [r["value"] for r in original] == [5.0]
+    store.save_config({"mode": "runall"})
+    assert runs.Store(spark, str(tmp_path / "store")).config() == {"mode": "runall"}
+    store.export_csv(str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["metric_type", "metric", "Original", "m"]
+    done = runs.run(frame(spark, [(k, "a" if k % 2 else "b", float(k)) for k in range(60)], "k long, c string, x double"), tables.Roles(id="k", target=None), [synthesis.GaussianCopula(["x"], ["c"])], str(tmp_path / "whole"), runs.Settings(families=["Counted"]))
+    assert {r["model_name"]: r["value"] for r in done.collect()} == {"gaussian_copula": 48.0, "Original": 24.0}
