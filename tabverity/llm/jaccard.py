@@ -539,3 +539,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of_class = named.join(smallest, "component").select("class", "component_id")
     return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates_sql(ngram: int = NGRAM, percent: int = PERCENT) -> str:
+    """The same in DuckDB's SQL, for tables of one row for each id."""
+    return f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + n - 1], ' ')) AS s FROM (SELECT doc_id, w, least({ngram}, len(w)) AS n, unnest(range(1, len(w) - least({ngram}, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM edge UNION SELECT edge.b, reach.root FROM reach JOIN edge ON reach.node = edge.a),
+least_ AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least_ ON node = doc_id"""

@@ -80,4 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.dedup_sql()}
+    return {
+        "op2_line_dedup": lines.dedup_sql(), "op7_decontamination": decontaminate.contamination_sql(), "op8_substring_dedup": substring.repeats_sql(),
+        "op10_ngram_jaccard": jaccard.near_duplicates_sql(),
+    }

@@ -252,3 +252,16 @@ def repeats_digest(kept: DataFrame) -> DataFrame:
 
 def sha256(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def repeats_sql(width: int = WIDTH) -> str:
+    """The digest in DuckDB's SQL, for tables of one row for each id."""
+    return f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {width - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM doc WHERE len(w) >= {width})),
+owner AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT doc_id, i FROM win JOIN owner USING (h) WHERE doc_id > d),
+marked AS (SELECT w.doc_id, w.i, w.word, count(g.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW) > 0 AS out FROM word w LEFT JOIN gone g USING (doc_id, i)),
+done AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT out), '') AS kept FROM marked GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN done USING (doc_id)"""

@@ -200,6 +200,28 @@ def test_benchmark_windows(spark, texts):
         assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+@needs_data
+def test_languages_match_a_plain_search(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    for i, t in [*texts.items()][:60]:
+        letters = language.Letters([t.encode()])
+        scores, told = language.word_scores(letters, model)
+        best = [(v, [k]) for k, v in enumerate(scores[0])] if len(scores) else []
+        for row in scores[1:]:
+            best = [max(((v - language.SWITCH_PENALTY * (k != p[-1]) + row[k], [*p, k]) for v, p in best), key=lambda x: x[0]) for k in range(len(row))]
+        weight = np.zeros(len(model.languages))
+        for k, n, s in zip(max(best, key=lambda x: x[0])[1] if best else [], letters.length, told):
+            weight[k] += n * s
+        if weight.sum():
+            assert got[i]["score"] == pytest.approx(weight.max() / weight.sum(), abs=0.02)
+            assert got[i]["lang_pred"] == model.languages[weight.argmax()]
+            assert sum(s["end"] - s["start"] for s in got[i]["spans"]) <= len(t)
+        else:
+            assert got[i]["lang_pred"] in ("und", model.languages[model.usual])
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     rows = queries.op1_language_id(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
