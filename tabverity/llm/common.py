@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once; a longer text makes a batch of its own.
 BATCH_BYTES = 1 << 19
-#: Rows of texts that Spark hands to Python at once at most, so that a batch has a few megabytes.
-ARROW_ROWS = 2000
+#: Rows of texts, and bytes, that Spark hands to Python at once at most.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,6 +40,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
