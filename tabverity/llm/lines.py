@@ -77,11 +77,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = materialize(repeated.where("n > 1 and low = high").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "n"), "repeated-chunks")
     # Chunks that make a thousandth of all repeated ones each are a thousand at most: they don't meet their rows by key.
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot, rest = repeated.where(F.col("n") * HOT > total), repeated.where(F.col("n") * HOT <= total)
-    same, later = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), ~F.struct("_id", "no").eqNullSafe(F.col("first"))
-    places = chunks.drop("body")
-    known = places.join(F.broadcast(hot), same, "left")
-    again = known.where(F.col("r1").isNotNull() & later).select("_id", "_row", "no").unionByName(known.where("r1 is null").select(*places.columns).join(rest, same).where(later).select("_id", "_row", "no"))
+    hot = repeated.where(F.col("n") * HOT > total).drop("n")
+    rest = repeated.where(F.col("n") * HOT <= total).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.col("first").alias("q_first"))
+    known = chunks.drop("body").join(F.broadcast(hot), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
+    # Their places are spread by keys of their own.
+    spread = known.withColumn("key", F.when(F.col("r1").isNull(), F.col("h1")).otherwise(F.xxhash64("_id", "_row", "no")))
+    met = spread.join(rest, (F.col("key") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left").withColumn("first", F.coalesce("first", "q_first"))
+    again = met.where(F.col("first").isNotNull() & ~F.struct("_id", "no").eqNullSafe(F.col("first"))).select("_id", "_row", "no")
     # A document's own chunks: bounded by its text.
     gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("no").alias("_gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["g_id"]) & (F.xxhash64(docs[text_col]) == gone["g_row"]), "left")
