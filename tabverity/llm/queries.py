@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, lines, neighbours, pii, quality, substring, tokenfiles
+from . import bpe, decontaminate, jaccard, language, lines, negatives, neighbours, pii, quality, substring, tokenfiles
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe, "op6_token_output": op6_token_output, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
@@ -83,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": lines.dedup_sql(), "op7_decontamination": decontaminate.contamination_sql(), "op8_substring_dedup": substring.repeats_sql(),
         "op10_ngram_jaccard": jaccard.near_duplicates_sql(),
+        "op11_hard_negatives": negatives.hard_negatives_sql(),
     }
