@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, lines, negatives, neighbours, pii, quality, simhash, substring, tokenfiles
+from . import audit, bpe, decontaminate, jaccard, language, lines, negatives, neighbours, pii, quality, simhash, substring, tokenfiles
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_simhash": op12_simhash,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -95,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": lines.dedup_sql(), "op7_decontamination": decontaminate.contamination_sql(), "op8_substring_dedup": substring.repeats_sql(),
         "op10_ngram_jaccard": jaccard.near_duplicates_sql(),
         "op11_hard_negatives": negatives.hard_negatives_sql(),
+        "op13_source_divergence": audit.audit_sql(),
     }
