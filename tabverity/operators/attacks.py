@@ -2,70 +2,29 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
-from . import models, split
+from . import models, nearest, split
 from .profile import exact_quantiles
 
 #: 0.975 quantile of the normal distribution.
 Z = 1.959964
-BLOCK_ROWS = 4096
-#: Rows of a block that are compared with another block at once.
-CHUNK_ROWS = 256
 
 
 def gower_neighbours(left: DataFrame, right: DataFrame, id_col: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
-    """Rows (id, neighbours): the k nearest right rows (id, distance) of each left row, by mean Gower distance; ties by id.
+    """Rows (id, neighbours): the k nearest right rows (d, id) of each left row, by mean Gower distance; ties by id.
 
     Numbers differ by their share of the range over both tables, categories by 0 or 1; a null differs from everything.
-    Right rows come in blocks; each block gives its k nearest.
     """
-    both = left.select(*numeric).unionByName(right.select(*numeric)) if numeric else None
-    spans = both.agg(*(x.cast("double").alias(f"_{n}_{c}") for c in numeric for n, x in (("w", F.max(c) - F.min(c)),))).first() if numeric else None
-    width = np.array([(spans[f"_w_{c}"] or 0) or 1.0 for c in numeric], dtype=float)
-    row = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.array(*(F.col(c).cast("double") for c in numeric)).cast("array<double>").alias("x"), F.array(*(F.col(c).cast("string") for c in categorical)).cast("array<string>").alias("c"))
-    blocks, parts = max(1, -(-right.count() // BLOCK_ROWS)), max(1, -(-left.count() // BLOCK_ROWS))
-    packed = row(right).groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "x", "c")).alias("rows")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    asked = row(left).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    columns = max(len(numeric) + len(categorical), 1)
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "near": []})
-        other = b["rows"].iloc[0]
-        ids = np.array([r["id"] for r in other])
-        x, y = np.array([list(v) for v in a["x"]], dtype=float).reshape(len(a), len(numeric)), np.array([list(r["x"]) for r in other], dtype=float).reshape(len(other), len(numeric))
-        c, e = np.array([list(v) for v in a["c"]], dtype=object).reshape(len(a), len(categorical)), np.array([list(r["c"]) for r in other], dtype=object).reshape(len(other), len(categorical))
-        # Categories as numbers of this pair of blocks; null is like nothing.
-        levels = {v: n for n, v in enumerate({v for v in np.concatenate([c.ravel(), e.ravel()]) if v is not None})}
-        number = lambda m, none: np.array([levels.get(v, none) for v in m.ravel()], dtype=np.int64).reshape(m.shape)
-        c, e = number(c, -1), number(e, -2)
-        by_id = np.argsort(ids, kind="stable")
-        ids, y, e = ids[by_id], y[by_id], e[by_id]
-        near = []
-        for i in range(0, len(a), CHUNK_ROWS):
-            d = np.zeros((len(x[i : i + CHUNK_ROWS]), len(ids)))
-            for f in range(len(numeric)):
-                gaps = np.abs(x[i : i + CHUNK_ROWS, f, None] - y[None, :, f]) / width[f]
-                d += np.where(np.isnan(gaps), 1.0, gaps)
-            for f in range(len(categorical)):
-                d += c[i : i + CHUNK_ROWS, f, None] != e[None, :, f]
-            d = np.round(d / columns, 12)
-            n = min(k, len(ids))
-            # All that are as near as the n-th, in order of distance and then of id.
-            least = np.partition(d, n - 1, axis=1)[:, n - 1]
-            for row, most in zip(d, least):
-                at = np.flatnonzero(row <= most)
-                at = at[np.argsort(row[at], kind="stable")[:n]]
-                near.append([{"d": float(row[j]), "id": int(ids[j])} for j in at])
-        return pd.DataFrame({"id": a["id"].to_numpy(), "near": near})
-
-    found = asked.groupBy("part", "block").cogroup(packed.groupBy("part", "block")).applyInPandas(compare, "id long, near array<struct<d: double, id: bigint>>")
-    return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(1), F.lit(k)).alias("neighbours"))
+    widths = ()
+    if numeric:
+        both = left.select(*numeric).unionByName(right.select(*numeric))
+        spans = both.agg(*((F.max(c) - F.min(c)).cast("double").alias(f"_{k}") for k, c in enumerate(numeric))).first()
+        widths = tuple((spans[f"_{k}"] or 0) or 1.0 for k in range(len(numeric)))
+    metric = nearest.Gower(tuple(numeric), tuple(categorical), widths)
+    return nearest.search(left, right, id_col, metric, k).select("id", F.col("near").alias("neighbours"))
 
 
 def linkability(original: DataFrame, synthetic: DataFrame, id_col: str, aux: tuple[tuple[list[str], list[str]], tuple[list[str], list[str]]], k: int) -> DataFrame:

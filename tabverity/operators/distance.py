@@ -1,20 +1,14 @@
-"""Distances to the closest records, in blocks: partial results by row, never a matrix.
-
-Comparing every row with every row is what the metrics are defined by; blocks of packed rows bound what a task holds.
-"""
+"""Distances to the closest records: exact, with bounds between blocks of rows (see ``nearest``)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from . import nearest
 from .profile import exact_quantiles
 
-#: Rows in a block of the right side.
-BLOCK_ROWS = 4096
 #: A distance up to this counts as zero.
 ZERO = 1e-8
 
@@ -27,62 +21,43 @@ def scaled(real: DataFrame, df: DataFrame, columns: list[str], how: str = "minma
     return joined.withColumns({c: F.coalesce(ratio(F.col(c) - F.col(f"_0_{c}"), F.col(f"_1_{c}")), F.lit(0.0)) for c in columns}).select(*df.columns)
 
 
-def row_distances(left: DataFrame, right: DataFrame, id_col: str, columns: list[str], same_table: bool = False) -> DataFrame:
-    """Rows (id, nearest, second, farthest, zeros) of each left row over the right rows; itself is left out of its own table."""
-    n = right.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    packed = right.select(F.col(id_col).cast("string").alias("id"), F.array(*columns).alias("x")).groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
-    asked = left.select(F.col(id_col).cast("string").alias("id"), F.array(*columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
-    parts = max(1, -(-left.count() // BLOCK_ROWS))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "nearest": [], "second": [], "farthest": [], "zeros": []})
-        other = b["rows"].iloc[0]
-        y, y_ids = np.array([list(r["x"]) for r in other], dtype=float), np.array([r["id"] for r in other])
-        x, x_ids = np.array(a["x"].tolist(), dtype=float), a["id"].to_numpy()
-        out = []
-        for k in range(0, len(x), 256):
-            d = np.sqrt(((x[k : k + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            if same_table:
-                d = np.where(x_ids[k : k + 256, None] == y_ids[None, :], np.nan, d)
-            two = np.where(np.isnan(d), np.inf, d)
-            two = np.sort(np.partition(two, 1, axis=1)[:, :2], axis=1) if two.shape[1] > 1 else two
-            second = two[:, 1] if two.shape[1] > 1 else np.full(len(d), np.inf)
-            out.append(pd.DataFrame({"id": x_ids[k : k + 256], "nearest": two[:, 0], "second": second, "farthest": np.where(np.isnan(d), -np.inf, d).max(axis=1), "zeros": (d <= ZERO).sum(axis=1)}))
-        return pd.concat(out)
-
-    # Every part of the left side meets every block of the right side in a task of its own.
-    keyed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    found = asked.groupBy("part", "block").cogroup(keyed.groupBy("part", "block")).applyInPandas(compare, "id string, nearest double, second double, farthest double, zeros long")
-    two = F.slice(F.sort_array(F.flatten(F.collect_list(F.array("nearest", "second")))), F.lit(1), F.lit(2))
-    return found.groupBy("id").agg(two.alias("two"), F.max("farthest").alias("farthest"), F.sum("zeros").alias("zeros")).select("id", F.col("two")[0].alias("nearest"), F.col("two")[1].alias("second"), "farthest", "zeros")
+def row_distances(left: DataFrame, right: DataFrame, id_col: str, columns: list[str], same_table: bool = False, index: nearest.Index | None = None) -> DataFrame:
+    """Rows (id, nearest, second, farthest, zeros, pairs) of each left row over the right rows; itself is left out of its own table."""
+    found = nearest.search(left, right, id_col, nearest.Euclidean(tuple(columns)), 2, "string", farthest=True, not_itself=same_table, zero=ZERO, index=index)
+    at = lambda k: F.get("near", F.lit(k))["d"]
+    return found.select("id", at(0).alias("nearest"), at(1).alias("second"), F.col("far").alias("farthest"), "zeros", "pairs")
 
 
 def summary(rows: DataFrame) -> DataFrame:
     """(mean, p05, nndr_p05, mean_max, zero_cells, removed_rows): rows with any zero distance are left out of the statistics."""
+    return summaries(rows.withColumn("pair", F.lit("")), [""]).drop("pair")
+
+
+def summaries(rows: DataFrame, pairs: list[str]) -> DataFrame:
+    """The summary of the rows of each ``pair``: all quantiles are asked for at once."""
     kept = F.col("zeros") == 0
     finite = lambda c: F.when(kept & (F.abs(c) < float("inf")), F.col(c))
-    found = rows.select("zeros", finite("nearest").alias("nearest"), finite("farthest").alias("farthest"), ratio(finite("nearest"), finite("second")).alias("nndr")).persist()
-    low = {c: q[0] if q else None for c, q in exact_quantiles(found, ["nearest", "nndr"], [0.05]).items()}
-    done = found.agg(
-        F.avg("nearest").alias("mean"), F.lit(low["nearest"]).cast("double").alias("p05"), F.lit(low["nndr"]).cast("double").alias("nndr_p05"),
-        F.avg("farthest").alias("mean_max"), F.sum("zeros").alias("zero_cells"), F.count_if(~kept).alias("removed_rows"),
-    )
-    one = rows.sparkSession.createDataFrame(done.collect(), done.schema)  # one row
+    found = rows.select("pair", "zeros", finite("nearest").alias("nearest"), finite("farthest").alias("farthest"), ratio(finite("nearest"), finite("second")).alias("nndr")).persist()
+    asked = {f"{c}_{k}": F.when(F.col("pair") == p, F.col(c)) for k, p in enumerate(pairs) for c in ("nearest", "nndr")}
+    low = {c: q[0] if q else None for c, q in exact_quantiles(found.select(*(v.alias(c) for c, v in asked.items())), list(asked), [0.05]).items()}
+    quantile = lambda name: F.get(F.array(*(F.lit(low[f"{name}_{k}"]).cast("double") for k in range(len(pairs)))), (F.array_position(F.array(*map(F.lit, pairs)), F.col("pair")) - 1).cast("int"))
+    sums = found.groupBy("pair").agg(F.avg("nearest").alias("mean"), F.avg("farthest").alias("mean_max"), F.sum("zeros").alias("zero_cells"), F.count_if(~kept).alias("removed_rows"))
+    names = rows.sparkSession.createDataFrame([(p,) for p in pairs], "pair string")
+    done = names.join(sums, "pair", "left").select("pair", "mean", quantile("nearest").alias("p05"), quantile("nndr").alias("nndr_p05"), "mean_max", "zero_cells", F.coalesce("removed_rows", F.lit(0)).alias("removed_rows"))
+    few = rows.sparkSession.createDataFrame(done.collect(), done.schema)  # a row a pair
     found.unpersist()
-    return one
+    return few
 
 
 def distance_metrics(real: DataFrame, synthetic: DataFrame, id_col: str, columns: list[str], how: str = "minmax") -> DataFrame:
     """Rows (pair, mean, p05, nndr_p05, mean_max, zero_cells, removed_rows) for RR, SS and RS (real rows to synthetic)."""
     r, s = scaled(real, real, columns, how), scaled(real, synthetic, columns, how)
-    out = None
-    for name, left, right, same in (("RR", r, r, True), ("SS", s, s, True), ("RS", r, s, False)):
-        one = summary(row_distances(left, right, id_col, columns, same)).withColumn("pair", F.lit(name))
+    metric, out = nearest.Euclidean(tuple(columns)), None
+    of_real, of_synthetic = (nearest.build_index(df, id_col, "string", metric) for df in (r, s))
+    for name, left, right, index, same in (("RR", r, r, of_real, True), ("SS", s, s, of_synthetic, True), ("RS", r, s, of_synthetic, False)):
+        one = row_distances(left, right, id_col, columns, same, index).withColumn("pair", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out
+    return summaries(out, ["RR", "SS", "RS"])
 
 
 def distance_score(metrics: DataFrame) -> DataFrame:

@@ -19,38 +19,70 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df.agg(*(F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns)), columns, "null_rate")
 
 
-#: Parts that an interval between two bounds is counted by, and the accuracy of the sketch that gives the bounds.
-PARTS, ACCURACY = 1024, 10_000
+#: Parts that an interval is cut into, values that are collected for a rank at most, accuracy of the sketch that gives the
+#: first bounds, and cells of a table whose values are all counted at once.
+PARTS, FEW, ACCURACY, SMALL = 1024, 1000, 10_000, 50_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
     """Exact quantiles of numeric columns, linear between two ranks, without all values of a column in one task.
 
-    A sketch gives bounds on both sides of each quantile. Rows are counted between bounds, then by parts of the few
-    intervals that hold a wanted rank, and only the values of single parts are collected. Null and NaN don't count; a
-    column without values has no quantiles (an empty list).
+    A sketch gives bounds on both sides of each quantile. Rows are counted between bounds; an interval that holds a wanted
+    rank is cut into parts, of which those with a wanted rank are cut again between their least and largest value, until
+    few values are left or all are equal. Null and NaN don't count; a column without values has no quantiles (an empty
+    list).
     """
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     eps = 2 / ACCURACY
     asked = sorted({min(max(s + e, 0.0), 1.0) for s in shares for e in (-eps, eps)})
     row = df.agg(F.lit(0), *(F.struct(F.count(number(c)).alias("n"), F.min(number(c)).alias("lo"), F.max(number(c)).alias("hi"), F.percentile_approx(number(c), asked, ACCURACY).alias("q")).alias(c) for c in columns)).first()
     full = [c for c in columns if row[c]["n"]]
-    cuts = {c: sorted({row[c]["lo"], row[c]["hi"], *row[c]["q"]}) for c in full}
-    wanted = {c: sorted({k for s in shares for k in (int(s * (row[c]["n"] - 1)), min(int(s * (row[c]["n"] - 1)) + 1, row[c]["n"] - 1))}) for c in full}
     if not full:
         return {c: [] for c in columns}
+    wanted = {c: sorted({k for s in shares for k in (int(s * (row[c]["n"] - 1)), min(int(s * (row[c]["n"] - 1)) + 1, row[c]["n"] - 1))}) for c in full}
     long = df.select(*(number(c).alias(c) for c in full)).unpivot([], full, "column", "x").where("x is not null")
-    grid = F.create_map(*(x for c in full for x in (F.lit(c), F.array(*map(F.lit, cuts[c])))))[F.col("column")]
-    placed = long.withColumn("grid", grid).withColumn("at", F.size(F.filter("grid", lambda cut: cut <= F.col("x"))))
-    held = _ranks(placed.groupBy("column", "at").agg(F.count("*").alias("n")), wanted, 1)
-    # Parts of the intervals that hold a wanted rank; a bound that is a value itself has part 0 alone.
-    low, high = F.get("grid", F.col("at") - 1), F.coalesce(F.get("grid", F.col("at")), F.get("grid", F.col("at") - 1))
-    inside = placed.where(F.array_contains(F.lit([f"{c}:{k[0]}" for c, k in held]), F.concat_ws(":", "column", "at")))
-    parts = inside.withColumn("part", F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - low, (high - low) / PARTS)), F.lit(0)), F.lit(PARTS - 1)).cast("int"))
-    held = _ranks(parts.groupBy("column", "at", "part").agg(F.count("*").alias("n")), {}, 2, held)
-    values = parts.where(F.array_contains(F.lit([f"{c}:{k[0]}:{k[1]}" for c, k in held]), F.concat_ws(":", "column", "at", "part")))
-    held = _ranks(values.groupBy("column", "at", "part", "x").agg(F.count("*").alias("n")), {}, 3, held)
-    at_rank = {(c, r): k[-1] for (c, k), ranks in held.items() for r in ranks}
+    at_rank: dict[tuple[str, int], float] = {}
+    #: (column, least, largest) of open intervals: ranks within them
+    open_: dict[tuple[str, float, float], dict[int, int]] = {}
+
+    def settle(column: str, groups: list[tuple[float, float, int]], ranks: dict[int, int]) -> None:
+        """Ranks go to the group that holds them; groups of one value are done."""
+        ends = [*accumulate(n for _, _, n in groups)]
+        for rank, local in ranks.items():
+            low, high, n = groups[bisect_left(ends, local + 1)]
+            if low == high:
+                at_rank[column, rank] = low
+            else:
+                open_.setdefault((column, low, high), {"n": n})[rank] = local - (ends[bisect_left(ends, local + 1)] - n)
+
+    if sum(row[c]["n"] for c in full) <= SMALL:
+        cuts = None
+        counts = long.groupBy("column", F.col("x").alias("low"), F.col("x").alias("high")).agg(F.count("*").alias("n"))
+    else:
+        cuts = F.create_map(*(x for c in full for x in (F.lit(c), F.array(*map(F.lit, sorted({row[c]["lo"], *row[c]["q"]}))))))[F.col("column")]
+        placed = long.withColumn("at", F.size(F.filter(cuts, lambda cut: cut <= F.col("x"))))
+        counts = placed.groupBy("column", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+    groups: dict[str, list[tuple]] = {}
+    for r in counts.collect():  # a row for each interval, or each value of a small table
+        groups.setdefault(r["column"], []).append((r["low"], r["high"], r["n"]))
+    for c in full:
+        settle(c, sorted(groups[c]), {r: r for r in wanted[c]})
+    while open_:
+        now, open_ = open_, {}
+        by_column: dict[str, list[tuple]] = {}
+        for c, low, high in sorted(now):
+            by_column.setdefault(c, []).append((low, high, now[c, low, high]["n"] <= FEW))
+        held = F.create_map(*(x for c, v in by_column.items() for x in (F.lit(c), F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.lit(few).alias("few")) for a, b, few in v)))))[F.col("column")]
+        inside = long.withColumn("of", F.get(F.filter(held, lambda i: (i["low"] <= F.col("x")) & (F.col("x") <= i["high"])), F.lit(0))).where("of is not null")
+        # halves first: the width of the largest doubles has no double
+        part = F.least(F.floor((F.col("x") / 2 - F.col("of.low") / 2) / (F.col("of.high") / 2 - F.col("of.low") / 2) * PARTS), F.lit(PARTS - 1))
+        key = F.when(F.col("of.few"), F.col("x")).otherwise(part.cast("double"))
+        counts = inside.groupBy("column", F.col("of.low").alias("of_low"), F.col("of.high").alias("of_high"), key.alias("key")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+        found: dict[tuple, list[tuple]] = {}
+        for r in counts.collect():  # PARTS or FEW rows for an interval
+            found.setdefault((r["column"], r["of_low"], r["of_high"]), []).append((r["low"], r["high"], r["n"]))
+        for (c, low, high), ranks in now.items():
+            settle(c, sorted(found[c, low, high]), {k: v for k, v in ranks.items() if k != "n"})
 
     def between(c: str, s: float) -> float:
         place = s * (row[c]["n"] - 1)
@@ -58,25 +90,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
         a, b = at_rank[c, k], at_rank[c, min(k + 1, row[c]["n"] - 1)]
         return a + (place - k) * (b - a)
 
-    return {c: [between(c, s) for s in shares] if c in cuts else [] for c in columns}
-
-
-def _ranks(counts: DataFrame, wanted: dict[str, list[int]], depth: int, held: dict | None = None) -> dict[tuple[str, tuple], dict[int, int]]:
-    """Which groups hold the wanted ranks: {(column, key): {rank: rank within the group}}; keys are ``depth`` long."""
-    ask: dict[tuple[str, tuple], dict[int, int]] = held if held is not None else {(c, ()): {r: r for r in ranks} for c, ranks in wanted.items()}
-    keys = [c for c in counts.columns if c not in ("column", "n")]
-    rows: dict[tuple[str, tuple], list[tuple]] = {}
-    for r in counts.collect():  # a row for each interval, part or value of a part
-        key = tuple(r[k] for k in keys)
-        rows.setdefault((r["column"], key[: depth - 1]), []).append((key, r["n"]))
-    out: dict[tuple[str, tuple], dict[int, int]] = {}
-    for group, ranks in ask.items():
-        ordered = sorted(rows[group])
-        ends = [*accumulate(n for _, n in ordered)]
-        for rank, local in ranks.items():
-            i = bisect_left(ends, local + 1)
-            out.setdefault((group[0], ordered[i][0]), {})[rank] = local - (ends[i] - ordered[i][1])
-    return out
+    return {c: [between(c, s) for s in shares] if c in full else [] for c in columns}
 
 
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
