@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, ratio, word, word_length
+from ..functions.scalars import ratio, word, word_length
+from . import prefix
 from .profile import exact_quantiles
 
 
 def label_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Rows (value, code): values by first appearance in ``order``; null has the code after the last."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("at"))
-    codes = first.select("value", (F.row_number().over(Window.orderBy("at", "value")) - 1).cast("long").alias("code"))  # one row a level
-    return codes
+    return prefix.numbered(first, [F.col("at"), F.col("value")], "code")[0].select("value", "code")
 
 
 def encode_labels(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def encode_labels(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
 
 def extend_codes(codes: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """Codes with those of values that ``df`` has besides, from the largest (the null code too) on, in order of value."""
-    top = codes.agg(F.count("*").alias("_top"))
+    top = codes.count()
     new = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().join(codes, "value", "left_anti")
-    more = new.withColumn("r", F.row_number().over(Window.orderBy("value"))).crossJoin(F.broadcast(top)).select("value", (F.col("_top") + F.col("r")).alias("code"))
+    more = prefix.numbered(new, [F.col("value")], "r")[0].select("value", (F.col("r") + (top + 1)).alias("code"))
     return codes.unionByName(more)
 
 
@@ -40,19 +40,17 @@ def decode_labels(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
 def word_codes(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, word): distinct words of A-Z, of the least length that has one to spare."""
     values = df.select(F.col(column).alias("value")).distinct()
-    ranked = values.withColumn("r", F.row_number().over(Window.orderBy("value")) - 1)
-    n = values.agg(F.count("*").alias("n"))
-    return ranked.crossJoin(F.broadcast(n)).select("value", word(F.col("r"), word_length(F.col("n"))).alias("word"))
+    ranked, n = prefix.numbered(values, [F.col("value")], "r")
+    return ranked.select("value", word(F.col("r"), word_length(F.lit(n))).alias("word"))
 
 
 def uniform_intervals(df: DataFrame, column: str, null_as: str = "NaN_Category") -> DataFrame:
     """Rows (value, frequency, lo, hi): a partition of 0..1 by frequency, values in order, the last edge exactly 1."""
     value = F.coalesce(F.col(column).cast("string"), F.lit(null_as))
     counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    every = Window.partitionBy()
-    sums = counts.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(every)})  # one row a level
-    return sums.select("value", ratio(F.col("n"), F.col("all")).alias("frequency"), ratio(F.col("upto") - F.col("n"), F.col("all")).alias("lo"), ratio(F.col("upto"), F.col("all")).alias("hi"))
+    sums, totals = prefix.running(counts, [F.col("value")], {"upto": F.col("n")})
+    every = F.lit(totals["upto"])
+    return sums.select("value", ratio(F.col("n"), every).alias("frequency"), ratio(F.col("upto") - F.col("n"), every).alias("lo"), ratio(F.col("upto"), every).alias("hi"))
 
 
 def uniform_encode(df: DataFrame, column: str, intervals: DataFrame, draw: Column) -> DataFrame:
@@ -64,11 +62,9 @@ def uniform_encode(df: DataFrame, column: str, intervals: DataFrame, draw: Colum
 
 def uniform_decode(df: DataFrame, column: str, intervals: DataFrame) -> DataFrame:
     """Points back to values: intervals are closed at the right, the first one at the left too; beyond 0..1 is clipped."""
-    edges = intervals.agg(F.sort_array(F.collect_list(F.struct("hi", "value"))).alias("edges"))  # one row a level
-    x = clip(F.col(column), F.lit(0.0), F.lit(1.0))
-    joined = df.crossJoin(F.broadcast(edges))
-    found = F.get(F.filter("edges", lambda e: (e["hi"] >= x) & (e["hi"] > 0)), F.lit(0))
-    return joined.withColumn(column, F.when(F.col(column).isNotNull(), found["value"])).select(*df.columns)
+    known = intervals.select(F.col("value").alias("_value"), "lo", "hi")
+    found = prefix.in_interval(df, F.col(column), known, ["_value"], intervals.count())
+    return found.withColumn(column, F.col("_value")).select(*df.columns)
 
 
 def _with_stats(df: DataFrame, column: str, *stats: Column) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import ratio
 from ..sources.tables import load_mapping, nan_as_null, require_complete, save_mapping
-from . import encode, profile, split
+from . import encode, prefix, profile, split
 
 #: The level that stands for null in encoders by frequency.
 NULL_LEVEL = "NaN_Category"
@@ -120,13 +120,13 @@ class WordCodec:
 
 
 def _ordered_levels(df: DataFrame, column: str, ordinal: bool) -> DataFrame:
-    """Rows (value, frequency, lo, hi) of one column; numbers in their own order, other values by text, null last."""
+    """Rows (value, frequency, lo, hi, number) of one column; numbers in their own order, other values by text, null last."""
     numeric = ordinal and isinstance(df.schema[column].dataType, T.NumericType)
     place = F.col(column).cast("double") if numeric else F.lit(0.0)
     counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(NULL_LEVEL)).alias("value"), F.col(column).isNull().alias("_null"), place.alias("_at")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("_null", "_at", "value"))  # one row a level
-    sums = counts.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy())})
-    return sums.select("value", ratio(F.col("n"), F.col("all")).alias("frequency"), ratio(F.col("upto") - F.col("n"), F.col("all")).alias("lo"), ratio(F.col("upto"), F.col("all")).alias("hi"))
+    sums, totals = prefix.running(counts, [F.col("_null"), F.col("_at"), F.col("value")], {"upto": F.col("n"), "number": F.lit(1)})
+    every = F.lit(totals["upto"])
+    return sums.select("value", ratio(F.col("n"), every).alias("frequency"), ratio(F.col("upto") - F.col("n"), every).alias("lo"), ratio(F.col("upto"), every).alias("hi"), (F.col("number") - 1).alias("number"))
 
 
 def null_neighbours(levels: DataFrame) -> DataFrame:
@@ -181,11 +181,14 @@ class UniformCodec:
         draw, choose = draw or random_draw(1), choose or random_draw(1001)
         for c, levels in self.levels.items():
             known = levels.select(F.col("value").alias("_value"), "lo", "hi")
-            every = levels.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_every"))  # one row a level
+            n = levels.count()
+            other = levels.select(F.col("number").alias("_number"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
             value = F.coalesce(F.col(c).cast("string"), F.lit(NULL_LEVEL))
-            joined = df.withColumns({"_draw": draw(c), "_choose": choose(c)}).join(known, value == F.col("_value"), "left").crossJoin(F.broadcast(every))
-            other = F.get("_every", F.least(F.floor(F.col("_choose") * F.size("_every")), F.size("_every") - 1).cast("int"))
-            lo, hi = F.coalesce("lo", other["lo"]), F.coalesce("hi", other["hi"])
+            joined = df.withColumns({"_draw": draw(c), "_choose": choose(c)}).join(known, value == F.col("_value"), "left")
+            # rows of known values ask for numbers that no level has, each for another one
+            asked = F.when(F.col("lo").isNull(), F.least(F.floor(F.col("_choose") * n), F.lit(n - 1))).otherwise(-1 - F.floor(F.col("_draw") * 1000))
+            joined = joined.withColumn("_asked", asked.cast("long")).join(other, F.col("_asked") == F.col("_number"), "left")
+            lo, hi = F.coalesce("lo", "_lo"), F.coalesce("hi", "_hi")
             df = joined.withColumn(c, lo + F.col("_draw") * (hi - lo)).select(*df.columns)
         return df
 
@@ -194,23 +197,17 @@ class UniformCodec:
         less frequent level and its upper half the nearest more frequent one."""
         df = require_complete(df, list(self.levels))
         for c, levels in self.levels.items():
-            edges = levels.agg(F.sort_array(F.collect_list(F.struct("hi", "lo", "value"))).alias("_edges"))  # one row a level
             instead = null_neighbours(levels).select(F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))
             x = F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0))
-            joined = df.crossJoin(F.broadcast(edges.crossJoin(instead)))  # one row
-            found = _first_edge(x)
-            is_null = found["value"] == NULL_LEVEL
-            filled = F.when(x < (found["lo"] + found["hi"]) / 2, F.col("_lower")).otherwise(F.col("_upper")) if fill_nulls else F.lit(None)
-            df = joined.withColumn(c, F.when(is_null, filled).otherwise(found["value"])).select(*df.columns)
+            known = levels.select(F.col("value").alias("_value"), F.col("lo").alias("_from"), F.col("hi").alias("_upto"), "lo", "hi")
+            found = prefix.in_interval(df, F.col(c), known, ["_value", "_from", "_upto"], levels.count()).crossJoin(F.broadcast(instead))  # one row
+            is_null = F.col("_value") == NULL_LEVEL
+            filled = F.when(x < (F.col("_from") + F.col("_upto")) / 2, F.col("_lower")).otherwise(F.col("_upper")) if fill_nulls else F.lit(None)
+            df = found.withColumn(c, F.when(is_null, filled).otherwise(F.col("_value"))).select(*df.columns)
             df = df.withColumn(c, to_type(F.col(c), self.types[c]))
         return df
 
 
-def _first_edge(x: Column) -> Column:
-    """The level whose interval holds x: closed at the right."""
-    return F.get(F.filter("_edges", lambda e: e["hi"] >= x), F.lit(0))
-
-
 @dataclass
 class ContinuousTransformer:
     """Numbers with fractions imputed by the median; all other columns as codes plus a draw in 0..1."""
@@ -220,10 +217,10 @@ class ContinuousTransformer:
 
     def fit(self, df: DataFrame) -> ContinuousTransformer:
         self.columns = [c for c in df.columns if c != self.id_col]
-        self.rows = df.count()
         found = {r["column"]: r["is_continuous"] for r in profile.continuous(df, self.columns).collect()}  # one row a column
         self.continuous = [c for c in self.columns if found[c]]
-        self.rates = {r["column"]: r["null_rate"] for r in profile.null_rates(df, self.continuous).collect()} if self.continuous else {}
+        nulls = df.agg(F.lit(0), *(F.count_if(F.col(c).isNull()).alias(c) for c in self.continuous)).first()
+        self.nulls = {c: nulls[c] for c in self.continuous}
         self.places = {r["column"]: r["places"] for r in profile.decimal_places(df, self.continuous).collect()} if self.continuous else {}
         self.fills = profile.fill_values(df, self.continuous, [])
         self.codec = LabelCodec([c for c in self.columns if not found[c]], self.id_col).fit(df)
@@ -238,9 +235,10 @@ class ContinuousTransformer:
         """Codes below the draw, numbers rounded, and as many fill values null again as the fitted table had nulls, or,
         if there are fewer, the share of them that there is of those."""
         back = self.codec.decode(df.withColumns({c: F.floor(F.col(c)).cast("long") for c in self.codec.columns}))
+        filled = {c: v for c, v in self.fills.items() if self.nulls[c]}
+        counts = back.agg(F.lit(0), *(F.count_if(F.col(c) == F.lit(v)).alias(c) for c, v in filled.items())).first()
         for c, value in self.fills.items():
-            wanted = int((self.rates[c] or 0) * self.rows)
-            have = back.where(F.col(c) == F.lit(value)).count()
+            wanted, have = self.nulls[c], counts[c] if c in filled else 0
             n = wanted if have >= wanted else have * have // max(wanted, 1)
             if n:
                 back = split.exact_renull(back, c, value, n, self.id_col, self.seed)
@@ -310,7 +308,8 @@ class Imputer:
 def _sorted_codes(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, code, top) of levels in order of value."""
     levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return levels.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long")).withColumn("top", F.max("code").over(Window.partitionBy()))  # one row a level
+    coded, n = prefix.numbered(levels, [F.col("value")], "code")
+    return coded.withColumn("top", F.lit(n - 1).cast("long"))
 
 
 def _rank(x: Column, points: list[float]) -> Column:

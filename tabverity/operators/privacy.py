@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.tables import written
 
 
 def _on(left: str, right: str, columns: list[str]) -> Column:
@@ -43,25 +44,53 @@ def zero_cap(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive:
     return _score(_attribution(real, synthetic, keys, sensitive).withColumn("cap", F.coalesce("cap", F.lit(0.0))))
 
 
-def generalized_cap(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: list[str]) -> DataFrame:
-    """Such rows take the classes of synthetic keys that differ in the fewest key fields.
+def _groups(keys: list[str], n: int) -> list[list[str]]:
+    """The key fields in ``n`` groups of about the same size."""
+    return [keys[k::n] for k in range(n)]
+
+
+def _differ(columns: list[str]) -> Column:
+    return sum(((~F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))).cast("int") for c in columns), F.lit(0))
 
-    Classes are compared, not rows, and level by level: a subset of the key fields that agrees is an equi join, larger
-    subsets first, and classes that found a match don't look further.
+
+def nearest_cells(classes: DataFrame, cells: DataFrame, keys: list[str], level: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """What ``level`` makes of every class and its nearest cells by key fields that differ, and the classes without any.
+
+    Nearest cells are looked for by growing distance d, for the classes that found none so far. Of d + 1 groups of key
+    fields one is untouched by d differences: cells are probed by each group, the first that agrees, and the other fields
+    are counted. ``level`` gets the columns of both sides, as r and s, and returns rows with the key fields. Every distance
+    is written before the next one, which few classes reach. Classes that differ in all fields are left.
     """
-    rows = real.groupBy(*keys, *sensitive).agg(F.count("*").alias("rows")).persist()
+    waiting, done = classes, None
+    for d in range(len(keys)):
+        groups = _groups(keys, d + 1)
+        probes = F.explode(F.array(*(F.struct(F.lit(k).alias("group"), F.xxhash64(*group).alias("hash")) for k, group in enumerate(groups))))
+        left, right = (df.select(F.struct(*df.columns).alias(side), probes.alias("probe")).select(side, "probe.*") for df, side in ((waiting, "r"), (cells, "s")))
+        apart = F.array(*(_differ(group) for group in groups))
+        first = (F.get(apart, F.col("group")) == 0) & F.forall(F.slice(apart, F.lit(1), F.col("group")), lambda n: n > 0)
+        pairs = left.join(right, ["group", "hash"]).where(first & (_differ(keys) == d)).select("r", "s")
+        found = written(level(pairs), "nearest-cells")
+        done = found if done is None else done.unionByName(found)
+        waiting = written(waiting.alias("r").join(found.select(*keys).distinct().alias("l"), _on("r", "l", keys), "left_anti"), "waiting-classes")
+        if waiting.isEmpty():
+            break
+    return done, waiting
+
+
+def generalized_cap(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: list[str]) -> DataFrame:
+    """Such rows take the classes of synthetic keys that differ in the fewest key fields. Classes are compared, not rows."""
+    rows = written(real.groupBy(*keys, *sensitive).agg(F.count("*").alias("rows")), "classes")
+    cells = written(synthetic.groupBy(*keys, *sensitive).agg(F.count("*").alias("n")), "cells")
     classes = [*keys, *sensitive]
-    cells = synthetic.groupBy(*keys, *sensitive).agg(F.count("*").alias("n"))
-    waiting, done = rows, None
-    for size in range(len(keys), 0, -1):
-        # No closer cell was found, so a cell that agrees on a subset of this size agrees on no more: no pair comes twice.
-        parts = [waiting.alias("r").join(cells.alias("s"), _on("r", "s", list(some))).select("r.*", _on("r", "s", sensitive).alias("agrees"), "n") for some in combinations(keys, size)]
-        level = reduce(DataFrame.unionByName, parts).groupBy(*classes, "rows").agg(ratio(F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)), F.sum("n")).alias("cap"))
-        done = level if done is None else done.unionByName(level)
-        waiting = waiting.alias("r").join(level.alias("l"), _on("r", "l", classes), "left_anti")
+
+    def level(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(*(F.col(f"r.{c}") for c in [*classes, "rows"]), _on("r", "s", sensitive).alias("agrees"), F.col("s.n").alias("n"))
+        return met.groupBy(*classes, "rows").agg(ratio(F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)), F.sum("n")).alias("cap"))
+
+    done, waiting = nearest_cells(rows, cells, keys, level)
     # Nothing in common with any cell: all cells are equally near.
-    shares = synthetic.groupBy(*sensitive).agg(F.count("*").alias("n"))
-    total = synthetic.agg(F.count("*").alias("all"))
+    shares = cells.groupBy(*sensitive).agg(F.sum("n").alias("n"))
+    total = cells.agg(F.sum("n").alias("all"))
     last = waiting.alias("r").join(shares.alias("s"), _on("r", "s", sensitive), "left").select("r.*", "n").crossJoin(F.broadcast(total))  # one row
     last = last.select(*classes, "rows", ratio(F.coalesce("n", F.lit(0)), F.col("all")).alias("cap"))
     return _score(done.unionByName(last))
@@ -94,14 +123,14 @@ def _guessed(rows: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
 
 def categorical_knn(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: str) -> DataFrame:
     """The same with the most frequent value among the synthetic rows that differ in the fewest keys; ties: smallest."""
-    rows = real.groupBy(*keys, F.col(sensitive).alias("truth")).agg(F.count("*").alias("rows")).persist()
-    cells = synthetic.groupBy(*keys, F.col(sensitive).alias("value")).agg(F.count("*").alias("n"))
-    waiting, best = rows.select(*keys).distinct(), None
-    for size in range(len(keys), 0, -1):
-        parts = [waiting.alias("r").join(cells.alias("s"), _on("r", "s", list(some))).select("r.*", "value", "n") for some in combinations(keys, size)]
-        votes = reduce(DataFrame.unionByName, parts).groupBy(*keys, "value").agg(F.sum("n").alias("votes"))
-        level = votes.groupBy(*keys).agg(F.min_by("value", F.struct((-F.col("votes")).alias("votes"), "value")).alias("guess"))
-        best = level if best is None else best.unionByName(level)
-        waiting = waiting.alias("r").join(level.alias("l"), _on("r", "l", keys), "left_anti")
-    usual = synthetic.groupBy(F.col(sensitive).alias("value")).agg(F.count("*").alias("votes")).agg(F.min_by("value", F.struct((-F.col("votes")).alias("votes"), "value")).alias("guess"))
+    rows = written(real.groupBy(*keys, F.col(sensitive).alias("truth")).agg(F.count("*").alias("rows")), "classes")
+    cells = written(synthetic.groupBy(*keys, F.col(sensitive).alias("value")).agg(F.count("*").alias("n")), "cells")
+    best_of = lambda votes, by: votes.groupBy(*by).agg(F.min_by("value", F.struct((-F.col("votes")).alias("votes"), "value")).alias("guess"))
+
+    def level(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(*(F.col(f"r.{c}") for c in keys), F.col("s.value").alias("value"), F.col("s.n").alias("n"))
+        return best_of(met.groupBy(*keys, "value").agg(F.sum("n").alias("votes")), keys)
+
+    best, waiting = nearest_cells(rows.select(*keys).distinct(), cells, keys, level)
+    usual = best_of(cells.groupBy("value").agg(F.sum("n").alias("votes")), [])
     return _guessed(rows, best.unionByName(waiting.crossJoin(F.broadcast(usual))), keys)  # one row

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_value, ratio
+from . import prefix, skyline
 
 #: Families of metrics in the order in which they are shown.
 FAMILIES = [
@@ -55,22 +56,12 @@ def in_order(results: DataFrame, families: list[str] = FAMILIES) -> DataFrame:
 def pareto_front(trials: DataFrame, id_col: str, maximise: list[str], minimise: list[str]) -> DataFrame:
     """Trials that no other trial beats in one metric without losing in any.
 
-    Metric vectors are compared, not trials: a first round keeps the best vectors of each part of the table, so that
-    only few are compared with all.
+    Metric vectors are compared, not trials; a trial without one of the metrics isn't on the front.
     """
-    goals = [F.col(c) for c in maximise] + [-F.col(c) for c in minimise]
-    vectors = trials.select(F.array(*(g.cast("double") for g in goals)).alias("v")).distinct()
-    # the largest in each goal and in their sum are never dominated by what they dominate: they thin out the others
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    strong = vectors.agg(*(F.max_by("v", F.struct(F.col("v")[k], total)).alias(f"s{k}") for k in range(len(goals))), F.max_by("v", total).alias("s")).select(F.explode(F.array(*(f"s{k}" for k in range(len(goals))), "s")).alias("w")).distinct()
-
-    def dominated(v: str, w: str) -> Column:
-        at_least = F.forall(F.arrays_zip(F.col(v).alias("a"), F.col(w).alias("b")), lambda z: z["b"] >= z["a"])
-        return at_least & (F.col(v) != F.col(w))
-
-    left = vectors.join(F.broadcast(strong), dominated("v", "w"), "left_anti")  # one row a goal
-    front = left.join(left.withColumnRenamed("v", "w"), dominated("v", "w"), "left_anti")
-    return trials.withColumn("_v", F.array(*(g.cast("double") for g in goals))).join(front, F.col("_v") == F.col("v"), "left_semi").select(*trials.columns)
+    goals = F.array(*(F.col(c).cast("double") for c in maximise), *(-F.col(c).cast("double") for c in minimise))
+    vectors = trials.select(goals.alias("v")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).distinct()
+    best = skyline.undominated(vectors, len(maximise) + len(minimise))
+    return trials.withColumn("_v", goals).join(best, F.col("_v") == F.col("v"), "left_semi").select(*trials.columns)
 
 
 def total_score(trials: DataFrame, maximise: list[str], minimise: list[str]) -> DataFrame:
@@ -111,8 +102,7 @@ def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Rows (threshold, precision, recall), one for each distinct score; counts by score come first."""
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count("*").alias("n"))
     total = df.agg(F.count_if(F.col(truth) == 1).alias("all_pos"))
-    w = Window.orderBy(F.desc("threshold"))
-    sums = counts.withColumns({"tp": F.sum("pos").over(w), "called": F.sum("n").over(w)}).crossJoin(F.broadcast(total))  # one row
+    sums = prefix.running(counts, [F.desc("threshold")], {"tp": F.col("pos"), "called": F.col("n")})[0].crossJoin(F.broadcast(total))  # one row
     return sums.select("threshold", ratio(F.col("tp"), F.col("called")).alias("precision"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"))
 
 

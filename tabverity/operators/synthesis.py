@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from . import split
+from . import prefix, split
 from .profile import exact_quantiles
 
 #: Points of each marginal distribution that the copula keeps.
@@ -217,7 +217,7 @@ def prune(paths: list[list[tuple]], counts: dict[int, int], least: int) -> dict[
 
 def leaf_numbers(df: DataFrame, tree: str, leaf: str) -> DataFrame:
     """Dense number of every (tree, leaf), from 0."""
-    return df.select(tree, leaf).distinct().withColumn("f_idx", (F.dense_rank().over(Window.orderBy(tree, leaf)) - 1).cast("long"))  # one row a leaf
+    return prefix.numbered(df.select(tree, leaf).distinct(), [F.col(tree), F.col(leaf)], "f_idx")[0]
 
 
 def leaf_stats(df: DataFrame, leaf: list[str], columns: list[str]) -> DataFrame:
