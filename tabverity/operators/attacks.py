@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
@@ -147,27 +147,47 @@ def inference_all(original: DataFrame, synthetic: DataFrame, control: DataFrame
     return out
 
 
-def inference_by_model(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str], secret: str) -> DataFrame:
-    """(attacks, successes): the guess of a forest that was grown on synthetic rows, for a secret of levels."""
+def inference_by_model(original: DataFrame, synthetic: DataFrame, id_col: str, numeric: list[str], categorical: list[str], secret: str, regression: bool = False, tolerance: float = 0.05) -> DataFrame:
+    """(attacks, successes): the guess of a forest that was grown on synthetic rows; numbers count within the tolerance."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
-
+    from pyspark.ml.regression import RandomForestRegressor
+
+    known = lambda df: df.where(F.col(secret).isNotNull())
+    count = lambda df, hit: df.agg(F.count("*").alias("attacks"), F.count_if(hit).alias("successes"))
+    if regression:
+        rows = lambda df: models.prepared(known(df), [*numeric, secret], categorical)
+        forest = RandomForestRegressor(labelCol=secret, numTrees=20, maxDepth=6, seed=models.SEED)
+        model = Pipeline(stages=[*models.features(numeric, categorical), forest]).fit(rows(synthetic))
+        return count(model.transform(rows(original)), F.abs(F.col("prediction") - F.col(secret)) <= tolerance * F.abs(F.col(secret)))
+    rows = lambda df: models.prepared(known(df), numeric, [*categorical, secret])
     index = StringIndexer(inputCol=secret, outputCol="label", handleInvalid="keep")
-    rows = lambda df: models.prepared(df.where(F.col(secret).isNotNull()), numeric, [*categorical, secret])
     model = Pipeline(stages=[index, *models.features(numeric, categorical), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=models.SEED)]).fit(rows(synthetic))
-    return model.transform(rows(original)).agg(F.count("*").alias("attacks"), F.count_if(F.col("prediction") == F.col("label")).alias("successes"))
+    return count(model.transform(rows(original)), F.col("prediction") == F.col("label"))
 
 
-def linkability_baseline(original: DataFrame, synthetic: DataFrame, id_col: str, k: int) -> DataFrame:
-    """(attacks, successes) expected when both sets of neighbours are random: 1 - C(n - k, k) / C(n, k) of the rows."""
-    n, rows = synthetic.count(), original.count()
+def _miss(n: int, k: int) -> float:
+    """Chance that two sets of k of n rows have none in common."""
     miss = 1.0
     for i in range(k):
         miss *= max(n - k - i, 0) / max(n - i, 1)
+    return miss
+
+
+def linkability_baseline(original: DataFrame, synthetic: DataFrame, id_col: str, k: int) -> DataFrame:
+    """(attacks, successes) expected when both sets of neighbours are random: 1 - C(n - k, k) / C(n, k) of the rows."""
+    rows, miss = original.count(), _miss(synthetic.count(), k)
     return original.sparkSession.range(1).select(F.lit(rows).cast("long").alias("attacks"), F.lit(round(rows * (1 - miss))).cast("long").alias("successes"))
 
 
+def linkability_random(original: DataFrame, synthetic: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFrame:
+    """(attacks, successes) of random neighbours: whether two random sets meet is drawn for every row, by its hash."""
+    miss = _miss(synthetic.count(), k)
+    draw = F.conv(F.substring(split.hash_order(id_col, seed), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    return original.agg(F.count("*").alias("attacks"), F.count_if(draw >= miss).alias("successes"))
+
+
 def success_rate(successes: Column, attacks: Column) -> tuple[Column, Column]:
     """Wilson rate and its error."""
     s, n = successes.cast("double"), attacks.cast("double")
@@ -190,3 +210,17 @@ def risk_report(counts: DataFrame) -> DataFrame:
     main, control = success_rate(F.col("successes"), F.col("attacks")), success_rate(F.col("control_successes"), F.col("control_attacks"))
     value, low, high = risk(main, control)
     return counts.select("*", main[0].alias("main_rate"), main[1].alias("main_error"), control[0].alias("control_rate"), control[1].alias("control_error"), value.alias("risk"), low.alias("risk_low"), high.alias("risk_high"))
+
+
+def rates(spark: SparkSession, counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """What a report of risk shows, from (attacks, successes) of the main, the baseline and perhaps a control attack.
+
+    The risk is what the main attack achieves beyond the control attack, or beyond the baseline without one.
+    """
+    beside = counts.get("control", counts["baseline"])
+    names = "attacks long, successes long, control_attacks long, control_successes long, baseline_attacks long, baseline_successes long"
+    report = risk_report(spark.createDataFrame([(*counts["main"], *beside, *counts["baseline"])], names))
+    rate, error = success_rate(F.col("baseline_successes"), F.col("baseline_attacks"))
+    row = report.withColumns({"baseline_rate": rate, "baseline_error": error}).first().asDict()
+    kept = ["main_rate", "main_error", "baseline_rate", "baseline_error", "risk", "risk_low", "risk_high"] + ["control_rate", "control_error"] * ("control" in counts)
+    return {name: row[name] for name in kept}

@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import ratio
+from ..functions import draws
+from ..functions.scalars import positive_zero, ratio
 from ..sources.tables import load_mapping, nan_as_null, require_complete, save_mapping
 from . import encode, prefix, profile, split
 
 #: The level that stands for null in encoders by frequency.
 NULL_LEVEL = "NaN_Category"
+#: Ranks that normal scores are cut at.
+CUT = 1e-7
 Draw = Callable[[str], Column]
 
 
@@ -242,7 +245,7 @@ class ContinuousTransformer:
             n = wanted if have >= wanted else have * have // max(wanted, 1)
             if n:
                 back = split.exact_renull(back, c, value, n, self.id_col, self.seed)
-            back = back.withColumn(c, F.round(F.col(c), int(self.places[c] or 0)))
+            back = back.withColumn(c, positive_zero(F.round(F.col(c), int(self.places[c] or 0))))
         return back
 
 
@@ -250,12 +253,14 @@ class ContinuousTransformer:
 class Imputer:
     """Median and mode for nulls, numbers as exact ranks in 0..1, levels as codes in 0..1, and back.
 
-    ``as_codes`` leaves levels as whole codes. Numbers are ranked between ``quantiles`` points of the fitted column.
+    ``as_codes`` leaves levels as whole codes. Numbers are ranked between ``quantiles`` points of the fitted column; with
+    ``normal`` ranks become normal scores, cut at the ranks CUT and 1 - CUT.
     """
 
     id_col: str | None = None
     quantiles: int = 100
     as_codes: bool = False
+    normal: bool = False
     seed: int = 42
 
     def fit(self, df: DataFrame) -> Imputer:
@@ -284,19 +289,25 @@ class Imputer:
             known = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"), F.col("top").alias("_top"))
             scaled = F.col("_code") if self.as_codes else F.coalesce(ratio(F.col("_code"), F.col("_top")), F.lit(0.0))
             out = out.join(known, F.col(c) == F.col("_value"), "left").withColumn(c, scaled).select(*self.columns)
-        return out.withColumns({c: _rank(F.col(c), points) for c, points in self.points.items()})
+        ranked = out.withColumns({c: _rank(F.col(c), points) for c, points in self.points.items()})
+        if not self.normal:
+            return ranked
+        cut = lambda u: F.greatest(F.least(u, F.lit(1 - CUT)), F.lit(CUT))
+        return ranked.withColumns({c: draws.normal_quantile(cut(F.col(c))) for c in self.points})
 
     def inverse(self, df: DataFrame, draw: Draw | None = None, ids: Column | None = None) -> DataFrame:
         """Values in the fitted types and order of columns; cells equal to the fill value are null again with the
         column's share of nulls; the id column has ``ids`` or random ones."""
         draw = draw or random_draw(self.seed)
-        out = df.withColumns({c: _from_rank(F.col(c), points) for c, points in self.points.items()})
+        # scores at the cuts are the ends
+        share = lambda z: (draws.normal_cdf(z) - CUT) / (1 - 2 * CUT)
+        out = df.withColumns({c: _from_rank(share(F.col(c)) if self.normal else F.col(c), points) for c, points in self.points.items()})
         for c, codes in self.codes.items():
             known = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
             top = codes.agg(F.max("top").alias("_top"))
             code = F.rint(F.col(c) if self.as_codes else F.col(c) * F.col("_top")).cast("long")
             out = out.crossJoin(F.broadcast(top)).withColumn("_at", code).join(known, F.col("_at") == F.col("_code"), "left").withColumn(c, F.col("_value")).select(*self.columns)  # one row
-        out = out.withColumns({c: F.round(F.col(c), int(p or 0)) for c, p in self.places.items()} | {c: to_type(F.col(c), self.schema[c].dataType) for c in [*self.numbers, *self.booleans] if c not in self.places})
+        out = out.withColumns({c: positive_zero(F.round(F.col(c), int(p or 0))) for c, p in self.places.items()} | {c: to_type(F.col(c), self.schema[c].dataType) for c in [*self.numbers, *self.booleans] if c not in self.places})
         again = {c: F.when(~((F.col(c) == F.lit(self.fills[c]).cast(self.schema[c].dataType)) & (draw(c) < self.rates[c])), F.col(c)) for c in self.columns if self.rates[c]}
         out = out.withColumns(again) if again else out
         if self.id_col is not None and self.id_col in self.schema.names:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from statistics import NormalDist
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.scalars import ratio
-from . import prefix, split
+from ..sources.tables import written
+from . import prefix
 from .profile import exact_quantiles
 
 #: Points of each marginal distribution that the copula keeps.
@@ -54,31 +55,19 @@ def null_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: found[c] or 0.0 for c in columns}
 
 
-def with_nulls(values: np.ndarray, rate: float, stream: list[int]) -> np.ndarray:
-    """Values of which the share ``rate`` is NaN (null in the result), drawn from a stream of its own."""
-    return np.where(np.random.default_rng(stream).random(len(values)) < rate, np.nan, values)
+def asked_rows(spark: SparkSession, rows: int, conditions: dict[object, int] | None) -> tuple[DataFrame, list]:
+    """Rows (row_id, class): numbers from 0, and with conditions the place of the class that each row has; and the classes."""
+    if not conditions:
+        return spark.range(rows).select(F.col("id").alias("row_id"), F.lit(0).alias("class")), [None]
+    classes = [c for c, n in conditions.items() if n > 0]
+    ends = np.cumsum([conditions[c] for c in classes]).tolist()
+    place = F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end <= F.col("id")))
+    return spark.range(ends[-1] if ends else 0).select(F.col("id").alias("row_id"), place.alias("class")), classes
 
 
-#: Rounds of draws after which quotas that are still short are an error.
-QUOTA_ROUNDS = 20
-
-
-def by_quota(draw, target: str, quotas: dict[object, int]) -> DataFrame:
-    """As many rows of each class as asked for, of draws ``draw(first, rows)``: more are drawn until all quotas are full.
-
-    A class that draws hardly ever give is an error after QUOTA_ROUNDS rounds, each twice as large as the one before.
-    """
-    wanted, rows = sum(quotas.values()), max(2 * sum(quotas.values()), 100)
-    for _ in range(QUOTA_ROUNDS):
-        made = draw(0, rows)
-        have = {r[0]: r[1] for r in made.groupBy(target).agg(F.count("*")).collect()}  # one row a class
-        if all(have.get(c, 0) >= n for c, n in quotas.items()):
-            quota = F.lit(0)
-            for c, n in quotas.items():
-                quota = F.when(F.col(target) == c, n).otherwise(quota)
-            return split.take_first(made, quota, "row_id", 0, [target]).where("taken").drop("taken")
-        rows *= 2
-    raise ValueError(f"{wanted} rows by {target} can't be drawn: {quotas} asked for, {have} of {rows // 2} rows")
+def again_null(value: Column, rate: float, stream: int, seed: int) -> Column:
+    """The value, or null in the share ``rate`` of rows, drawn from a stream of its own."""
+    return F.when(draws.uniform(F.col("row_id"), stream, seed) >= rate, value) if rate else value
 
 
 class GaussianCopula:
@@ -86,7 +75,8 @@ class GaussianCopula:
 
     Numeric columns are numbers; all others are levels, ordered by name, that share 0..1 by frequency; null is the last
     level. Fitting aggregates the whole table: nulls of numeric columns count as the median in the correlation, and as
-    many are drawn as the column has. Sampling draws correlated normals in Spark tasks, each from its own seeded stream.
+    many are drawn as the column has. Sampling draws correlated normals in Spark tasks; a row's draws depend on its number
+    alone. Rows of a class are drawn as such: the target's score from the class's interval, the others given that score.
     """
 
     name = "gaussian_copula"
@@ -113,49 +103,66 @@ class GaussianCopula:
 
     def _scores(self, df: DataFrame) -> DataFrame:
         grids, levels, numeric, categorical, seed = self.grids, self.levels, self.numeric, self.categorical, self.seed
-        inv = np.vectorize(NormalDist().inv_cdf)
+        names = [*numeric, *categorical]
 
         def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rng = np.random.default_rng(seed)
             for batch in batches:
                 out = {}
                 for c in numeric:
                     x = batch[c].to_numpy(dtype=float)
                     x = np.where(np.isnan(x), grids[c][GRID // 2], x)
                     u = (np.searchsorted(grids[c], x, side="left") + np.searchsorted(grids[c], x, side="right")) / 2 / (GRID + 1)
-                    out[c] = inv(np.clip(u, 1e-3, 1 - 1e-3))
+                    out[c] = draws.quantile(np.clip(u, 1e-3, 1 - 1e-3))
                 for c in categorical:
-                    names, edges = levels[c]
-                    at = pd.Categorical(batch[c], categories=[x for x in names if x is not None]).codes
-                    at = np.where(at < 0, len(names) - 1, at)  # null is the last level
-                    u = edges[at] + rng.random(len(at)) * (edges[np.minimum(at + 1, len(names))] - edges[at])
-                    out[c] = inv(np.clip(u, 1e-3, 1 - 1e-3))
+                    known, edges = levels[c]
+                    at = pd.Categorical(batch[c], categories=[x for x in known if x is not None]).codes
+                    at = np.where(at < 0, len(known) - 1, at)  # null is the last level
+                    u = edges[at] + batch[f"_u_{c}"].to_numpy() * (edges[np.minimum(at + 1, len(known))] - edges[at])
+                    out[c] = draws.quantile(np.clip(u, 1e-3, 1 - 1e-3))
                 yield pd.DataFrame(out)
 
-        return df.select(*numeric, *categorical).mapInPandas(score, ", ".join(f"`{c}` double" for c in [*numeric, *categorical]))
+        # a level's place in its interval is drawn by the row's values
+        placed = df.select(*names, *(draws.uniform(F.xxhash64(*df.columns), k, seed).alias(f"_u_{c}") for k, c in enumerate(categorical)))
+        return placed.mapInPandas(score, ", ".join(f"`{c}` double" for c in names))
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
-        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say."""
-        return by_quota(self._draw, _target(self), conditions) if conditions else self._draw(0, rows)
-
-    def _draw(self, first: int, rows: int) -> DataFrame:
-        grids, levels, numeric, categorical, seed, factor = self.grids, self.levels, self.numeric, self.categorical, self.seed, self.factor
-        cdf, rates = np.vectorize(NormalDist().cdf), self.null_rates
+        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say, drawn once."""
+        grids, levels, numeric, categorical, seed, rates = self.grids, self.levels, self.numeric, self.categorical, self.seed, self.null_rates
+        names = [*numeric, *categorical]
+        asked, classes = asked_rows(self.spark, rows, conditions)
+        factor, given, low, high, at = self.factor, np.zeros(len(names)), np.zeros(1), np.ones(1), -1
+        if conditions:
+            known, edges = levels[_target(self)]
+            if gone := [c for c in classes if c not in known]:
+                raise ValueError(f"{_target(self)} has no rows of {gone}")
+            at = names.index(self.target)
+            low, high = (np.array([edges[known.index(c) + k] for c in classes]) for k in (0, 1))
+            r = factor @ factor.T
+            given = r[:, at] / r[at, at]
+            values, axes = np.linalg.eigh(r - np.outer(given, r[at, :]))
+            factor = axes * np.sqrt(np.maximum(values, 0.0))
 
         def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rng = np.random.default_rng([seed, int(batch["id"].iloc[0])])
-                u = cdf(rng.standard_normal((len(batch), factor.shape[1])) @ factor.T)
-                out = {"row_id": batch["id"].to_numpy()}
+                # term by term: a matrix product's last digits depend on the size of a batch
+                z = sum(draws.quantile(batch[f"_u_{k}"].to_numpy())[:, None] * factor[:, k] for k in range(len(names)))
+                cls = batch["class"].to_numpy()
+                if at >= 0:
+                    u = low[cls] + batch["_u_class"].to_numpy() * (high - low)[cls]
+                    z = z + draws.quantile(np.clip(u, 1e-12, 1 - 1e-12))[:, None] * given
+                u = draws.cdf(z)
+                out = {"row_id": batch["row_id"].to_numpy()}
                 for k, c in enumerate(numeric):
-                    out[c] = with_nulls(np.interp(u[:, k] * GRID, np.arange(GRID + 1), grids[c]), rates[c], [seed, int(batch["id"].iloc[0]), k])
-                for k, c in enumerate(categorical):
-                    names, edges = levels[c]
-                    out[c] = [names[i] for i in np.clip(np.searchsorted(edges, u[:, len(numeric) + k], side="right") - 1, 0, len(names) - 1)]
+                    out[c] = np.interp(u[:, k] * GRID, np.arange(GRID + 1), grids[c])
+                for k, c in enumerate(categorical, len(numeric)):
+                    known, edges = levels[c]
+                    out[c] = [classes[i] for i in cls] if k == at else [known[i] for i in np.clip(np.searchsorted(edges, u[:, k], side="right") - 1, 0, len(known) - 1)]
                 yield pd.DataFrame(out)
 
         schema = "row_id long, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in categorical])
-        return self.spark.range(first, first + rows).mapInPandas(draw, schema)
+        streams = [draws.uniform(F.col("row_id"), k, seed).alias(f"_u_{k}") for k in range(len(names))] + [draws.uniform(F.col("row_id"), -1, seed).alias("_u_class")]
+        made = asked.select("*", *streams).mapInPandas(draw, schema)
+        return made.withColumns({c: again_null(F.col(c), rates[c], 1000 + k, seed) for k, c in enumerate(numeric)}) if numeric else made
 
 
 def _target(model) -> str:
@@ -194,6 +201,17 @@ def leaf_bounds(path: list[tuple[int, str, object]], n_features: int) -> list[tu
     return [tuple(b) for b in bounds]
 
 
+def leaf_levels(path: list[tuple[int, str, object]], feature: int, n_levels: int) -> frozenset[int] | None:
+    """Numbers of the levels that a leaf's splits on a category leave, or None if no split is on it."""
+    left = None
+    for f, sign, value in path:
+        if f != feature:
+            continue
+        some = {int(x) for x in value} if sign == "in" else set(range(n_levels)) - {int(x) for x in value} if sign == "not in" else {k for k in range(n_levels) if (k <= value) == (sign == "<=")}
+        left = some if left is None else left & some
+    return None if left is None else frozenset(left)
+
+
 def prune(paths: list[list[tuple]], counts: dict[int, int], least: int) -> dict[int, int]:
     """For each leaf the leaf that stands for it: leaves with under ``least`` rows are merged up to their parent.
 
@@ -226,14 +244,22 @@ def leaf_stats(df: DataFrame, leaf: list[str], columns: list[str]) -> DataFrame:
     return long.groupBy(*leaf, "variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
 
 
-def level_probability(df: DataFrame, leaf: list[str], column: str, smoothing: float = 0.0) -> DataFrame:
-    """Rows (leaf..., value, prob) of every leaf and every level that the column has; unseen ones have the smoothing only."""
+def level_probability(df: DataFrame, leaf: list[str], column: str, smoothing: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+    """Rows (leaf..., value, prob) of every leaf and every level that the column has; unseen ones have the smoothing only.
+
+    ``allowed`` has rows (leaf..., value) for the leaves whose splits leave some levels only; the others have no share there.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(*leaf, F.col(column).alias("value")).agg(F.count("*").alias("n"))
     levels = counts.select("value").distinct()
     total = counts.groupBy(*leaf).agg(F.sum("n").alias("all"))
-    n_levels = levels.agg(F.count("*").alias("levels"))
-    grid = total.crossJoin(F.broadcast(levels.crossJoin(n_levels)))  # a row for each level of one column
-    return grid.join(counts, [*leaf, "value"], "left").select(*leaf, "value", ratio(F.coalesce("n", F.lit(0)) + smoothing, F.col("all") + smoothing * F.col("levels")).alias("prob"))
+    grid = total.crossJoin(F.broadcast(levels))  # a row for each level of one column
+    if allowed is not None:
+        tied = allowed.select(*leaf).distinct().withColumn("_tied", F.lit(True))
+        kept = allowed.select(*leaf, "value").distinct().withColumn("_kept", F.lit(True))
+        grid = grid.join(tied, leaf, "left").join(kept, [*leaf, "value"], "left").where("_tied is null or _kept").drop("_tied", "_kept")
+    found = grid.join(counts, [*leaf, "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sums = found.groupBy(*leaf).agg(F.sum("n").alias("all"), F.count("*").alias("levels"))
+    return found.drop("all").join(sums, leaf).select(*leaf, "value", ratio(F.col("n") + smoothing, F.col("all") + smoothing * F.col("levels")).alias("prob"))
 
 
 def bounded(stats: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -302,11 +328,23 @@ class ForestDensity:
                     have = limits.get(key, (np.inf, -np.inf))
                     limits[key] = (min(have[0], low), max(have[1], high))
         self.bounds = self.spark.createDataFrame([(*k, float(a), float(b)) for k, (a, b) in limits.items()], "tree int, leaf int, variable string, bound_low double, bound_high double")
-        rows = rows.join(F.broadcast(self.merged), ["tree", "leaf"]).withColumn("leaf", F.col("stands")).drop("stands")  # a bounded forest
+        rows = written(rows.join(F.broadcast(self.merged), ["tree", "leaf"]).withColumn("leaf", F.col("stands")).drop("stands"), "leaves")  # a bounded forest
         total = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-        self.coverage = total.withColumn("coverage", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a leaf
-        self.stats = bounded(leaf_stats(rows, ["tree", "leaf"], self.numeric), self.bounds) if self.numeric else None
-        self.probabilities = {c: level_probability(rows, ["tree", "leaf"], c, self.alpha) for c in self.categorical}
+        self.coverage = written(total.withColumn("coverage", F.col("n") / (rows.count() or 1)), "coverage")
+        self.stats = written(bounded(leaf_stats(rows, ["tree", "leaf"], self.numeric), self.bounds), "leaf-stats") if self.numeric else None
+        labels = {c: prepared.stages[k].labels for k, c in enumerate(self.categorical)}
+        self.levels_left = {c: self._levels_left(paths, merged, len(self.numeric) + k, labels[c]) for k, c in enumerate(self.categorical)}
+        self.probabilities = {c: written(level_probability(rows, ["tree", "leaf"], c, self.alpha, self.levels_left[c]), "leaf-levels") for c in self.categorical}
+
+    def _levels_left(self, paths: list, merged: dict, feature: int, labels: list[str]) -> DataFrame | None:
+        """Rows (tree, leaf, value) of the leaves whose splits leave some levels of a category; a merged leaf has those of all."""
+        left: dict[tuple[int, int], set[int] | None] = {}
+        for t, p in enumerate(paths):
+            for k, path in enumerate(p):
+                some, key = leaf_levels(path, feature, len(labels) + 1), (t, merged[t][k])
+                left[key] = None if some is None or (key in left and left[key] is None) else left.get(key, set()) | some
+        rows = [(*key, labels[i]) for key, some in left.items() if some is not None for i in some if i < len(labels)]
+        return self.spark.createDataFrame(rows, "tree int, leaf int, value string") if rows else None
 
     def _shuffled(self, rows: DataFrame, columns: list[str], by: str | None, k: int) -> DataFrame:
         """Each column in an order of its own, within the leaf of a random tree if there is one."""
@@ -320,42 +358,57 @@ class ForestDensity:
         return out
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
-        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say."""
-        return by_quota(self._draw, _target(self), conditions) if conditions else self._draw(0, rows)
-
-    def _draw(self, first: int, rows: int) -> DataFrame:
-        leaves = self.coverage.orderBy("tree", "leaf").toPandas()  # one row a leaf of a bounded forest
-        edges = np.cumsum(leaves["coverage"].to_numpy())
-        stats = {} if self.stats is None else {(r.tree, r.leaf, r.variable): r for r in self.stats.toPandas().itertuples()}
-        levels = {c: {key: (g["value"].to_numpy(), g["prob"].to_numpy()) for key, g in p.toPandas().groupby(["tree", "leaf"])} for c, p in self.probabilities.items()}
-        trees, leaf_ids, numeric, categorical, seed = leaves["tree"].to_numpy(), leaves["leaf"].to_numpy(), self.numeric, self.categorical, self.seed
-        rates = self.null_rates
-
-        def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            unit = NormalDist()
-            for batch in batches:
-                rng = np.random.default_rng([seed, int(batch["id"].iloc[0])])
-                at = np.minimum(np.searchsorted(edges, rng.random(len(batch))), len(edges) - 1)
-                out: dict[str, list] = {"row_id": batch["id"].tolist()} | {c: [] for c in [*numeric, *categorical]}
-                for k in at:
-                    key = (trees[k], leaf_ids[k])
-                    for c in numeric:
-                        s = stats[(*key, c)]
-                        sd = 0.0 if s.sd is None or np.isnan(s.sd) else s.sd
-                        if sd <= 0 or s.high <= s.low:
-                            out[c].append(float(s.mean))
-                            continue
-                        a, b = unit.cdf((s.low - s.mean) / sd), unit.cdf((s.high - s.mean) / sd)
-                        out[c].append(float(np.clip(s.mean + sd * unit.inv_cdf(min(max(a + rng.random() * (b - a), 1e-9), 1 - 1e-9)), s.low, s.high)))
-                    for c in categorical:
-                        names, p = levels[c][key]
-                        out[c].append(names[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum())), len(names) - 1)])
-                for k, c in enumerate(numeric):
-                    out[c] = with_nulls(np.array(out[c], dtype=float), rates[c], [seed, int(batch["id"].iloc[0]), k])
-                yield pd.DataFrame(out)
-
-        schema = "row_id long, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in categorical])
-        return self.spark.range(first, first + rows).mapInPandas(draw, schema)
+        """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say, drawn once.
+
+        Leaves share 0..1 by coverage, for a class by coverage times the class's share in the leaf; a row's draw falls into
+        the interval of one. Leaves and their numbers are tables, which rows are joined with.
+        """
+        asked, classes = asked_rows(self.spark, rows, conditions)
+        row, seed = F.col("row_id"), self.seed
+        weighted = self.coverage.select("tree", "leaf", F.lit(0).alias("class"), F.col("coverage").alias("weight"))
+        if conditions:
+            number = self.spark.createDataFrame([(None if c is None else str(c), k) for k, c in enumerate(classes)], "value string, class int")
+            shares = self.probabilities[_target(self)].join(F.broadcast(number), "value")  # a row a class
+            weighted = self.coverage.join(shares, ["tree", "leaf"]).select("tree", "leaf", "class", (F.col("coverage") * F.col("prob")).alias("weight")).where("weight > 0")
+        sums = {r["class"]: r["w"] for r in weighted.groupBy("class").agg(F.sum("weight").alias("w")).collect()}  # one a class
+        if gone := [c for k, c in enumerate(classes) if k not in sums]:
+            raise ValueError(f"{self.target} has no rows of {gone}")
+        # the classes' leaves one after the other, each class as long as any other, in whole numbers
+        unit = 1 << 40
+        total = F.get(F.array(*(F.lit(float(sums[k])) for k in range(len(classes)))), F.col("class"))
+        placed, totals = prefix.running(weighted, [F.col("class"), F.col("tree"), F.col("leaf")], {"upto": F.greatest(F.round(F.col("weight") / total * unit), F.lit(1)).cast("long")})
+        ends = {r["class"]: r["upto"] for r in placed.groupBy("class").agg(F.max("upto").alias("upto")).collect()}  # one a class
+        every = totals["upto"]
+        width = F.greatest(F.round(F.col("weight") / total * unit), F.lit(1)).cast("long")
+        intervals = placed.select("tree", "leaf", ((F.col("upto") - width) / every).alias("lo"), (F.col("upto") / every).alias("hi"))
+        starts = [0.0] + [ends[k] / every for k in range(len(classes))]
+        start = F.get(F.array(*map(F.lit, starts)), F.col("class"))
+        end = F.get(F.array(*map(F.lit, starts)), F.col("class") + 1)
+        found = prefix.in_interval(asked, start + draws.uniform(row, -2, seed) * (end - start), intervals, ["tree", "leaf"], placed.count())
+        if self.numeric:
+            wide = self.stats.groupBy("tree", "leaf").pivot("variable", self.numeric).agg(F.first(F.struct("mean", "sd", "low", "high")))
+            # a pivot of one struct has the variables' names
+            found = found.join(wide, ["tree", "leaf"], "left")
+        for k, c in enumerate(self.categorical):
+            if conditions and c == self.target:
+                found = found.withColumn(f"_{c}", F.get(F.array(*(F.lit(None if x is None else str(x)).cast("string") for x in classes)), F.col("class")))
+                continue
+            shares = self.probabilities[c].groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("value", "prob"))).alias("_shares"))
+            found = found.join(shares, ["tree", "leaf"], "left")
+            sums_ = F.transform("_shares", lambda e, i: F.struct(e["value"].alias("value"), F.aggregate(F.slice("_shares", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["prob"]).alias("upto")))
+            u = draws.uniform(row, k, seed)
+            chosen = F.coalesce(F.get(F.filter(sums_, lambda e: e["upto"] >= u), F.lit(0))["value"], F.element_at("_shares", -1)["value"])
+            found = found.withColumn(f"_{c}", chosen).drop("_shares")
+        out = {}
+        for k, c in enumerate(self.numeric):
+            p = F.col(f"`{c}`")
+            sd = F.coalesce(p["sd"], F.lit(0.0))
+            safe = F.when(sd > 0, sd).otherwise(F.lit(1.0))
+            a, b = draws.normal_cdf((p["low"] - p["mean"]) / safe), draws.normal_cdf((p["high"] - p["mean"]) / safe)
+            u = F.greatest(F.least(a + draws.uniform(row, 2000 + k, seed) * (b - a), F.lit(1 - 1e-12)), F.lit(1e-12))
+            drawn = F.greatest(F.least(p["mean"] + sd * draws.normal_quantile(u), p["high"]), p["low"])
+            out[c] = again_null(F.when((sd <= 0) | (p["high"] <= p["low"]), p["mean"]).otherwise(drawn), self.null_rates[c], 1000 + k, seed)
+        return found.select("row_id", *(v.alias(c) for c, v in out.items()), *(F.col(f"`_{c}`").alias(c) for c in self.categorical))
 
 
 def synthesizers(spark: SparkSession, numeric: list[str], categorical: list[str]) -> dict[str, Synthesizer]:

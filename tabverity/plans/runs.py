@@ -1,12 +1,13 @@
 """Whole evaluations: modes, a result store that a run resumes from, the original baseline, and single updates.
 
 A store is a folder that Spark can read and write from everywhere: ``results`` holds a Parquet folder for each family
-and model that is done, ``config`` the settings as JSON. Each family is written as soon as it is computed, so that a run
+and model, ``config`` the settings as JSON. Each family is written as soon as it is computed, so that a run
 whose driver is lost goes on where it stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 from dataclasses import dataclass, field, replace
@@ -14,18 +15,22 @@ from dataclasses import dataclass, field, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import report, split
-from ..sources.tables import TableSet, kinds
+from ..operators import profile, report, split
+from ..sources.tables import Options, TableSet, fingerprint
 from . import evaluate as families
 
 log = logging.getLogger(__name__)
-SCHEMA = "metric_type string, metric string, model_name string, value double, status string"
+SCHEMA = families.SCHEMA + ", inputs string"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Status of a folder without results.
+GONE = "gone"
 MODES = ("synthetic", "onlyoriginal", "runall")
 #: Roles that a family needs.
 REQUIRED = {
     "Utility": ("target", "control"), "Membership Inference Attack": ("target", "control", "id"), "Privacy Against Inference": ("key_fields", "sensitive_fields"),
-    "Linkability": ("id", "aux"), "Inference": ("id", "secret"), "Singling Out": ("id",), "Distance": ("id",), "Propensity Score": ("id",),
+    "Linkability": ("id", "aux"), "Inference": ("id",), "Singling Out": ("id",), "Distance": ("id",), "Propensity Score": ("id",),
 }
 
 
@@ -56,7 +61,11 @@ def validate(tables: TableSet, names: list[str]) -> None:
 
 @dataclass
 class Store:
-    """Results of families and models, and the run's configuration."""
+    """Results of families, models and metrics, and the run's configuration.
+
+    A result has the inputs it was computed from (tables, roles and settings): it counts as done for the same inputs, and
+    unless it failed.
+    """
 
     spark: SparkSession
     path: str
@@ -68,17 +77,33 @@ class Store:
             return None
 
     def results(self) -> DataFrame:
-        """All stored rows (metric_type, metric, model_name, value, status)."""
-        found = self._read(lambda: self.spark.read.schema(SCHEMA).parquet(f"{self.path}/results"))
+        """All stored rows (metric_type, metric, model_name, value, status, inputs)."""
+        found = self._read(lambda: self.spark.read.schema(SCHEMA).parquet(f"{self.path}/results").select(*NAMES).where(F.col("status") != GONE))
         return found if found is not None else self.spark.createDataFrame([], SCHEMA)
 
-    def put(self, rows: DataFrame) -> None:
-        """Writes rows; what is stored for their families and models is replaced."""
-        one = self.spark.createDataFrame(rows.select("metric", "value", "status", "metric_type", "model_name").collect(), "metric string, value double, status string, metric_type string, model_name string")  # a row a metric
+    def put(self, rows: list[tuple], inputs: str) -> None:
+        """Writes rows of one family and model; other metrics of the same inputs stay, those of other inputs go."""
+        if not rows:
+            return
+        family, model = rows[0][0].split(" | ")[0], rows[0][2]
+        new = {(r[0], r[1]): (*r, inputs) for r in rows}
+        begun = {k for k in new if k[0] == k[1]}  # a family that couldn't begin
+        old = {(r["metric_type"], r["metric"]): tuple(r) for r in self.results().where(of_family(family) & (F.col("model_name") == model)).collect()}  # a row a metric
+        kept = {k: r for k, r in old.items() if r[5] == inputs and (k[0] != k[1] or k in begun)} | new
+        # a folder that has nothing left of these inputs is told so: single folders are replaced, never deleted
+        gone = [(kind, "", model, None, GONE, inputs) for kind in {k[0] for k in old} - {k[0] for k in kept}]
+        one = self.spark.createDataFrame([*kept.values(), *gone], SCHEMA).coalesce(1)
         one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_type", "model_name").parquet(f"{self.path}/results")
 
+    def done(self, family: str, model: str, inputs: str) -> set[tuple[str, str]]:
+        """(type, metric) of what needn't be computed again."""
+        rows = self.results().where(of_family(family) & (F.col("model_name") == model) & (F.col("inputs") == inputs) & (F.col("status") == "ok"))
+        return {(r["metric_type"], r["metric"]) for r in rows.collect()}  # a row a metric
+
     def has(self, family: str, model: str) -> bool:
-        return not self.results().where((F.col("metric_type") == family) & (F.col("model_name") == model)).isEmpty()
+        """Whether every stored metric of the family and model is one that didn't fail."""
+        rows = [r["status"] for r in self.results().where(of_family(family) & (F.col("model_name") == model)).collect()]  # a row a metric
+        return bool(rows) and all(x == "ok" for x in rows)
 
     def save_config(self, config: dict) -> None:
         row = self.spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string")
@@ -101,40 +126,37 @@ class Store:
 
 
 def compute(tables: TableSet, family: str, model: str, metrics: list[str] | None = None) -> DataFrame:
-    """Rows (metric_type, metric, model_name, value, status) of one family and model.
+    """Rows (metric_type, metric, model_name, value, status) of one family and model, computed anew."""
+    return families.compute(tables, family, model, metrics)
 
-    A family that fails gives one row without value whose status says why. ``metrics`` keeps those metrics only; nothing
-    is computed if it is empty.
-    """
-    spark = tables.real.sparkSession
-    if metrics is not None and not metrics:
-        return spark.createDataFrame([], SCHEMA)
-    try:
-        rows = families.REGISTRY[family](tables, tables.synthetic[model])
-        rows = rows.where(F.col("metric").isin(metrics)) if metrics is not None else rows
-        done = rows.select(F.lit(family).alias("metric_type"), "metric", F.lit(model).alias("model_name"), F.col("value").cast("double").alias("value"), F.lit("ok").alias("status"))
-        return spark.createDataFrame(done.collect(), SCHEMA)  # a row a metric
-    except (ValueError, TypeError, ArithmeticError, AnalysisException) as failure:
-        log.warning("%s failed for %s: %s", family, model, str(failure)[:200])
-        return spark.createDataFrame([(family, family, model, None, f"failed: {str(failure)[:200]}")], SCHEMA)
+
+def inputs_of(tables: TableSet) -> dict[str, str]:
+    """For each model a hash of all that its results depend on."""
+    print_of = lambda df: None if df is None else fingerprint(df)
+    shared = [print_of(tables.real), print_of(tables.control), print_of(tables.whole), repr(tables.roles), repr(tables.options)]
+    return {m: hashlib.sha256(json.dumps([*shared, print_of(df)]).encode()).hexdigest() for m, df in tables.synthetic.items()}
 
 
 def run_synthetic(tables: TableSet, store: Store, names: list[str] | None = None, metrics: dict[str, list[str]] | None = None) -> DataFrame:
-    """All families of all models that the store doesn't have; each is stored when it is done."""
+    """All metrics of all models that the store doesn't have of these inputs; a family is stored when it is done.
+
+    A run that asks for more metrics than one before computes those; metrics that failed are tried again.
+    """
+    inputs = inputs_of(tables)
     for family in names or list(families.REGISTRY):
         if family not in families.REGISTRY:
             log.warning("no metric family %s", family)
             continue
         for model in tables.synthetic:
-            if not store.has(family, model):
-                store.put(compute(tables, family, model, metrics.get(family) if metrics else None))
+            done = store.done(family, model, inputs[model])
+            store.put(families.compute_rows(tables, family, model, metrics.get(family) if metrics else None, done), inputs[model])
     return store.results()
 
 
 def original_halves(tables: TableSet, seed: int = 42) -> TableSet:
-    """The real table's two halves as real table and as the synthetic table "Original"."""
+    """The real table's two halves as real table and as the synthetic table "Original", with half as many attacks."""
     halves = split.half_split(tables.real, tables.roles.id, seed)
-    return replace(tables, real=halves.where("is_first").drop("is_first"), synthetic={"Original": halves.where("not is_first").drop("is_first")})
+    return replace(tables, real=halves.where("is_first").drop("is_first"), synthetic={"Original": halves.where("not is_first").drop("is_first")}, options=tables.options.halved(), whole=tables.real)
 
 
 def run_original(tables: TableSet, store: Store, names: list[str] | None = None) -> DataFrame:
@@ -144,8 +166,9 @@ def run_original(tables: TableSet, store: Store, names: list[str] | None = None)
 
 def update(tables: TableSet, store: Store, family: str) -> DataFrame:
     """Computes one family again for all models and replaces what is stored of it."""
+    inputs = inputs_of(tables)
     for model in tables.synthetic:
-        store.put(compute(tables, family, model))
+        store.put(families.compute_rows(tables, family, model), inputs[model])
     return store.results()
 
 
@@ -158,6 +181,7 @@ class Settings:
     metrics: dict[str, list[str]] = field(default_factory=dict)
     train_share: float = 0.8
     seed: int = 42
+    options: Options = Options()
 
 
 def split_and_store(df: DataFrame, roles, path: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -169,35 +193,73 @@ def split_and_store(df: DataFrame, roles, path: str, settings: Settings) -> tupl
     return spark.read.schema(df.schema).parquet(f"{path}/train"), spark.read.schema(df.schema).parquet(f"{path}/test")
 
 
+def with_ids(rows: DataFrame, like: DataFrame, id_col: str) -> DataFrame:
+    """Generated rows with ids that no row of ``like`` has: whole numbers beyond the largest, or texts of their own."""
+    if id_col in rows.columns:
+        return rows
+    number = F.col("row_id") if "row_id" in rows.columns else F.monotonically_increasing_id()
+    if isinstance(like.schema[id_col].dataType, T.NumericType):
+        first = like.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+        return rows.withColumn(id_col, number + F.lit((first if first is not None else -1) + 1))
+    return rows.withColumn(id_col, F.concat(F.lit("made-"), number.cast("string")))
+
+
+def generate(synthesizer, train: DataFrame, roles, path: str) -> DataFrame:
+    """A table as large as ``train``, with its classes' shares if the synthesizer knows the target, written and read again."""
+    spark, rows = train.sparkSession, train.count()
+    synthesizer.fit(train.drop(roles.id) if roles.id else train)
+    quotas = None
+    if roles.target and getattr(synthesizer, "target", None) == roles.target:
+        quotas = {r["class"]: r["num_rows"] for r in profile.class_quota(train, roles.target, rows).where("class is not null").collect()}  # one row a class
+    made = synthesizer.generate(rows, quotas) if quotas else synthesizer.generate(rows)
+    made = with_ids(made, train, roles.id) if roles.id else made
+    made.select(*(F.col(c).cast(train.schema[c].dataType) for c in train.columns if c in made.columns)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def run(df: DataFrame, roles, synthesizers: list, path: str, settings: Settings | None = None) -> DataFrame:
     """Split, generate with every synthesizer, and evaluate by the mode; the store's rows.
 
-    ``path`` is a folder in shared storage with ``train``, ``test``, ``synthetic`` (one folder a model) and the store.
+    ``path`` is a folder in shared storage with ``train``, ``test``, ``synthetic`` (one folder a model) and the store. A run
+    on the same table with the same settings goes on with the tables that are there. A synthesizer that fails is left out,
+    with a row that says so.
     """
     settings = settings or Settings()
     mode = parse_mode(settings.mode)
     spark = df.sparkSession
-    train, test = split_and_store(df, roles, path, settings)
     store = Store(spark, path)
-    store.save_config(settings.__dict__ | {"mode": mode, "roles": roles.__dict__})
-    found = kinds(df, roles.id)
-    tables = TableSet(train, {}, test, roles)
+    config = settings.__dict__ | {"mode": mode, "roles": roles.__dict__, "options": settings.options.__dict__}
+    made = store.config().get("made", {})
+    key = hashlib.sha256(json.dumps([fingerprint(df), repr(roles), settings.train_share, settings.seed]).encode()).hexdigest()
+    if made.get("split") == key:
+        train, test = (spark.read.schema(df.schema).parquet(f"{path}/{part}") for part in ("train", "test"))
+    else:
+        train, test = split_and_store(df, roles, path, settings)
+        made = {"split": key}
+    store.save_config(config | {"made": made})
+    tables = TableSet(train, {}, test, roles, settings.options)
     if mode != "onlyoriginal":
-        made = {}
         for s in synthesizers:
-            s.fit(train.drop(roles.id) if roles.id else train)
-            rows = s.generate(train.count())
-            if roles.id and roles.id not in rows.columns:
-                rows = rows.withColumnRenamed("row_id", roles.id) if "row_id" in rows.columns else rows.withColumn(roles.id, F.monotonically_increasing_id())
-            rows = rows.select(*(F.col(c).cast(df.schema[c].dataType) for c in df.columns if c in rows.columns))
-            rows.write.mode("overwrite").parquet(f"{path}/synthetic/{s.name}")
-            made[s.name] = spark.read.parquet(f"{path}/synthetic/{s.name}")
-        tables = replace(tables, synthetic=made)
+            folder, own = f"{path}/synthetic/{s.name}", f"{key}:{_settings_of(s)}"
+            try:
+                if made.get(s.name) != own:
+                    generate(s, train, roles, folder)
+                    made[s.name] = own
+                    store.save_config(config | {"made": made})
+                tables = replace(tables, synthetic=tables.synthetic | {s.name: spark.read.parquet(folder)})
+            except families.FAILURES as failure:
+                log.warning("synthesizer %s failed: %s", s.name, str(failure)[:200])
+                store.put([("Generation", "Generation", s.name, None, f"failed: {str(failure)[:200]}")], key)
     names = settings.families or [n for n in families.REGISTRY if n not in missing_roles(tables, list(families.REGISTRY))]
     validate(tables, names)
-    log.info("columns by kind: %s", found)
     if mode != "onlyoriginal":
         run_synthetic(tables, store, names, settings.metrics or None)
     if mode != "synthetic":
         run_original(tables, store, names)
     return store.results()
+
+
+def _settings_of(synthesizer) -> str:
+    """What a synthesizer was made with: its plain attributes, before it is fitted."""
+    plain = {k: v for k, v in vars(synthesizer).items() if isinstance(v, str | int | float | list | tuple | None)}
+    return f"{type(synthesizer).__name__}:{json.dumps(plain, sort_keys=True, default=repr)}"

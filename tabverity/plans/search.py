@@ -9,7 +9,7 @@ import json
 import logging
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,11 +67,10 @@ def score_trial(tables: TableSet, proposal: dict, space: Space, wanted: dict[str
     roles = tables.roles
     made.fit(tables.real.drop(roles.id) if roles.id else tables.real)
     rows = made.generate(tables.real.count())
-    if roles.id and roles.id not in rows.columns:
-        rows = rows.withColumnRenamed("row_id", roles.id) if "row_id" in rows.columns else rows.withColumn(roles.id, F.monotonically_increasing_id())
+    rows = runs.with_ids(rows, tables.real, roles.id) if roles.id else rows
     folder = trial_folder(path, number, proposal)
     rows.select(*(F.col(c).cast(tables.real.schema[c].dataType) for c in tables.real.columns if c in rows.columns)).write.mode("overwrite").parquet(folder)
-    one = TableSet(tables.real, {"trial": spark.read.parquet(folder)}, tables.control, roles)
+    one = replace(tables, synthetic={"trial": spark.read.parquet(folder)})
     scores: dict[str, float | None] = {}
     for family, metrics in wanted.items():
         found = {r["metric"]: r["value"] for r in runs.compute(one, family, "trial", metrics).collect()}
@@ -175,7 +174,7 @@ def evaluate_best(tables: TableSet, found: DataFrame, path: str, names: list[str
     spark = tables.real.sparkSession
     target = keep_best(tables, found, path)
     model = target.rsplit("/", 1)[1]
-    one = TableSet(tables.real, {model: spark.read.parquet(target)}, tables.control, tables.roles)
+    one = replace(tables, synthetic={model: spark.read.parquet(target)})
     from .evaluate import REGISTRY
 
     names = names or [n for n in REGISTRY if n not in runs.missing_roles(one, list(REGISTRY))]

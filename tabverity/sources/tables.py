@@ -6,7 +6,7 @@ import json
 import logging
 import re
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +29,39 @@ class Roles:
     secret: str | None = None
 
 
+@dataclass(frozen=True)
+class Options:
+    """Settings of metrics that have any. Attacks that aren't limited take every row."""
+
+    distance_scaler: str = "minmax"
+    singling_mode: str = "multivariate"
+    singling_attacks: int = 6000
+    singling_columns: int = 7
+    linkability_neighbours: int = 500
+    linkability_attacks: int | None = None
+    inference_columns: tuple[str, ...] | None = None
+    inference_attacks: int | None = None
+    inference_model: bool = True
+
+    def halved(self) -> Options:
+        """For halves of tables: half as many attacks."""
+        half = lambda n: None if n is None else max(n // 2, 1)
+        return replace(self, singling_attacks=half(self.singling_attacks), linkability_attacks=half(self.linkability_attacks), inference_attacks=half(self.inference_attacks))
+
+
 @dataclass(frozen=True)
 class TableSet:
-    """Real, synthetic (by model name) and control tables that are evaluated together."""
+    """Real, synthetic (by model name) and control tables that are evaluated together.
+
+    ``whole`` is the real table when ``real`` and the only synthetic one are its halves.
+    """
 
     real: DataFrame
     synthetic: dict[str, DataFrame] = field(default_factory=dict)
     control: DataFrame | None = None
     roles: Roles = Roles()
+    options: Options = Options()
+    whole: DataFrame | None = None
 
 
 def as_frame(spark: SparkSession, source: Source, schema: T.StructType | None = None) -> DataFrame:
@@ -118,6 +143,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Names, types and rows of a table as one text: rows in any order, repeated ones counted."""
+    found = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), *df.columns).cast("decimal(38,0)")).alias("b")).first()
+    return f"{df.schema.simpleString()}:{found['n']}:{found['a']}:{found['b']}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and not lost with an executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
