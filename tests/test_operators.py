@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -328,6 +329,54 @@ def test_searches_by_fronts():
     assert search.trial_folder("p", 3, {"model": "a", "x": 1, "y": 3}) == "p/trials/trial-3_a_x-1_y-3"
 
 
+def test_ranges_cross_and_mutate():
+    rng = random.Random(1)
+    for r in (search.Range(1, 9), search.Range(1, 64, whole=True, log=True)):
+        drawn = [r.draw(rng) for _ in range(200)]
+        assert all(r.low <= x <= r.high for x in drawn) and (not r.whole or all(isinstance(x, int) for x in drawn))
+        children = [r.cross(2, 8, rng) for _ in range(400)]
+        assert all(r.low <= x <= r.high for x in children) and sum(abs(x - 2) < 1 or abs(x - 8) < 1.5 for x in children) > 250
+        changed = [r.mutate(5, rng) for _ in range(300)]
+        assert all(r.low <= x <= r.high for x in changed) and len(set(changed)) > 3
+    with pytest.raises(ValueError, match="range"):
+        search.Space({"a": dict}, {"a": {"x": search.Range(0, 1)}}).every()
+
+
+def test_a_stopped_search_goes_on(spark, tmp_path):
+    """The front of a small space is the one of all combinations; a search that was killed scores no trial twice."""
+    space = search.Space({"a": dict}, {"a": {"x": list(range(5)), "y": list(range(4))}})
+    goals = lambda p: {"f1": float(p["x"]), "risk": float((p["x"] - p["y"]) ** 2 + p["y"])}
+    sets = tables.TableSet(frame(spark, [(k, "ab"[k % 2]) for k in range(4)], "k long, c string"), {}, None, tables.Roles(id="k"))
+    wanted, made = {"Basic Quality": ["f1", "risk"]}, []
+
+    def score(tables_, proposal, *rest):
+        if len(made) == 9:
+            made.append(None)
+            raise RuntimeError("killed")
+        made.append(proposal)
+        return goals(proposal)
+
+    ask = lambda: search.genetic_search(sets, space, wanted, str(tmp_path), n_trials=20, population=5, score=score)
+    search_limit, search.MOST_DUPLICATES = search.MOST_DUPLICATES, 500
+    try:
+        with pytest.raises(RuntimeError, match="killed"):
+            ask()
+        found = ask().collect()
+    finally:
+        search.MOST_DUPLICATES = search_limit
+    proposals = [json.dumps(p, sort_keys=True) for p in made if p is not None]
+    assert len(proposals) == len(set(proposals)) == 20
+    every = [{"model": "a", "x": x, "y": y} for x in range(5) for y in range(4)]
+    beaten = lambda p: any(goals(q)["f1"] >= goals(p)["f1"] and goals(q)["risk"] <= goals(p)["risk"] and goals(q) != goals(p) for q in every)
+    assert {r["params"] for r in found} == {json.dumps(p, sort_keys=True) for p in every if not beaten(p)}
+
+
+def test_metrics_that_never_succeed(spark):
+    trials = [{"number": k, "proposal": {"model": "a", "x": k}, "scores": {"f1": float(k), "risk": None}} for k in range(3)]
+    found = search.as_table(spark, trials, ["f1", "risk"])
+    assert found.columns == ["trial", "model", "params", "f1"] and [r["trial"] for r in search.best_of(found, ["f1", "risk"]).collect()] == [2]
+
+
 def test_modes_and_roles(spark):
     assert runs.parse_mode("Only Original") == "onlyoriginal" and runs.parse_mode(None) == "runall"
     with pytest.raises(ValueError, match="none of"):
