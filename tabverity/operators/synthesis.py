@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from typing import Protocol
@@ -269,11 +270,29 @@ def bounded(stats: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.withColumns({"low": F.coalesce(finite("bound_low"), "low"), "high": F.coalesce(finite("bound_high"), "high")}).drop("bound_low", "bound_high")
 
 
+#: Cumulative chances of 0, 1, 2, ... of a Poisson number of mean 1.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
+
+
+def bag_weight(row: Column, bag: int, seed: int) -> Column:
+    """How often a bag's bootstrap sample holds a row: a Poisson number of mean 1, by the hash of the row's number."""
+    u = draws.uniform(row, bag, seed)
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
+
+
+def out_of_bag(votes: DataFrame) -> float | None:
+    """Accuracy of rows (id, label, p, trees) of trees that left a row out: their mean share of 1 against one half."""
+    guess = votes.groupBy("id", "label").agg((F.sum(F.col("p") * F.col("trees")) / F.sum("trees")).alias("p"))
+    return guess.agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
+
+
 class ForestDensity:
     """Adversarial random forest: a forest that tells real rows from rows of shuffled columns gives leaves, leaves give densities.
 
-    Every column is shuffled by drawing it, independently, from the leaf of a random row; rounds end when the forest's
-    hold-out accuracy is a coin's, or after ``rounds``; ``depth`` bounds the trees. Nulls of numeric columns are imputed by
+    Trees grow in ``bags``, each on a bootstrap sample of its own; a row's vote is that of the bags that left it out. Every
+    column is shuffled by drawing it, independently, from the leaf of a random row; rounds end when the out-of-bag accuracy
+    is a coin's up to ``delta``, when it is no better than in the round before, or after ``rounds``. ``depth`` bounds the
+    trees and so the tables of leaves. Nulls of numeric columns are imputed by
     the median and drawn again by the column's share of them; null levels are the level "missed". Leaves with under
     ``min_node_size`` real rows are merged into their parent. Sampling draws leaves by coverage, numbers from normals cut
     to the leaf's bounds (its observed range where no split bounds it), and levels by the leaf's shares, smoothed by
@@ -282,7 +301,8 @@ class ForestDensity:
 
     name = "forest_density"
 
-    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 30, depth: int = 5, rounds: int = 10, seed: int = 42, target: str | None = None, min_node_size: int = 5, alpha: float = 0.0) -> None:
+    def __init__(self, numeric: list[str], categorical: list[str], trees: int = 30, depth: int = 5, rounds: int = 10, seed: int = 42, target: str | None = None, min_node_size: int = 5, alpha: float = 0.0, bags: int = 4, delta: float = 0.0) -> None:
+        self.bags, self.delta = max(1, min(bags, trees)), delta
         self.numeric, self.categorical, self.trees, self.depth, self.rounds, self.seed = numeric, categorical, trees, depth, rounds, seed
         self.target, self.min_node_size, self.alpha = target, min_node_size, alpha
 
@@ -301,19 +321,30 @@ class ForestDensity:
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in self.categorical]
         stages.append(VectorAssembler(inputCols=[*self.numeric, *(f"{c}_index" for c in self.categorical)], outputCol="features"))
         prepared = Pipeline(stages=stages).fit(real)
-        by, leafed = None, None
+        by, leafed, self.accuracies = None, None, []
         for k in range(self.rounds):
             fake = self._shuffled(real if leafed is None else leafed, columns, by, k)
-            both = prepared.transform(real.select(*columns).withColumn("label", F.lit(1.0)).unionByName(fake.select(*columns).withColumn("label", F.lit(0.0)))).withColumn("_test", F.rand(self.seed + k) < 0.2).persist()
-            forest = RandomForestClassifier(labelCol="label", numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=5, leafCol="leaf", seed=self.seed + k).fit(both.where("not _test"))
-            accuracy = forest.transform(both.where("_test")).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] or 0.5
-            both.unpersist()
-            leafed = forest.transform(prepared.transform(real)).select(*columns, "_row", vector_to_array("leaf").alias("leaf"))
+            both = real.select(*columns).withColumn("label", F.lit(1.0)).unionByName(fake.select(*columns).withColumn("label", F.lit(0.0)))
+            both = prepared.transform(written(both.withColumn("_id", F.monotonically_increasing_id()), "real-and-shuffled"))
+            forests, votes = [], None
+            for bag in range(self.bags):
+                weighted = both.withColumn("_w", bag_weight(F.col("_id"), bag, self.seed + k))
+                trees = self.trees // self.bags + (bag < self.trees % self.bags)
+                learner = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=trees, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=self.depth, minInstancesPerNode=self.min_node_size, leafCol=f"leaf_{bag}", seed=self.seed + 100 * k + bag)
+                forests.append(learner.fit(weighted.where("_w > 0")))
+                left_out = forests[-1].transform(weighted.where("_w = 0")).select(F.col("_id").alias("id"), "label", vector_to_array("probability")[1].alias("p"), F.lit(trees).alias("trees"))
+                votes = left_out if votes is None else votes.unionByName(left_out)
+            accuracy = out_of_bag(votes)
+            self.accuracies.append(0.5 if accuracy is None else accuracy)
+            placed = prepared.transform(real)
+            for forest in forests:
+                placed = forest.transform(placed).drop("prediction", "rawPrediction", "probability")
+            leafed = placed.select(*columns, "_row", F.concat(*(vector_to_array(f"leaf_{bag}") for bag in range(self.bags))).alias("leaf"))
             by = "leaf"
-            if accuracy <= 0.5:
+            if self.accuracies[-1] <= 0.5 + self.delta or (k and self.accuracies[-1] >= self.accuracies[-2]):
                 break
         rows = leafed.select(*columns, F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
-        paths = [leaf_paths(t.toDebugString) for t in forest.trees]
+        paths = [leaf_paths(t.toDebugString) for forest in forests for t in forest.trees]
         counts: dict[int, dict[int, int]] = {}
         for r in rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():  # a row for each leaf of a bounded forest
             counts.setdefault(r["tree"], {})[r["leaf"]] = r["n"]

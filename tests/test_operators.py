@@ -276,6 +276,24 @@ def test_classes_are_drawn_as_such(spark):
         model.generate(5, {"rare": 1})
 
 
+def test_votes_of_trees_that_left_a_row_out(spark):
+    weights = spark.range(20000).select(*(synthesis.bag_weight(F.col("id"), bag, 7).alias(f"w{bag}") for bag in range(2))).toPandas()
+    shares = weights["w0"].value_counts(normalize=True)
+    assert [shares[float(k)] for k in range(4)] == pytest.approx([math.exp(-1), math.exp(-1), math.exp(-1) / 2, math.exp(-1) / 6], abs=0.01)
+    assert abs(weights["w0"].corr(weights["w1"])) < 0.03
+    rows = [(k, float(k % 2), round(0.37 * k % 1, 3), 1 + k % 3) for k in range(40) for _ in range(1 + k % 2)]
+    votes = {}
+    for i, label, p, trees in rows:
+        a, b = votes.get((i, label), (0.0, 0))
+        votes[i, label] = (a + p * trees, b + trees)
+    right = [(a / b > 0.5) == bool(label) for (_, label), (a, b) in votes.items()]
+    assert synthesis.out_of_bag(frame(spark, rows, "id long, label double, p double, trees int")) == pytest.approx(np.mean(right))
+    df = frame(spark, [(float(k % 9), "ab"[k % 9 > 4]) for k in range(300)], "x double, s string")
+    model = synthesis.ForestDensity(["x"], ["s"], trees=5, rounds=4, bags=2)
+    model.fit(df)
+    assert 1 <= len(model.accuracies) <= 4 and all(0 <= a <= 1 for a in model.accuracies)
+
+
 def test_draws_do_not_depend_on_batches(spark):
     df = frame(spark, [(float(k % 17), "ab"[k % 2]) for k in range(300)], "x double, s string")
     for model in (synthesis.GaussianCopula(["x"], ["s"]), synthesis.ForestDensity(["x"], ["s"], trees=3, rounds=1)):
