@@ -47,7 +47,7 @@ def in_interval(df: DataFrame, x: Column, intervals: DataFrame, columns: list[st
     place = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("long")
     some = intervals.where("hi > lo").select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *(F.col(c).alias(f"_of_{c}") for c in columns))
     spread = some.withColumn("_bucket", F.explode(F.sequence(place(F.col("_lo")), place(F.col("_hi")))))
-    point = F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    point = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
     # points without a value are spread over buckets that no interval has
     asked = df.withColumn("_x", point).withColumn("_at", F.coalesce(place(F.col("_x")), -1 - F.floor(F.rand(1) * 1000).cast("long")))
     inside = (F.col("_at") == F.col("_bucket")) & ((F.col("_x") > F.col("_lo")) | ((F.col("_lo") == 0) & (F.col("_x") == 0))) & (F.col("_x") <= F.col("_hi"))

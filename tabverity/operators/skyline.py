@@ -68,7 +68,10 @@ def undominated(vectors: DataFrame, goals: int) -> DataFrame:
         yield _batch(held)
 
     found = written(vectors.select("v").mapInArrow(local, "v array<double>"), "local-fronts").distinct()
-    parts = max(1, -(-found.count() // BLOCK))
+    n = found.count()
+    if n <= BLOCK:  # one block has them all
+        return found.coalesce(1).mapInArrow(local, "v array<double>")
+    parts = -(-n // BLOCK)
     blocks = written(found.repartitionByRange(parts, F.col("v")[0], F.col("v")).withColumn("block", F.spark_partition_id()), "fronts")
     sides = [f(F.col("v")[g]).alias(f"{name}_{g}") for name, f in (("least", F.min), ("most", F.max)) for g in range(goals)]
     corners = blocks.groupBy("block").agg(*sides).orderBy("block").collect()  # one a block

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabverity.operators import nearest, privacy, profile, singling
+from tabverity.operators import nearest, prefix, privacy, profile, singling, skyline
 
 
 def mixed(spark, n, seed, first=0):
@@ -136,3 +136,37 @@ def test_nearest_cells(spark):
         right += min(set(near), key=lambda v: (-near.count(v), v)) == r[8]
     assert privacy.generalized_cap(df, synthetic, keys, ["s"]).first()["score"] == pytest.approx(1 - np.mean(cap))
     assert privacy.categorical_knn(df, synthetic, keys, "s").first()["correct"] == right
+
+
+@pytest.mark.parametrize(("goals", "block"), [(2, 8192), (2, 50), (3, 50)])
+def test_fronts_of_blocks(spark, monkeypatch, goals, block):
+    """Anticorrelated vectors, most of which no other dominates, beside dominated and repeated ones."""
+    monkeypatch.setattr(skyline, "BLOCK", block)
+    rng = np.random.default_rng(goals)
+    x = rng.dirichlet(np.ones(goals), 500).round(2)
+    x = np.concatenate([x, x[:200] - rng.integers(0, 2, size=(200, goals)) * 0.01, x[:20]])
+    df = spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>").repartition(3)
+    beaten = [any((y >= v).all() and (y > v).any() for y in x) for v in x]
+    want = {tuple(v) for v, b in zip(x, beaten) if not b}
+    got = [tuple(r["v"]) for r in skyline.undominated(df.distinct(), goals).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_running_sums_and_intervals(spark):
+    df = spark.createDataFrame([(f"v{k:03d}", k % 7) for k in range(200)], "name string, n long")
+    found, totals = prefix.running(df, [F.desc("name")], {"upto": F.col("n"), "place": F.lit(1)})
+    rows, upto = sorted(found.collect(), key=lambda r: r["place"]), 0
+    for k, r in enumerate(rows):
+        upto += r["n"]
+        assert (r["name"], r["upto"], r["place"]) == (f"v{199 - k:03d}", upto, k + 1)
+    assert totals == {"upto": upto, "place": 200}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    none, totals = prefix.running(df.limit(0), [F.col("name")], {"upto": F.col("n")})
+    assert none.collect() == [] and totals == {"upto": 0}
+    # a level a row: no array of levels
+    n = 3000
+    levels = spark.range(n).select(F.concat(F.lit("x"), "id").alias("value"), (F.col("id") / n).alias("lo"), ((F.col("id") + 1) / n).alias("hi"))
+    points = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.5), (3, 2.0), (4, -1.0), (5, None), (6, 1 / n), (7, 0.50001)], "k long, u double")
+    got = {r["k"]: r["value"] for r in prefix.in_interval(points, F.col("u"), levels, ["value"], n).collect()}
+    assert got == {0: "x0", 1: "x2999", 2: "x1499", 3: "x2999", 4: "x0", 5: None, 6: "x0", 7: "x1500"}
