@@ -1,8 +1,9 @@
-"""Every query with SQL against DuckDB, on the smallest tables."""
+"""Every table query with SQL against DuckDB, on the smallest tables."""
 
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def normal(rows, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not re.match(r"op\d+_", n)))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     want = duck.sql(entry.oracle_sql()[name])
