@@ -7,7 +7,6 @@ import random
 import re
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -87,15 +86,6 @@ def test_negatives_too_large():
         negatives.product_type(np.full((1, 8), 2**40), 20)
 
 
-@needs_data
-def test_negatives_query(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    df = queries.op11_hard_negatives(spark, SF)
-    want = con.sql(negatives.hard_negatives_sql())
-    assert df.columns == want.columns and got(df) == sorted(want.fetchall())
-
-
 # SimHash
 
 def plain_fingerprint(text):
@@ -266,12 +256,3 @@ def test_audit_in_whole_numbers():
         assert audit.probabilities(counts, total, terms).tolist() == [1 + 10**9 * (int(c) + 1) // (total + terms) for c in counts]
     p, q = np.array([10**9 + 1, 3]), np.array([1, 10**9])
     assert audit.gaps(p, q).tolist() == [10**18, (10**9 - 3) ** 2 // 10**9]
-
-
-@needs_data
-def test_audit_query(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    df = queries.op13_source_divergence(spark, SF)
-    want = con.sql(audit.audit_sql())
-    assert df.columns == want.columns and got(df) == sorted(want.fetchall())
