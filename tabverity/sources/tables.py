@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import re
+import tempfile
 import uuid
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -133,12 +134,19 @@ def require_complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster sets."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster sets.
+
+    Where it is unset, a session that runs within one process has a folder of its own; any other one is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        set_dir = context._jsc.sc().getCheckpointDir()
         if not set_dir.isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tabverity-')}")
+            set_dir = context._jsc.sc().getCheckpointDir()
         root = set_dir.get()
     return root.rstrip("/")
 
