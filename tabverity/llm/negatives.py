@@ -25,8 +25,8 @@ from .kernels import ragged
 
 #: Rows of a block at most on average, and at least for a table that has fewer blocks than Spark has partitions.
 BLOCK_ROWS, LEAST_ROWS = 8192, 512
-#: Blocks whose anchors meet a block of rows in one task, and anchors whose products are formed at once.
-GROUP_BLOCKS, ANCHORS_AT_ONCE = 64, 256
+#: Anchors that meet a block of rows in one task, on average, and those whose products are formed at once.
+GROUP_ANCHORS, ANCHORS_AT_ONCE = 1 << 14, 256
 #: From this share of pairs down, planes are read for the rows that are left, anchor by anchor.
 SPARSE = 1 / 8
 
@@ -217,7 +217,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vect
     blocks = max(1, -(-n // BLOCK_ROWS), min(shuffle_partitions(spark), -(-n // LEAST_ROWS)))
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     packed = materialize(dealt.groupBy("block").applyInArrow(lambda t: _pack(t, scale), PACKED), "planes")
-    groups = -(-blocks // GROUP_BLOCKS)
+    groups = min(blocks, max(1, -(-(packed.agg(F.sum("n_anchors")).first()[0] or 0) // GROUP_ANCHORS)))
     range_ = lambda count: F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>")
     sliced = packed.select(F.col("dim").alias("dim"), F.col("block").alias("at"), F.explode(range_(groups)).alias("group"), "ids", "labels", "planes", "packed")
     asks = packed.where("n_anchors > 0").select("dim", "block", "n_anchors", "a_ids", "a_labels", "a_values", (F.col("block") % groups).alias("group"))

@@ -51,7 +51,7 @@ def got(df):
 @pytest.mark.parametrize(("dim", "spread", "labels"), [(7, 0.3, 3), (64, 0.1, 10), (3, 40.0, 2), (16, 0.002, 4), (1, 0.5, 1)])
 def test_negatives(spark, monkeypatch, dim, spread, labels):
     monkeypatch.setattr(negatives, "BLOCK_ROWS", 90)
-    monkeypatch.setattr(negatives, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(negatives, "GROUP_ANCHORS", 20)
     rows = vectors(400, dim, dim, spread, labels)
     df = spark.createDataFrame(rows, VECTORS)
     assert got(negatives.hard_negatives(df, F.col("vec_id") % 9 == 0)) == mined(rows, lambda i: i % 9 == 0)
