@@ -3,13 +3,15 @@
 A file is a Parquet table, so that Spark's commit protocol makes it whole or absent on any store and readers split it
 anywhere. A row is a chunk: the ids of some whole documents, in blocks of BLOCK_IDS ids. Every block is coded from a
 fresh state, has its own checksum and can be read with no other block of the chunk; what it needs beside its own bytes
-is the chunk's table of ids, which has a checksum too.
-
-Three predictions of the next id are mixed into one distribution, from which the range coder codes it in one step:
-order 2 and order 1 (what followed the last two ids, and the last one, before in the block) and order 0. Order 0 counts
-classes of ids, neighbours in the table, as the block goes; within a class it has the table's shares. The weights of
-the three adapt to how they did in the same situation: which predictions there are, and which held last. The blocks of
-many chunks are coded in step as lanes of numpy arrays.
+is the chunk's table, which has a checksum too. A manifest counts chunks, ids and documents of every part, so that a
+part that got lost is noticed.
+
+Three predictions of the next id drive the coder. Order 1 starts from the chunk's table: for each frequent id a row of
+shares of those that often follow it, and one share for all others. Order 2 (what followed the last two ids before in the
+block) is mixed into the row with a weight that adapts to how order 2 did in the same situation: how often in a row it
+has held here. Ids that the row does not have are coded by order 0 of such ids: classes of ids, neighbours in the table,
+are counted as the block goes; within a class order 0 has the table's shares. The blocks of many chunks are coded in
+step as lanes of numpy arrays.
 """
 
 from __future__ import annotations
@@ -27,23 +29,28 @@ from .common import id_and_text, materialize, text_batches
 
 BLOCK_IDS = 2048
 #: Ids after which a chunk ends, at a document's end.
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 21
 #: Lanes that are coded in step at most.
 LANES = 2048
+#: Rows of order 1 have shares of 2**-ROW_BITS; a chunk has fewer than 2**ROWS of them.
+ROW_BITS, ROWS = 10, 13
+#: An id has a row if ids of its row follow it so many times, and is in a row if it follows that often.
+ROW_LEAST, PAIR_LEAST = 64, 4
 #: Classes of ids of order 0, as a power of two, and the scale of the shares within one.
 CLASS_BITS, SHARE_BITS = 4, 14
 CLASSES = 1 << CLASS_BITS
 #: Counts of a class at a block's start, what an id adds, and ids between two updates of the counts.
 CLASS_START, CLASS_STEP, CLASS_EVERY = 32, 24, 32
-#: Scale of the weights; their precision while they adapt, their rate, and where those of order 2 and order 1 start.
+#: Scale of order 2's weights; their precision while they adapt, their rate, and where they start: without a prediction,
+#: and with one that has held 0, 1, 2 or more times in a row.
 WEIGHT_BITS, FINE_BITS, RATE = 8, 16, 5
-WEIGHT_START = (0.4, 0.3)
-#: Slots of the order-1 and order-2 tables of a lane, as a power of two.
-SLOT_BITS = 9
+WEIGHT_START = (0.0, 0.15, 0.5, 0.7, 0.85)
+#: Slots of the order-2 table of a lane, as a power of two.
+SLOT_BITS = 11
 END_ID = 2
 
-#: The coder's state has 60 bits and puts out the top 16 of them when they are settled. An id's distribution has 2**37
-#: parts at most; a range below 2**TOP is cut at the next place where the top bits are settled.
+#: The coder's state has 60 bits and puts out the top 16 of them when they are settled. A distribution has fewer than 2**32
+#: parts; a range below 2**TOP is cut at the next place where the top bits are settled.
 STATE, WORD = 60, 16
 TOP = STATE - WORD
 MASK = (1 << STATE) - 1
@@ -57,21 +64,20 @@ class Coder:
         self.low = np.zeros(lanes, dtype=np.int64)
         self.range = np.full(lanes, MASK, dtype=np.int64)
 
-    def narrow(self, a: int, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """The next id has the parts ``start .. start + width`` of those of size ``step`` that the range is cut into."""
-        low = self.low[:a]
-        low += step * start
-        np.multiply(step, width, out=self.range[:a])
-        rng = self.range[:a]
-        lane = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
+    def narrow(self, lanes: slice | np.ndarray, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """What comes next in ``lanes`` has the parts ``start .. start + width`` of those of size ``step`` that their range is cut into."""
+        low, rng = self.low[lanes] + step * start, step * width
+        self.low[lanes], self.range[lanes] = low, rng
+        ready = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
+        lane, low, rng = ready if isinstance(lanes, slice) else lanes[ready], low[ready], rng[ready]
         while len(lane):
-            low, rng = self.low.take(lane), self.range.take(lane)
             rng = np.where((low ^ (low + rng)) < 1 << TOP, rng, (1 << TOP) - (low & LOW))
             self.word(lane, low)
             low = (low << WORD) & MASK
             rng = np.minimum(rng << WORD, MASK - low)
             self.low[lane], self.range[lane] = low, rng
-            lane = lane[((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP)]
+            ready = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
+            lane, low, rng = lane[ready], low[ready], rng[ready]
 
     def word(self, lane: np.ndarray, low: np.ndarray) -> None:
         raise NotImplementedError
@@ -80,8 +86,8 @@ class Coder:
 class RangeEncoder(Coder):
     def __init__(self, lanes: int, longest: int) -> None:
         super().__init__(lanes)
-        # an id takes 37 bits at most, and a cut range another word
-        self.row = longest * 4 + 8
+        # an id is coded in two steps, of which each takes two words at most, and a cut range another one
+        self.row = longest * 6 + 8
         self.words = np.zeros(lanes * self.row, dtype="<u2")
         self.at = np.arange(lanes, dtype=np.int64) * self.row
 
@@ -120,7 +126,7 @@ class RangeDecoder(Coder):
 
 
 class Table:
-    """A chunk's ids in classes: symbol k + 1 stands for the k-th id; shares within a class sum to 2**SHARE_BITS.
+    """Order 0 of a chunk, in classes: symbol k + 1 stands for the k-th id; shares within a class sum to 2**SHARE_BITS.
 
     ``packed`` has the class, the start of the share and the share of each symbol in one number, ``slots`` the symbol at
     each place of each class.
@@ -140,8 +146,7 @@ class Table:
         members, total = np.diff(np.append(edges, n)), np.add.reduceat(counts, edges)
         if members.max() > 1 << SHARE_BITS:
             raise ValueError("a chunk has too many distinct ids; make CHUNK_IDS smaller")
-        share = 1 + counts * np.repeat((1 << SHARE_BITS) - members, members) // np.repeat(total, members)
-        share[edges] += (1 << SHARE_BITS) - np.add.reduceat(share, edges)
+        share = _shares(counts, edges, members, total, 1 << SHARE_BITS)
         ends = np.cumsum(share)
         self.packed[1:] = cls << (2 * SHARE_BITS + 1) | (ends - share) % (1 << SHARE_BITS) << (SHARE_BITS + 1) | share
         self.slots = np.zeros((CLASSES, 1 << SHARE_BITS), dtype=np.uint16)
@@ -149,20 +154,90 @@ class Table:
         self.slots = self.slots.ravel()
 
 
-class Model:
-    """Adaptive state of all lanes: predictions of order 1 and 2, counts of order 0's classes, and weights by situation."""
+def _shares(counts: np.ndarray, edges: np.ndarray, members: np.ndarray, total: np.ndarray, whole: int) -> np.ndarray:
+    """Whole shares, of at least 1, of the members of every group; a group's first member has what is left over."""
+    share = 1 + counts * np.repeat(whole - members, members) // np.repeat(total, members)
+    share[edges] += whole - np.add.reduceat(share, edges)
+    return share
+
+
+class Rows:
+    """Order 1 of a chunk. Row 0 belongs to ids without a row, and has the share of all other ids alone.
+
+    Entries are numbered through all rows. The first of a row has symbol 0: an id that the row does not have. ``packed``
+    has an entry's symbol, the start of its share and its share in one number, ``row`` the row of each symbol, ``slots``
+    the place in the row of the entry at each share of each row.
+    """
+
+    def __init__(self, symbols: int, head: np.ndarray, members: np.ndarray, symbol: np.ndarray, share: np.ndarray) -> None:
+        """Rows of the symbols ``head`` with so many ``members`` (the first entry included), whose symbols and shares follow."""
+        whole = 1 << ROW_BITS
+        self.row = np.zeros(symbols + 1, dtype=np.int64)
+        self.row[head] = np.arange(1, len(head) + 1)
+        members = np.append(1, members)
+        self.first = np.cumsum(members) - members
+        symbol, share = np.append(0, symbol), np.append(whole, share)
+        start = np.cumsum(share) - share - np.repeat(np.arange(len(members)) * whole, members)
+        self.packed = symbol << (2 * ROW_BITS + 1) | start << (ROW_BITS + 1) | share
+        self.of = np.repeat(np.arange(len(members)), members)
+        self.slots = np.repeat(np.arange(len(symbol)) - self.first[self.of], share).astype(np.uint16)
+
+
+def _order1(symbols: np.ndarray, offset: np.ndarray, distinct: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What Rows is made of for a chunk, and the entry of every id; ``offset`` are the places where blocks start."""
+    before = np.append(0, symbols[:-1])
+    before[offset] = 0
+    order = np.argsort(before << 16 | symbols)
+    key = (before << 16 | symbols)[order]
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    pair, count = key[edges], np.diff(np.append(edges, len(key)))
+    head = pair >> 16
+    follows = np.bincount(head, count, minlength=distinct + 1).astype(np.int64)
+    often = (count >= PAIR_LEAST) & (count * 1000 >= follows[head]) & (head > 0)
+    kept = np.bincount(head[often], count[often], minlength=distinct + 1).astype(np.int64)
+    heads = np.flatnonzero(kept >= max(ROW_LEAST, 1 + (len(symbols) >> ROWS)))
+    number = np.zeros(distinct + 1, dtype=np.int64)
+    number[heads] = np.arange(1, len(heads) + 1)
+    often &= number[head] > 0
+    members = 1 + np.bincount(number[head[often]], minlength=len(heads) + 1)[1:]
+    first = np.cumsum(members) - members
+    # the first entry of a row, then those of its pairs
+    symbol, counts = np.zeros(members.sum(), dtype=np.int64), np.zeros(members.sum(), dtype=np.int64)
+    place = np.arange(often.sum()) + number[head[often]]
+    symbol[place], counts[place] = pair[often] & 0xFFFF, count[often]
+    counts[first] = follows[heads] - kept[heads]
+    share = _shares(counts, first, members, follows[heads], 1 << ROW_BITS) if len(heads) else counts
+    # row 0 has one entry, so that entries of other rows are one further
+    entry = np.where(number[head] > 0, np.append(0, 1 + first)[number[head]], 0)
+    entry[often] = place + 1
+    entries = np.empty(len(symbols), dtype=np.int64)
+    entries[order] = np.repeat(entry, np.diff(np.append(edges, len(key))))
+    return [heads, members, symbol, share], entries
 
-    def __init__(self, lanes: int, tables: list[Table], chunk: np.ndarray) -> None:
-        self.used = np.unique(chunk)
-        at = np.cumsum([0] + [len(tables[u].packed) for u in self.used])[:-1]
-        self.base = at[np.searchsorted(self.used, chunk)]
-        self.packed = np.concatenate([tables[u].packed for u in self.used])
+
+class Model:
+    """Adaptive state of all lanes: predictions of order 2 and their weights by situation, counts of order 0's classes."""
+
+    def __init__(self, lanes: int, tables: list[Table], rows: list[Rows], chunk: np.ndarray) -> None:
+        used, own = np.unique(chunk, return_inverse=True)
+        starts = lambda sizes: np.cumsum([0, *sizes])[:-1]
+        tables, rows = [tables[u] for u in used], [rows[u] for u in used]
+        self.base = starts([len(t.packed) for t in tables])[own]
+        self.packed0 = np.concatenate([t.packed for t in tables])
+        self.symbol_base = starts([len(r.row) for r in rows])[own]
+        first_row, first_entry = starts([len(r.first) for r in rows]), starts([len(r.of) for r in rows])
+        self.entry_base = first_entry[own]
+        self.row = np.concatenate([r.row + n for r, n in zip(rows, first_row)])
+        self.of = np.concatenate([r.of + n for r, n in zip(rows, first_row)])
+        self.first = np.concatenate([r.first + n for r, n in zip(rows, first_entry)])
+        self.packed = np.concatenate([r.packed for r in rows])
+        self.all = (tables, rows, own)
         self.slot_base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
-        self.rows = np.arange(lanes, dtype=np.int64) * 9
         self.class_base = np.arange(lanes, dtype=np.int64) << CLASS_BITS
-        self.after1, self.after2 = np.zeros(lanes << SLOT_BITS, dtype=np.uint16), np.zeros(lanes << SLOT_BITS, dtype=np.uint16)
-        self.fine2, self.fine1 = (np.full(lanes * 9, int(w * (1 << FINE_BITS)), dtype=np.int64) for w in WEIGHT_START)
-        self.context, self.prev, self.prev2 = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
+        self.situations = np.arange(lanes, dtype=np.int64) * len(WEIGHT_START)
+        self.fine = np.tile((np.array(WEIGHT_START) * (1 << FINE_BITS)).astype(np.int64), lanes)
+        self.after = np.full(lanes << SLOT_BITS, -1, dtype=np.int32)
+        self.prev, self.prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.counts = np.full((lanes, CLASSES), CLASS_START, dtype=np.int64)
         self.waiting: list[np.ndarray] = []
         self._sum_up()
@@ -170,49 +245,51 @@ class Model:
     def _sum_up(self) -> None:
         """``sums`` has the counts of all classes before, and ``both`` that and the class's own in one number."""
         ends = np.cumsum(self.counts, axis=1)
-        self.total = int(ends[0, -1])
+        self.total = ends[:, -1].copy()
         self.sums = (ends - self.counts).ravel()
         self.both = self.sums << 20 | self.counts.ravel()
 
     def predict(self, a: int) -> None:
-        """Symbols of order 2 and 1 (0 is none) and the weights of the first a lanes."""
+        """Row of order 1, entry of order 2 in it, where that starts and ends, and the weights of the first a lanes."""
         prev = self.prev[:a]
-        self.slot1 = self.slot_base[:a] + ((prev * 2654435761 >> 12) & ((1 << SLOT_BITS) - 1))
-        self.slot2 = self.slot_base[:a] + (((self.prev2[:a] * 40503 + prev) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
-        self.p2, p1 = self.after2.take(self.slot2).astype(np.int64), self.after1.take(self.slot1).astype(np.int64)
-        have2, have1 = self.p2 > 0, (p1 > 0) & (p1 != self.p2)
-        self.p1 = p1 * have1
-        self.row = self.rows[:a] + (have2 * 3 + have1 * 3) + self.context[:a]
-        self.f2, self.f1 = self.fine2.take(self.row), self.fine1.take(self.row)
-        w2, w1 = (self.f2 >> (FINE_BITS - WEIGHT_BITS)) * have2, (self.f1 >> (FINE_BITS - WEIGHT_BITS)) * have1
-        self.w0 = np.maximum((1 << WEIGHT_BITS) - w2 - w1, 1)
-        w2 = np.minimum(w2, (1 << WEIGHT_BITS) - 1 - w1)
-        self.mass2, self.mass1 = w2 * (self.total << SHARE_BITS), w1 * (self.total << SHARE_BITS)
-
-    def order0(self, a: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of symbols in order 0, by its weight, and their classes."""
-        packed = self.packed.take(self.base[:a] + symbol)
-        cls = packed >> (2 * SHARE_BITS + 1)
-        both = self.both.take(self.class_base[:a] + cls)
-        return *self.parts(both >> 20, both & 0xFFFFF, packed), cls
-
-    def parts(self, low: np.ndarray, count: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = self.w0 * count
-        return self.w0 * (low << SHARE_BITS) + count * ((packed >> (SHARE_BITS + 1)) & ((1 << SHARE_BITS) - 1)), count * (packed & ((2 << SHARE_BITS) - 1))
-
-    def step(self, rng: np.ndarray) -> np.ndarray:
-        return (rng >> (SHARE_BITS + WEIGHT_BITS)) // self.total
-
-    def learn(self, a: int, symbol: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, cls: np.ndarray) -> None:
-        self.fine2[self.row] = self.f2 + (((hit2 * ((1 << FINE_BITS) - 1)) - self.f2) >> RATE)
-        self.fine1[self.row] = self.f1 + (((hit1 * ((1 << FINE_BITS) - 1)) - self.f1) >> RATE)
-        self.after1[self.slot1] = symbol
-        self.after2[self.slot2] = symbol
-        self.context[:a] = hit2 * 2 + hit1
+        self.here = self.row.take(self.symbol_base[:a] + prev)
+        self.slot = self.slot_base[:a] + (((self.prev2[:a] * 40503 + prev) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
+        found = self.after.take(self.slot).astype(np.int64)
+        self.expected, held = found >> 2, found & 3
+        have = (found >= 0) & (self.of.take(self.expected) == self.here)
+        self.held = held * have
+        self.situation = self.situations[:a] + (held + 1) * have
+        self.f = self.fine.take(self.situation)
+        weight = self.f >> (FINE_BITS - WEIGHT_BITS)
+        self.expected[~have] = -1
+        self.w1 = (1 << WEIGHT_BITS) - weight
+        self.mass = weight << ROW_BITS
+        packed = self.packed.take(self.expected)
+        self.at = self.w1 * ((packed >> (ROW_BITS + 1)) & ((1 << ROW_BITS) - 1))
+        self.end = self.at + self.w1 * (packed & ((2 << ROW_BITS) - 1)) + self.mass
+
+    def parts(self, entry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of entries (0 for order 0), and their start and width in the mix."""
+        packed = self.packed.take(entry)
+        start = self.w1 * ((packed >> (ROW_BITS + 1)) & ((1 << ROW_BITS) - 1))
+        width = self.w1 * (packed & ((2 << ROW_BITS) - 1)) + self.mass * hit
+        return packed >> (2 * ROW_BITS + 1), start + self.mass * (start > self.at), width
+
+    def parts0(self, lanes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width in order 0 of what its table numbers ``other``; counts it."""
+        packed = self.packed0.take(self.base[lanes] + other)
+        cls = self.class_base[lanes] + (packed >> (2 * SHARE_BITS + 1))
+        self.waiting.append(cls)
+        both = self.both.take(cls)
+        low, count = both >> 20, both & 0xFFFFF
+        return (low << SHARE_BITS) + count * ((packed >> (SHARE_BITS + 1)) & ((1 << SHARE_BITS) - 1)), count * (packed & ((2 << SHARE_BITS) - 1))
+
+    def learn(self, t: int, a: int, symbol: np.ndarray, entry: np.ndarray, hit: np.ndarray) -> None:
+        self.fine[self.situation] = self.f + ((hit * ((1 << FINE_BITS) - 1 - (1 << (FINE_BITS - WEIGHT_BITS))) - self.f) >> RATE)
+        self.after[self.slot] = entry << 2 | np.minimum(self.held + 1, 3) * hit
         self.prev2[:a] = self.prev[:a]
         self.prev[:a] = symbol
-        self.waiting.append(self.class_base[:a] + cls)
-        if len(self.waiting) == CLASS_EVERY:
+        if t % CLASS_EVERY == CLASS_EVERY - 1 and self.waiting:
             self.counts += CLASS_STEP * np.bincount(np.concatenate(self.waiting), minlength=self.counts.size).reshape(self.counts.shape)
             self.waiting = []
             self._sum_up()
@@ -232,7 +309,7 @@ def _lanes(parts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
     """Bytes of each chunk of ids (a vocabulary's: small enough to count by; below 2**16 distinct values)."""
-    tables, symbols = [], []
+    heads, tables, rows, coded = [], [], [], []
     for ids in chunks:
         counts = np.bincount(ids)
         values = np.flatnonzero(counts)
@@ -240,45 +317,78 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
             raise ValueError("a chunk has too many distinct ids; make CHUNK_IDS smaller")
         place = np.zeros(len(counts), dtype=np.int64)
         place[values] = np.arange(1, len(values) + 1)
-        tables.append((values.astype("<u4"), counts[values]))
-        symbols.append(place[ids])
-    shares = [Table(c) for _, c in tables]
+        symbols = place[ids]
+        order1, entries = _order1(symbols, np.arange(0, len(ids), BLOCK_IDS), len(values))
+        rows.append(Rows(len(values), *order1))
+        # order 0 numbers the ids that a row leaves to it
+        left = np.bincount(symbols[rows[-1].packed[entries] >> (2 * ROW_BITS + 1) == 0], minlength=len(values) + 1)
+        others = np.flatnonzero(left)
+        number = np.zeros(len(values) + 1, dtype=np.int64)
+        number[others] = np.arange(1, len(others) + 1)
+        tables.append(Table(left[others]))
+        coded.append((symbols, entries, number))
+        heads.append(_pack([values, others, left[others], *order1]))
     chunk, offset, length = _lanes([len(c) for c in chunks])
     order = np.argsort(-length, kind="stable")
     payloads: list[bytes] = [b""] * len(chunk)
     for k in range(0, len(order), LANES):
         group = order[k : k + LANES]
-        for i, payload in zip(group.tolist(), _encode_lanes(symbols, shares, chunk[group], offset[group], length[group])):
+        for i, payload in zip(group.tolist(), _encode_lanes(coded, tables, rows, chunk[group], offset[group], length[group])):
             payloads[i] = payload
     out = []
     for c, ids in enumerate(chunks):
         own = np.flatnonzero(chunk == c)
-        values, counts = tables[c]
         raw = ids.astype("<u4")
         checks = np.array([zlib.crc32(raw[offset[i] : offset[i] + length[i]].tobytes()) for i in own], dtype="<u4")
         sizes = np.array([len(payloads[i]) for i in own], dtype="<u4")
-        head = np.array([len(ids), len(values), len(own)], dtype="<u4").tobytes() + values.tobytes() + counts.astype("<u4").tobytes() + sizes.tobytes() + checks.tobytes()
+        head = np.array([len(ids), len(heads[c]), len(own)], dtype="<u4").tobytes() + heads[c] + sizes.tobytes() + checks.tobytes()
         out.append(zlib.crc32(head).to_bytes(4, "little") + head + b"".join(payloads[i] for i in own))
     return out
 
 
-def _encode_lanes(symbols: list[np.ndarray], tables: list[Table], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of small numbers, compressed: of ascending ones the steps are kept, bytes of equal weight lie together."""
+    out = []
+    for x in arrays:
+        steps = np.diff(x, prepend=0).astype("<i4")
+        out.append(np.array([len(x)], dtype="<u4").tobytes() + steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zlib.compress(b"".join(out), 6)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw, out = zlib.decompress(data), []
+    while raw:
+        n = int.from_bytes(raw[:4], "little")
+        steps = np.ascontiguousarray(np.frombuffer(raw[4 : 4 + 4 * n], dtype=np.uint8).reshape(4, n).T).view("<i4").ravel()
+        out.append(np.cumsum(steps, dtype=np.int64))
+        raw = raw[4 + 4 * n :]
+    return out
+
+
+def _encode_lanes(coded: list[tuple], tables: list[Table], rows: list[Rows], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
-    grid = np.zeros((lanes, longest), dtype=np.int64)
+    coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, rows, chunk)
+    grid, entries, others = (np.zeros((lanes, longest), dtype=np.int32) for _ in range(3))
     for k in range(lanes):
-        grid[k, : length[k]] = symbols[chunk[k]][offset[k] : offset[k] + length[k]]
-    grid = np.ascontiguousarray(grid.T)
+        symbols, entry, number = coded[chunk[k]]
+        own = slice(offset[k], offset[k] + length[k])
+        grid[k, : length[k]] = symbols[own]
+        entries[k, : length[k]] = entry[own] + model.entry_base[k]
+        others[k, : length[k]] = number[symbols[own]]
+    grid, entries, others = (np.ascontiguousarray(x.T) for x in (grid, entries, others))
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
-    coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, chunk)
     for t in range(longest):
         a = int(alive[t])
-        symbol = grid[t, :a]
+        entry = entries[t, :a].astype(np.int64)
         model.predict(a)
-        start, width, cls = model.order0(a, symbol)
-        hit2, hit1 = symbol == model.p2, symbol == model.p1
-        start += model.mass2 * (symbol > model.p2) + model.mass1 * (symbol > model.p1)
-        coder.narrow(a, model.step(coder.range[:a]), start, width + model.mass2 * hit2 + model.mass1 * hit1)
-        model.learn(a, symbol, hit2, hit1, cls)
+        hit = entry == model.expected
+        symbol, start, width = model.parts(entry, hit)
+        coder.narrow(slice(0, a), coder.range[:a] >> (ROW_BITS + WEIGHT_BITS), start, width)
+        left = np.flatnonzero(symbol == 0)
+        if len(left):
+            step = (coder.range[left] >> SHARE_BITS) // model.total[left]
+            coder.narrow(left, step, *model.parts0(left, others[t, left].astype(np.int64)))
+        model.learn(t, a, grid[t, :a], entry, hit)
     return coder.finish()
 
 
@@ -288,31 +398,34 @@ class DamagedFile(ValueError):
 
 def decode_chunks(data: list[bytes]) -> list[np.ndarray]:
     """Ids of each chunk; the checksums of its table and of every block are compared."""
-    values, tables, checks, counts, payloads = [], [], [], [], []
+    values, others, tables, rows, checks, counts, payloads = [], [], [], [], [], [], []
     for d in data:
         if len(d) < 16:
             raise DamagedFile("a chunk is cut off")
         check, n, v, b = np.frombuffer(d, dtype="<u4", count=4).tolist()
-        head, ends = d[4 : 16 + 8 * (v + b)], 16 + 8 * (v + b)
-        if zlib.crc32(head) != check or b != -(-n // BLOCK_IDS):
+        ends = 16 + v + 8 * b
+        if len(d) < ends or zlib.crc32(d[4:ends]) != check or b != -(-n // BLOCK_IDS):
             raise DamagedFile("the table of a chunk is damaged")
-        numbers = np.frombuffer(head, dtype="<u4")[3:]
-        values.append(numbers[:v])
-        tables.append(Table(numbers[v : 2 * v].astype(np.int64)))
-        cuts = ends + np.concatenate([[0], np.cumsum(numbers[2 * v : 2 * v + b], dtype=np.int64)])
+        value, other, left, *order1 = _unpack(d[16 : 16 + v])
+        values.append(value)
+        others.append(np.append(0, other))
+        tables.append(Table(left))
+        rows.append(Rows(len(value), *order1))
+        numbers = np.frombuffer(d[16 + v : ends], dtype="<u4")
+        cuts = ends + np.concatenate([[0], np.cumsum(numbers[:b], dtype=np.int64)])
         if cuts[-1] != len(d):
             raise DamagedFile("a chunk is cut off")
         payloads += [d[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-        checks.append(numbers[2 * v + b :])
+        checks.append(numbers[b:])
         counts.append(n)
     chunk, offset, length = _lanes(counts)
     out = [np.zeros(n, dtype=np.uint32) for n in counts]
     order = np.argsort(-length, kind="stable")
     for k in range(0, len(order), LANES):
         group = order[k : k + LANES]
-        grid = _decode_lanes([payloads[i] for i in group], tables, chunk[group], length[group])
+        grid = _decode_lanes([payloads[i] for i in group], others, tables, rows, chunk[group], length[group])
         for j, i in enumerate(group.tolist()):
-            out[chunk[i]][offset[i] : offset[i] + length[i]] = values[chunk[i]][grid[: length[i], j] - 1]
+            out[chunk[i]][offset[i] : offset[i] + length[i]] = values[chunk[i]][grid[j, : length[i]] - 1]
     for c in range(len(data)):
         for b, i in enumerate(np.flatnonzero(chunk == c)):
             if zlib.crc32(out[c][offset[i] : offset[i] + length[i]].astype("<u4").tobytes()) != checks[c][b]:
@@ -320,43 +433,45 @@ def decode_chunks(data: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _decode_lanes(payloads: list[bytes], tables: list[Table], chunk: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[Table], rows: list[Rows], chunk: np.ndarray, length: np.ndarray) -> np.ndarray:
     lanes, longest = len(chunk), int(length[0])
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
-    coder, model = RangeDecoder(payloads), Model(lanes, tables, chunk)
-    slots = np.concatenate([tables[u].slots for u in model.used])
-    slot_base = np.searchsorted(model.used, chunk) << (CLASS_BITS + SHARE_BITS)
-    grid = np.zeros((longest, lanes), dtype=np.int64)
+    coder, model = RangeDecoder(payloads), Model(lanes, tables, rows, chunk)
+    tables, rows, own = model.all
+    row_slots, slots0 = np.concatenate([r.slots for r in rows]), np.concatenate([t.slots for t in tables])
+    slot0_base = own << (CLASS_BITS + SHARE_BITS)
+    symbol0 = np.concatenate([others[u] for u in np.unique(chunk)])
+    grid = np.zeros((longest, lanes), dtype=np.int32)
     for t in range(longest):
         a = int(alive[t])
         model.predict(a)
-        p2, p1 = model.p2, model.p1
-        step = model.step(coder.range[:a])
-        value = np.clip((coder.code[:a] - coder.low[:a]) // step, 0, (model.total << (SHARE_BITS + WEIGHT_BITS)) - 1)
-        # Where the two predicted symbols end; what lies beyond them is order 0, shifted by their masses.
-        (s2, n2, c2), (s1, n1, c1) = model.order0(a, p2), model.order0(a, p1)
-        s2 += model.mass1 * (p2 > p1)
-        s1 += model.mass2 * (p1 > p2)
-        n2 += model.mass2
-        n1 += model.mass1
-        beyond2, beyond1 = value >= s2 + n2, value >= s1 + n1
-        hit2, hit1 = (p2 > 0) & (value >= s2) & ~beyond2, (p1 > 0) & (value >= s1) & ~beyond1
-        before = model.mass2 * beyond2 + model.mass1 * beyond1
-        rest = (value - before) // model.w0
-        part, at = rest >> SHARE_BITS, model.class_base[:a].copy()
-        for k in range(CLASS_BITS - 1, -1, -1):
-            at += (model.sums.take(at + (1 << k)) <= part) << k
-        low, count = model.sums.take(at), model.both.take(at) & 0xFFFFF
-        share = np.minimum((rest - (low << SHARE_BITS)) // count, (1 << SHARE_BITS) - 1)
-        cls = at - model.class_base[:a]
-        plain = slots.take(slot_base[:a] + (cls << SHARE_BITS) + share).astype(np.int64)
-        start, width = model.parts(low, count, model.packed.take(model.base[:a] + plain))
-        pick = lambda x2, x1, x: np.where(hit2, x2, np.where(hit1, x1, x))
-        symbol, cls = pick(p2, p1, plain), pick(c2, c1, cls)
-        coder.narrow(a, step, pick(s2, s1, start + before), pick(n2, n1, width))
-        model.learn(a, symbol, hit2, hit1, cls)
+        step = coder.range[:a] >> (ROW_BITS + WEIGHT_BITS)
+        value = np.clip((coder.code[:a] - coder.low[:a]) // step, 0, (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
+        # what lies beyond the entry of order 2 is order 1, shifted by its mass
+        beyond = value >= model.end
+        hit = (value >= model.at) & ~beyond & (model.expected >= 0)
+        share = np.minimum((value - model.mass * beyond) // model.w1, (1 << ROW_BITS) - 1)
+        entry = model.first.take(model.here) + row_slots.take((model.here << ROW_BITS) + share)
+        entry = np.where(hit, model.expected, entry)
+        symbol, start, width = model.parts(entry, hit)
+        coder.narrow(slice(0, a), step, start, width)
+        left = np.flatnonzero(symbol == 0)
+        if len(left):
+            total = model.total[left]
+            step = (coder.range[left] >> SHARE_BITS) // total
+            value = np.clip((coder.code[left] - coder.low[left]) // step, 0, (total << SHARE_BITS) - 1)
+            part, base = value >> SHARE_BITS, model.class_base[left]
+            at = base.copy()
+            for k in range(CLASS_BITS - 1, -1, -1):
+                at += (model.sums.take(at + (1 << k)) <= part) << k
+            both = model.both.take(at)
+            share = np.minimum((value - (both >> 20 << SHARE_BITS)) // (both & 0xFFFFF), (1 << SHARE_BITS) - 1)
+            other = slots0.take(slot0_base[left] + (at - base << SHARE_BITS) + share).astype(np.int64)
+            coder.narrow(left, step, *model.parts0(left, other))
+            symbol[left] = symbol0.take(model.base[left] + other)
+        model.learn(t, a, symbol, entry, hit)
         grid[t, :a] = symbol
-    return grid
+    return np.ascontiguousarray(grid.T)
 
 
 FILE_SCHEMA = "part int, chunk int, part_start long, doc_ids array<long>, doc_sizes array<int>, coded binary"
