@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from .common import id_and_text, row_key, text_batches
 PART_CHARS = 1 << 13
 #: Characters beside a joint in the first window; doubled until both sides agree.
 WINDOW = 32
-#: Distinct pieces, and other runs, that a Python worker remembers (about 25 MB).
-MEMORY = 80_000
+#: Distinct pieces of at most so many characters that a Python worker remembers (about 80 MB), and for so many of them
+#: one other run.
+MEMORY, PIECE_CHARS, ODD_SHARE = 320_000, 64, 32
 #: Tokens: ids, and where each starts and ends in the text.
 Tokens = tuple[list[int], list[int], list[int]]
 
@@ -79,7 +81,9 @@ class Pieces(dict):
         if len(self) >= self.memory:
             self.clear()
         letters = piece if piece.isascii() else "".join([BYTE_LETTERS[b] for b in piece.encode()])
-        found = self[piece] = self.value([t.id for t in self.model.tokenize(letters)])
+        found = self.value([t.id for t in self.model.tokenize(letters)])
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = found
         return found
 
 
@@ -104,7 +108,7 @@ class TextEncoder:
         runs = [r.decode("utf-8", "replace") for r in text.split()]
         odd = {r for r in runs if r not in self.odd and not self._is_plain(r)}
         if odd:
-            if len(self.odd) + len(odd) > self.memory // 8:
+            if len(self.odd) + len(odd) > self.memory // ODD_SHARE:
                 self.odd = {}
                 odd = {r for r in runs if not self._is_plain(r)}
             learn = [*odd]
@@ -138,7 +142,7 @@ def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[lis
 
 def ids_encoder(path: str) -> TextEncoder:
     """Remembers ids as little-endian unsigned 32-bit integers."""
-    return shared_encoder(path, "ids", lambda _: lambda ids: np.asarray(ids, dtype="<u4").tobytes())
+    return shared_encoder(path, "ids", lambda _: lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 def encode_tokens(tokenizer, text: str) -> Tokens:

@@ -326,7 +326,8 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
         number = np.zeros(len(values) + 1, dtype=np.int64)
         number[others] = np.arange(1, len(others) + 1)
         tables.append(Table(left[others]))
-        coded.append((symbols, entries, number))
+        # entry, number in order 0 and symbol of every id in one number
+        coded.append(entries << 32 | number[symbols] << 16 | symbols)
         heads.append(_pack([values, others, left[others], *order1]))
     chunk, offset, length = _lanes([len(c) for c in chunks])
     order = np.argsort(-length, kind="stable")
@@ -365,21 +366,18 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _encode_lanes(coded: list[tuple], tables: list[Table], rows: list[Rows], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
+def _encode_lanes(coded: list[np.ndarray], tables: list[Table], rows: list[Rows], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
     coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, rows, chunk)
-    grid, entries, others = (np.zeros((lanes, longest), dtype=np.int32) for _ in range(3))
+    grid = np.zeros((lanes, longest), dtype=np.int64)
     for k in range(lanes):
-        symbols, entry, number = coded[chunk[k]]
-        own = slice(offset[k], offset[k] + length[k])
-        grid[k, : length[k]] = symbols[own]
-        entries[k, : length[k]] = entry[own] + model.entry_base[k]
-        others[k, : length[k]] = number[symbols[own]]
-    grid, entries, others = (np.ascontiguousarray(x.T) for x in (grid, entries, others))
+        grid[k, : length[k]] = coded[chunk[k]][offset[k] : offset[k] + length[k]]
+    grid = np.ascontiguousarray(grid.T)
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
     for t in range(longest):
         a = int(alive[t])
-        entry = entries[t, :a].astype(np.int64)
+        now = grid[t, :a]
+        entry = (now >> 32) + model.entry_base[:a]
         model.predict(a)
         hit = entry == model.expected
         symbol, start, width = model.parts(entry, hit)
@@ -387,8 +385,8 @@ def _encode_lanes(coded: list[tuple], tables: list[Table], rows: list[Rows], chu
         left = np.flatnonzero(symbol == 0)
         if len(left):
             step = (coder.range[left] >> SHARE_BITS) // model.total[left]
-            coder.narrow(left, step, *model.parts0(left, others[t, left].astype(np.int64)))
-        model.learn(t, a, grid[t, :a], entry, hit)
+            coder.narrow(left, step, *model.parts0(left, (now[left] >> 16) & 0xFFFF))
+        model.learn(t, a, now & 0xFFFF, entry, hit)
     return coder.finish()
 
 
