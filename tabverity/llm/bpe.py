@@ -32,9 +32,9 @@ from .common import id_and_text, row_key, text_batches
 PART_CHARS = 1 << 13
 #: Characters beside a joint in the first window; doubled until both sides agree.
 WINDOW = 32
-#: Distinct pieces of at most so many characters that a Python worker remembers (about 80 MB), and for so many of them
-#: one other run.
-MEMORY, PIECE_CHARS, ODD_SHARE = 320_000, 64, 32
+#: Distinct pieces of at most so many characters that a Python worker remembers (about 25 MB); of other runs, an eighth
+#: as many.
+MEMORY, PIECE_CHARS = 80_000, 64
 #: Tokens: ids, and where each starts and ends in the text.
 Tokens = tuple[list[int], list[int], list[int]]
 
@@ -108,7 +108,7 @@ class TextEncoder:
         runs = [r.decode("utf-8", "replace") for r in text.split()]
         odd = {r for r in runs if r not in self.odd and not self._is_plain(r)}
         if odd:
-            if len(self.odd) + len(odd) > self.memory // ODD_SHARE:
+            if len(self.odd) + len(odd) > min(self.memory, MEMORY) // 8:
                 self.odd = {}
                 odd = {r for r in runs if not self._is_plain(r)}
             learn = [*odd]
@@ -128,21 +128,22 @@ class TextEncoder:
         return [*map(self.pieces.__getitem__, _PIECES.findall(text.lower()))]
 
 
-_SHARED: dict[tuple[str, str], TextEncoder] = {}
+_SHARED: dict[tuple[str, str, int], TextEncoder] = {}
 
 
-def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[list[int]], object]]) -> TextEncoder:
+def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[list[int]], object]], memory: int = MEMORY) -> TextEncoder:
     """The encoder that the tasks of one Python worker share, one at a time; what it remembers is bounded."""
-    if (path, kind) not in _SHARED:
-        tokenizer = next((e.tokenizer for (p, _), e in _SHARED.items() if p == path), None) or load_tokenizer(path)
+    key = (path, kind, memory)
+    if key not in _SHARED:
+        tokenizer = next((e.tokenizer for (p, *_), e in _SHARED.items() if p == path), None) or load_tokenizer(path)
         _SHARED.clear()
-        _SHARED[path, kind] = TextEncoder(tokenizer, value(tokenizer))
-    return _SHARED[path, kind]
+        _SHARED[key] = TextEncoder(tokenizer, value(tokenizer), memory)
+    return _SHARED[key]
 
 
-def ids_encoder(path: str) -> TextEncoder:
+def ids_encoder(path: str, memory: int = MEMORY) -> TextEncoder:
     """Remembers ids as little-endian unsigned 32-bit integers."""
-    return shared_encoder(path, "ids", lambda _: lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    return shared_encoder(path, "ids", lambda _: lambda ids: struct.pack(f"<{len(ids)}I", *ids), memory)
 
 
 def encode_tokens(tokenizer, text: str) -> Tokens:

@@ -47,7 +47,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.ids_digest(tokenfiles.read_ids(tokenfiles.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path())))
+    files = tokenfiles.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokenfiles.ids_digest(tokenfiles.read_ids(files, tokenfiles.write_manifest(files)))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,8 @@ WEIGHT_START = (0.0, 0.15, 0.5, 0.7, 0.85)
 #: Slots of the order-2 table of a lane, as a power of two.
 SLOT_BITS = 11
 END_ID = 2
+#: Pieces of text that a worker remembers while it writes (about 80 MB).
+PIECES = 320_000
 
 #: The coder's state has 60 bits and puts out the top 16 of them when they are settled. A distribution has fewer than 2**32
 #: parts; a range below 2**TOP is cut at the next place where the top bits are settled.
@@ -187,8 +189,10 @@ def _order1(symbols: np.ndarray, offset: np.ndarray, distinct: int) -> tuple[lis
     """What Rows is made of for a chunk, and the entry of every id; ``offset`` are the places where blocks start."""
     before = np.append(0, symbols[:-1])
     before[offset] = 0
-    order = np.argsort(before << 16 | symbols)
-    key = (before << 16 | symbols)[order]
+    # pairs of an id before and an id, sorted together with their places
+    key = np.sort((before << 16 | symbols) << 31 | np.arange(len(symbols)))
+    order = key & ((1 << 31) - 1)
+    key >>= 31
     edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     pair, count = key[edges], np.diff(np.append(edges, len(key)))
     head = pair >> 16
@@ -444,7 +448,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         a = int(alive[t])
         model.predict(a)
         step = coder.range[:a] >> (ROW_BITS + WEIGHT_BITS)
-        value = np.clip((coder.code[:a] - coder.low[:a]) // step, 0, (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
+        value = np.minimum(np.maximum((coder.code[:a] - coder.low[:a]) // step, 0), (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
         # what lies beyond the entry of order 2 is order 1, shifted by its mass
         beyond = value >= model.end
         hit = (value >= model.at) & ~beyond & (model.expected >= 0)
@@ -457,7 +461,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         if len(left):
             total = model.total[left]
             step = (coder.range[left] >> SHARE_BITS) // total
-            value = np.clip((coder.code[left] - coder.low[left]) // step, 0, (total << SHARE_BITS) - 1)
+            value = np.minimum(np.maximum((coder.code[left] - coder.low[left]) // step, 0), (total << SHARE_BITS) - 1)
             part, base = value >> SHARE_BITS, model.class_base[left]
             at = base.copy()
             for k in range(CLASS_BITS - 1, -1, -1):
@@ -485,7 +489,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
-        runs = ids_encoder(tokenizer_path)
+        runs = ids_encoder(tokenizer_path, PIECES)
         docs_: list = []
         held, before, number = 0, 0, 0
         for (ids, parts), texts in text_batches(batches, ["doc_id", "part"]):
@@ -521,10 +525,29 @@ def _coded(rows: list[list]) -> pa.RecordBatch:
     })
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) of a written file; ids as little-endian unsigned 32-bit integers."""
-    sizes = files.select("part", F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    starts = sizes.select(F.col("part").alias("of_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+def parts_of(files: DataFrame) -> DataFrame:
+    """Rows (part, chunks, ids, docs) of a file."""
+    ids = F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return files.groupBy("part").agg(F.count("*").alias("chunks"), F.sum(ids).alias("ids"), F.sum(F.size("doc_sizes")).cast("long").alias("docs"))
+
+
+def write_manifest(files: DataFrame) -> DataFrame:
+    """What was written, as a table of its own beside the file: a row for each part."""
+    return materialize(parts_of(files), "token-manifest")
+
+
+def read_ids(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of a written file; ids as little-endian unsigned 32-bit integers.
+
+    With a manifest the parts found are compared with those written; a file that has lost one, or a chunk, is an error.
+    """
+    found = parts_of(files)
+    if manifest is not None:
+        same = F.struct("a.chunks", "a.ids", "a.docs").eqNullSafe(F.struct("b.chunks", "b.ids", "b.docs"))
+        wrong = manifest.alias("a").join(found.alias("b"), "part", "full_outer").where(~same).select("part").take(1)
+        if wrong:
+            raise DamagedFile(f"part {wrong[0]['part']} isn't what was written")
+    starts = found.select(F.col("part").alias("of_part"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))  # a row for each part
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -314,6 +314,17 @@ def test_coder_round_trips():
         tokenfiles.decode_chunks([bytes(damaged)])
 
 
+@needs_data
+def test_contexts_predict():
+    """Coded ids of whole documents are well under the order-0 entropy, table included."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    encode = bpe.ids_encoder(tokenizers.path("word_bpe_49k.json"))
+    texts = duckdb.sql(f"SELECT coalesce(text, '') FROM '{SF.replace("0.001", "0.01")}/documents.parquet' ORDER BY doc_id").fetchall()
+    ids = np.frombuffer(b"".join(b"".join(encode(t.encode())) for (t,) in texts), dtype="<u4")
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert len(tokenfiles.encode_chunks([ids])[0]) * 8 / len(ids) < 0.87 * -(share * np.log2(share)).sum()
+
+
 def test_best_paths_match_a_plain_search():
     rng = np.random.default_rng(2)
     counts = [0, 1, 7, 30]

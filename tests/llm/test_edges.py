@@ -156,7 +156,18 @@ def test_token_files(spark, docs, empty):
         assert (row["doc_id"], row["start"], row["n_tokens"]) == (i, start, len(ids))
         assert list(memoryview(row["ids"]).cast("I")) == ids
         start += len(ids)
-    assert tokenfiles.read_ids(tokenfiles.write_ids(empty, PATH)).count() == 0
+    files = tokenfiles.write_ids(empty, PATH)
+    assert tokenfiles.read_ids(files, tokenfiles.write_manifest(files)).count() == 0
+
+
+def test_a_lost_part_of_a_token_file_is_noticed(spark, docs):
+    files = tokenfiles.write_ids(docs.repartition(4), PATH)
+    manifest = tokenfiles.write_manifest(files)
+    assert tokenfiles.read_ids(files, manifest).count() == len(ROWS)
+    lost = manifest.agg(F.max("part")).first()[0]
+    for rest in (files.where(F.col("part") != lost), files.limit(0)):
+        with pytest.raises(tokenfiles.DamagedFile, match="part"):
+            tokenfiles.read_ids(rest, manifest)
 
 
 def test_personal_data(spark, docs, empty):
