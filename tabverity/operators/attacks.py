@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clip, ratio
+from ..sources.tables import written
 from . import models, nearest, split
 from .profile import exact_quantiles
 
@@ -93,21 +95,78 @@ def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, id_col:
     ``n_attacks`` rows make predicates, in hash order, or all.
 
     Numbers from the synthetic median on ask for at least their value, others for at most; categories for equality.
-    Rows meet on the categories and the successes are counted after the comparison.
+    With up to two numbers no row meets an attack (see ``_fits_of_two``); with more they meet on the categories.
     """
     if n_cols is not None:
         numeric, categorical = numeric[: max(n_cols - len(categorical), 0)], categorical[:n_cols]
     medians = {c: q[0] if q else None for c, q in exact_quantiles(synthetic, numeric, [0.5]).items()} if numeric else {}
-    s, r = sample_attacks(synthetic, id_col, n_attacks).alias("s"), original.alias("r")
-    on = F.lit(True)
-    for c in categorical:
-        on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
-    for c in numeric:
-        on = on & F.when(F.col(f"s.{c}") >= F.lit(medians[c]), F.col(f"r.{c}") >= F.col(f"s.{c}")).otherwise(F.col(f"r.{c}") <= F.col(f"s.{c}"))
-    matches = s.join(r, on, "left").groupBy(F.col(f"s.{id_col}").alias("attack")).agg(F.count(F.col(f"r.{id_col}")).alias("n"))
+    asked = sample_attacks(synthetic, id_col, n_attacks)
+    if len(numeric) <= 2:
+        fits = _fits_of_two(original, asked, id_col, numeric, categorical, medians)
+        matches = fits.groupBy("attack").agg(F.sum("n").alias("n"))
+    else:
+        s, r = asked.alias("s"), original.alias("r")
+        on = F.lit(True)
+        for c in categorical:
+            on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
+        for c in numeric:
+            on = on & F.when(F.col(f"s.{c}") >= F.lit(medians[c]), F.col(f"r.{c}") >= F.col(f"s.{c}")).otherwise(F.col(f"r.{c}") <= F.col(f"s.{c}"))
+        matches = s.join(r, on, "left").groupBy(F.col(f"s.{id_col}").alias("attack")).agg(F.count(F.col(f"r.{id_col}")).alias("n"))
     return matches.agg(F.count("*").alias("attacks"), F.count_if(F.col("n") == 1).alias("successes"))
 
 
+def _turned(c: str, kind: T.DataType) -> Column:
+    """A number in the opposite order; NaN, which no bound from above lets in, is null."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(F.col(c))
+    return F.when(~F.isnan(c), F.lit(0.0).cast(kind) - F.col(c)) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else -F.col(c)
+
+
+def _second(a: Column, b: Column) -> Column:
+    """The smaller of two numbers, or null if one is missing."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
+
+
+def _fits_of_two(original: DataFrame, asked: DataFrame, id_col: str, numeric: list[str], categorical: list[str], medians: dict[str, float | None]) -> DataFrame:
+    """Rows (attack, n): the rows that fit each attack's predicate over at most two numbers, 2 for two or more.
+
+    In the order of the first number, a predicate is fitted by a row if the largest second number up to its place is large
+    enough, and by two if the second largest is: two running maxima. Numbers that are asked to be at most a value are turned
+    round, so that rows take part once for each pair of directions. Ranges of the order start from the maxima of those before.
+    """
+    spark = original.sparkSession
+    kinds = {c: original.schema[c].dataType for c in numeric}
+    up = {c: F.coalesce(F.col(c) >= F.lit(medians[c]), F.lit(False)) for c in numeric}
+    names = ["_x", "_y"][: len(numeric)]
+    plain = lambda c: F.col(c) if isinstance(kinds[c], T.IntegralType | T.DecimalType) else F.col(c) + F.lit(0.0).cast(kinds[c])  # noqa: E731  no -0.0
+    directed = lambda c, rises: F.when(rises, plain(c)).otherwise(_turned(c, kinds[c]))
+    rest = [F.lit(0).alias(n) for n in ("_x", "_y")[len(numeric) :]]
+    group = F.struct(F.lit(0).alias("all"), *(F.col(c) for c in categorical))
+    signs = F.array(*(up[c] for c in numeric)).cast("array<boolean>")
+    asks = asked.select(F.struct(signs.alias("up"), group.alias("of")).alias("_group"), *(directed(c, up[c]).alias(n) for c, n in zip(numeric, names)), *rest, F.lit(True).alias("_asks"), F.col(id_col).alias("_id"))
+    every = [F.array(*(F.lit(bool(k >> j & 1)) for j in range(len(numeric)))).cast("array<boolean>") for k in range(1 << len(numeric))]
+    rows = original.where(F.col(id_col).isNotNull()).withColumn("_up", F.explode(F.array(*every)))
+    rows = rows.select(F.struct(F.col("_up").alias("up"), group.alias("of")).alias("_group"), *(directed(c, F.col("_up")[j]).alias(n) for j, (c, n) in enumerate(zip(numeric, names))), *rest, F.lit(False).alias("_asks"), F.col(id_col).alias("_id"))
+    rows = rows.where("_x is not null and _y is not null")
+    order = [F.col("_x").desc(), F.col("_asks"), F.col("_id")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = written(rows.unionByName(asks).repartitionByRange(parts, F.col("_group"), *order).withColumn("_part", F.spark_partition_id()), "singling-ranges")
+    value = F.when(~F.col("_asks"), F.col("_y"))
+    w = Window.partitionBy("_part", "_group").orderBy(*order)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    swept = stored.withColumns({"_first": F.max(value).over(upto), "_pair": _second(value, F.max(value).over(earlier))}).withColumn("_next", F.max("_pair").over(upto))
+    # the two largest of a group in a range, and in those before it: a row for each range that a group has rows in
+    ends = swept.groupBy("_part", "_group").agg(F.max("_first").alias("_first"), F.max("_next").alias("_next"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_b_first": F.max("_first").over(before), "_b_pair": _second(F.col("_first"), F.max("_first").over(before))})
+    ends = ends.select(F.col("_part").alias("_p"), F.col("_group").alias("_g"), "_b_first", F.greatest(F.max("_next").over(before), F.max("_b_pair").over(before)).alias("_b_next"))
+    found = swept.where("_asks").join(ends, (F.col("_part") == F.col("_p")) & (F.col("_group") == F.col("_g")), "left")
+    least = lambda c: F.coalesce((c >= F.col("_y")).cast("int"), F.lit(0))
+    first, both = F.greatest("_first", "_b_first"), F.greatest(F.col("_next"), F.col("_b_next"), _second(F.col("_first"), F.col("_b_first")))
+    # a predicate without a first number is fitted by no row
+    return found.select(F.col("_id").alias("attack"), F.when(F.col("_x").isNotNull(), least(first) + least(both)).otherwise(0).alias("n"))
+
+
 def sample_attacks(df: DataFrame, id_col: str, n: int | None, seed: int = 42) -> DataFrame:
     """The rows that are attacked: ``n`` of them in hash order, or all."""
     if n is None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabverity.operators import nearest, prefix, privacy, profile, singling, skyline
+from tabverity.operators import attacks, nearest, prefix, privacy, profile, singling, skyline
 
 
 def mixed(spark, n, seed, first=0):
@@ -170,3 +170,20 @@ def test_running_sums_and_intervals(spark):
     points = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.5), (3, 2.0), (4, -1.0), (5, None), (6, 1 / n), (7, 0.50001)], "k long, u double")
     got = {r["k"]: r["value"] for r in prefix.in_interval(points, F.col("u"), levels, ["value"], n).collect()}
     assert got == {0: "x0", 1: "x2999", 2: "x1499", 3: "x2999", 4: "x0", 5: None, 6: "x0", 7: "x1500"}
+
+
+@pytest.mark.parametrize("numeric", [[], ["a"], ["a", "b"]])
+def test_singling_out_without_meeting_rows(spark, numeric):
+    """Two running maxima against brute force: levels and numbers that are null, ties, and ranges that part a group."""
+    rows, df = mixed(spark, 400, 11)
+    asks, other = mixed(spark, 300, 12, 1000)
+    middle = {c: np.median([r[k] for r in asks if r[k] is not None]) for k, c in ((1, "a"), (2, "b"))}
+
+    def fit(s, r):
+        far = lambda k, c: s[k] is not None and r[k] is not None and (r[k] >= s[k] if s[k] >= middle[c] else r[k] <= s[k])
+        return s[3] == r[3] and all(far(k, c) for k, c in ((1, "a"), (2, "b")) if c in numeric)
+
+    found = attacks.singling_out_multivariate(df, other, "id", numeric, ["c"])
+    assert tuple(found.first()) == (300, sum(sum(fit(s, r) for r in rows) == 1 for s in asks))
+    joins = [line for line in found._jdf.queryExecution().toString().splitlines() if "Join" in line]
+    assert joins and not any(">=" in line for line in joins)
