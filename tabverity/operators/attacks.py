@@ -26,7 +26,7 @@ def gower_neighbours(left: DataFrame, right: DataFrame, id_col: str, numeric: li
         spans = both.agg(*((F.max(c) - F.min(c)).cast("double").alias(f"_{k}") for k, c in enumerate(numeric))).first()
         widths = tuple((spans[f"_{k}"] or 0) or 1.0 for k in range(len(numeric)))
     metric = nearest.Gower(tuple(numeric), tuple(categorical), widths)
-    return nearest.search(left, right, id_col, metric, k).select("id", F.col("near").alias("neighbours"))
+    return nearest.search_vectors(left, right, id_col, metric, k).select("id", F.col("near").alias("neighbours"))
 
 
 def linkability(original: DataFrame, synthetic: DataFrame, id_col: str, aux: tuple[tuple[list[str], list[str]], tuple[list[str], list[str]]], k: int) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -129,30 +129,38 @@ def _to_pivots(batch: pa.RecordBatch | pa.Table, metric: Metric, pivots: tuple[p
 
 
 def build_index(right: DataFrame, id_col: str, kind: str, metric: Metric, block_rows: int | None = None) -> Index:
+    return _index(_rows(right, id_col, kind, metric), kind, metric, block_rows)
+
+
+def _deal(rows: DataFrame, kind: str, metric: Metric, pivots: tuple[pa.Array, pa.Array]) -> DataFrame:
+    """Rows with their nearest pivot and their distance ``at`` to it; all cores take part, however few files the rows are in."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _to_pivots(batch, metric, shared.value)]
+            if found:
+                home, at = (np.concatenate(v) for v in zip(*found))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int64()), pa.array(at)], names=[*batch.schema.names, "pivot", "at"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartition(parts, "id").mapInArrow(assign, f"id {kind}, x array<double>, c array<string>, pivot long, at double"), "nearest-rows")
+
+
+def _index(rows: DataFrame, kind: str, metric: Metric, block_rows: int | None = None) -> Index:
     """Blocks of ``block_rows`` right rows; without it a table of up to ONE_BLOCK rows is one block."""
     most, block_rows = (0, block_rows) if block_rows else (ONE_BLOCK, BLOCK_ROWS)
-    n = right.count()
-    rows = _rows(right, id_col, kind, metric)
+    spark, n = rows.sparkSession, rows.count()
     packed = F.sort_array(F.collect_list(F.struct("id", "x", "c"))).alias("rows")
     zero = F.lit(0).cast("long")
     if n <= most:
         one = rows.groupBy(zero.alias("number"), zero.alias("piece")).agg(packed)
-        return Index(metric, one, rows=np.array([n] * (n > 0)), sizes=right.sparkSession.range(1).select(zero.alias("number"), F.lit(1).cast("long").alias("pieces")))
+        return Index(metric, one, rows=np.array([n] * (n > 0)), sizes=spark.range(1).select(zero.alias("number"), F.lit(1).cast("long").alias("pieces")))
     wanted = min(MOST_PIVOTS, max(1, -(-n // block_rows)))
     taken = split.take_first(rows.withColumn("_all", F.lit(0)), F.lit(wanted), "id", 7, ["_all"]).where("taken").select("x", "c")
     few = taken.distinct().toArrow()  # MOST_PIVOTS at most
     pivots = (few.column("x").combine_chunks(), few.column("c").combine_chunks())
-    shared = right.sparkSession.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _to_pivots(batch, metric, shared.value)]
-            if found:
-                home, at = (np.concatenate(v) for v in zip(*found))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int64()), pa.array(at)], names=[*batch.schema.names, "pivot", "at"])
-
-    schema = f"id {kind}, x array<double>, c array<string>, pivot long, at double"
-    dealt = written(rows.mapInArrow(assign, schema), "nearest-rows")
+    dealt = _deal(rows, kind, metric, pivots)
     cells = dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most"))
     cells = cells.withColumn("rings", F.least(F.ceil(F.col("n") / block_rows), F.lit(MOST_RINGS)))
     ring = F.least(F.floor(F.coalesce(F.try_divide((F.col("at") - F.col("least")) * F.col("rings"), F.col("most") - F.col("least")), F.lit(0.0))), F.col("rings") - 1)
@@ -161,7 +169,7 @@ def build_index(right: DataFrame, id_col: str, kind: str, metric: Metric, block_
     found = ringed.groupBy("ring").agg(F.first("pivot").alias("pivot"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n"), *sides).orderBy("ring").toPandas()  # MOST_PIVOTS * MOST_RINGS at most
     boxes = tuple(np.column_stack([np.zeros((len(found), 0)), *(found[f"{name}_{k}"].to_numpy() for k in range(len(metric.numeric)))]).astype(kind_) for name, kind_ in (("least", float), ("most", float), ("null", bool)))
     pieces = np.maximum(1, -(-found["n"].to_numpy() // (2 * block_rows)))
-    sizes = right.sparkSession.createDataFrame([(int(r), k, int(p)) for k, (r, p) in enumerate(zip(found["ring"], pieces))], "ring long, number long, pieces long")
+    sizes = spark.createDataFrame([(int(r), k, int(p)) for k, (r, p) in enumerate(zip(found["ring"], pieces))], "ring long, number long, pieces long")
     numbered = ringed.join(F.broadcast(sizes), "ring").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
     blocks = written(numbered.groupBy("number", "piece").agg(packed), "nearest-blocks")
     return Index(metric, blocks, pivots, found["pivot"].to_numpy(), found["low"].to_numpy(), found["high"].to_numpy(), found["n"].to_numpy(), boxes, sizes)
@@ -184,33 +192,78 @@ def _bounds(metric: Metric, x: np.ndarray, d: np.ndarray, rings: tuple) -> tuple
     return np.maximum(np.maximum(np.maximum(a - high, low - a), 0), least) - SLACK, np.minimum(a + high, most) + SLACK
 
 
+def _chunk_bounds(metric: Metric, x: np.ndarray, at: float, to_home: np.ndarray, rings: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Between which distances the rows of every ring lie from all of some rows, which are up to ``at`` from one pivot.
+
+    ``to_home`` are distances of all pivots to that one. The rows' box meets the rings' boxes by its middle and half widths.
+    """
+    of, low, high, boxes = rings
+    least, most = np.zeros(len(of)), np.full(len(of), np.inf)
+    if x.shape[1] and not np.isnan(x).any():
+        one = np.zeros((1, x.shape[1]))  # a point at 0 against boxes of differences
+        gap_low, gap_high = boxes[0] - x.max(axis=0), boxes[1] - x.min(axis=0)
+        near, far = metric.box_bounds(one, gap_low, gap_high, boxes[2])
+        least, most = near[0], far[0]
+    a = to_home[of]
+    return np.maximum(np.maximum(a - at - high, low - a - at), least) - 3 * SLACK, np.minimum(a + at + high, most) + 3 * SLACK
+
+
+def _candidates(low: np.ndarray, high: np.ndarray, rows: np.ndarray, k: int, farthest: bool) -> np.ndarray:
+    """Rings that may be the nearest ones, which hold ``k`` rows, or the farthest one, of any row with these bounds."""
+    order = np.argsort(high, kind="stable")
+    last = int(np.searchsorted(np.cumsum(rows[order]), k))
+    kept = ~(low > high[order[last]]) if last < len(order) else np.ones(len(order), dtype=bool)
+    return np.flatnonzero(kept | ~(high < low.max()) if farthest else kept)
+
+
 def _ask(left: DataFrame, index: Index, kind: str, k: int, farthest: bool, again: bool, zero: float) -> DataFrame:
-    """Left rows with the rings they must meet; ``again``: after the first pass, whose results they carry."""
+    """Left rows with the rings they must meet; ``again``: after the first pass, whose rings and results they carry.
+
+    Rows of one pivot follow each other. Some of them at a time rule out most rings by what bounds them all, so that a row
+    looks at rings near it only.
+    """
     metric, rings, rows = index.metric, (index.of, index.low, index.high, index.boxes), index.rows
-    shared = left.sparkSession.sparkContext.broadcast((index.pivots, rings, rows))
+    spark = left.sparkSession
+    shared = spark.sparkContext.broadcast((index.pivots, rings, rows))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, rings, rows = shared.value
+        of, ring_low, ring_high, boxes = rings
+        y = _matrix(pivots[0], len(metric.numeric))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out: list[np.ndarray] = []
             x = _matrix(batch.column("x"), len(metric.numeric))
-            for at, d in _to_pivots(batch, metric, pivots):
-                low, high = _bounds(metric, x[at : at + len(d)], d, rings)
-                first = _first_rings(low, high, rows, k, farthest)
-                if not again:
-                    out += first
-                    continue
-                kth, far = (batch.column(c).to_numpy(zero_copy_only=False)[at : at + len(d)] for c in ("kth", "far"))
-                wanted = low <= np.maximum(kth, zero)[:, None]
-                if farthest:
-                    wanted |= high >= far[:, None]
-                for row, seen in zip(wanted, first):
-                    row[seen] = False
-                    out.append(np.flatnonzero(row))
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), batch.column("c"), pa.array([o.tolist() for o in out], pa.list_(pa.int64())), pa.array([int(o[0]) if len(o) else -1 for o in out], pa.int64())], names=["id", "x", "c", "rings", "home"])
-
-    return written(left.mapInArrow(ask, f"id {kind}, x array<double>, c array<string>, rings array<long>, home long"), "nearest-asked")
+            c, e = _codes([batch.column("c"), pivots[1]], len(metric.categorical))
+            home, far_out = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("pivot", "at"))
+            cuts = np.flatnonzero(np.diff(home)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(home)]):
+                to_home = metric.distances(y[home[begin], None], e[home[begin], None], y, e)[0]
+                for at in range(begin, end, CHUNK_ROWS):
+                    upto = min(end, at + CHUNK_ROWS)
+                    some = _chunk_bounds(metric, x[at:upto], far_out[at:upto].max(), to_home, rings)
+                    if again:
+                        kth, far = (batch.column(n).to_numpy(zero_copy_only=False)[at:upto] for n in ("kth", "far"))
+                        least = np.maximum(kth, zero)
+                        kept = np.flatnonzero(~(some[0] > least.max()) | ~(some[1] < far.min()) if farthest else ~(some[0] > least.max()))
+                    else:
+                        kept = _candidates(*some, rows, k, farthest)
+                    used, place = np.unique(of[kept], return_inverse=True)
+                    d = metric.distances(x[at:upto], c[at:upto], y[used], e[used])
+                    low, high = _bounds(metric, x[at:upto], d, (place, ring_low[kept], ring_high[kept], tuple(b[kept] for b in boxes)))
+                    if not again:
+                        out += [kept[o] for o in _first_rings(low, high, rows[kept], k, farthest)]
+                        continue
+                    wanted = low <= least[:, None]
+                    if farthest:
+                        wanted |= high >= far[:, None]
+                    out += [np.setdiff1d(kept[row], seen) for row, seen in zip(wanted, batch.column("rings")[at:upto].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "x", "c", "pivot", "at")), pa.array([o.tolist() for o in out], pa.list_(pa.int64())), pa.array([int(o[0]) if len(o) else -1 for o in out], pa.int64())], names=["id", "x", "c", "pivot", "at", "rings", "home"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    together = left.repartitionByRange(parts, "pivot", "at", "id").sortWithinPartitions("pivot", "at")
+    return written(together.mapInArrow(ask, f"id {kind}, x array<double>, c array<string>, pivot long, at double, rings array<long>, home long"), "nearest-asked")
 
 
 def search(left: DataFrame, right: DataFrame, id_col: str, metric: Metric, k: int, kind: str = "long", farthest: bool = False, not_itself: bool = False, zero: float = 0.0, index: Index | None = None) -> DataFrame:
@@ -219,17 +272,34 @@ def search(left: DataFrame, right: DataFrame, id_col: str, metric: Metric, k: in
     ``far`` is the largest distance if ``farthest``, ``zeros`` counts distances up to ``zero``, and ``pairs`` the right
     rows that were compared. With ``not_itself`` the right row of the same id is left out.
     """
-    index = index or build_index(right, id_col, kind, metric)
-    asked = _rows(left, id_col, kind, metric)
+    return _search(_rows(left, id_col, kind, metric), index or build_index(right, id_col, kind, metric), k, kind, farthest, not_itself, zero)
+
+
+def search_vectors(left: DataFrame, right: DataFrame, id_col: str, metric: Metric, k: int) -> DataFrame:
+    """Rows (id, near) as of ``search``. Left rows that are alike are asked about once, and of right rows that are alike the
+    ``k`` with the smallest ids take part, as no other can be among the nearest: work grows with the different rows."""
+    alike = Window.partitionBy("x", "c").orderBy("id")
+    few = _rows(right, id_col, "long", metric).withColumn("_k", F.row_number().over(alike)).where(F.col("_k") <= k).drop("_k")
+    index = _index(written(few, "nearest-right"), "long", metric)
+    asked = _rows(left, id_col, "long", metric)
+    kinds = written(asked.select("x", "c").distinct().withColumn("id", F.monotonically_increasing_id()).select("id", "x", "c"), "nearest-left")
+    found = _search(kinds, index, k, "long").select(F.col("id").alias("_id"), "near")
+    answers = kinds.join(found, F.col("id") == F.col("_id")).select(F.col("x").alias("_x"), F.col("c").alias("_c"), "near")
+    every = asked.join(answers, (F.col("x") == F.col("_x")) & (F.col("c") == F.col("_c")))
+    return every.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(1), F.lit(k)).alias("near"))
+
+
+def _search(asked: DataFrame, index: Index, k: int, kind: str, farthest: bool = False, not_itself: bool = False, zero: float = 0.0) -> DataFrame:
     if not len(index.rows):
         none = f"array<struct<d:double,id:{kind}>>"
         return asked.select("id", F.array().cast(none).alias("near"), F.lit(None).cast("double").alias("far"), F.lit(0).cast("long").alias("zeros"), F.lit(0).cast("long").alias("pairs"))
     if index.pivots is None:
         return _meet(asked.withColumns({"rings": F.array(F.lit(0).cast("long")), "home": F.lit(0).cast("long")}), index, kind, k, not_itself, zero)
     wanted = k + not_itself
-    first = written(_meet(_ask(asked, index, kind, wanted, farthest, False, zero), index, kind, k, not_itself, zero), "nearest-first")
+    sent = _ask(_deal(asked, kind, index.metric, index.pivots), index, kind, wanted, farthest, False, zero)
+    first = written(_meet(sent, index, kind, k, not_itself, zero), "nearest-first")
     bound = first.select(F.col("id").alias("_id"), F.when(F.size("near") >= k, F.col("near")[k - 1]["d"]).otherwise(float("inf")).alias("kth"), F.coalesce("far", F.lit(-1.0)).alias("far"))
-    second = _ask(asked.join(bound, F.col("id") == F.col("_id")).select("id", "x", "c", "kth", "far"), index, kind, wanted, farthest, True, zero)
+    second = _ask(sent.join(bound, F.col("id") == F.col("_id")).select("id", "x", "c", "pivot", "at", "rings", "kth", "far"), index, kind, wanted, farthest, True, zero)
     every = first.unionByName(_meet(second.where(F.size("rings") > 0), index, kind, k, not_itself, zero))
     near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(1), F.lit(k))
     return every.groupBy("id").agg(near.alias("near"), F.max("far").alias("far"), F.sum("zeros").alias("zeros"), F.sum("pairs").alias("pairs"))

@@ -187,3 +187,41 @@ def test_singling_out_without_meeting_rows(spark, numeric):
     assert tuple(found.first()) == (300, sum(sum(fit(s, r) for r in rows) == 1 for s in asks))
     joins = [line for line in found._jdf.queryExecution().toString().splitlines() if "Join" in line]
     assert joins and not any(">=" in line for line in joins)
+
+
+def test_rows_that_are_alike_are_asked_about_once(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ONE_BLOCK", 8)
+    asked, meet = [], nearest._meet
+    monkeypatch.setattr(nearest, "_meet", lambda rows, *args: asked.append(rows.count()) or meet(rows, *args))
+    left, _ = mixed(spark, 30, 5)
+    right, _ = mixed(spark, 40, 6, 1000)
+    left, right = ([(i * 97 % 1000 + first, *r[1:]) for i, r in enumerate(rows * 7)] for first, rows in ((0, left), (1000, right)))
+    df, other = (spark.createDataFrame(rows, "id long, a double, b int, c string") for rows in (left, right))
+    widths = [max(v) - min(v) for v in ([r[k] for r in [*left, *right] if r[k] is not None] for k in (1, 2))]
+    got = {r["id"]: r["neighbours"] for r in attacks.gower_neighbours(df, other, "id", ["a", "b"], ["c"], 9).collect()}
+    assert len(got) == len(left)
+    for r in left:
+        assert [(x["d"], x["id"]) for x in got[r[0]]] == sorted((gower(r, s, widths), s[0]) for s in right)[:9]
+    assert asked and max(asked) <= 30
+
+
+def test_bounds_of_rows_together():
+    """What bounds rows together bounds each of them, and leaves few rings of a line."""
+    rng = np.random.default_rng(8)
+    for metric in (nearest.Gower(("a", "b"), (), (10.0, 2.0)), nearest.Euclidean(("a", "b"))):
+        y = np.column_stack([rng.uniform(0, 10, 2000), rng.uniform(0, 2, 2000)])
+        none = lambda v: np.zeros((len(v), 0), dtype=int)
+        pivots = y[:100]
+        d = metric.distances(y, none(y), pivots, none(pivots))
+        home, at = d.argmin(axis=1), d.min(axis=1)
+        of = np.arange(100)
+        boxes = tuple(np.array([f(y[home == p]) for p in of]) for f in (lambda v: v.min(axis=0), lambda v: v.max(axis=0), lambda v: np.zeros(2, dtype=bool)))
+        rings = of, np.array([at[home == p].min() for p in of]), np.array([at[home == p].max() for p in of]), boxes
+        rows = np.bincount(home, minlength=100)
+        for p in range(0, 100, 9):
+            x = y[home == p]
+            low, high = nearest._chunk_bounds(metric, x, at[home == p].max(), metric.distances(pivots[p : p + 1], none(x[:1]), pivots, none(pivots))[0], rings)
+            each = nearest._bounds(metric, x, d[home == p], rings)
+            assert (low <= each[0].min(axis=0)).all() and (high >= each[1].max(axis=0)).all()
+            kept = nearest._candidates(low, high, rows, 1, False)
+            assert p in kept and len(kept) < 50
