@@ -245,12 +245,27 @@ def leaf_stats(df: DataFrame, leaf: list[str], columns: list[str]) -> DataFrame:
     return long.groupBy(*leaf, "variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
 
 
-def level_probability(df: DataFrame, leaf: list[str], column: str, smoothing: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+def merged_stats(cells: DataFrame, leaf: list[str], columns: list[str]) -> DataFrame:
+    """As ``leaf_stats``, of cells of ``n`` rows with the count, mean, sum of squared deviations, least and largest value of each column."""
+    parts = None
+    for c in columns:
+        some = cells.select(*leaf, "n", *(F.col(f"_{name}_{c}").alias(name) for name in ("mean", "squares", "low", "high")))
+        sums = some.groupBy(*leaf).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_middle"))
+        apart = F.sum(F.col("squares") + F.col("n") * (F.col("mean") - F.col("_middle")) * (F.col("mean") - F.col("_middle")))
+        one = some.join(sums, leaf).groupBy(*leaf).agg(F.first("_middle").alias("mean"), F.sqrt(ratio(apart, F.sum("n") - 1)).alias("sd"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        one = one.select(*leaf, F.lit(c).alias("variable"), "mean", "sd", "low", "high", "n")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def level_probability(df: DataFrame, leaf: list[str], column: str, smoothing: float = 0.0, allowed: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Rows (leaf..., value, prob) of every leaf and every level that the column has; unseen ones have the smoothing only.
 
+    With ``weight`` a row counts as often as that column says.
+
     ``allowed`` has rows (leaf..., value) for the leaves whose splits leave some levels only; the others have no share there.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*leaf, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*leaf, F.col(column).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     levels = counts.select("value").distinct()
     total = counts.groupBy(*leaf).agg(F.sum("n").alias("all"))
     grid = total.crossJoin(F.broadcast(levels))  # a row for each level of one column
@@ -277,18 +292,31 @@ POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolis
 def bag_weight(row: Column, bag: int, seed: int) -> Column:
     """How often a bag's bootstrap sample holds a row: a Poisson number of mean 1, by the hash of the row's number."""
     u = draws.uniform(row, bag, seed)
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
+    return sum((F.lit(p) <= u).cast("double") for p in POISSON)
 
 
 def out_of_bag(votes: DataFrame) -> float | None:
-    """Accuracy of rows (id, label, p, trees) of trees that left a row out: their mean share of 1 against one half."""
-    guess = votes.groupBy("id", "label").agg((F.sum(F.col("p") * F.col("trees")) / F.sum("trees")).alias("p"))
-    return guess.agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
+    """Accuracy of rows (id, label, p, trees) of trees that left a row out: their mean share of 1 against one half.
+
+    With a column ``n`` an id stands for that many rows.
+    """
+    rows = F.first("n") if "n" in votes.columns else F.lit(1)
+    guess = votes.groupBy("id", "label").agg((F.sum(F.col("p") * F.col("trees")) / F.sum("trees")).alias("p"), rows.alias("n"))
+    right = ((F.col("p") > 0.5).cast("double") == F.col("label")).cast("double")
+    return guess.agg(F.sum(right * F.col("n")) / F.sum("n")).first()[0]
+
+
+#: Intervals of a number that trees split between, as many as Spark's trees have.
+BINS = 32
 
 
 class ForestDensity:
     """Adversarial random forest: a forest that tells real rows from rows of shuffled columns gives leaves, leaves give densities.
 
+    Numbers are dealt to BINS intervals between quantiles of a sketch of all rows, which trees split between. Rows that agree in
+    intervals and levels are one cell: trees grow on the summed weights of cells, and leaves are summed up from cells, so that
+    rows are only read to be dealt, drawn and counted.
+
     Trees grow in ``bags``, each on a bootstrap sample of its own; a row's vote is that of the bags that left it out. Every
     column is shuffled by drawing it, independently, from the leaf of a random row; rounds end when the out-of-bag accuracy
     is a coin's up to ``delta``, when it is no better than in the round before, or after ``rounds``. ``depth`` bounds the
@@ -313,40 +341,52 @@ class ForestDensity:
         from pyspark.ml.functions import vector_to_array
 
         self.spark = df.sparkSession
-        columns = [*self.numeric, *self.categorical]
         self.null_rates = null_rates(df, self.numeric)
         number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
         medians = {c: q[0] if q else None for c, q in exact_quantiles(df, self.numeric, [0.5]).items()} if self.numeric else {}
-        real = df.select(*(F.coalesce(number(c), F.lit(float(medians[c] or 0))).alias(c) for c in self.numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("missed")).alias(c) for c in self.categorical)).withColumn("_row", F.monotonically_increasing_id()).persist()
+        real = df.select(*(F.coalesce(number(c), F.lit(float(medians[c] or 0))).alias(c) for c in self.numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("missed")).alias(c) for c in self.categorical))
+        sketched = real.stat.approxQuantile(self.numeric, [k / BINS for k in range(1, BINS)], 1e-3) if self.numeric else []
+        edges = {c: sorted(set(q)) for c, q in zip(self.numeric, sketched)}
+        bins = {c: f"_bin_{k}" for k, c in enumerate(self.numeric)}
+        cell = [*bins.values(), *self.categorical]
+        dealt = {b: sum(((F.col(c) > e).cast("int") for e in edges[c]), F.lit(0)).cast("double") for c, b in bins.items()}
+        rows = written(real.withColumns(dealt).withColumn("_row", F.monotonically_increasing_id()), "dealt-rows")
+        of = {"mean": F.avg, "squares": lambda c: F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)), "low": F.min, "high": F.max}
+        cells = written(rows.groupBy(*cell).agg(F.count("*").alias("n"), *(f(c).alias(f"_{name}_{c}") for c in self.numeric for name, f in of.items())), "cells")
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in self.categorical]
-        stages.append(VectorAssembler(inputCols=[*self.numeric, *(f"{c}_index" for c in self.categorical)], outputCol="features"))
-        prepared = Pipeline(stages=stages).fit(real)
-        by, leafed, self.accuracies = None, None, []
+        stages.append(VectorAssembler(inputCols=[*bins.values(), *(f"{c}_index" for c in self.categorical)], outputCol="features"))
+        prepared = Pipeline(stages=stages).fit(rows)
+        leafed, self.accuracies = None, []
         for k in range(self.rounds):
-            fake = self._shuffled(real if leafed is None else leafed, columns, by, k)
-            both = real.select(*columns).withColumn("label", F.lit(1.0)).unionByName(fake.select(*columns).withColumn("label", F.lit(0.0)))
-            both = prepared.transform(written(both.withColumn("_id", F.monotonically_increasing_id()), "real-and-shuffled"))
+            fake = self._shuffled(rows, cells if leafed is None else leafed, cell, leafed is not None, k)
+            both = rows.select(*cell, F.lit(1.0).alias("label"), (2 * F.col("_row")).alias("_id")).unionByName(fake.select(*cell, F.lit(0.0).alias("label"), (2 * F.col("_row") + 1).alias("_id")))
+            drawn = both.withColumns({f"_w_{bag}": bag_weight(F.col("_id"), bag, self.seed + k) for bag in range(self.bags)})
+            out = sum((F.when(F.col(f"_w_{bag}") == 0, 1 << bag).otherwise(0) for bag in range(self.bags)), F.lit(0))  # the bags without a row
+            sums = drawn.groupBy(*cell, "label", out.alias("_out")).agg(F.count("*").alias("n"), *(F.sum(f"_w_{bag}").alias(f"_w_{bag}") for bag in range(self.bags)))
+            counted = prepared.transform(written(sums, "real-and-shuffled"))
             forests, votes = [], None
             for bag in range(self.bags):
-                weighted = both.withColumn("_w", bag_weight(F.col("_id"), bag, self.seed + k))
+                weighted = counted.groupBy(*cell, "label").agg(F.sum(f"_w_{bag}").alias("_w")).where("_w > 0")
+                total = weighted.agg(F.sum("_w")).first()[0] or 1.0
                 trees = self.trees // self.bags + (bag < self.trees % self.bags)
-                learner = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=trees, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=self.depth, minInstancesPerNode=self.min_node_size, leafCol=f"leaf_{bag}", seed=self.seed + 100 * k + bag)
-                forests.append(learner.fit(weighted.where("_w > 0")))
-                left_out = forests[-1].transform(weighted.where("_w = 0")).select(F.col("_id").alias("id"), "label", vector_to_array("probability")[1].alias("p"), F.lit(trees).alias("trees"))
+                # a cell stands for many rows: their weights bound a node, not its cells
+                least = min(self.min_node_size / total, 0.49)
+                learner = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=trees, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=self.depth, maxBins=BINS, minInstancesPerNode=1, minWeightFractionPerNode=least, leafCol=f"leaf_{bag}", seed=self.seed + 100 * k + bag)
+                forests.append(learner.fit(prepared.transform(weighted)))
+                left_out = forests[-1].transform(counted.where(F.col("_out").bitwiseAND(1 << bag) > 0)).select(F.struct(*cell, "_out").alias("id"), "label", "n", vector_to_array("probability")[1].alias("p"), F.lit(trees).alias("trees"))
                 votes = left_out if votes is None else votes.unionByName(left_out)
             accuracy = out_of_bag(votes)
             self.accuracies.append(0.5 if accuracy is None else accuracy)
-            placed = prepared.transform(real)
+            placed = prepared.transform(cells)
             for forest in forests:
                 placed = forest.transform(placed).drop("prediction", "rawPrediction", "probability")
-            leafed = placed.select(*columns, "_row", F.concat(*(vector_to_array(f"leaf_{bag}") for bag in range(self.bags))).alias("leaf"))
-            by = "leaf"
+            leafed = written(placed.select(*cells.columns, F.concat(*(vector_to_array(f"leaf_{bag}") for bag in range(self.bags))).alias("leaf")), "leafed-cells")
             if self.accuracies[-1] <= 0.5 + self.delta or (k and self.accuracies[-1] >= self.accuracies[-2]):
                 break
-        rows = leafed.select(*columns, F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+        rows = leafed.select(*cells.columns, F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
         paths = [leaf_paths(t.toDebugString) for forest in forests for t in forest.trees]
         counts: dict[int, dict[int, int]] = {}
-        for r in rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():  # a row for each leaf of a bounded forest
+        for r in rows.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():  # a row for each leaf of a bounded forest
             counts.setdefault(r["tree"], {})[r["leaf"]] = r["n"]
         merged = {t: prune(p, counts.get(t, {}), self.min_node_size) for t, p in enumerate(paths)}
         self.merged = self.spark.createDataFrame([(t, k, g) for t, m in merged.items() for k, g in m.items()], "tree int, leaf int, stands int")
@@ -354,18 +394,20 @@ class ForestDensity:
         limits: dict[tuple, tuple[float, float]] = {}
         for t, p in enumerate(paths):
             for k, path in enumerate(p):
-                for c, (low, high) in zip(self.numeric, leaf_bounds(path, len(columns))):
+                for c, found in zip(self.numeric, leaf_bounds(path, len(cell))):
+                    low, high = (edges[c][int(v)] if abs(v) < np.inf else v for v in found)  # between intervals
                     key = (t, merged[t][k], c)
                     have = limits.get(key, (np.inf, -np.inf))
                     limits[key] = (min(have[0], low), max(have[1], high))
         self.bounds = self.spark.createDataFrame([(*k, float(a), float(b)) for k, (a, b) in limits.items()], "tree int, leaf int, variable string, bound_low double, bound_high double")
         rows = written(rows.join(F.broadcast(self.merged), ["tree", "leaf"]).withColumn("leaf", F.col("stands")).drop("stands"), "leaves")  # a bounded forest
-        total = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-        self.coverage = written(total.withColumn("coverage", F.col("n") / (rows.count() or 1)), "coverage")
-        self.stats = written(bounded(leaf_stats(rows, ["tree", "leaf"], self.numeric), self.bounds), "leaf-stats") if self.numeric else None
+        total = rows.groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+        every = rows.agg(F.sum("n")).first()[0] or 1
+        self.coverage = written(total.withColumn("coverage", F.col("n") / every), "coverage")
+        self.stats = written(bounded(merged_stats(rows, ["tree", "leaf"], self.numeric), self.bounds), "leaf-stats") if self.numeric else None
         labels = {c: prepared.stages[k].labels for k, c in enumerate(self.categorical)}
         self.levels_left = {c: self._levels_left(paths, merged, len(self.numeric) + k, labels[c]) for k, c in enumerate(self.categorical)}
-        self.probabilities = {c: written(level_probability(rows, ["tree", "leaf"], c, self.alpha, self.levels_left[c]), "leaf-levels") for c in self.categorical}
+        self.probabilities = {c: written(level_probability(rows, ["tree", "leaf"], c, self.alpha, self.levels_left[c], "n"), "leaf-levels") for c in self.categorical}
 
     def _levels_left(self, paths: list, merged: dict, feature: int, labels: list[str]) -> DataFrame | None:
         """Rows (tree, leaf, value) of the leaves whose splits leave some levels of a category; a merged leaf has those of all."""
@@ -377,16 +419,26 @@ class ForestDensity:
         rows = [(*key, labels[i]) for key, some in left.items() if some is not None for i in some if i < len(labels)]
         return self.spark.createDataFrame(rows, "tree int, leaf int, value string") if rows else None
 
-    def _shuffled(self, rows: DataFrame, columns: list[str], by: str | None, k: int) -> DataFrame:
-        """Each column in an order of its own, within the leaf of a random tree if there is one."""
-        leaf = F.get(by, F.floor(F.rand(self.seed + 31 * k) * self.trees).cast("int")) if by else F.pmod(F.xxhash64("_row"), F.lit(64)).cast("double")
-        placed = rows.withColumn("_leaf", leaf).withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(16)))
-        out = None
-        for j, c in enumerate(columns):
-            w = Window.partitionBy("_leaf", "_part").orderBy(F.xxhash64("_row", F.lit(self.seed + 97 * j + k)))
-            one = placed.select("_leaf", "_part", F.col(c), F.row_number().over(w).alias("_n"))
-            out = one if out is None else out.join(one, ["_leaf", "_part", "_n"])
-        return out
+    def _shuffled(self, rows: DataFrame, cells: DataFrame, cell: list[str], leafed: bool, k: int) -> DataFrame:
+        """For each row, intervals and levels drawn independently from its leaf of a random tree, or from the table.
+
+        What a leaf draws from are shares of intervals and levels, a bounded table for a bounded forest.
+        """
+        row = F.col("_row")
+        if leafed:
+            tree = F.floor(draws.uniform(row, 4000 + k, self.seed) * self.trees).cast("int")
+            placed = rows.select("_row", *cell).join(cells.select(*cell, "leaf"), cell).select("_row", tree.alias("tree"), F.get("leaf", tree).cast("int").alias("leaf"))
+            counted = cells.select(*cell, "n", F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+        else:
+            nowhere = F.lit(0).alias("tree"), F.lit(0).alias("leaf")
+            placed, counted = rows.select("_row", *nowhere), cells.select(*cell, "n", *nowhere)
+        for j, c in enumerate(cell):
+            some = counted.groupBy("tree", "leaf", F.col(c).alias("_level")).agg(F.sum("n").alias("_n")).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("_level", "_n"))).alias("_e"), F.sum("_n").alias("_all"))
+            upto = F.transform("_e", lambda e, i: F.aggregate(F.slice("_e", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["_n"]) / F.col("_all"))
+            shares = some.select("tree", "leaf", F.col("_e._level").alias("_levels"), upto.alias("_upto"))
+            place = F.least(F.size(F.filter("_upto", lambda x: x <= F.col("_u"))), F.size("_levels") - 1)
+            placed = placed.join(F.broadcast(shares), ["tree", "leaf"]).withColumn("_u", draws.uniform(row, 5000 + 100 * k + j, self.seed)).withColumn(c, F.get("_levels", place)).drop("_levels", "_upto", "_u")
+        return placed.select("_row", *cell)
 
     def generate(self, rows: int, conditions: dict[object, int] | None = None) -> DataFrame:
         """``rows`` rows, or, with ``conditions``, as many of each class of the target as they say, drawn once.

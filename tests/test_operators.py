@@ -428,3 +428,21 @@ def test_a_run_resumes_and_updates(spark, tmp_path, monkeypatch):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["metric_type", "metric", "Original", "m"]
     done = runs.run(frame(spark, [(k, "a" if k % 2 else "b", float(k)) for k in range(60)], "k long, c string, x double"), tables.Roles(id="k", target=None), [synthesis.GaussianCopula(["x"], ["c"])], str(tmp_path / "whole"), runs.Settings(families=["Counted"]))
     assert {r["model_name"]: r["value"] for r in done.collect()} == {"gaussian_copula": 48.0, "Original": 24.0}
+
+
+def test_forest_grows_on_cells_of_rows(spark, monkeypatch):
+    """What trees learn from is bounded by intervals and levels; leaves hold all rows with their exact moments."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    learned, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: learned.append(df.count()) or fit(self, df))
+    x = np.random.default_rng(3).lognormal(3, 1, 6000)
+    df = frame(spark, [(float(v), "abc"[int(v) % 3] if v > 20 else "a") for v in x], "x double, s string")
+    model = synthesis.ForestDensity(["x"], ["s"], trees=4, rounds=2)
+    model.fit(df)
+    assert learned and max(learned) <= 2 * synthesis.BINS * 3
+    for _, leaves in model.stats.toPandas().groupby("tree"):
+        assert leaves["n"].sum() == len(x) and leaves["n"].min() >= 5
+        assert (leaves["n"] * leaves["mean"]).sum() == pytest.approx(x.sum())
+        assert ((leaves["n"] - 1) * leaves["sd"] ** 2 + leaves["n"] * leaves["mean"] ** 2).sum() == pytest.approx((x**2).sum())
+    assert model.probabilities["s"].groupBy("tree", "leaf").agg(F.sum("prob").alias("p")).agg(F.max(F.abs(F.col("p") - 1))).first()[0] < 1e-9
