@@ -6,12 +6,15 @@ Draws are columns that the caller may give, for example by the hash of a key; by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions import draws
 from ..functions.scalars import positive_zero, ratio
@@ -325,12 +328,21 @@ def _sorted_codes(df: DataFrame, column: str) -> DataFrame:
 
 def _rank(x: Column, points: list[float]) -> Column:
     """Place of a number between points that are in order, linear in between; the middle of a run of equal points."""
+    grid = np.asarray(points, dtype=float)
     n = len(points) - 1
-    grid = F.array(*map(F.lit, points))
-    below, upto = F.size(F.filter(grid, lambda p: p < x)), F.size(F.filter(grid, lambda p: p <= x))
-    low, high = F.get(grid, below - 1), F.get(grid, below)
-    between = (below - 1 + ratio(x - low, high - low)) / n
-    return F.when(x <= points[0], 0.0).when(x >= points[-1], 1.0).when(upto > below, (below + upto - 1) / 2 / n).otherwise(between)
+
+    @pandas_udf(T.DoubleType())
+    def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            v = part.to_numpy(dtype=float)
+            below, upto = np.searchsorted(grid, v, side="left"), np.searchsorted(grid, v, side="right")
+            low, high = grid[np.maximum(below - 1, 0)], grid[np.minimum(below, n)]
+            between = (below - 1 + (v - low) / np.where(high > low, high - low, 1.0)) / n
+            found = np.where(upto > below, (below + upto - 1) / 2 / n, between)
+            found = np.where(v <= grid[0], 0.0, np.where(v >= grid[-1], 1.0, found))
+            yield pd.Series(np.where(np.isnan(v), np.nan, found))
+
+    return place(x.cast("double"))
 
 
 def _from_rank(u: Column, points: list[float]) -> Column:

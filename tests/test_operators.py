@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabverity.functions import scalars
-from tabverity.operators import attacks, distance, divergence, encode, likelihood, nearest, prepare, privacy, profile, quality, report, split, synthesis
+from tabverity.operators import attacks, distance, divergence, encode, likelihood, models, nearest, prepare, privacy, profile, quality, report, split, synthesis
 from tabverity.plans import evaluate, runs, search
 from tabverity.sources import tables
 
@@ -446,3 +446,11 @@ def test_forest_grows_on_cells_of_rows(spark, monkeypatch):
         assert (leaves["n"] * leaves["mean"]).sum() == pytest.approx(x.sum())
         assert ((leaves["n"] - 1) * leaves["sd"] ** 2 + leaves["n"] * leaves["mean"] ** 2).sum() == pytest.approx((x**2).sum())
     assert model.probabilities["s"].groupBy("tree", "leaf").agg(F.sum("prob").alias("p")).agg(F.max(F.abs(F.col("p") - 1))).first()[0] < 1e-9
+
+
+def test_ranks_look_up_sorted_points(spark):
+    points = [0.0, 1.0, 1.0, 2.0, 4.0]
+    df = frame(spark, [(v,) for v in (-1.0, 0.0, 0.5, 1.0, 1.5, 3.0, 4.0, 9.0, None)], "x double")
+    ranked = df.select("x", prepare._rank(F.col("x"), points).alias("u"))
+    assert {r["x"]: r["u"] for r in ranked.collect()} == {-1.0: 0.0, 0.0: 0.0, 0.5: 0.125, 1.0: 0.375, 1.5: 0.625, 3.0: 0.875, 4.0: 1.0, 9.0: 1.0, None: None}
+    assert "lambda" not in ranked._jdf.queryExecution().toString()  # no row goes through all points
