@@ -13,6 +13,8 @@ from . import report
 from .split import stratified_split
 
 SEED = 42
+#: Rows that a task holds while trees grow, on average: their features are one-hot, and files of few bytes have many rows.
+TASK_ROWS = 100_000
 
 
 def features(numeric: list[str], categorical: list[str]) -> list:
@@ -27,6 +29,11 @@ def prepared(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataF
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in categorical})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in as many parts as there are TASK_ROWS of them, and in no fewer than a shuffle has."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS)))
+
+
 def classifiers() -> dict:
     """Stand-ins for boosted and linear models, named for what they are."""
     return {
@@ -52,7 +59,7 @@ def propensity(real: DataFrame, synthetic: DataFrame, id_col: str, numeric: list
 def train_classifier(train: DataFrame, target: str, numeric: list[str], categorical: list[str]):
     """A fitted pipeline that can be saved and loaded (PipelineModel)."""
     ready = prepared(train, numeric, categorical).withColumn("label", F.col(target).cast("double"))
-    return Pipeline(stages=[*features(numeric, categorical), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=SEED)]).fit(ready)
+    return Pipeline(stages=[*features(numeric, categorical), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=SEED)]).fit(spread(ready))
 
 
 def load_classifier(path: str):
@@ -80,7 +87,7 @@ def forest_guess(real: DataFrame, synthetic: DataFrame, keys: list[str], sensiti
     """1 - the share of real rows whose sensitive value a forest grown on synthetic rows guesses."""
     index = StringIndexer(inputCol=sensitive, outputCol="label", handleInvalid="keep")
     rows = lambda df: prepared(df, [], [*keys, sensitive])
-    model = Pipeline(stages=[index, *features([], keys), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=SEED)]).fit(rows(synthetic))
+    model = Pipeline(stages=[index, *features([], keys), RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=SEED)]).fit(spread(rows(synthetic)))
     return model.transform(rows(real)).agg((1 - F.avg((F.col("prediction") == F.col("label")).cast("int"))).alias("score"))
 
 

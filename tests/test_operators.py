@@ -454,3 +454,14 @@ def test_ranks_look_up_sorted_points(spark):
     ranked = df.select("x", prepare._rank(F.col("x"), points).alias("u"))
     assert {r["x"]: r["u"] for r in ranked.collect()} == {-1.0: 0.0, 0.0: 0.0, 0.5: 0.125, 1.0: 0.375, 1.5: 0.625, 3.0: 0.875, 4.0: 1.0, 9.0: 1.0, None: None}
     assert "lambda" not in ranked._jdf.queryExecution().toString()  # no row goes through all points
+
+
+def test_forests_grow_in_parts_of_bounded_rows(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    parts, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(models, "TASK_ROWS", 50)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.glom().map(len).collect()) or fit(self, df))
+    df = frame(spark, [("ab"[k % 2], "xy"[k % 2]) for k in range(500)], "k string, s string").coalesce(1)
+    assert models.forest_guess(df, df, ["k"], "s").first()[0] == 0
+    assert len(parts[0]) == 10 and max(parts[0]) <= 60
