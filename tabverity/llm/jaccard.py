@@ -44,6 +44,8 @@ PERCENT = 75
 COUNTERS, SLICES = 1 << 20, 16
 #: 64-bit words of a class's token bitmap: half for places that have a token, half for those that have two.
 BITMAP_WORDS = 32
+#: Sets whose bitmaps are made at once (1 MB of counts).
+SETS_AT_ONCE = 128
 #: Children of a node of a signature tree, and the most classes of a block.
 FANOUT, BLOCK = 16, 4096
 #: Rows of groups that a task searches at once, and pairs of nodes that it compares at once.
@@ -108,8 +110,8 @@ def bitmaps(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """
     places, rows = 32 * BITMAP_WORDS, []
     at = (found % np.uint64(places)).astype(np.int64)
-    for k in range(0, len(cuts) - 1, 1024):
-        c = cuts[k : k + 1025]
+    for k in range(0, len(cuts) - 1, SETS_AT_ONCE):
+        c = cuts[k : k + SETS_AT_ONCE + 1]
         text = np.repeat(np.arange(len(c) - 1), np.diff(c))
         counts = np.bincount(text * places + at[c[0] : c[-1]], minlength=(len(c) - 1) * places).reshape(-1, places)
         rows.append(np.packbits(np.concatenate([counts > 0, counts > 1], axis=1), axis=1).view(np.uint64))
@@ -122,7 +124,7 @@ def _profile(batches: Iterable[pa.RecordBatch], ngram: int) -> Iterator[pa.Recor
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bitmap", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
     for (ids,), texts in text_batches(batches, ["doc_id"]):
         found, cuts = shingle_sets(texts, ngram)
-        counters += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        np.add.at(counters, (found >> np.uint64(44)).astype(np.int64), 1)  # in place: a table of all counters a batch takes more memory
         n, none = np.diff(cuts), pa.nulls(len(ids))
         bits = binary_slices(bitmaps(found, cuts).ravel(), np.arange(len(ids) + 1) * BITMAP_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fingerprints(found, cuts), pa.int64(), mask=n == 0), bits, none.cast(pa.int32()), pa.nulls(len(ids), pa.binary())], schema=schema)

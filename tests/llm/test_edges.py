@@ -292,3 +292,19 @@ def test_pipeline_stages(spark, docs, empty):
             out.collect()
     kept = corpus_pipeline.drop_near_duplicates(spark, whole, sf_dir).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 8, 10, 11]
+
+
+def test_bitmaps_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    cuts = np.arange(0, 5 * 3001, 5)
+    found = rng.integers(0, 1 << 63, cuts[-1], dtype=np.uint64)
+    tracemalloc.start()
+    got = jaccard.bitmaps(found, cuts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 << 20
+    places = (found % np.uint64(32 * jaccard.BITMAP_WORDS)).astype(int).reshape(-1, 5)
+    counts = [np.bincount(row, minlength=32 * jaccard.BITMAP_WORDS) for row in places]
+    assert (got == np.array([np.packbits(np.concatenate([c > 0, c > 1])).view(np.uint64) for c in counts])).all()
