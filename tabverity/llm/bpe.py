@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, row_key, text_batches
+from .common import REMEMBERED, id_and_text, row_key, text_batches
 
 #: Characters of a text beyond which it is cut into halves.
 PART_CHARS = 1 << 13
@@ -128,7 +128,7 @@ class TextEncoder:
         return [*map(self.pieces.__getitem__, _PIECES.findall(text.lower()))]
 
 
-_SHARED: dict[tuple[str, str, int], TextEncoder] = {}
+_SHARED: dict[tuple[str, str, int], TextEncoder] = REMEMBERED
 
 
 def shared_encoder(path: str, kind: str, value: Callable[[object], Callable[[list[int]], object]], memory: int = MEMORY) -> TextEncoder:
@@ -227,7 +227,7 @@ def cut_points(length: int, part_chars: int) -> list[int]:
 
 
 def _parts(batches: Iterable[pa.RecordBatch], part_chars: int) -> Iterator[pa.RecordBatch]:
-    for (docs, keys), texts in text_batches(batches, ["doc_id", "row_key"]):
+    for (docs, keys), texts in text_batches(batches, ["doc_id", "row_key"], remember=True):
         for doc, key, raw in zip(docs, keys, texts):
             text = raw.decode()
             cuts = [0, *cut_points(len(text), part_chars), len(text)]
@@ -275,13 +275,17 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean
 PART_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in PART_SCHEMA.split(", "))])
 
 
-def encode_long(docs: DataFrame, tokenizer_path: str, part_chars: int = PART_CHARS) -> DataFrame:
-    """Rows (doc_id, row_key, ids) of texts that are cut into parts: parts are encoded in parallel, joints merged by document."""
+def encode_long(docs: DataFrame, tokenizer_path: str, part_chars: int = PART_CHARS, columns: str = "ids binary", values: Callable[[object, bytes], dict] | None = None) -> DataFrame:
+    """Rows (doc_id, row_key, ids) of texts that are cut into parts: parts are encoded in parallel, joints merged by document.
+
+    ``values`` makes other ``columns`` of a tokenizer and a document's ids, in the task that merges them: a task of two Python
+    steps would take two Python workers.
+    """
     cut = docs.select("doc_id", "row_key", "text").mapInArrow(lambda it: _parts(it, part_chars), "doc_id long, row_key long, part int, text string")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = ids_encoder(tokenizer_path)
-        for keys, texts in text_batches(batches, ["doc_id", "row_key", "part"]):
+        for keys, texts in text_batches(batches, ["doc_id", "row_key", "part"], remember=True):
             rows = [encode_part(text.decode(), runs, lambda s: encode_tokens(runs.tokenizer, s)) for text in texts]
             yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "row_key", "part"), keys)) | {c: [r[c] for r in rows] for c in rows[0]}, schema=PART_ARROW)
 
@@ -291,11 +295,12 @@ def encode_long(docs: DataFrame, tokenizer_path: str, part_chars: int = PART_CHA
         while len(level) > 1:
             level = [merge_parts(*level[k : k + 2], lambda s: encode_tokens(tokenizer, s)) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         copies = int((group["part"] == 0).sum())
-        doc, key = group["doc_id"].astype("Int64").iloc[0], group["row_key"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([doc] * copies, "Int64"), "row_key": [key] * copies, "ids": [finish(level[0])] * copies})
+        doc, key, ids = group["doc_id"].astype("Int64").iloc[0], group["row_key"].iloc[0], finish(level[0])
+        own = {"ids": ids} if values is None else values(tokenizer, ids)
+        return pd.DataFrame({"doc_id": pd.array([doc] * copies, "Int64"), "row_key": [key] * copies} | {k: [v] * copies for k, v in own.items()})
 
     parts = cut.repartition("doc_id", "row_key", "part").mapInArrow(encode, PART_SCHEMA)
-    return parts.groupBy("doc_id", "row_key").applyInPandas(merge, "doc_id long, row_key long, ids binary")
+    return parts.groupBy("doc_id", "row_key").applyInPandas(merge, f"doc_id long, row_key long, {columns}")
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
@@ -309,7 +314,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = ids_encoder(tokenizer_path)
-        for (ids,), texts in text_batches(batches, ["doc_id"]):
+        for (ids,), texts in text_batches(batches, ["doc_id"], remember=True):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([b"".join(runs(t)) for t in texts], pa.binary())})
 
     short = source.where(~is_long).select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
@@ -344,7 +349,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared_encoder(tokenizer_path, "digest", lambda tokenizer: Digest(tokenizer).by_piece)
-        for (ids,), texts in text_batches(batches, ["doc_id"]):
+        for (ids,), texts in text_batches(batches, ["doc_id"], remember=True):
             counts, digests, decoded = [], [], []
             for text in texts:
                 got = [g for g in runs(text) if g[0]]
@@ -355,18 +360,16 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def encode_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared_encoder(tokenizer_path, "list", lambda _: lambda ids: ids)
-        for (ids,), texts in text_batches(batches, ["doc_id"]):
+        for (ids,), texts in text_batches(batches, ["doc_id"], remember=True):
             all_ids = [[i for piece in runs(t) for i in piece] for t in texts]
             yield rows(ids, [*map(len, all_ids)], [sha(" ".join(map(str, i)).encode()) for i in all_ids], [sha(runs.tokenizer.decode(i, skip_special_tokens=False).encode()) for i in all_ids])
 
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ids_encoder(tokenizer_path).tokenizer
-        for batch in batches:
-            all_ids = [np.frombuffer(i.as_py(), dtype="<u4").tolist() for i in batch.column("ids")]
-            yield rows(batch.column("doc_id").to_pylist(), [*map(len, all_ids)], [sha(" ".join(map(str, i)).encode()) for i in all_ids], [sha(tokenizer.decode(i, skip_special_tokens=False).encode()) for i in all_ids])
+    def of_long(tokenizer, raw: bytes) -> dict:
+        ids = np.frombuffer(raw, dtype="<u4").tolist()
+        return {"n_tokens": len(ids), "ids_sha256": sha(" ".join(map(str, ids)).encode()), "decoded_sha256": sha(tokenizer.decode(ids, skip_special_tokens=False).encode())}
 
     # Without a decoder, decode() writes tokens one by one with a space between them, and so can be done by pieces.
     by_piece = load_tokenizer(tokenizer_path).decoder is None
     short = source.where(~is_long).select("doc_id", "text").mapInArrow(encode if by_piece else encode_whole, schema)
-    long = encode_long(source.where(is_long), tokenizer_path, part_chars)
-    return short.unionByName(long.select("doc_id", "ids").mapInArrow(decode, schema))
+    long = encode_long(source.where(is_long), tokenizer_path, part_chars, "n_tokens long, ids_sha256 string, decoded_sha256 string", of_long)
+    return short.unionByName(long.drop("row_key"))

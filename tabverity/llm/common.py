@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python task handles at once; a longer text makes a batch of its own.
 BATCH_BYTES = 1 << 19
 #: Rows of texts, and bytes, that Spark hands to Python at once at most.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+#: What a Python worker remembers from task to task. It is one operator's: tasks of others drop it.
+REMEMBERED: dict = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -58,8 +61,29 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], columns: list[str], text_col: str = "text", limit: int = BATCH_BYTES) -> Iterator[tuple[list[list], list[bytes]]]:
-    """Regroup Arrow batches into lists of about ``limit`` bytes of text; a null text reads as empty."""
+def release_memory() -> None:
+    """Gives freed memory back to the system: a Python worker stays when its task ends, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task returns; when that ends, its memory is given back."""
+    REMEMBERED.clear()
+    yield from rows
+    release_memory()
+
+
+def text_batches(batches: Iterable[pa.RecordBatch], columns: list[str], text_col: str = "text", limit: int = BATCH_BYTES, remember: bool = False) -> Iterator[tuple[list[list], list[bytes]]]:
+    """Regroup Arrow batches into lists of about ``limit`` bytes of text; a null text reads as empty.
+
+    Without ``remember`` the worker drops what another operator's tasks have left in ``REMEMBERED``.
+    """
+    if not remember:
+        REMEMBERED.clear()
     rows: list[list] = [[] for _ in columns]
     texts: list[bytes] = []
     size = 0
@@ -76,6 +100,8 @@ def text_batches(batches: Iterable[pa.RecordBatch], columns: list[str], text_col
             size += len(text) + 1
     if texts:
         yield rows, texts
+    del rows, texts
+    release_memory()
 
 
 def int64_ids(ids: list) -> list:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import kernels as K
-from .common import id_and_text, materialize, shuffle_partitions, text_batches
+from .common import id_and_text, materialize, released, shuffle_partitions, text_batches
 from .components import connected_components
 from .substring import binary_slices, bucket_of
 
@@ -146,7 +146,7 @@ def _sum_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(profile: DataFrame) -> np.ndarray:
     """For each counter, whether it stands out: a shingle counted there is frequent."""
-    parts = profile.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_sum_counts, "slice int, sums binary")
+    parts = profile.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(lambda it: released(_sum_counts(it)), "slice int, sums binary")
     counts = np.zeros((SLICES, COUNTERS // SLICES))
     for row in parts.collect():  # 8 MB
         counts[row["slice"]] = np.frombuffer(row["sums"], dtype=np.int64)
@@ -212,7 +212,9 @@ def _groups(batches: Iterable[pa.RecordBatch], held_entries: int = HELD_ENTRIES)
     """
     now, parts, held, cut = None, [], 0, False
     for batch in batches:
-        for bucket, tokens, places, classes, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "places", "classes", "sizes", "counts"))):
+        # numbers are read where the batch has them
+        for bucket, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(c) for c in ("tokens", "places", "classes", "sizes", "counts"))):
+            tokens, places, classes, sizes, counts = (x.as_buffer() for x in row)
             if parts and (bucket != now or held > held_entries):
                 cut = bucket == now or cut
                 yield _several(parts, cut)
@@ -266,7 +268,7 @@ def _wanted_bits(spark: SparkSession, classes: DataFrame):
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
 
     packed = np.zeros((parts, per // 8), dtype=np.uint8)
-    for row in classes.select("class").repartition(8).mapInArrow(mark, "part int, bits binary").toLocalIterator():
+    for row in classes.select("class").repartition(8).mapInArrow(lambda it: released(mark(it)), "part int, bits binary").toLocalIterator():
         packed[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
     return spark.sparkContext.broadcast(packed)
 
@@ -308,7 +310,7 @@ def _within_bounds(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             kept = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack >= q * (n + m) - 1e-9
             yield batch.filter(pa.array(kept)).select(["a", "b"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lambda it: released(bound(it)), "a long, b long")
 
 
 def _verify(source: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -326,7 +328,7 @@ def _verify(source: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> Da
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: released(compare(it)), "a long, b long")
 
 
 def _bit_rows(column: pa.Array) -> np.ndarray:
@@ -479,7 +481,7 @@ def tree_pairs(groups: DataFrame, percent: int = PERCENT, block: int | None = No
         met = met.select("token", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
         usual = usual.unionByName(large.join(met, ["token", "block"]).drop("block"))
     dealt = usual.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "component", "n")
-    met = dealt.mapInArrow(lambda it: _traverse(it, percent, nearest), "a long, b long, n long, times long")
+    met = dealt.mapInArrow(lambda it: released(_traverse(it, percent, nearest)), "a long, b long, n long, times long")
     if nearest:
         return met.select("a", "b").distinct()
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("n").alias("n"))
@@ -519,7 +521,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("n").alias("size"), F.first("bitmap").alias("bitmap")), "classes")
 
     filed = source.mapInArrow(lambda it: _file(it, buckets, ngram, percent, frequent), "bucket int, tokens binary, places binary, classes binary, sizes binary, counts binary")
-    groups = materialize(filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, class long, n long, place int"), "groups")
+    groups = materialize(filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: released(_groups(it)), "token long, class long, n long, place int"), "groups")
     groups = materialize(_sharing_enough(groups, percent), "groups")
     first = materialize(_within_bounds(_first_candidates(groups, percent), classes, percent), "first-pairs")
     links = materialize(_verify(source, first, ngram, percent), "links")

@@ -492,7 +492,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         runs = ids_encoder(tokenizer_path, PIECES)
         docs_: list = []
         held, before, number = 0, 0, 0
-        for (ids, parts), texts in text_batches(batches, ["doc_id", "part"]):
+        for (ids, parts), texts in text_batches(batches, ["doc_id", "part"], remember=True):
             for i, part, text in zip(ids, parts, texts):
                 coded = b"".join(runs(text)) + end
                 docs_.append((i, coded))

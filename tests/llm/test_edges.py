@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabverity.llm import bpe, decontaminate, jaccard, language, lines, neighbours, pii, quality, substring, tokenfiles
+from tabverity.llm import bpe, common, decontaminate, jaccard, language, lines, neighbours, pii, quality, substring, tokenfiles
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -308,3 +309,29 @@ def test_bitmaps_take_little_memory():
     places = (found % np.uint64(32 * jaccard.BITMAP_WORDS)).astype(int).reshape(-1, 5)
     counts = [np.bincount(row, minlength=32 * jaccard.BITMAP_WORDS) for row in places]
     assert (got == np.array([np.packbits(np.concatenate([c > 0, c > 1])).view(np.uint64) for c in counts])).all()
+
+
+def test_a_worker_remembers_for_one_operator():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    common.REMEMBERED["encoder"] = object()
+    assert [texts for _, texts in common.text_batches([batch], [], remember=True)] == [[b"a b", b""]] and common.REMEMBERED
+    assert [texts for _, texts in common.text_batches([batch], [])] == [[b"a b", b""]] and not common.REMEMBERED
+
+
+def test_long_texts_take_one_python_worker_a_task(spark, docs):
+    """A task of two Python steps takes two workers, which stay beside those of later stages."""
+    plan = bpe.encode_and_decode(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    # short texts, parts, and the encoding of parts; what merges them makes the digests too
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInArrow") == 3
+
+
+def test_groups_of_shingles_in_any_batches():
+    """Entries are read where the batch has them, at any place, and cut batches give the same groups."""
+    words = " ".join(f"word{k}" for k in range(40))
+    texts = [words, words + " more", "eight nine ten eleven twelve"]
+    filed = pa.RecordBatch.from_pydict({"text": texts})
+    frequent = type("Shared", (), {"value": np.zeros(jaccard.COUNTERS, dtype=bool)})
+    rows = pa.Table.from_batches(jaccard._file([filed], 3, 5, 75, frequent)).sort_by("bucket").combine_chunks().to_batches()[0]
+    whole = pa.Table.from_batches(jaccard._groups([rows])).to_pylist()
+    cut = pa.Table.from_batches(jaccard._groups([rows.slice(k, 1) for k in range(rows.num_rows)])).to_pylist()
+    assert len(whole) >= 4 and len(whole) == 2 * len({r["token"] for r in whole}) and sorted(map(str, whole)) == sorted(map(str, cut))
