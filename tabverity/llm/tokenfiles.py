@@ -32,6 +32,8 @@ BLOCK_IDS = 2048
 CHUNK_IDS = 1 << 21
 #: Lanes that are coded in step at most.
 LANES = 2048
+#: Lanes that are turned from rows to columns at once.
+TILE = 32
 #: Rows of order 1 have shares of 2**-ROW_BITS; a chunk has fewer than 2**ROWS of them.
 ROW_BITS, ROWS = 10, 13
 #: An id has a row if ids of its row follow it so many times, and is in a row if it follows that often.
@@ -70,7 +72,7 @@ class Coder:
         """What comes next in ``lanes`` has the parts ``start .. start + width`` of those of size ``step`` that their range is cut into."""
         low, rng = self.low[lanes] + step * start, step * width
         self.low[lanes], self.range[lanes] = low, rng
-        ready = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
+        ready = np.flatnonzero(np.minimum(low ^ (low + rng), rng) < 1 << TOP)
         lane, low, rng = ready if isinstance(lanes, slice) else lanes[ready], low[ready], rng[ready]
         while len(lane):
             rng = np.where((low ^ (low + rng)) < 1 << TOP, rng, (1 << TOP) - (low & LOW))
@@ -78,7 +80,7 @@ class Coder:
             low = (low << WORD) & MASK
             rng = np.minimum(rng << WORD, MASK - low)
             self.low[lane], self.range[lane] = low, rng
-            ready = np.flatnonzero(((low ^ (low + rng)) < 1 << TOP) | (rng < 1 << TOP))
+            ready = np.flatnonzero(np.minimum(low ^ (low + rng), rng) < 1 << TOP)
             lane, low, rng = lane[ready], low[ready], rng[ready]
 
     def word(self, lane: np.ndarray, low: np.ndarray) -> None:
@@ -232,15 +234,16 @@ class Model:
         first_row, first_entry = starts([len(r.first) for r in rows]), starts([len(r.of) for r in rows])
         self.entry_base = first_entry[own]
         self.row = np.concatenate([r.row + n for r, n in zip(rows, first_row)])
-        self.of = np.concatenate([r.of + n for r, n in zip(rows, first_row)])
+        # behind the entries of all rows is one of no row: what order 2 expects where it knows nothing
+        self.of = np.append(np.concatenate([r.of + n for r, n in zip(rows, first_row)]), -1)
         self.first = np.concatenate([r.first + n for r, n in zip(rows, first_entry)])
-        self.packed = np.concatenate([r.packed for r in rows])
+        self.packed = np.append(np.concatenate([r.packed for r in rows]), 0)
         self.all = (tables, rows, own)
         self.slot_base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
         self.class_base = np.arange(lanes, dtype=np.int64) << CLASS_BITS
         self.situations = np.arange(lanes, dtype=np.int64) * len(WEIGHT_START)
         self.fine = np.tile((np.array(WEIGHT_START) * (1 << FINE_BITS)).astype(np.int64), lanes)
-        self.after = np.full(lanes << SLOT_BITS, -1, dtype=np.int32)
+        self.after = np.full(lanes << SLOT_BITS, len(self.of) - 1 << 2, dtype=np.int32)
         self.prev, self.prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.counts = np.full((lanes, CLASSES), CLASS_START, dtype=np.int64)
         self.waiting: list[np.ndarray] = []
@@ -259,13 +262,12 @@ class Model:
         self.here = self.row.take(self.symbol_base[:a] + prev)
         self.slot = self.slot_base[:a] + (((self.prev2[:a] * 40503 + prev) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
         found = self.after.take(self.slot).astype(np.int64)
-        self.expected, held = found >> 2, found & 3
-        have = (found >= 0) & (self.of.take(self.expected) == self.here)
-        self.held = held * have
-        self.situation = self.situations[:a] + (held + 1) * have
+        self.expected = found >> 2
+        self.have = self.of.take(self.expected) == self.here
+        self.held = ((found & 3) + 1) * self.have
+        self.situation = self.situations[:a] + self.held
         self.f = self.fine.take(self.situation)
         weight = self.f >> (FINE_BITS - WEIGHT_BITS)
-        self.expected[~have] = -1
         self.w1 = (1 << WEIGHT_BITS) - weight
         self.mass = weight << ROW_BITS
         packed = self.packed.take(self.expected)
@@ -290,7 +292,7 @@ class Model:
 
     def learn(self, t: int, a: int, symbol: np.ndarray, entry: np.ndarray, hit: np.ndarray) -> None:
         self.fine[self.situation] = self.f + ((hit * ((1 << FINE_BITS) - 1 - (1 << (FINE_BITS - WEIGHT_BITS))) - self.f) >> RATE)
-        self.after[self.slot] = entry << 2 | np.minimum(self.held + 1, 3) * hit
+        self.after[self.slot] = entry << 2 | np.minimum(self.held, 3) * hit
         self.prev2[:a] = self.prev[:a]
         self.prev[:a] = symbol
         if t % CLASS_EVERY == CLASS_EVERY - 1 and self.waiting:
@@ -373,10 +375,12 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 def _encode_lanes(coded: list[np.ndarray], tables: list[Table], rows: list[Rows], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
     coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, rows, chunk)
-    grid = np.zeros((lanes, longest), dtype=np.int64)
-    for k in range(lanes):
-        grid[k, : length[k]] = coded[chunk[k]][offset[k] : offset[k] + length[k]]
-    grid = np.ascontiguousarray(grid.T)
+    grid = np.empty((longest, lanes), dtype=np.int64)
+    for first in range(0, lanes, TILE):  # a row for each step; few lanes at once stay in the cache
+        tile = np.zeros((min(TILE, lanes - first), longest), dtype=np.int64)
+        for k, row in enumerate(tile, start=first):
+            row[: length[k]] = coded[chunk[k]][offset[k] : offset[k] + length[k]]
+        grid[:, first : first + TILE] = tile.T
     alive = np.searchsorted(-length, -np.arange(longest), side="left")
     for t in range(longest):
         a = int(alive[t])
@@ -451,7 +455,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         value = np.minimum(np.maximum((coder.code[:a] - coder.low[:a]) // step, 0), (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
         # what lies beyond the entry of order 2 is order 1, shifted by its mass
         beyond = value >= model.end
-        hit = (value >= model.at) & ~beyond & (model.expected >= 0)
+        hit = (value >= model.at) & ~beyond & model.have
         share = np.minimum((value - model.mass * beyond) // model.w1, (1 << ROW_BITS) - 1)
         entry = model.first.take(model.here) + row_slots.take((model.here << ROW_BITS) + share)
         entry = np.where(hit, model.expected, entry)

@@ -335,3 +335,15 @@ def test_groups_of_shingles_in_any_batches():
     whole = pa.Table.from_batches(jaccard._groups([rows])).to_pylist()
     cut = pa.Table.from_batches(jaccard._groups([rows.slice(k, 1) for k in range(rows.num_rows)])).to_pylist()
     assert len(whole) >= 4 and len(whole) == 2 * len({r["token"] for r in whole}) and sorted(map(str, whole)) == sorted(map(str, cut))
+
+
+def test_order_2_expects_an_entry_of_no_row_at_first():
+    """Where it knows nothing nothing has to be left out; blocks of many lengths, beyond a tile of lanes, come back."""
+    rng = np.random.default_rng(6)
+    chunks = [np.minimum(rng.zipf(1.3, n), 5_000).astype(np.uint32) for n in (1, tokenfiles.BLOCK_IDS * 40 + 17, 3_000)]
+    data = tokenfiles.encode_chunks(chunks)
+    assert all((a == b).all() for a, b in zip(chunks, tokenfiles.decode_chunks(data)))
+    order1, _ = tokenfiles._order1(np.array([1, 2, 1, 2]), np.array([0]), 2)
+    model = tokenfiles.Model(2, [tokenfiles.Table(np.array([2, 2]))], [tokenfiles.Rows(2, *order1)], np.zeros(2, dtype=np.int64))
+    model.predict(2)
+    assert (model.of[model.expected] == -1).all() and (model.packed[model.expected] == 0).all() and not model.have.any() and not model.mass.any()
