@@ -106,21 +106,23 @@ class TextEncoder:
         if self._is_plain(whole):
             return self._plain(whole)
         runs = [r.decode("utf-8", "replace") for r in text.split()]
-        odd = {r for r in runs if r not in self.odd and not self._is_plain(r)}
-        if odd:
-            if len(self.odd) + len(odd) > min(self.memory, MEMORY) // 8:
-                self.odd = {}
-                odd = {r for r in runs if not self._is_plain(r)}
-            learn = [*odd]
-            for k in range(0, len(learn), 10_000):
-                part = learn[k : k + 10_000]
-                for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.odd[run] = self.value(e.ids)
+        self.learn({r for r in {*runs} if r in self.odd or not self._is_plain(r)})
         out: list = []
         for r in runs:
             out += [self.odd[r]] if r in self.odd else self._plain(r)
         return out
 
+    def learn(self, odd: set[str]) -> None:
+        """After this ``self.odd`` has the values of these runs, which aren't plain."""
+        new = odd - self.odd.keys()
+        if new and len(self.odd) + len(new) > min(self.memory, MEMORY) // 8:
+            self.odd, new = {}, odd
+        learn = [*new]
+        for k in range(0, len(learn), 10_000):
+            part = learn[k : k + 10_000]
+            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.odd[run] = self.value(e.ids)
+
     def _is_plain(self, text: str) -> bool:
         return self.plain and _PLAIN.fullmatch(text) is not None and "<|" not in text
 

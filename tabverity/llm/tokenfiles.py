@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ids_encoder
 from .common import id_and_text, materialize, text_batches
+from .pieces import batch_encoder
 
 BLOCK_IDS = 2048
 #: Ids after which a chunk ends, at a document's end.
@@ -50,83 +50,82 @@ WEIGHT_START = (0.0, 0.15, 0.5, 0.7, 0.85)
 #: Slots of the order-2 table of a lane, as a power of two.
 SLOT_BITS = 11
 END_ID = 2
-#: Pieces of text that a worker remembers while it writes (about 80 MB).
-PIECES = 320_000
 
-#: The coder's state has 60 bits and puts out the top 16 of them when they are settled. A distribution has fewer than 2**32
-#: parts; a range below 2**TOP is cut at the next place where the top bits are settled.
-STATE, WORD = 60, 16
+#: The coder's state has 48 bits; when its range is below 2**TOP, the top 16 bits are put out. A distribution has fewer than
+#: 2**31 parts.
+STATE, WORD = 48, 16
 TOP = STATE - WORD
 MASK = (1 << STATE) - 1
 LOW = (1 << TOP) - 1
 
 
-class Coder:
-    """What range encoder and decoder of a row of lanes have in common; words never carry into those put out."""
+class RangeEncoder:
+    """Range encoder of a row of lanes. Words of all lanes go to one log in the order in which they are settled; a carry stays
+    in the word that it came with until the end."""
 
     def __init__(self, lanes: int) -> None:
         self.low = np.zeros(lanes, dtype=np.int64)
         self.range = np.full(lanes, MASK, dtype=np.int64)
+        self.log: list[tuple[np.ndarray, np.ndarray]] = []
 
     def narrow(self, lanes: slice | np.ndarray, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
         """What comes next in ``lanes`` has the parts ``start .. start + width`` of those of size ``step`` that their range is cut into."""
         low, rng = self.low[lanes] + step * start, step * width
+        ready = np.flatnonzero(rng <= LOW)
+        while len(ready):
+            out, more = low.take(ready), rng.take(ready) << WORD
+            self.log.append(((ready if isinstance(lanes, slice) else lanes.take(ready)).astype(np.uint16), (out >> TOP).astype(np.uint32)))
+            low[ready], rng[ready] = (out & LOW) << WORD, more
+            ready = ready[more <= LOW]
         self.low[lanes], self.range[lanes] = low, rng
-        ready = np.flatnonzero(np.minimum(low ^ (low + rng), rng) < 1 << TOP)
-        lane, low, rng = ready if isinstance(lanes, slice) else lanes[ready], low[ready], rng[ready]
-        while len(lane):
-            rng = np.where((low ^ (low + rng)) < 1 << TOP, rng, (1 << TOP) - (low & LOW))
-            self.word(lane, low)
-            low = (low << WORD) & MASK
-            rng = np.minimum(rng << WORD, MASK - low)
-            self.low[lane], self.range[lane] = low, rng
-            ready = np.flatnonzero(np.minimum(low ^ (low + rng), rng) < 1 << TOP)
-            lane, low, rng = lane[ready], low[ready], rng[ready]
-
-    def word(self, lane: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
-
-class RangeEncoder(Coder):
-    def __init__(self, lanes: int, longest: int) -> None:
-        super().__init__(lanes)
-        # an id is coded in two steps, of which each takes two words at most, and a cut range another one
-        self.row = longest * 6 + 8
-        self.words = np.zeros(lanes * self.row, dtype="<u2")
-        self.at = np.arange(lanes, dtype=np.int64) * self.row
-
-    def word(self, lane: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[lane]
-        self.words[at] = low >> TOP
-        self.at[lane] = at + 1
 
     def finish(self) -> list[bytes]:
         n = len(self.low)
-        for _ in range(-(-STATE // WORD)):
-            self.word(np.arange(n), self.low)
-            self.low = (self.low << WORD) & MASK
-        return [self.words[k * self.row : end].tobytes() for k, end in enumerate(self.at.tolist())]
+        for _ in range(STATE // WORD):
+            self.log.append((np.arange(n, dtype=np.uint16), (self.low >> TOP).astype(np.uint32)))
+            self.low = (self.low & LOW) << WORD
+        lane, words = (np.concatenate(x) for x in zip(*self.log))
+        words = words[np.argsort(lane, kind="stable")]
+        # a word above 16 bits carries into the one before, which is the same lane's: no lane's first word carries
+        while len(over := np.flatnonzero(words >> WORD)):
+            words[over] &= (1 << WORD) - 1
+            words[over - 1] += 1
+        ends = np.cumsum(np.bincount(lane, minlength=n)).tolist()
+        words = words.astype("<u2")
+        return [words[x:y].tobytes() for x, y in zip([0, *ends], ends)]
+
+
+class RangeDecoder:
+    """Range decoder of a row of lanes; ``code`` is counted from the start of the range."""
 
-
-class RangeDecoder(Coder):
     def __init__(self, payloads: list[bytes]) -> None:
-        super().__init__(len(payloads))
-        words = [np.frombuffer(p, dtype="<u2") for p in payloads]
-        self.words = np.concatenate([*words, np.zeros(4, dtype=np.uint16)])
-        self.at = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1].astype(np.int64)
-        self.code = np.zeros(len(payloads), dtype=np.int64)
-        for k in range(3):
-            self.code |= self.words[self.at + k].astype(np.int64) << (TOP - WORD * k)
-        self.code |= self.words[self.at + 3].astype(np.int64) >> (WORD - STATE % WORD)
-        self.at += 3
-
-    def word(self, lane: np.ndarray, low: np.ndarray) -> None:
-        # the state ends inside a word: the rest of word `at` and the start of the next
-        at = np.minimum(self.at[lane], len(self.words) - 2)  # a damaged block may ask for more words than there are
-        rest = STATE % WORD
-        new = ((self.words[at].astype(np.int64) << rest) & 0xFFFF) | (self.words[at + 1].astype(np.int64) >> (WORD - rest))
-        self.code[lane] = ((self.code[lane] << WORD) & MASK) | new
-        self.at[lane] = at + 1
+        self.lanes, sizes = len(payloads), np.array([len(p) // 2 for p in payloads])
+        # lanes go on about alike, so that words of one place lie together; a damaged block may ask for more than there are
+        self.last = max(int(sizes.max()), STATE // WORD)
+        self.words = np.zeros((self.last + 1, self.lanes), dtype=np.uint16)
+        for first in range(0, self.lanes, TILE):
+            tile = np.zeros((min(TILE, self.lanes - first), self.last + 1), dtype=np.uint16)
+            for row, p in zip(tile, payloads[first : first + TILE]):
+                row[: len(p) // 2] = np.frombuffer(p, dtype="<u2", count=len(p) // 2)
+            self.words[:, first : first + TILE] = tile.T
+        self.code = np.zeros(self.lanes, dtype=np.int64)
+        for k in range(STATE // WORD):
+            self.code = self.code << WORD | self.words[k]
+        self.words = self.words.ravel()
+        self.at = np.arange(self.lanes) + STATE // WORD * self.lanes
+        self.range = np.full(self.lanes, MASK, dtype=np.int64)
+
+    def narrow(self, lanes: slice | np.ndarray, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        code, rng = self.code[lanes] - step * start, step * width
+        ready = np.flatnonzero(rng <= LOW)
+        while len(ready):
+            lane = ready if isinstance(lanes, slice) else lanes.take(ready)
+            at, more = self.at.take(lane), rng.take(ready) << WORD
+            code[ready] = (code.take(ready) << WORD | self.words.take(at, mode="clip")) & MASK
+            rng[ready] = more
+            self.at[lane] = at + self.lanes
+            ready = ready[more <= LOW]
+        self.code[lanes], self.range[lanes] = code, rng
 
 
 class Table:
@@ -374,7 +373,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _encode_lanes(coded: list[np.ndarray], tables: list[Table], rows: list[Rows], chunk: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     lanes, longest = len(chunk), int(length[0])
-    coder, model = RangeEncoder(lanes, longest), Model(lanes, tables, rows, chunk)
+    coder, model = RangeEncoder(lanes), Model(lanes, tables, rows, chunk)
     grid = np.empty((longest, lanes), dtype=np.int64)
     for first in range(0, lanes, TILE):  # a row for each step; few lanes at once stay in the cache
         tile = np.zeros((min(TILE, lanes - first), longest), dtype=np.int64)
@@ -452,7 +451,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         a = int(alive[t])
         model.predict(a)
         step = coder.range[:a] >> (ROW_BITS + WEIGHT_BITS)
-        value = np.minimum(np.maximum((coder.code[:a] - coder.low[:a]) // step, 0), (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
+        value = np.minimum(np.maximum(coder.code[:a] // step, 0), (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
         # what lies beyond the entry of order 2 is order 1, shifted by its mass
         beyond = value >= model.end
         hit = (value >= model.at) & ~beyond & model.have
@@ -465,7 +464,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         if len(left):
             total = model.total[left]
             step = (coder.range[left] >> SHARE_BITS) // total
-            value = np.minimum(np.maximum((coder.code[left] - coder.low[left]) // step, 0), (total << SHARE_BITS) - 1)
+            value = np.minimum(np.maximum(coder.code[left] // step, 0), (total << SHARE_BITS) - 1)
             part, base = value >> SHARE_BITS, model.class_base[left]
             at = base.copy()
             for k in range(CLASS_BITS - 1, -1, -1):
@@ -490,17 +489,16 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     ``part`` ascends with the ids, ``part_start`` counts the ids of the part's chunks before.
     """
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
-        runs = ids_encoder(tokenizer_path, PIECES)
+        encode = batch_encoder(tokenizer_path, end_id)
         docs_: list = []
         held, before, number = 0, 0, 0
         for (ids, parts), texts in text_batches(batches, ["doc_id", "part"], remember=True):
-            for i, part, text in zip(ids, parts, texts):
-                coded = b"".join(runs(text)) + end
+            tokens, sizes = encode(texts)
+            for i, part, coded in zip(ids, parts, np.split(tokens, np.cumsum(sizes)[:-1])):
                 docs_.append((i, coded))
-                held += len(coded) // 4
+                held += len(coded)
                 if held >= CHUNK_IDS:
                     yield [part, number, before, docs_]
                     docs_, before, held, number = [], before + held, 0, number + 1
@@ -521,10 +519,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
 
 def _coded(rows: list[list]) -> pa.RecordBatch:
-    chunks = [np.frombuffer(b"".join([c for _, c in docs]), dtype="<u4") for *_, docs in rows]
+    chunks = [np.concatenate([c for _, c in docs]) for *_, docs in rows]
     return pa.RecordBatch.from_pydict({
         "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int32()), "part_start": pa.array([r[2] for r in rows], pa.int64()),
-        "doc_ids": pa.array([[i for i, _ in r[3]] for r in rows], pa.list_(pa.int64())), "doc_sizes": pa.array([[len(c) // 4 for _, c in r[3]] for r in rows], pa.list_(pa.int32())),
+        "doc_ids": pa.array([[i for i, _ in r[3]] for r in rows], pa.list_(pa.int64())), "doc_sizes": pa.array([[len(c) for _, c in r[3]] for r in rows], pa.list_(pa.int32())),
         "coded": pa.array(encode_chunks(chunks), pa.binary()),
     })
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabverity.llm import bpe, common, decontaminate, jaccard, language, lines, neighbours, pii, quality, substring, tokenfiles
+from tabverity.llm import bpe, common, decontaminate, jaccard, language, lines, neighbours, pieces, pii, quality, substring, tokenfiles
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -347,3 +348,40 @@ def test_order_2_expects_an_entry_of_no_row_at_first():
     model = tokenfiles.Model(2, [tokenfiles.Table(np.array([2, 2]))], [tokenfiles.Rows(2, *order1)], np.zeros(2, dtype=np.int64))
     model.predict(2)
     assert (model.of[model.expected] == -1).all() and (model.packed[model.expected] == 0).all() and not model.have.any() and not model.mass.any()
+
+
+def test_batches_of_texts_have_the_ids_of_the_library():
+    """Plain, odd and mixed texts, alone and together, with a table of pieces that is forgotten now and then."""
+    tokenizer, rng = bpe.load_tokenizer(PATH), random.Random(8)
+    alphabets = ["abcdefghij", "ab'sd've'llret", "éèüñßABCÿŸ123×÷İŉ", "!!??''s's  \n\t#$", "é 漢字かな<|endoftext|>İΣσς\x00\x1c\x85 ", "the and ion '"]
+    texts = ["".join(rng.choice(alphabets[k % 6] if k % 2 else rng.choice(alphabets)) for _ in range(rng.choice([0, 1, 5, 30, 300]))) for k in range(300)]
+    texts += ["a" * 17, "a" * 16, "a" * 15 + "é", "thereafter" * 500, "'", "''s", "'re'", "<|", "a<|b c", "\0", "a\0b", "'start", "x'", "Å é", ""]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for memory, step in ((pieces.MEMORY, len(texts)), (300, 7), (300, 1)):
+        encode, got = pieces.BatchEncoder(bpe.ids_encoder(PATH), 2, memory), []
+        assert encode.merges is not None
+        for k in range(0, len(texts), step):
+            ids, sizes = encode([t.encode() for t in texts[k : k + step]])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            assert encode.places.count <= max(memory, 1 + sum(sizes))
+        assert got == want
+
+
+def test_carries_reach_words_that_have_left_the_state():
+    """The coder against whole numbers: lanes at the upper end of their range carry through words that are all ones."""
+    rng = np.random.default_rng(9)
+    lanes, whole = 64, 1 << 18
+    coder, low, width, moved = tokenfiles.RangeEncoder(lanes), [0] * lanes, [tokenfiles.MASK] * lanes, [0] * lanes
+    for t in range(60):
+        start = np.where(np.arange(lanes) % 2 == 0, whole - 1 - rng.integers(0, 2, lanes), rng.integers(0, whole, lanes))
+        step = coder.range >> 18
+        for k in range(lanes):
+            low[k], width[k] = low[k] + int(step[k]) * int(start[k]), int(step[k])
+            while width[k] <= tokenfiles.LOW:
+                low[k], width[k], moved[k] = low[k] << 16, width[k] << 16, moved[k] + 1
+        coder.narrow(slice(0, lanes), step, start, np.ones(lanes, dtype=np.int64))
+        assert coder.range.tolist() == width
+    assert max(int(w.max()) for _, w in coder.log) >= 1 << 16  # some word carries
+    for k, data in enumerate(coder.finish()):
+        words = np.frombuffer(data, dtype="<u2").tolist()
+        assert len(words) == moved[k] + 3 and sum(w << 16 * (len(words) - 1 - i) for i, w in enumerate(words)) == low[k]
