@@ -31,7 +31,7 @@ BLOCK_IDS = 2048
 #: Ids after which a chunk ends, at a document's end.
 CHUNK_IDS = 1 << 21
 #: Lanes that are coded in step at most.
-LANES = 2048
+LANES = 4096
 #: Lanes that are turned from rows to columns at once.
 TILE = 32
 #: Rows of order 1 have shares of 2**-ROW_BITS; a chunk has fewer than 2**ROWS of them.
@@ -188,11 +188,16 @@ class Rows:
 
 def _order1(symbols: np.ndarray, offset: np.ndarray, distinct: int) -> tuple[list[np.ndarray], np.ndarray]:
     """What Rows is made of for a chunk, and the entry of every id; ``offset`` are the places where blocks start."""
-    before = np.append(0, symbols[:-1])
-    before[offset] = 0
-    # pairs of an id before and an id, sorted together with their places
-    key = np.sort((before << 16 | symbols) << 31 | np.arange(len(symbols)))
-    order = key & ((1 << 31) - 1)
+    # pairs of an id before and an id, sorted together with their places; in place, as a chunk's arrays are large
+    key = np.zeros(len(symbols), dtype=np.int64)
+    key[1:] = symbols[:-1]
+    key[offset] = 0
+    key <<= 16
+    key |= symbols
+    key <<= 31
+    key |= np.arange(len(symbols), dtype=np.int32)
+    key.sort()
+    order = (key & ((1 << 31) - 1)).astype(np.int32)
     key >>= 31
     edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     pair, count = key[edges], np.diff(np.append(edges, len(key)))
@@ -215,8 +220,8 @@ def _order1(symbols: np.ndarray, offset: np.ndarray, distinct: int) -> tuple[lis
     # row 0 has one entry, so that entries of other rows are one further
     entry = np.where(number[head] > 0, np.append(0, 1 + first)[number[head]], 0)
     entry[often] = place + 1
-    entries = np.empty(len(symbols), dtype=np.int64)
-    entries[order] = np.repeat(entry, np.diff(np.append(edges, len(key))))
+    entries = np.empty(len(symbols), dtype=np.int32)
+    entries[order] = np.repeat(entry.astype(np.int32), count)
     return [heads, members, symbol, share], entries
 
 
@@ -255,8 +260,8 @@ class Model:
         self.sums = (ends - self.counts).ravel()
         self.both = self.sums << 20 | self.counts.ravel()
 
-    def predict(self, a: int) -> None:
-        """Row of order 1, entry of order 2 in it, where that starts and ends, and the weights of the first a lanes."""
+    def predict(self, a: int) -> np.ndarray:
+        """Row of order 1, entry of order 2 in it, where that starts, and the weights of the first a lanes; returns the packed entries."""
         prev = self.prev[:a]
         self.here = self.row.take(self.symbol_base[:a] + prev)
         self.slot = self.slot_base[:a] + (((self.prev2[:a] * 40503 + prev) * 2654435761 >> 14) & ((1 << SLOT_BITS) - 1))
@@ -271,7 +276,7 @@ class Model:
         self.mass = weight << ROW_BITS
         packed = self.packed.take(self.expected)
         self.at = self.w1 * ((packed >> (ROW_BITS + 1)) & ((1 << ROW_BITS) - 1))
-        self.end = self.at + self.w1 * (packed & ((2 << ROW_BITS) - 1)) + self.mass
+        return packed
 
     def parts(self, entry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of entries (0 for order 0), and their start and width in the mix."""
@@ -320,19 +325,21 @@ def encode_chunks(chunks: list[np.ndarray]) -> list[bytes]:
         values = np.flatnonzero(counts)
         if len(values) >= 1 << 16:
             raise ValueError("a chunk has too many distinct ids; make CHUNK_IDS smaller")
-        place = np.zeros(len(counts), dtype=np.int64)
+        place = np.zeros(len(counts), dtype=np.uint16)
         place[values] = np.arange(1, len(values) + 1)
         symbols = place[ids]
         order1, entries = _order1(symbols, np.arange(0, len(ids), BLOCK_IDS), len(values))
         rows.append(Rows(len(values), *order1))
         # order 0 numbers the ids that a row leaves to it
-        left = np.bincount(symbols[rows[-1].packed[entries] >> (2 * ROW_BITS + 1) == 0], minlength=len(values) + 1)
+        left = np.bincount(symbols[(rows[-1].packed >> (2 * ROW_BITS + 1) == 0)[entries]], minlength=len(values) + 1)
         others = np.flatnonzero(left)
-        number = np.zeros(len(values) + 1, dtype=np.int64)
-        number[others] = np.arange(1, len(others) + 1)
+        number = np.arange(len(values) + 1)
+        number[others] |= np.arange(1, len(others) + 1) << 16
         tables.append(Table(left[others]))
         # entry, number in order 0 and symbol of every id in one number
-        coded.append(entries << 32 | number[symbols] << 16 | symbols)
+        coded.append(entries.astype(np.int64))
+        coded[-1] <<= 32
+        coded[-1] |= number.take(symbols)
         heads.append(_pack([values, others, left[others], *order1]))
     chunk, offset, length = _lanes([len(c) for c in chunks])
     order = np.argsort(-length, kind="stable")
@@ -449,11 +456,12 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
     grid = np.zeros((longest, lanes), dtype=np.int32)
     for t in range(longest):
         a = int(alive[t])
-        model.predict(a)
+        packed = model.predict(a)
+        end = model.at + model.w1 * (packed & ((2 << ROW_BITS) - 1)) + model.mass
         step = coder.range[:a] >> (ROW_BITS + WEIGHT_BITS)
-        value = np.minimum(np.maximum(coder.code[:a] // step, 0), (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
+        value = np.minimum(coder.code[:a] // step, (1 << (ROW_BITS + WEIGHT_BITS)) - 1)
         # what lies beyond the entry of order 2 is order 1, shifted by its mass
-        beyond = value >= model.end
+        beyond = value >= end
         hit = (value >= model.at) & ~beyond & model.have
         share = np.minimum((value - model.mass * beyond) // model.w1, (1 << ROW_BITS) - 1)
         entry = model.first.take(model.here) + row_slots.take((model.here << ROW_BITS) + share)
@@ -464,7 +472,7 @@ def _decode_lanes(payloads: list[bytes], others: list[np.ndarray], tables: list[
         if len(left):
             total = model.total[left]
             step = (coder.range[left] >> SHARE_BITS) // total
-            value = np.minimum(np.maximum(coder.code[left] // step, 0), (total << SHARE_BITS) - 1)
+            value = np.minimum(coder.code[left] // step, (total << SHARE_BITS) - 1)
             part, base = value >> SHARE_BITS, model.class_base[left]
             at = base.copy()
             for k in range(CLASS_BITS - 1, -1, -1):
@@ -552,17 +560,25 @@ def read_ids(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     starts = found.select(F.col("part").alias("of_part"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))  # a row for each part
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict] = []
         for batch in batches:
-            for k in range(0, batch.num_rows, LANES * BLOCK_IDS // CHUNK_IDS):
-                rows = batch.slice(k, LANES * BLOCK_IDS // CHUNK_IDS).to_pylist()
-                for row, ids in zip(rows, decode_chunks([r["coded"] for r in rows])):
-                    n = np.array(row["doc_sizes"], dtype=np.int64)
-                    ends = np.cumsum(n)
-                    raw = ids.astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["before"] + row["part_start"] + ends - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
-                        "ids": pa.array([raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist())], pa.binary()),
-                    })
+            for k in range(batch.num_rows):
+                waiting += batch.slice(k, 1).to_pylist()
+                if len(waiting) * CHUNK_IDS >= LANES * BLOCK_IDS:
+                    yield from documents(waiting)
+                    waiting = []
+        if waiting:
+            yield from documents(waiting)
+
+    def documents(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for row, ids in zip(rows, decode_chunks([r["coded"] for r in rows])):
+            n = np.array(row["doc_sizes"], dtype=np.int64)
+            ends = np.cumsum(n)
+            raw = ids.astype("<u4").tobytes()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["before"] + row["part_start"] + ends - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
+                "ids": pa.array([raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist())], pa.binary()),
+            })
 
     placed = files.join(F.broadcast(starts), F.col("part") == F.col("of_part")).drop("of_part")  # one row for each task that wrote
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
