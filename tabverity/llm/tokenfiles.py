@@ -120,7 +120,8 @@ class RangeDecoder:
         ready = np.flatnonzero(rng <= LOW)
         while len(ready):
             lane = ready if isinstance(lanes, slice) else lanes.take(ready)
-            at, more = self.at.take(lane), rng.take(ready) << WORD
+            # the range of a damaged block may be empty
+            at, more = self.at.take(lane), np.maximum(rng.take(ready), 1) << WORD
             code[ready] = (code.take(ready) << WORD | self.words.take(at, mode="clip")) & MASK
             rng[ready] = more
             self.at[lane] = at + self.lanes
